@@ -1,10 +1,13 @@
-"""Scalar expressions. All are native Column expressions: no UDF anywhere."""
+"""Scalar expressions, built from rule tables as Spark SQL text.
+
+Every function takes column names (or SQL expressions) and returns a Column. All of
+it is native SQL: there is no UDF anywhere.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -12,137 +15,157 @@ from footfall.functions import rules
 from footfall.params import DateWindow
 
 
-def trimmed(col: Column) -> Column:
+def text(value: str) -> str:
+    """SQL string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def cases(branches: Iterable[tuple[str, str]], default: str = "null") -> str:
+    """SQL CASE; the first true condition gives the value."""
+    whens = " ".join(f"when {cond} then {value}" for cond, value in branches)
+    return f"case {whens} else {default} end"
+
+
+# ------------------------------------------------------------------ dates
+
+
+def midnight(day: date) -> str:
+    """Start of ``day`` as a timestamp literal without a time zone."""
+    return f"timestamp_ntz'{day.isoformat()} 00:00:00'"
+
+
+def in_window(ts: str, window: DateWindow) -> Column:
+    """Half-open range test on typed literals, so that it reaches the file scan."""
+    return F.expr(f"{ts} >= {midnight(window.start)} and {ts} < {midnight(window.end)}")
+
+
+def days_between(first: str, later: str) -> Column:
+    """Calendar days from ``first`` to ``later``; NULL when either is missing."""
+    return F.expr(f"date_diff(to_date({later}), to_date({first}))")
+
+
+# ------------------------------------------------------------------ text
+
+
+def trimmed(col: str) -> str:
     """Spaces stripped; blank becomes NULL."""
-    return F.nullif(F.trim(col), F.lit(""))
+    return f"nullif(trim({col}), '')"
 
 
-def clean_funnel(col: Column) -> Column:
+def clean_funnel(col: str) -> Column:
     """Trimmed funnel code; blank or NULL becomes ``Unknown``."""
-    return F.coalesce(trimmed(col), F.lit(rules.UNKNOWN))
+    return F.expr(f"coalesce({trimmed(col)}, {text(rules.UNKNOWN)})")
 
 
-def numeric_key(col: Column) -> Column:
+def numeric_key(col: str) -> Column:
     """Whole-number join key from text or number; unparseable gives NULL."""
-    return col.cast("string").try_cast("decimal(38,0)")
+    return F.expr(f"try_cast(cast({col} as string) as decimal(38, 0))")
 
 
-def ilike_guarded(col: Column, pattern: str) -> Column:
-    """``col ILIKE pattern`` with a cheap test in front of the regex.
+def matches(lowered: str, pattern: str) -> str:
+    """Case-insensitive LIKE of a lower-cased text, with cheap tests in front.
 
-    A pattern with several wildcards runs as a regular expression. Testing first
-    for the longest literal piece (a byte search) spares nearly all rows of it,
-    and cannot change the answer: the piece must occur for the pattern to match.
+    A pattern with several literal pieces runs as a regular expression. Looking for
+    the pieces first (byte searches) spares nearly all rows of it, and cannot
+    change the answer: every piece must occur for the pattern to match.
     """
+    pattern = pattern.lower()
+    like = f"{lowered} like {text(pattern)}"
     pieces = [p for p in pattern.split("%") if p]
-    match = col.ilike(pattern)
     if len(pieces) < 2 or "_" in pattern or "\\" in pattern:
-        return match
-    return F.lower(col).contains(max(pieces, key=len).lower()) & match
+        return like
+    return " and ".join([*(f"contains({lowered}, {text(p)})" for p in pieces), like])
 
 
-def any_ilike(col: Column, patterns: Iterable[str]) -> Column:
-    """True when any pattern matches; NULL input gives NULL."""
-    return reduce(lambda a, b: a | b, (ilike_guarded(col, p) for p in patterns))
+def any_like(lowered: str, patterns: Iterable[str]) -> Column:
+    """True when any pattern matches the lower-cased text; NULL gives NULL."""
+    return F.expr(" or ".join(f"({matches(lowered, p)})" for p in patterns))
 
 
-def first_like(col: Column, rule_list: Iterable[rules.LikeRule], default: Column) -> Column:
-    """Label of the first matching rule, else ``default``."""
-    chain = F
-    for rule in rule_list:
-        chain = chain.when(ilike_guarded(col, rule.pattern), F.lit(rule.label))
-    return chain.otherwise(default)
+def first_like(lowered: str, rule_list: Iterable[rules.LikeRule], default: str) -> Column:
+    """Label of the first rule that matches the lower-cased text, else ``default``."""
+    return F.expr(cases([(matches(lowered, r.pattern), text(r.label)) for r in rule_list], default))
 
 
-def midnight(day: date) -> Column:
-    """Start of ``day`` as a timestamp literal without a time zone."""
-    return F.lit(day).cast("timestamp_ntz")
+def thousands(n: str, width: int = 12) -> Column:
+    """Right-aligned count with separators: sign column plus ``999,999,999``.
 
+    Counts too large for the picture are shown as ``#``, as SQL ``TO_CHAR`` does,
+    since ``lpad`` alone would cut digits off.
+    """
+    shown = f"format_number({n}, 0)"
+    return F.expr(
+        cases(
+            [
+                (f"length({shown}) < {width}", f"lpad({shown}, {width}, ' ')"),
+                (f"{n} is not null", text("#" * width)),
+            ]
+        )
+    )
+
+
+# ------------------------------------------------------------------ classifiers
 
-def in_window(ts: Column, window: DateWindow) -> Column:
-    """Half-open range test on typed literals, so that it reaches the file scan."""
-    return (ts >= midnight(window.start)) & (ts < midnight(window.end))
+
+def flag(cond: str) -> Column:
+    """1 when true, 0 when false or NULL."""
+    return F.expr(f"if({cond}, 1, 0)")
 
 
-def return_bucket(same_day_max: Column, gap: Column, buckets: rules.BucketRules) -> Column:
+def return_bucket(same_day_max: str, gap: str, buckets: rules.BucketRules) -> Column:
     """Return bucket; several visits on one day win over any gap."""
-    chain = F.when(same_day_max > 1, F.lit(buckets.same_day))
+    branches = [(f"{same_day_max} > 1", text(buckets.same_day))]
     for rule in buckets.gaps:
-        hit = gap >= rule.low if rule.high is None else gap.between(rule.low, rule.high)
-        chain = chain.when(hit, F.lit(rule.label))
-    return chain.otherwise(F.lit(buckets.none))
+        above = f"{gap} >= {rule.low}"
+        branches.append((above if rule.high is None else f"{above} and {gap} <= {rule.high}", text(rule.label)))
+    return F.expr(cases(branches, text(buckets.none)))
 
 
-def funnel_group(funnel: Column, groups: Mapping[str, tuple[str, ...]] = rules.FUNNEL_GROUPS) -> Column:
+def funnel_group(funnel: str, groups: Mapping[str, tuple[str, ...]] = rules.FUNNEL_GROUPS) -> Column:
     """Audience group of a funnel code; unlisted codes and NULL are ``Unmapped``."""
-    chain = F
-    for name, codes in groups.items():
-        chain = chain.when(funnel.isin(*codes), F.lit(name))
-    return chain.otherwise(F.lit(rules.UNMAPPED))
-
-
-def flag(cond: Column) -> Column:
-    """1 when true, 0 when false or NULL."""
-    return F.when(cond, F.lit(1)).otherwise(F.lit(0))
+    branches = [(f"{funnel} in ({', '.join(map(text, codes))})", text(name)) for name, codes in groups.items()]
+    return F.expr(cases(branches, text(rules.UNMAPPED)))
 
 
-def ita_category(funnel: Column, app: Column, soft: Column, approved: Column, hard: Column) -> Column:
+def ita_category(funnel: str, app: str, soft: str, approved: str, hard: str) -> Column:
     """Furthest stage an ITA first visit reached.
 
     Decided from the end of the funnel backwards: a hard submit settles it, a
     visit without an application start has no stage, and for the hard-only
     funnel soft submits are ignored.
     """
-    stalled = (funnel == rules.HARD_ONLY_FUNNEL) | (soft == 0)
-    return (
-        F.when(hard == 1, F.lit(rules.ITA_HARD))
-        .when(app == 0, F.lit(rules.ITA_OTHER))
-        .when(stalled, F.lit(rules.ITA_STARTED))
-        .when(approved == 1, F.lit(rules.ITA_APPROVED))
-        .otherwise(F.lit(rules.ITA_SOFT))
-    )
+    stalled = f"{funnel} = {text(rules.HARD_ONLY_FUNNEL)} or {soft} = 0"
+    branches = [
+        (f"{hard} = 1", text(rules.ITA_HARD)),
+        (f"{app} = 0", text(rules.ITA_OTHER)),
+        (stalled, text(rules.ITA_STARTED)),
+        (f"{approved} = 1", text(rules.ITA_APPROVED)),
+    ]
+    return F.expr(cases(branches, text(rules.ITA_SOFT)))
 
 
-def ita_other_reason(matched: Column, app: Column, soft: Column) -> Column:
+def ita_other_reason(matched: str, app: str, soft: str) -> Column:
     """Why an ITA first visit has no stage."""
-    return (
-        F.when(matched == 0, F.lit(rules.ITA_REASON_UNMATCHED))
-        .when(app == 1, F.lit(rules.ITA_REASON_UNEXPECTED))
-        .when(soft == 1, F.lit(rules.ITA_REASON_SOFT_ONLY))
-        .otherwise(F.lit(rules.ITA_REASON_NOTHING))
-    )
+    branches = [
+        (f"{matched} = 0", text(rules.ITA_REASON_UNMATCHED)),
+        (f"{app} = 1", text(rules.ITA_REASON_UNEXPECTED)),
+        (f"{soft} = 1", text(rules.ITA_REASON_SOFT_ONLY)),
+    ]
+    return F.expr(cases(branches, text(rules.ITA_REASON_NOTHING)))
 
 
-def pq_other_reason(first_time: Column, first_visit: Column, matched: Column) -> Column:
+def pq_other_reason(first_time: str, first_visit: str, matched: str) -> Column:
     """Why a PQ first visit cannot be judged; NULL when it can."""
-    return (
-        F.when(first_time.isNull(), F.lit(rules.PQ_REASON_NO_ROWS))
-        .when(first_visit.isNull(), F.lit(rules.PQ_REASON_NO_VISIT))
-        .when(matched == 0, F.lit(rules.PQ_REASON_UNMATCHED))
-    )
+    branches = [
+        (f"{first_time} is null", text(rules.PQ_REASON_NO_ROWS)),
+        (f"{first_visit} is null", text(rules.PQ_REASON_NO_VISIT)),
+        (f"{matched} = 0", text(rules.PQ_REASON_UNMATCHED)),
+    ]
+    return F.expr(cases(branches))
 
 
-def pq_category(other_reason: Column, hard: Column) -> Column:
+def pq_category(other_reason: str, hard: str) -> Column:
     """Stage of a PQ first visit; ``Other`` exactly when there is a reason for it."""
-    return (
-        F.when(other_reason.isNotNull(), F.lit(rules.PQ_OTHER))
-        .when(hard == 1, F.lit(rules.PQ_HARD))
-        .otherwise(F.lit(rules.PQ_NO_HARD))
-    )
-
-
-def days_between(first: Column, later: Column) -> Column:
-    """Calendar days from ``first`` to ``later``; NULL when either is missing."""
-    return F.date_diff(F.to_date(later), F.to_date(first))
-
-
-def thousands(n: Column, width: int = 12) -> Column:
-    """Right-aligned count with separators: sign column plus ``999,999,999``.
-
-    Counts too large for the picture are shown as ``#``, as SQL ``TO_CHAR`` does,
-    since ``lpad`` alone would cut digits off.
-    """
-    text = F.format_number(n, 0)
-    return F.when(F.length(text) < width, F.lpad(text, width, " ")).when(
-        n.isNotNull(), F.lit("#" * width)
-    )
+    branches = [(f"{other_reason} is not null", text(rules.PQ_OTHER)), (f"{hard} = 1", text(rules.PQ_HARD))]
+    return F.expr(cases(branches, text(rules.PQ_NO_HARD)))

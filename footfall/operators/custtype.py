@@ -11,9 +11,8 @@ from footfall.params import DateWindow
 
 def latest_application(applications: DataFrame, key: str, years: DateWindow) -> DataFrame:
     """Customer type of the latest application per ``key``, of the given transaction years."""
-    tie_break = [F.col("cust_type").asc_nulls_last()]
-    if key != "appl_key":
-        tie_break.insert(0, F.col("appl_key").desc_nulls_last())
+    by_type = "cust_type asc nulls last"
+    tie_break = by_type if key == "appl_key" else f"appl_key desc nulls last, {by_type}"
     recent = R.slice_window(applications, "tran_date", years)
     return T.latest_per_key(recent, key, "appl_entry_dt", tie_break).select(key, "cust_type")
 
@@ -30,12 +29,12 @@ def visitor_candidates(
     visits = (
         R.slice_window(traffic, "record_created_timestamp", traffic_years)
         .groupBy("visitor_id", "customer_id")
-        .agg(F.min("created_at").alias("visit_date"))
+        .agg(F.expr("min(created_at) as visit_date"))
     )
-    typed = latest_application(applications, "cust_id", application_years).filter(F.col("cust_type").isNotNull())
+    typed = latest_application(applications, "cust_id", application_years).filter("cust_type is not null")
     return (
-        visits.withColumn("_number", C.numeric_key(F.col("customer_id")))
-        .join(typed.withColumn("_number", C.numeric_key(F.col("cust_id"))), "_number")
+        visits.withColumn("_number", C.numeric_key("customer_id"))
+        .join(typed.withColumn("_number", C.numeric_key("cust_id")), "_number")
         .select("visitor_id", "customer_id", "cust_id", "cust_type", "visit_date")
     )
 
@@ -45,7 +44,7 @@ def visitor_cust_type(
 ) -> DataFrame:
     """One customer type per visitor: the candidate with the latest first visit."""
     candidates = visitor_candidates(traffic, applications, traffic_years, application_years)
-    tie_break = [F.col(c).asc_nulls_last() for c in ("customer_id", "cust_id", "cust_type")]
+    tie_break = "customer_id asc nulls last, cust_id asc nulls last, cust_type asc nulls last"
     return T.latest_per_key(candidates, "visitor_id", "visit_date", tie_break)
 
 
@@ -54,16 +53,16 @@ def person_candidates(interactions: DataFrame, applications: DataFrame, years: D
     seen = (
         R.slice_window(interactions, "interaction_date", years)
         .groupBy("appl_key", "person")
-        .agg(F.min("interaction_date").alias("visit_date"))
+        .agg(F.expr("min(interaction_date) as visit_date"))
     )
-    typed = latest_application(applications, "appl_key", years).filter(F.col("cust_type").isNotNull())
+    typed = latest_application(applications, "appl_key", years).filter("cust_type is not null")
     return seen.join(typed, "appl_key").select("appl_key", "person", "cust_type", "visit_date")
 
 
 def person_cust_type(interactions: DataFrame, applications: DataFrame, years: DateWindow) -> DataFrame:
     """One customer type per person: the candidate with the latest first interaction."""
-    tie_break = [F.col(c).asc_nulls_last() for c in ("appl_key", "cust_type")]
-    return T.latest_per_key(person_candidates(interactions, applications, years), "person", "visit_date", tie_break)
+    candidates = person_candidates(interactions, applications, years)
+    return T.latest_per_key(candidates, "person", "visit_date", "appl_key asc nulls last, cust_type asc nulls last")
 
 
 def cust_type_summary(lookup: DataFrame, key: str) -> DataFrame:
@@ -71,28 +70,30 @@ def cust_type_summary(lookup: DataFrame, key: str) -> DataFrame:
 
     Blank ids and types do not count; types are compared without case or padding.
     """
-    ids = C.trimmed(F.col("customer_id").cast("string"))
-    types = C.trimmed(F.upper(F.col("cust_type")))
+    ids = C.trimmed("cast(customer_id as string)")
+    types = C.trimmed("upper(cust_type)")
     counted = lookup.groupBy(key).agg(
-        F.count_distinct(ids).alias("customer_id_count"),
-        F.count_distinct(types).alias("cust_type_count"),
-        F.max(types).alias("_type"),
+        F.expr(f"count(distinct {ids}) as customer_id_count"),
+        F.expr(f"count(distinct {types}) as cust_type_count"),
+        F.expr(f"max({types}) as one_type"),
     )
-    label = (
-        F.when(F.col("customer_id_count") > 1, F.lit(rules.MULTIPLE_IDS))
-        .when(F.col("cust_type_count") > 1, F.lit(rules.MULTIPLE_TYPES))
-        .otherwise(F.coalesce("_type", F.lit(rules.UNKNOWN)))
+    label = C.cases(
+        [
+            ("customer_id_count > 1", C.text(rules.MULTIPLE_IDS)),
+            ("cust_type_count > 1", C.text(rules.MULTIPLE_TYPES)),
+        ],
+        f"coalesce(one_type, {C.text(rules.UNKNOWN)})",
     )
-    return counted.select(key, label.alias("cust_type"), "customer_id_count", "cust_type_count")
+    return counted.selectExpr(key, f"{label} as cust_type", "customer_id_count", "cust_type_count")
 
 
 def attach_summary(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Add the summarised customer type; keys the lookup lacks are ``Unknown`` with zero counts."""
-    return df.join(cust_type_summary(lookup, key), key, "left").select(
-        *[df[c] for c in df.columns],
-        F.coalesce("cust_type", F.lit(rules.UNKNOWN)).alias("cust_type"),
-        F.coalesce("customer_id_count", F.lit(0)).alias("customer_id_count"),
-        F.coalesce("cust_type_count", F.lit(0)).alias("cust_type_count"),
+    return df.join(cust_type_summary(lookup, key), key, "left").selectExpr(
+        *df.columns,
+        f"coalesce(cust_type, {C.text(rules.UNKNOWN)}) as cust_type",
+        "coalesce(customer_id_count, 0) as customer_id_count",
+        "coalesce(cust_type_count, 0) as cust_type_count",
     )
 
 
@@ -102,12 +103,11 @@ def attach_type(df: DataFrame, lookup: DataFrame, key: str, default: str | None
     Without a ``default`` an unmatched key gets NULL. With one it gets the default
     and the column ``cust_type_matched`` tells the two apart.
     """
-    found = lookup.select(key, "cust_type", F.lit(1).alias("_found"))
-    joined = df.join(found, key, "left")
     if default is None:
-        return joined.drop("_found")
-    return joined.select(
-        *[df[c] for c in df.columns],
-        F.coalesce("cust_type", F.lit(default)).alias("cust_type"),
-        F.coalesce("_found", F.lit(0)).alias("cust_type_matched"),
+        return df.join(lookup.select(key, "cust_type"), key, "left")
+    found = lookup.selectExpr(key, "cust_type", "1 as found")
+    return df.join(found, key, "left").selectExpr(
+        *df.columns,
+        f"coalesce(cust_type, {C.text(default)}) as cust_type",
+        "coalesce(found, 0) as cust_type_matched",
     )

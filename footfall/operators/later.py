@@ -19,13 +19,12 @@ def submit_days(interactions: DataFrame, key: str, window: DateWindow) -> DataFr
     No visitor flag is required here. The first day of the window cannot be later
     than anyone's first visit day, so the scan starts one day in.
     """
-    ts = F.col("interaction_date")
-    submitted = [F.col(f"{e}_submit_flag") == 1 for e in EVENTS]
+    start = C.midnight(window.start + timedelta(days=1))
     return (
-        interactions.filter((ts >= C.midnight(window.start + timedelta(days=1))) & (ts < C.midnight(window.end)))
-        .filter(submitted[0] | submitted[1])
-        .groupBy(key, F.to_date(ts).alias("submit_date"))
-        .agg(*[F.max(C.flag(s)).alias(f"{e}_that_day") for e, s in zip(EVENTS, submitted)])
+        interactions.filter(f"interaction_date >= {start} and interaction_date < {C.midnight(window.end)}")
+        .filter(" or ".join(f"{e}_submit_flag = 1" for e in EVENTS))
+        .groupBy(key, F.expr("to_date(interaction_date) as submit_date"))
+        .agg(*[F.expr(f"max(if({e}_submit_flag = 1, 1, 0)) as {e}_that_day") for e in EVENTS])
     )
 
 
@@ -37,24 +36,19 @@ def with_later_activity(first: DataFrame, interactions: DataFrame, key: str, win
     of the window to it, and the grouping after it needs no further shuffle.
     """
     days = submit_days(interactions, key, window).withColumnRenamed(key, "_key")
-    after = (F.col(key) == F.col("_key")) & (F.col("submit_date") > F.to_date("first_interaction_time"))
-    names = [f"first_later_{e}_submit_date" for e in EVENTS]
+    after = F.expr(f"{key} = _key and submit_date > to_date(first_interaction_time)")
+    dates = [f"first_later_{e}_submit_date" for e in EVENTS]
     dated = (
         first.join(days, after, "left")
         .groupBy(*first.columns)
-        .agg(
-            *[
-                F.min(F.when(F.col(f"{e}_that_day") == 1, F.col("submit_date"))).alias(n)
-                for e, n in zip(EVENTS, names)
-            ]
-        )
+        .agg(*[F.expr(f"min(if({e}_that_day = 1, submit_date, null)) as {d}") for e, d in zip(EVENTS, dates)])
     )
     return dated.select(
         *first.columns,
-        *[C.flag(F.col(n).isNotNull()).alias(f"later_{e}_submitted") for e, n in zip(EVENTS, names)],
-        *names,
+        *[C.flag(f"{d} is not null").alias(f"later_{e}_submitted") for e, d in zip(EVENTS, dates)],
+        *dates,
         *[
-            C.days_between(F.col("first_interaction_time"), F.col(n)).alias(f"days_to_later_{e}_submit")
-            for e, n in zip(EVENTS, names)
+            C.days_between("first_interaction_time", d).alias(f"days_to_later_{e}_submit")
+            for e, d in zip(EVENTS, dates)
         ],
     )

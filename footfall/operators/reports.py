@@ -58,4 +58,4 @@ def sample_rows(df: DataFrame, n: int = 100, order_by: Sequence[Column] = ()) ->
 
 def formatted(df: DataFrame, measure: str) -> DataFrame:
     """Show a count with thousands separators."""
-    return df.withColumn(measure, C.thousands(F.col(measure)))
+    return df.withColumn(measure, C.thousands(measure))

@@ -1,84 +1,65 @@
 """Return-visit operators: how soon and how intensely does a key come back?
 
-Everything here is a chain of grouped aggregations. Each one combines on the map
-side before it shuffles, so a key that owns a third of all rows is spread by
-(key, day, visit) first and reaches its own partition only as one row per day.
+Everything here is a chain of hash aggregations over fixed-width columns. Each one
+combines on the map side before it shuffles, so a key that owns a third of all rows
+is spread by (key, day, visit) first and reaches its own partition only as one row
+per day.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from footfall.functions import columns as C
 from footfall.functions.rules import BucketRules
-from footfall.operators import touch as T
 from footfall.params import DateWindow
 
 
 def slice_window(df: DataFrame, ts: str, window: DateWindow) -> DataFrame:
     """Rows with ``start <= ts < end``; NULL timestamps are dropped."""
-    return df.filter(C.in_window(F.col(ts), window))
+    return df.filter(C.in_window(ts, window))
 
 
 def daily_visits(rows: DataFrame, key: str, ts: str = "interaction_date") -> DataFrame:
     """Distinct non-NULL visits per key and calendar day."""
-    return rows.groupBy(key, F.to_date(ts).alias("visit_date")).agg(
-        F.count_distinct("visit_id").alias("visit_id_count")
-    )
-
-
-def daily_visits_with_touch(
-    rows: DataFrame, key: str, trim_funnel: bool, ts: str = "interaction_date"
-) -> DataFrame:
-    """``daily_visits`` that also carries the earliest row of each day.
-
-    A caller who needs return buckets and first touch gets both from one scan and
-    one chain of shuffles, with no join between them.
-    """
-    visits = rows.groupBy(key, F.to_date(ts).alias("visit_date"), "visit_id").agg(
-        F.min(T.touch(ts, trim_funnel)).alias("touch")
-    )
-    return visits.groupBy(key, "visit_date").agg(
-        F.count("visit_id").alias("visit_id_count"), F.min("touch").alias("touch")
+    return rows.groupBy(key, F.expr(f"to_date({ts}) as visit_date")).agg(
+        F.expr("count(distinct visit_id) as visit_id_count")
     )
 
 
 def first_date(daily: DataFrame, key: str) -> DataFrame:
     """First active day per key."""
-    return daily.groupBy(key).agg(F.min("visit_date").alias("first_visit_date"))
+    return daily.groupBy(key).agg(F.expr("min(visit_date) as first_visit_date"))
 
 
 def same_day_max(daily: DataFrame, key: str) -> DataFrame:
     """Most visits on any one day per key."""
-    return daily.groupBy(key).agg(F.max("visit_id_count").alias("max_visit_ids_in_day"))
+    return daily.groupBy(key).agg(F.expr("max(visit_id_count) as max_visit_ids_in_day"))
 
 
 def return_gap(daily: DataFrame, key: str) -> DataFrame:
     """Days from the first active day to the next one; keys with one day are left out."""
-    return return_summary(daily, key).filter(F.col("min_return_gap").isNotNull()).select(key, "min_return_gap")
+    return return_summary(daily, key).filter("min_return_gap is not null").select(key, "min_return_gap")
 
 
 def return_summary(daily: DataFrame, key: str) -> DataFrame:
-    """One row per key: same-day maximum, gap to the second active day, touch if carried.
+    """One row per key: same-day maximum, and gap to the second active day.
 
     The nearest later day is the second day in order, so looking one day ahead
     replaces joining the days to themselves. A key has at most one row per day of
     the window here, so the window partition is bounded.
     """
-    ahead = F.lead("visit_date").over(Window.partitionBy(key).orderBy("visit_date"))
-    carried = [F.min("touch").alias("touch")] if "touch" in daily.columns else []
+    ahead = f"lead(visit_date) over (partition by {key} order by visit_date) as next_date"
     return (
-        daily.withColumn("next_date", ahead)
+        daily.selectExpr("*", ahead)
         .groupBy(key)
         .agg(
-            F.max("visit_id_count").alias("max_visit_ids_in_day"),
-            F.date_diff(F.min_by("next_date", "visit_date"), F.min("visit_date")).alias("min_return_gap"),
-            *carried,
+            F.expr("max(visit_id_count) as max_visit_ids_in_day"),
+            F.expr("date_diff(min_by(next_date, visit_date), min(visit_date)) as min_return_gap"),
         )
     )
 
 
 def with_bucket(summary: DataFrame, buckets: BucketRules) -> DataFrame:
     """Add the return bucket."""
-    bucket = C.return_bucket(F.col("max_visit_ids_in_day"), F.col("min_return_gap"), buckets)
-    return summary.withColumn("return_bucket", bucket)
+    return summary.withColumn("return_bucket", C.return_bucket("max_visit_ids_in_day", "min_return_gap", buckets))

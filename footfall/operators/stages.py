@@ -7,62 +7,63 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions import columns as C, rules
-from footfall.operators import touch as T
 
 
 def ita_flags() -> dict[str, Column]:
-    """Row-level 0/1 flags followed in an ITA first visit."""
+    """Row-level 0/1 flags followed in an ITA first visit; ``_url`` is the lower-cased URL."""
     return {
-        "app_started": C.flag(C.any_ilike(F.col("gen_url"), rules.APP_START_PATTERNS)),
-        "soft_submitted": C.flag(F.col("soft_submit_flag") == 1),
-        "soft_approved": C.flag(F.col("soft_approval_flag") == 1),
-        "hard_submitted": C.flag(F.col("hard_submit_flag") == 1),
+        "app_started": F.when(C.any_like("_url", rules.APP_START_PATTERNS), 1).otherwise(0),
+        "soft_submitted": C.flag("soft_submit_flag = 1"),
+        "soft_approved": C.flag("soft_approval_flag = 1"),
+        "hard_submitted": C.flag("hard_submit_flag = 1"),
     }
 
 
 def pq_flags() -> dict[str, Column]:
     """Row-level 0/1 flags followed in a PQ first visit."""
-    return {"hard_submitted": C.flag(F.col("hard_submit_flag") == 1)}
+    return {"hard_submitted": C.flag("hard_submit_flag = 1")}
 
 
-def first_visit_activity(
-    rows: DataFrame, key: str, flags: Mapping[str, Column], ts: str = "interaction_date"
-) -> DataFrame:
-    """One row per key: its first visit, each flag over all rows of that visit, and their number.
+def visit_flags(rows: DataFrame, key: str, flags: Mapping[str, Column]) -> DataFrame:
+    """Per key and visit: each flag over all its rows, and their number.
 
-    Every (key, visit) is summarised first, with its own earliest row; the summary
-    with the smallest touch is the first visit. That needs no join of the rows to
-    their first visit, and only visit summaries are shuffled: URLs are reduced to a
-    flag before they leave the map side.
-
-    A first row without a visit id matches no rows, so its flags and count are 0.
+    Every column is fixed-width, so this is a hash aggregation that combines on the
+    map side; URLs are reduced to a flag before anything is shuffled.
     """
-    names = [*flags, "matched_first_visit_rows"]
-    visits = rows.groupBy(key, "visit_id").agg(
-        F.min(T.touch(ts, trim_funnel=True)).alias("touch"),
+    known = rows.filter("visit_id is not null")
+    if "gen_url" in known.columns:
+        known = known.selectExpr("*", "lower(gen_url) as _url")
+    return known.groupBy(key, "visit_id").agg(
         *[F.max(expr).alias(name) for name, expr in flags.items()],
         F.count(key).alias("matched_first_visit_rows"),
     )
-    first = visits.groupBy(key).agg(F.min(F.struct("touch", *names)).alias("first"))
-    known = F.col("first.touch.visit").isNotNull()
-    return first.select(
-        key,
-        *T.touch_columns("first.touch"),
-        *[F.when(known, F.col(f"first.{n}")).otherwise(F.lit(0)).alias(n) for n in names],
+
+
+def first_visit_activity(first: DataFrame, rows: DataFrame, key: str, flags: Mapping[str, Column]) -> DataFrame:
+    """Add to each first visit its flags over all rows of that visit, and their number.
+
+    Visits are summarised before the join, so both sides are unique in (key, visit)
+    and neither can be skewed. A first visit without an id, or a key without a first
+    visit, matches no rows: its flags and count are 0.
+    """
+    visits = visit_flags(rows, key, flags).withColumnRenamed("visit_id", "first_visit_id")
+    names = [*flags, "matched_first_visit_rows"]
+    return first.join(visits, [key, "first_visit_id"], "left").select(
+        *first.columns, *[F.expr(f"coalesce({n}, 0) as {n}") for n in names]
     )
 
 
 def with_ita_category(activity: DataFrame) -> DataFrame:
     """Add the ITA stage of the first visit."""
-    cols = ("first_visit_funnel", "app_started", "soft_submitted", "soft_approved", "hard_submitted")
-    return activity.withColumn("first_visit_category", C.ita_category(*map(F.col, cols)))
+    stage = C.ita_category("first_visit_funnel", "app_started", "soft_submitted", "soft_approved", "hard_submitted")
+    return activity.withColumn("first_visit_category", stage)
 
 
 def with_pq_category(activity: DataFrame) -> DataFrame:
     """Add the PQ stage of the first visit and the reason when there is none."""
-    reason = C.pq_other_reason(
-        F.col("first_interaction_time"), F.col("first_visit_id"), F.col("matched_first_visit_rows")
-    )
-    return activity.select(
-        "*", C.pq_category(reason, F.col("hard_submitted")).alias("first_visit_category"), reason.alias("other_reason")
+    reason = C.pq_other_reason("first_interaction_time", "first_visit_id", "matched_first_visit_rows")
+    return activity.withColumn("other_reason", reason).select(
+        *activity.columns,
+        C.pq_category("other_reason", "hard_submitted").alias("first_visit_category"),
+        "other_reason",
     )

@@ -7,54 +7,45 @@ task whatever its size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from footfall.functions import columns as C
 
 
-def touch(ts: str, trim_funnel: bool) -> Column:
-    """Sort key of one row: time, then visit id, then funnel, NULLs last.
+def first_touch(rows: DataFrame, key: str, trim_funnel: bool = True, ts: str = "interaction_date") -> DataFrame:
+    """Earliest row per key: visit id, time and funnel.
 
-    A boolean in front of a nullable field sorts its NULLs last. The funnel is
-    kept as NULL when missing; ``touch_columns`` names it.
+    Rows are ordered by time, then visit id, then funnel; a boolean in front of a
+    nullable field sorts its NULLs last. With ``trim_funnel`` the funnel is cleaned
+    first and a missing one is named; otherwise it stays as recorded.
     """
-    funnel = C.trimmed(F.col("funnel")) if trim_funnel else F.col("funnel")
-    return F.struct(
-        F.col(ts).alias("time"),
-        F.col("visit_id").isNull().alias("no_visit"),
-        F.col("visit_id").alias("visit"),
-        funnel.isNull().alias("no_funnel"),
-        funnel.alias("funnel"),
+    funnel = C.trimmed("funnel") if trim_funnel else "funnel"
+    touch = (
+        f"min(struct({ts} as time, visit_id is null as no_visit, visit_id as visit, "
+        f"{funnel} is null as no_funnel, {funnel} as funnel)) as touch"
+    )
+    return (
+        rows.groupBy(key)
+        .agg(F.expr(touch))
+        .selectExpr(key, "touch.visit as first_visit_id", "touch.time as first_interaction_time", "touch.funnel")
+        .select(
+            key,
+            "first_visit_id",
+            "first_interaction_time",
+            (C.clean_funnel("funnel") if trim_funnel else F.col("funnel")).alias("first_visit_funnel"),
+        )
     )
 
 
-def touch_columns(source: str = "touch", name_unknown: bool = True) -> list[Column]:
-    """Unpack a touch struct into the first-visit columns."""
-    funnel = F.col(f"{source}.funnel")
-    return [
-        F.col(f"{source}.visit").alias("first_visit_id"),
-        F.col(f"{source}.time").alias("first_interaction_time"),
-        (C.clean_funnel(funnel) if name_unknown else funnel).alias("first_visit_funnel"),
-    ]
-
-
-def first_touch(rows: DataFrame, key: str, ts: str = "interaction_date", trim_funnel: bool = True) -> DataFrame:
-    """Earliest row per key: visit id, time and funnel."""
-    first = rows.groupBy(key).agg(F.min(touch(ts, trim_funnel)).alias("touch"))
-    return first.select(key, *touch_columns(name_unknown=trim_funnel))
-
-
-def latest_per_key(df: DataFrame, key: str, ts: str, tie_break: Sequence[Column]) -> DataFrame:
+def latest_per_key(df: DataFrame, key: str, ts: str, tie_break: str) -> DataFrame:
     """One row per key: the latest ``ts``, a missing date counting as latest.
 
     ``tie_break`` must order rows that share a date completely, or the pick would
     depend on row order. Spark prunes each map task to its best row per key before
     the shuffle (``WindowGroupLimit``), so hot keys stay small.
     """
-    order = Window.partitionBy(key).orderBy(F.col(ts).desc_nulls_first(), *tie_break)
-    return df.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
+    rank = f"row_number() over (partition by {key} order by {ts} desc nulls first, {tie_break}) as _rank"
+    return df.selectExpr("*", rank).filter("_rank = 1").drop("_rank")
 
 
 def restrict_to(df: DataFrame, audience: DataFrame, key: str) -> DataFrame:

@@ -18,11 +18,12 @@ from footfall.params import VISITOR, Grain
 
 def url_map_visitors(interactions: DataFrame, url_rules=rules.URL_RULES) -> DataFrame:
     """Distinct visitors per page label, most first."""
-    label = C.first_like(F.col("gen_url2"), url_rules, F.col("gen_url2"))
+    label = C.first_like("_url", url_rules, "gen_url2")
     counts = (
-        interactions.select(label.alias("url_mapping"), "visitor_id")
+        interactions.selectExpr("visitor_id", "gen_url2", "lower(gen_url2) as _url")
+        .select(label.alias("url_mapping"), "visitor_id")
         .groupBy("url_mapping")
-        .agg(F.count_distinct("visitor_id").alias("visitor_count"))
+        .agg(F.expr("count(distinct visitor_id) as visitor_count"))
     )
     return counts.orderBy(F.desc("visitor_count"), F.col("url_mapping").asc_nulls_last())
 
@@ -32,20 +33,20 @@ def recent_offer_cookies(
 ) -> DataFrame:
     """Cookies and times that saw an offer page within ``days`` before ``as_of``."""
     since = C.midnight(as_of - timedelta(days=days))
-    seen = (F.col("interaction_date") >= since) & C.ilike_guarded(F.col("gen_url2"), pattern)
+    seen = f"interaction_date >= {since} and {C.matches('lower(gen_url2)', pattern)}"
     return interactions.filter(seen).select("cookie_id", "interaction_date").distinct()
 
 
 def _known(interactions: DataFrame, grain: Grain) -> DataFrame:
     """Rows inside the window that have an identity."""
     rows = R.slice_window(interactions, "interaction_date", grain.window)
-    return rows.filter(F.col(grain.key).isNotNull())
+    return rows.filter(f"{grain.key} is not null")
 
 
 def _first_visit_rows(interactions: DataFrame, grain: Grain) -> DataFrame:
     """Rows that may make up a first visit."""
     rows = R.slice_window(interactions, "interaction_date", grain.window)
-    return rows.filter(F.col("visitor_flag") == 1) if grain.flagged_only else rows
+    return rows.filter("visitor_flag = 1") if grain.flagged_only else rows
 
 
 def return_buckets(interactions: DataFrame, grain: Grain = VISITOR) -> DataFrame:
@@ -57,7 +58,7 @@ def return_buckets(interactions: DataFrame, grain: Grain = VISITOR) -> DataFrame
 def return_bucket_detail(interactions: DataFrame, grain: Grain = VISITOR) -> DataFrame:
     """Return bucket of the keys that came back."""
     return return_buckets(interactions, grain).filter(
-        ~F.col("return_bucket").ilike(rules.NO_REPEAT_VISITOR_PATTERN)
+        f"return_bucket not ilike {C.text(rules.NO_REPEAT_VISITOR_PATTERN)}"
     )
 
 
@@ -71,13 +72,18 @@ def return_bucket_report(interactions: DataFrame, grain: Grain = VISITOR) -> Dat
 
 
 def repeat_visitors(interactions: DataFrame, grain: Grain = VISITOR) -> DataFrame:
-    """Keys that came back, with return bucket, first touch and audience group."""
-    daily = R.daily_visits_with_touch(_known(interactions, grain), grain.key, grain.trim_funnel)
-    summary = R.with_bucket(R.return_summary(daily, grain.key), grain.buckets)
-    returned = summary.filter(F.col("return_bucket") != grain.buckets.none)
-    return returned.select(
-        grain.key, "return_bucket", *T.touch_columns(name_unknown=grain.trim_funnel)
-    ).withColumn("first_visit_group", C.funnel_group(F.col("first_visit_funnel")))
+    """Keys that came back, with return bucket, first touch and audience group.
+
+    Buckets and first touch both end up partitioned by the key, so joining them
+    shuffles nothing.
+    """
+    returned = return_buckets(interactions, grain).filter(F.col("return_bucket") != grain.buckets.none)
+    first = T.first_touch(_known(interactions, grain), grain.key, grain.trim_funnel)
+    return (
+        returned.select(grain.key, "return_bucket")
+        .join(first, grain.key)
+        .withColumn("first_visit_group", C.funnel_group("first_visit_funnel"))
+    )
 
 
 def person_funnel_type(population: DataFrame, interactions: DataFrame, grain: Grain) -> DataFrame:
@@ -86,16 +92,16 @@ def person_funnel_type(population: DataFrame, interactions: DataFrame, grain: Gr
     Someone without a flagged interaction in the window stays, ``Unmapped``.
     """
     returning = (
-        population.filter(~F.col("return_bucket").ilike(rules.NO_REPEAT_PERSON_PATTERN))
+        population.filter(f"return_bucket not ilike {C.text(rules.NO_REPEAT_PERSON_PATTERN)}")
         .select(grain.key, "return_bucket")
         .distinct()
     )
-    first = T.first_touch(_first_visit_rows(interactions, grain), grain.key, trim_funnel=grain.trim_funnel)
+    first = T.first_touch(_first_visit_rows(interactions, grain), grain.key, grain.trim_funnel)
     first = T.restrict_to(first, returning, grain.key)
     return (
         returning.join(first, grain.key, "left")
         .select(grain.key, "return_bucket", "first_interaction_time", "first_visit_funnel")
-        .withColumn("first_visit_group", C.funnel_group(F.col("first_visit_funnel")))
+        .withColumn("first_visit_group", C.funnel_group("first_visit_funnel"))
     )
 
 
@@ -106,24 +112,19 @@ def _group(classified: DataFrame, key: str, group: str) -> DataFrame:
 def ita_first_visits(interactions: DataFrame, classified: DataFrame, grain: Grain) -> DataFrame:
     """First visit and stage of every ITA key that has rows in the window."""
     rows = _first_visit_rows(interactions, grain)
-    activity = stages.first_visit_activity(rows, grain.key, stages.ita_flags())
-    return stages.with_ita_category(T.restrict_to(activity, _group(classified, grain.key, rules.ITA), grain.key))
+    first = T.restrict_to(T.first_touch(rows, grain.key), _group(classified, grain.key, rules.ITA), grain.key)
+    return stages.with_ita_category(stages.first_visit_activity(first, rows, grain.key, stages.ita_flags()))
 
 
 def pq_first_visits(interactions: DataFrame, classified: DataFrame, grain: Grain) -> DataFrame:
     """First visit and stage of every PQ key, with or without rows in the window."""
-    audience = _group(classified, grain.key, rules.PQ).distinct()
     rows = _first_visit_rows(interactions, grain)
-    activity = stages.first_visit_activity(rows, grain.key, stages.pq_flags())
-    numbers = ("matched_first_visit_rows", "hard_submitted")
-    found = audience.join(activity, grain.key, "left").select(
-        grain.key,
-        "first_visit_id",
-        "first_interaction_time",
-        "first_visit_funnel",
-        *[F.coalesce(n, F.lit(0)).alias(n) for n in numbers],
+    audience = _group(classified, grain.key, rules.PQ).distinct()
+    first = audience.join(T.first_touch(rows, grain.key), grain.key, "left")
+    activity = stages.first_visit_activity(first, rows, grain.key, stages.pq_flags())
+    return stages.with_pq_category(
+        activity.select(*first.columns, "matched_first_visit_rows", "hard_submitted")
     )
-    return stages.with_pq_category(found)
 
 
 def visitor_ita(interactions: DataFrame, repeat: DataFrame, lookup: DataFrame, grain: Grain = VISITOR) -> DataFrame:

@@ -21,7 +21,7 @@ def cust_type_profile(applications: DataFrame, years: DateWindow) -> DataFrame:
     recent = R.slice_window(applications, "tran_date", years)
     return (
         recent.groupBy("cust_type")
-        .agg(F.count_distinct("appl_key").alias("app_count"), F.count_distinct("cust_id").alias("cust_count"))
+        .agg(F.expr("count(distinct appl_key) as app_count"), F.expr("count(distinct cust_id) as cust_count"))
         .orderBy(F.col("cust_type").asc_nulls_last())
     )
 
@@ -69,7 +69,7 @@ def by_category(audience: DataFrame, key: str, unique: bool = True) -> DataFrame
 
 def ita_other_reasons(ita: DataFrame, key: str, unique: bool = True) -> DataFrame:
     """Why ITA first visits have no stage, by funnel, most first."""
-    reason = C.ita_other_reason(F.col("matched_first_visit_rows"), F.col("app_started"), F.col("soft_submitted"))
+    reason = C.ita_other_reason("matched_first_visit_rows", "app_started", "soft_submitted")
     others = ita.filter(F.col(CATEGORY) == rules.ITA_OTHER).withColumn("other_reason", reason)
     dims = ["first_visit_funnel", "other_reason"]
     counts = O.count_keys_by(others, dims, key, unique=unique)
@@ -88,18 +88,16 @@ def return_bucket_by_group(classified: DataFrame, key: str, unique: bool = True)
 
 def later_submit_report(ita_later: DataFrame) -> DataFrame:
     """Per category: people, those who later hard-submitted, only soft-submitted, or neither."""
-    soft, hard = F.col("later_soft_submitted"), F.col("later_hard_submitted")
-
     def people(cond, name):
-        return F.sum(C.flag(cond).cast("long")).alias(name)
+        return F.expr(f"count(if({cond}, 1, null)) as {name}")
 
     return (
         ita_later.groupBy(CATEGORY)
         .agg(
-            F.count("*").alias("total_people"),
-            people(hard == 1, "later_hard_submit_people"),
-            people((soft == 1) & (hard == 0), "later_soft_submit_only_people"),
-            people((soft == 0) & (hard == 0), "neither_later_submit_people"),
+            F.expr("count(*) as total_people"),
+            people("later_hard_submitted = 1", "later_hard_submit_people"),
+            people("later_soft_submitted = 1 and later_hard_submitted = 0", "later_soft_submit_only_people"),
+            people("later_soft_submitted = 0 and later_hard_submitted = 0", "neither_later_submit_people"),
         )
         .orderBy(CATEGORY)
     )

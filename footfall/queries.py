@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,10 +36,10 @@ class Data:
     """The input tables and the tables built from them, as lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self._at = (spark, sf_dir)
+        self._table = cache(lambda name: testdata.table(spark, sf_dir, name))
 
     def interactions(self, window: DateWindow | None = None) -> DataFrame:
-        return testdata.interactions(*self._at, window)
+        return testdata.interactions(self._table("orders"), self._table("lineitem"), window)
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -47,11 +47,11 @@ class Data:
 
     @cached_property
     def applications(self) -> DataFrame:
-        return testdata.applications(*self._at)
+        return testdata.applications(self._table("orders"))
 
     @cached_property
     def traffic(self) -> DataFrame:
-        return testdata.traffic_visits(*self._at)
+        return testdata.traffic_visits(self._table("events"))
 
     @cached_property
     def visitor_cust_type(self) -> DataFrame:

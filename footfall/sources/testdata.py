@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.functions import columns as C, rules
 from footfall.params import DateWindow, Grain
@@ -38,89 +38,70 @@ CUST_TYPES = ("NEW", "FORMER", " present ", None, "", "New")
 LINE_ITEM_SLACK = timedelta(days=1)
 
 
-def pick(values: tuple, index: Column) -> Column:
-    """The value at ``index``, counting from 0."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def pick(values: tuple, index: str) -> str:
+    """SQL for the value at ``index``, counting from 0."""
+    items = ", ".join("null" if v is None else f"'{v}'" for v in values)
+    return f"element_at(array({items}), cast({index} + 1 as int))"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def interactions(spark: SparkSession, sf_dir: str, window: DateWindow | None = None) -> DataFrame:
+def interactions(orders: DataFrame, lineitem: DataFrame, window: DateWindow | None = None) -> DataFrame:
     """All interactions; with ``window``, those the window needs (and possibly more).
 
     The date of an interaction is computed, so a filter on it cannot reach the scan
     of the orders. The implied bound on the order date can.
     """
-    orders = table(spark, sf_dir, "orders")
     if window:
-        date = F.col("o_orderdate")
-        orders = orders.filter(
-            (date >= C.midnight(window.start - LINE_ITEM_SLACK)) & (date < C.midnight(window.end))
-        )
-    rows = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    order = F.col("o_orderkey")
-    returned = F.col("l_returnflag")
-    approved = (returned == "R") & (F.col("l_linestatus") == "F")
-    zero = F.lit(0)
-    return rows.select(
-        F.col("o_custkey").alias("visitor_id"),
-        F.col("o_custkey").cast("string").alias("person"),
-        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("cookie_id"),
-        F.when(order % 53 != 0, order).alias("visit_id"),
-        (F.col("o_orderdate") + F.make_dt_interval(zero, zero, F.col("l_linenumber"), zero)).alias("interaction_date"),
-        pick(FUNNELS, order % 20).alias("funnel"),
-        pick(URLS, F.col("l_partkey") % 14).alias("gen_url"),
-        pick(URLS, F.col("l_suppkey") % 14).alias("gen_url2"),
-        F.when(returned == "R", 1).when(returned == "A", 0).alias("soft_submit_flag"),
-        F.when(approved, 1).otherwise(0).alias("soft_approval_flag"),
-        F.when(F.col("l_quantity") >= 48, 1).otherwise(0).alias("hard_submit_flag"),
-        F.when(order % 10 == 7, 0).otherwise(1).alias("visitor_flag"),
-        order.alias("appl_key"),
+        orders = orders.filter(C.in_window("o_orderdate", DateWindow(window.start - LINE_ITEM_SLACK, window.end)))
+    return lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+        "o_custkey as visitor_id",
+        "cast(o_custkey as string) as person",
+        "'c' || o_custkey as cookie_id",
+        "if(o_orderkey % 53 <> 0, o_orderkey, null) as visit_id",
+        "o_orderdate + make_dt_interval(0, 0, l_linenumber, 0) as interaction_date",
+        f"{pick(FUNNELS, 'o_orderkey % 20')} as funnel",
+        f"{pick(URLS, 'l_partkey % 14')} as gen_url",
+        f"{pick(URLS, 'l_suppkey % 14')} as gen_url2",
+        "case l_returnflag when 'R' then 1 when 'A' then 0 end as soft_submit_flag",
+        "if(l_returnflag = 'R' and l_linestatus = 'F', 1, 0) as soft_approval_flag",
+        "if(l_quantity >= 48, 1, 0) as hard_submit_flag",
+        "if(o_orderkey % 10 = 7, 0, 1) as visitor_flag",
+        "o_orderkey as appl_key",
     )
 
 
-def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+def applications(orders: DataFrame) -> DataFrame:
     """One application per order, and a renewed copy of every ninth.
 
     The copies come out of the same scan: an order is exploded into its versions.
     """
-    order = F.col("o_orderkey")
-    day = F.col("o_orderdate")
-    first = F.struct(
-        pick(CUST_TYPES, order % 6).alias("cust_type"), F.when(order % 41 != 0, day).alias("appl_entry_dt")
+    first = (
+        f"struct({pick(CUST_TYPES, 'o_orderkey % 6')} as cust_type, "
+        "if(o_orderkey % 41 <> 0, o_orderdate, null) as appl_entry_dt)"
     )
-    renewed = F.struct(F.lit("RENEWED").alias("cust_type"), (day + F.expr("interval '1' day")).alias("appl_entry_dt"))
-    versions = F.when(order % 9 == 0, F.array(first, renewed)).otherwise(F.array(first))
-    return (
-        table(spark, sf_dir, "orders")
-        .select("o_orderkey", "o_custkey", "o_orderdate", F.explode(versions).alias("v"))
-        .select(
-            order.alias("appl_key"),
-            F.col("o_custkey").cast("string").alias("cust_id"),
-            F.col("v.cust_type").alias("cust_type"),
-            day.alias("tran_date"),
-            F.col("v.appl_entry_dt").alias("appl_entry_dt"),
-        )
+    renewed = "struct('RENEWED' as cust_type, o_orderdate + interval '1' day as appl_entry_dt)"
+    versions = f"explode(if(o_orderkey % 9 = 0, array({first}, {renewed}), array({first}))) as v"
+    return orders.selectExpr("o_orderkey", "o_custkey", "o_orderdate", versions).selectExpr(
+        "o_orderkey as appl_key",
+        "cast(o_custkey as string) as cust_id",
+        "v.cust_type as cust_type",
+        "o_orderdate as tran_date",
+        "v.appl_entry_dt as appl_entry_dt",
     )
 
 
-def traffic_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def traffic_visits(events: DataFrame) -> DataFrame:
     """One traffic visit per event, with a customer id as dirty as real ones."""
-    kind = F.col("event_id") % 4
-    user = F.col("user_id")
-    customer = (
-        F.when(kind == 0, user.cast("string"))
-        .when(kind == 1, F.concat((user + 1).cast("string"), F.lit(".0")))
-        .when(kind == 2, F.lit("abc"))
-    )
-    return table(spark, sf_dir, "events").select(
-        user.alias("visitor_id"),
-        F.col("event_id").alias("visit_id"),
-        customer.alias("customer_id"),
-        F.col("ts").alias("created_at"),
-        (F.col("ts") + F.expr("interval '1' day")).alias("record_created_timestamp"),
+    return events.selectExpr(
+        "user_id as visitor_id",
+        "event_id as visit_id",
+        "case event_id % 4 when 0 then cast(user_id as string) when 1 then (user_id + 1) || '.0' "
+        "when 2 then 'abc' end as customer_id",
+        "ts as created_at",
+        "ts + interval '1' day as record_created_timestamp",
     )
 
 
