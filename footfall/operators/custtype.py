@@ -65,18 +65,28 @@ def person_cust_type(interactions: DataFrame, applications: DataFrame, years: Da
     return T.latest_per_key(candidates, "person", "visit_date", "appl_key asc nulls last, cust_type asc nulls last")
 
 
-def cust_type_summary(lookup: DataFrame, key: str) -> DataFrame:
+def cust_type_summary(lookup: DataFrame, key: str, unique: bool = False) -> DataFrame:
     """Per key: how many customer ids and types the lookup holds, and the type to report.
 
     Blank ids and types do not count; types are compared without case or padding.
+    ``unique`` says that the lookup has one row per key already, which leaves
+    nothing to group and nothing to shuffle.
     """
     ids = C.trimmed("cast(customer_id as string)")
     types = C.trimmed("upper(cust_type)")
-    counted = lookup.groupBy(key).agg(
-        F.expr(f"count(distinct {ids}) as customer_id_count"),
-        F.expr(f"count(distinct {types}) as cust_type_count"),
-        F.expr(f"max({types}) as one_type"),
-    )
+    if unique:
+        counted = lookup.selectExpr(
+            key,
+            f"if({ids} is null, 0L, 1L) as customer_id_count",
+            f"if({types} is null, 0L, 1L) as cust_type_count",
+            f"{types} as one_type",
+        )
+    else:
+        counted = lookup.groupBy(key).agg(
+            F.expr(f"count(distinct {ids}) as customer_id_count"),
+            F.expr(f"count(distinct {types}) as cust_type_count"),
+            F.expr(f"max({types}) as one_type"),
+        )
     label = C.cases(
         [
             ("customer_id_count > 1", C.text(rules.MULTIPLE_IDS)),
@@ -87,9 +97,9 @@ def cust_type_summary(lookup: DataFrame, key: str) -> DataFrame:
     return counted.selectExpr(key, f"{label} as cust_type", "customer_id_count", "cust_type_count")
 
 
-def attach_summary(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+def attach_summary(df: DataFrame, lookup: DataFrame, key: str, unique: bool = False) -> DataFrame:
     """Add the summarised customer type; keys the lookup lacks are ``Unknown`` with zero counts."""
-    return df.join(cust_type_summary(lookup, key), key, "left").selectExpr(
+    return df.join(cust_type_summary(lookup, key, unique), key, "left").selectExpr(
         *df.columns,
         f"coalesce(cust_type, {C.text(rules.UNKNOWN)}) as cust_type",
         "coalesce(customer_id_count, 0) as customer_id_count",

@@ -127,14 +127,20 @@ def pq_first_visits(interactions: DataFrame, classified: DataFrame, grain: Grain
     )
 
 
-def visitor_ita(interactions: DataFrame, repeat: DataFrame, lookup: DataFrame, grain: Grain = VISITOR) -> DataFrame:
+def visitor_ita(
+    interactions: DataFrame, repeat: DataFrame, lookup: DataFrame, grain: Grain = VISITOR, unique_lookup: bool = False
+) -> DataFrame:
     """ITA audience with stage and summarised customer type."""
-    return custtype.attach_summary(ita_first_visits(interactions, repeat, grain), lookup, grain.key)
+    stage = ita_first_visits(interactions, repeat, grain)
+    return custtype.attach_summary(stage, lookup, grain.key, unique_lookup)
 
 
-def visitor_pq(interactions: DataFrame, repeat: DataFrame, lookup: DataFrame, grain: Grain = VISITOR) -> DataFrame:
+def visitor_pq(
+    interactions: DataFrame, repeat: DataFrame, lookup: DataFrame, grain: Grain = VISITOR, unique_lookup: bool = False
+) -> DataFrame:
     """PQ audience with stage and summarised customer type."""
-    return custtype.attach_summary(pq_first_visits(interactions, repeat, grain), lookup, grain.key)
+    stage = pq_first_visits(interactions, repeat, grain)
+    return custtype.attach_summary(stage, lookup, grain.key, unique_lookup)
 
 
 def person_ita(interactions: DataFrame, classified: DataFrame, lookup: DataFrame, grain: Grain) -> DataFrame:

@@ -1,8 +1,7 @@
 """Reports, audits and look-ups over the inputs and over the tables the jobs build.
 
-The audience tables hold one row per key, so their reports count rows instead of
-shuffling the keys for a distinct count; pass ``unique=False`` for a table that
-does not keep that promise.
+Reports count distinct keys. The audience tables hold one row per key; for them
+``unique=True`` counts rows instead, which spares shuffling the keys.
 """
 
 from __future__ import annotations
@@ -48,7 +47,7 @@ def ita_by_type(
     ita: DataFrame,
     key: str,
     categories: tuple[str, ...] | None = (rules.ITA_STARTED, rules.ITA_APPROVED),
-    unique: bool = True,
+    unique: bool = False,
 ) -> DataFrame:
     """Keys per ITA category and customer type; ``categories=None`` keeps all."""
     only = {CATEGORY: categories} if categories else None
@@ -56,18 +55,18 @@ def ita_by_type(
 
 
 def pq_by_type(
-    pq: DataFrame, key: str, categories: tuple[str, ...] | None = (rules.PQ_NO_HARD,), unique: bool = True
+    pq: DataFrame, key: str, categories: tuple[str, ...] | None = (rules.PQ_NO_HARD,), unique: bool = False
 ) -> DataFrame:
     """Keys per PQ category and customer type; ``categories=None`` keeps all."""
     return ita_by_type(pq, key, categories, unique)
 
 
-def by_category(audience: DataFrame, key: str, unique: bool = True) -> DataFrame:
+def by_category(audience: DataFrame, key: str, unique: bool = False) -> DataFrame:
     """Keys per category."""
     return O.count_keys_by(audience, [CATEGORY], key, unique=unique)
 
 
-def ita_other_reasons(ita: DataFrame, key: str, unique: bool = True) -> DataFrame:
+def ita_other_reasons(ita: DataFrame, key: str, unique: bool = False) -> DataFrame:
     """Why ITA first visits have no stage, by funnel, most first."""
     reason = C.ita_other_reason("matched_first_visit_rows", "app_started", "soft_submitted")
     others = ita.filter(F.col(CATEGORY) == rules.ITA_OTHER).withColumn("other_reason", reason)
@@ -76,10 +75,11 @@ def ita_other_reasons(ita: DataFrame, key: str, unique: bool = True) -> DataFram
     return counts.orderBy(F.desc("visitor_count"), *dims)
 
 
-def return_bucket_by_group(classified: DataFrame, key: str, unique: bool = True) -> DataFrame:
+def return_bucket_by_group(classified: DataFrame, key: str, unique: bool = False) -> DataFrame:
     """Keys per return bucket and audience group.
 
-    A key may be in several buckets, but once in each, so counting rows is exact.
+    A key may be in several buckets. It is once in each, so ``unique`` fits the table
+    that ``person_funnel_type`` builds.
     """
     return O.count_keys_by(
         classified, ["return_bucket", "first_visit_group"], key, name="returning_visitors", unique=unique

@@ -72,11 +72,15 @@ class Data:
 
     @cached_property
     def visitor_ita(self) -> DataFrame:
-        return jobs.visitor_ita(self.rows, self.repeat_visitors, self.visitor_cust_type, VISITOR_GRAIN)
+        return jobs.visitor_ita(
+            self.rows, self.repeat_visitors, self.visitor_cust_type, VISITOR_GRAIN, unique_lookup=True
+        )
 
     @cached_property
     def visitor_pq(self) -> DataFrame:
-        return jobs.visitor_pq(self.rows, self.repeat_visitors, self.visitor_cust_type, VISITOR_GRAIN)
+        return jobs.visitor_pq(
+            self.rows, self.repeat_visitors, self.visitor_cust_type, VISITOR_GRAIN, unique_lookup=True
+        )
 
     @cached_property
     def person_ita(self) -> DataFrame:
@@ -116,19 +120,19 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     # Visitor audiences
     "repeat_visitors": lambda d: d.repeat_visitors,
     "visitor_ita": lambda d: d.visitor_ita,
-    "visitor_ita_by_type": lambda d: reporting.ita_by_type(d.visitor_ita, "visitor_id"),
-    "visitor_ita_by_category": lambda d: reporting.by_category(d.visitor_ita, "visitor_id"),
-    "visitor_ita_other_reasons": lambda d: reporting.ita_other_reasons(d.visitor_ita, "visitor_id"),
+    "visitor_ita_by_type": lambda d: reporting.ita_by_type(d.visitor_ita, "visitor_id", unique=True),
+    "visitor_ita_by_category": lambda d: reporting.by_category(d.visitor_ita, "visitor_id", unique=True),
+    "visitor_ita_other_reasons": lambda d: reporting.ita_other_reasons(d.visitor_ita, "visitor_id", unique=True),
     "visitor_pq": lambda d: d.visitor_pq,
-    "visitor_pq_by_type": lambda d: reporting.pq_by_type(d.visitor_pq, "visitor_id"),
-    "visitor_pq_by_category": lambda d: reporting.by_category(d.visitor_pq, "visitor_id"),
+    "visitor_pq_by_type": lambda d: reporting.pq_by_type(d.visitor_pq, "visitor_id", unique=True),
+    "visitor_pq_by_category": lambda d: reporting.by_category(d.visitor_pq, "visitor_id", unique=True),
     # Person audiences
     "person_funnel_type": lambda d: d.person_funnel_type,
-    "return_bucket_by_group": lambda d: reporting.return_bucket_by_group(d.person_funnel_type, "person"),
+    "return_bucket_by_group": lambda d: reporting.return_bucket_by_group(d.person_funnel_type, "person", unique=True),
     "person_ita": lambda d: d.person_ita,
-    "person_ita_by_type": lambda d: reporting.ita_by_type(d.person_ita, "person", categories=None),
+    "person_ita_by_type": lambda d: reporting.ita_by_type(d.person_ita, "person", categories=None, unique=True),
     "person_pq": lambda d: d.person_pq,
-    "person_pq_by_type": lambda d: reporting.pq_by_type(d.person_pq, "person", categories=None),
+    "person_pq_by_type": lambda d: reporting.pq_by_type(d.person_pq, "person", categories=None, unique=True),
     "person_ita_later": lambda d: d.person_ita_later,
     "later_submit_report": lambda d: reporting.later_submit_report(d.person_ita_later),
     "interactions_for": lambda d: O.rows_for(d.interactions(), "person", PERSON_ID),
