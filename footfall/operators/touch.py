@@ -12,28 +12,35 @@ from pyspark.sql import DataFrame, functions as F
 from footfall.functions import columns as C
 
 
-def first_touch(rows: DataFrame, key: str, trim_funnel: bool = True, ts: str = "interaction_date") -> DataFrame:
+def first_touch(
+    rows: DataFrame,
+    key: str,
+    trim_funnel: bool = True,
+    audience: DataFrame | None = None,
+    ts: str = "interaction_date",
+) -> DataFrame:
     """Earliest row per key: visit id, time and funnel.
 
     Rows are ordered by time, then visit id, then funnel; a boolean in front of a
     nullable field sorts its NULLs last. With ``trim_funnel`` the funnel is cleaned
-    first and a missing one is named; otherwise it stays as recorded.
+    first and a missing one is named; otherwise it stays as recorded. With an
+    ``audience`` only its keys are kept.
     """
     funnel = C.trimmed("funnel") if trim_funnel else "funnel"
     touch = (
         f"min(struct({ts} as time, visit_id is null as no_visit, visit_id as visit, "
         f"{funnel} is null as no_funnel, {funnel} as funnel)) as touch"
     )
-    return (
-        rows.groupBy(key)
-        .agg(F.expr(touch))
-        .selectExpr(key, "touch.visit as first_visit_id", "touch.time as first_interaction_time", "touch.funnel")
-        .select(
-            key,
-            "first_visit_id",
-            "first_interaction_time",
-            (C.clean_funnel("funnel") if trim_funnel else F.col("funnel")).alias("first_visit_funnel"),
-        )
+    first = rows.groupBy(key).agg(F.expr(touch))
+    if audience is not None:
+        first = restrict_to(first, audience, key)
+    return first.selectExpr(
+        key, "touch.visit as first_visit_id", "touch.time as first_interaction_time", "touch.funnel"
+    ).select(
+        key,
+        "first_visit_id",
+        "first_interaction_time",
+        (C.clean_funnel("funnel") if trim_funnel else F.col("funnel")).alias("first_visit_funnel"),
     )
 
 
@@ -51,8 +58,8 @@ def latest_per_key(df: DataFrame, key: str, ts: str, tie_break: str) -> DataFram
 def restrict_to(df: DataFrame, audience: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``audience``; NULL keys never match.
 
-    A semi-join needs no de-duplication of the audience. Put on top of a grouping
-    by the same key, the optimiser moves it below the grouping when, and only
-    when, the audience is small enough to broadcast.
+    A semi-join needs no de-duplication of the audience. Put directly on top of a
+    grouping by the same key, the optimiser moves it below the grouping when, and
+    only when, the audience is small enough to broadcast.
     """
     return df.join(audience.select(key), key, "left_semi")

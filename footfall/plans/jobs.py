@@ -96,8 +96,8 @@ def person_funnel_type(population: DataFrame, interactions: DataFrame, grain: Gr
         .select(grain.key, "return_bucket")
         .distinct()
     )
-    first = T.first_touch(_first_visit_rows(interactions, grain), grain.key, grain.trim_funnel)
-    first = T.restrict_to(first, returning, grain.key)
+    rows = _first_visit_rows(interactions, grain)
+    first = T.first_touch(rows, grain.key, grain.trim_funnel, audience=returning)
     return (
         returning.join(first, grain.key, "left")
         .select(grain.key, "return_bucket", "first_interaction_time", "first_visit_funnel")
@@ -112,7 +112,7 @@ def _group(classified: DataFrame, key: str, group: str) -> DataFrame:
 def ita_first_visits(interactions: DataFrame, classified: DataFrame, grain: Grain) -> DataFrame:
     """First visit and stage of every ITA key that has rows in the window."""
     rows = _first_visit_rows(interactions, grain)
-    first = T.restrict_to(T.first_touch(rows, grain.key), _group(classified, grain.key, rules.ITA), grain.key)
+    first = T.first_touch(rows, grain.key, audience=_group(classified, grain.key, rules.ITA))
     return stages.with_ita_category(stages.first_visit_activity(first, rows, grain.key, stages.ita_flags()))
 
 
