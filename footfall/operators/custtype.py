@@ -24,7 +24,8 @@ def visitor_candidates(
 
     Traffic is reduced to one row per visitor and customer id before the join.
     Applications are unique per customer after the latest pick, so the join gives
-    each combination once and needs no grouping after it.
+    each combination once and needs no grouping after it. Both sides are shuffled
+    for the join, so Spark can split a customer that many visitors share.
     """
     visits = (
         R.slice_window(traffic, "record_created_timestamp", traffic_years)
@@ -49,14 +50,25 @@ def visitor_cust_type(
 
 
 def person_candidates(interactions: DataFrame, applications: DataFrame, years: DateWindow) -> DataFrame:
-    """Every typed (application, person) with its first interaction."""
+    """Every typed (application, person) with its first interaction.
+
+    Joining on a hash beside the key changes no match. It has both sides shuffled for
+    the join itself; the applications, grouped by the same key, would otherwise stay
+    where they are, and Spark splits a skewed partition only between two fresh
+    shuffles. So an application that many people share is split, not one huge task.
+    """
     seen = (
         R.slice_window(interactions, "interaction_date", years)
         .groupBy("appl_key", "person")
         .agg(F.expr("min(interaction_date) as visit_date"))
     )
     typed = latest_application(applications, "appl_key", years).filter("cust_type is not null")
-    return seen.join(typed, "appl_key").select("appl_key", "person", "cust_type", "visit_date")
+    with_hash = ("*", "xxhash64(appl_key) as _hash")
+    return (
+        seen.selectExpr(*with_hash)
+        .join(typed.selectExpr(*with_hash), ["_hash", "appl_key"])
+        .select("appl_key", "person", "cust_type", "visit_date")
+    )
 
 
 def person_cust_type(interactions: DataFrame, applications: DataFrame, years: DateWindow) -> DataFrame:

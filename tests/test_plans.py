@@ -89,6 +89,46 @@ def test_typed_lookup_joins_reduced_rows(stored):
     assert text.count("SortMergeJoin") == 1
 
 
+@pytest.fixture
+def eager_skew_split(spark):
+    """Thresholds small enough for test data."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_shared_applications_and_customers_are_split(spark, stored, eager_skew_split):
+    """One application of many people, one customer of many visitors: the join splits the partition."""
+    years = APPLICATION_YEARS
+    day = "timestamp_ntz'1997-05-01 00:00:00'"
+    many = spark.range(40000).repartition(8)
+    apps = spark.range(2000).selectExpr(
+        "id as appl_key", "cast(id as string) as cust_id", "'NEW' as cust_type", f"{day} as tran_date", f"{day} as appl_entry_dt"
+    )
+    seen = many.selectExpr(
+        "if(id % 3 = 0, 1, id % 2000) as appl_key", "cast(id as string) as person", f"{day} as interaction_date"
+    )
+    traffic = many.selectExpr(
+        "id as visitor_id", "cast(if(id % 3 = 0, 1, id % 2000) as string) as customer_id", f"{day} as created_at",
+        f"{day} as record_created_timestamp",
+    )
+    for df in (
+        custtype.person_candidates(seen, apps, years),
+        custtype.visitor_candidates(traffic, apps, years, years),
+    ):
+        assert len(df.collect()) == 40000
+        assert "SortMergeJoin(skew=true)" in plan(df)
+
+
 @pytest.mark.parametrize(
     "make, pushed",
     [
