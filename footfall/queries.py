@@ -1,4 +1,4 @@
-"""Every job on the test data, under its query name."""
+"""Every job and every operator on the test data, under its query name."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from functools import cache, cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.functions import rules
-from footfall.operators import custtype, reports as O
+from footfall.operators import custtype, later, reports as O, returns as R, stages, touch as T
 from footfall.params import PERSON, VISITOR, DateWindow
 from footfall.plans import jobs, reporting
 from footfall.sources import testdata
@@ -45,6 +45,10 @@ class Data:
     def rows(self) -> DataFrame:
         return self.interactions(WINDOW)
 
+    @cached_property
+    def known_rows(self) -> DataFrame:
+        return R.slice_window(self.rows, "interaction_date", WINDOW).filter("visitor_id is not null")
+
     @cached_property
     def applications(self) -> DataFrame:
         return testdata.applications(self._table("orders"))
@@ -53,6 +57,10 @@ class Data:
     def traffic(self) -> DataFrame:
         return testdata.traffic_visits(self._table("events"))
 
+    @cached_property
+    def visitor_candidates(self) -> DataFrame:
+        return custtype.visitor_candidates(self.traffic, self.applications, TRAFFIC_YEARS, APPLICATION_YEARS)
+
     @cached_property
     def visitor_cust_type(self) -> DataFrame:
         return custtype.visitor_cust_type(self.traffic, self.applications, TRAFFIC_YEARS, APPLICATION_YEARS)
@@ -136,6 +144,29 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "person_ita_later": lambda d: d.person_ita_later,
     "later_submit_report": lambda d: reporting.later_submit_report(d.person_ita_later),
     "interactions_for": lambda d: O.rows_for(d.interactions(), "person", PERSON_ID),
+    # Single operators, over all keys
+    "daily_visits": lambda d: R.daily_visits(d.known_rows, "visitor_id"),
+    "first_date": lambda d: R.first_date(R.daily_visits(d.known_rows, "visitor_id"), "visitor_id"),
+    "same_day_max": lambda d: R.same_day_max(R.daily_visits(d.known_rows, "visitor_id"), "visitor_id"),
+    "return_gap": lambda d: R.return_gap(R.daily_visits(d.known_rows, "visitor_id"), "visitor_id"),
+    "first_touch": lambda d: T.first_touch(d.known_rows, "visitor_id"),
+    "first_touch_raw_funnel": lambda d: T.first_touch(d.known_rows, "person", trim_funnel=False),
+    "first_visit_activity": lambda d: stages.first_visit_activity(
+        T.first_touch(d.known_rows, "visitor_id"), d.known_rows, "visitor_id", stages.ita_flags()
+    ),
+    "latest_application": lambda d: custtype.latest_application(d.applications, "cust_id", APPLICATION_YEARS),
+    "latest_application_row": lambda d: custtype.latest_application(d.applications, "appl_key", PERSON_YEARS),
+    "visitor_candidates": lambda d: d.visitor_candidates,
+    "person_candidates": lambda d: custtype.person_candidates(
+        d.interactions(PERSON_YEARS), d.applications, PERSON_YEARS
+    ),
+    "cust_type_summary": lambda d: custtype.cust_type_summary(d.visitor_candidates, "visitor_id"),
+    "visitor_ita_all_candidates": lambda d: jobs.visitor_ita(
+        d.rows, d.repeat_visitors, d.visitor_candidates, VISITOR_GRAIN
+    ),
+    "later_activity": lambda d: later.with_later_activity(
+        T.first_touch(d.known_rows, "person"), d.rows, "person", WINDOW
+    ),
     # Previews, in a fixed order so that they can be checked
     "sample_cookie_summary": lambda d: O.sample_rows(
         testdata.cookie_summary(d.interactions()), order_by=_first("cookie_id", "visitor_id")

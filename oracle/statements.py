@@ -149,7 +149,7 @@ def _pq(key: str, activity: str) -> str:
         from {activity}"""
 
 
-def _with_summary(audience: str) -> str:
+def _with_summary(audience: str, lookup: str = "visitor_cust_type") -> str:
     """Visitor audience with the customer types its lookup rows sum up to."""
     return f"""
         select a.*, coalesce(case when ids > 1 then 'Multiple customer IDs'
@@ -159,7 +159,7 @@ def _with_summary(audience: str) -> str:
         left join (select visitor_id, count(distinct nullif(trim(customer_id), '')) as ids,
                           count(distinct nullif(upper(trim(cust_type)), '')) as types,
                           max(nullif(upper(trim(cust_type)), '')) as one_type
-                   from visitor_cust_type group by visitor_id) using (visitor_id)"""
+                   from {lookup} group by visitor_id) using (visitor_id)"""
 
 
 RELATIONS = {
@@ -171,20 +171,22 @@ RELATIONS = {
     "application_type": """
         select distinct on (appl_key) appl_key, cust_type from applications where year(tran_date) between 1996 and 1997
         order by appl_key, appl_entry_dt desc nulls first, cust_type asc nulls last""",
+    "visitor_candidates": """
+        select visitor_id, customer_id, cust_id, cust_type, min(created_at) as visit_date
+        from traffic join customer_type
+          on try_cast(customer_id as decimal(38, 0)) = try_cast(cust_id as decimal(38, 0))
+        where year(record_created_timestamp) = 2024 and cust_type is not null
+        group by all""",
     "visitor_cust_type": """
-        select distinct on (visitor_id) *
-        from (select visitor_id, customer_id, cust_id, cust_type, min(created_at) as visit_date
-              from traffic join customer_type
-                on try_cast(customer_id as decimal(38, 0)) = try_cast(cust_id as decimal(38, 0))
-              where year(record_created_timestamp) = 2024 and cust_type is not null
-              group by all)
+        select distinct on (visitor_id) * from visitor_candidates
         order by visitor_id, visit_date desc nulls first, customer_id, cust_id, cust_type""",
+    "person_candidates": """
+        select appl_key, person, cust_type, min(interaction_date) as visit_date
+        from interactions join application_type using (appl_key)
+        where year(interaction_date) between 1996 and 1997 and cust_type is not null
+        group by all""",
     "person_cust_type": """
-        select distinct on (person) *
-        from (select appl_key, person, cust_type, min(interaction_date) as visit_date
-              from interactions join application_type using (appl_key)
-              where year(interaction_date) between 1996 and 1997 and cust_type is not null
-              group by all)
+        select distinct on (person) * from person_candidates
         order by person, visit_date desc nulls first, appl_key, cust_type""",
     # visitor audiences
     "visitor_buckets": _buckets("visitor_id", W13),
@@ -324,6 +326,62 @@ STATEMENTS = {
                count(*) filter (where later_hard_submitted + later_soft_submitted = 0) as neither_later_submit_people
         from person_ita_later group by first_visit_category order by first_visit_category""",
     "interactions_for": "select * from interactions where person = '7'",
+    # single operators
+    "daily_visits": f"""
+        select visitor_id, cast(interaction_date as date) as visit_date, count(distinct visit_id) as visit_id_count
+        from interactions where {W13} and visitor_id is not null group by all""",
+    "first_date": f"""
+        select visitor_id, cast(min(interaction_date) as date) as first_visit_date
+        from interactions where {W13} and visitor_id is not null group by visitor_id""",
+    "same_day_max": "select visitor_id, max_visit_ids_in_day from visitor_buckets",
+    "return_gap": "select visitor_id, min_return_gap from visitor_buckets where min_return_gap is not null",
+    "first_touch": """
+        select visitor_id, first_visit_id, first_interaction_time, coalesce(first_funnel, 'Unknown') as first_visit_funnel
+        from first_visitor_id""",
+    "first_touch_raw_funnel": f"""
+        select person, first_visit_id, first_interaction_time, first_funnel as first_visit_funnel
+        from ({_first("person", W13, funnel="funnel")})""",
+    "first_visit_activity": f"""
+        select f.visitor_id, first_visit_id, first_interaction_time,
+               coalesce(first_funnel, 'Unknown') as first_visit_funnel,
+               cast(count(*) filter (where {_STARTED}) > 0 as integer) as app_started,
+               cast(count(*) filter (where soft_submit_flag = 1) > 0 as integer) as soft_submitted,
+               cast(count(*) filter (where soft_approval_flag = 1) > 0 as integer) as soft_approved,
+               cast(count(*) filter (where hard_submit_flag = 1) > 0 as integer) as hard_submitted,
+               count(d.visitor_id) as matched_first_visit_rows
+        from first_visitor_id f
+        left join interactions d on d.visitor_id = f.visitor_id and d.visit_id = f.first_visit_id and {W13}
+        group by all""",
+    "latest_application": "select * from customer_type",
+    "latest_application_row": "select * from application_type",
+    "visitor_candidates": "select * from visitor_candidates",
+    "person_candidates": "select * from person_candidates",
+    "cust_type_summary": """
+        select visitor_id, count(distinct nullif(trim(customer_id), '')) as customer_id_count,
+               count(distinct nullif(upper(trim(cust_type)), '')) as cust_type_count,
+               case when customer_id_count > 1 then 'Multiple customer IDs'
+                    when cust_type_count > 1 then 'Multiple customer types'
+                    else coalesce(max(nullif(upper(trim(cust_type)), '')), 'Unknown') end as cust_type
+        from visitor_candidates group by visitor_id""",
+    "visitor_ita_all_candidates": _with_summary("visitor_ita_stage", "visitor_candidates"),
+    "later_activity": f"""
+        select * exclude (soft_day, hard_day, day0),
+               cast(soft_day is not null as integer) as later_soft_submitted,
+               cast(hard_day is not null as integer) as later_hard_submitted,
+               soft_day as first_later_soft_submit_date, hard_day as first_later_hard_submit_date,
+               cast(soft_day - day0 as integer) as days_to_later_soft_submit,
+               cast(hard_day - day0 as integer) as days_to_later_hard_submit
+        from (select f.person, first_visit_id, first_interaction_time,
+                     coalesce(first_funnel, 'Unknown') as first_visit_funnel,
+                     cast(first_interaction_time as date) as day0,
+                     min(day) filter (where soft_submit_flag = 1) as soft_day,
+                     min(day) filter (where hard_submit_flag = 1) as hard_day
+              from ({_first("person", W13)}) f
+              left join (select *, cast(interaction_date as date) as day from interactions
+                         where interaction_date < timestamp '1997-02-01') s
+                on s.person = f.person and s.day > cast(f.first_interaction_time as date)
+              group by all)""",
+    # previews
     "sample_cookie_summary": """
         select distinct cookie_id, visitor_id from interactions order by cookie_id, visitor_id limit 100""",
     "sample_repeat_visitors": "select * from repeat_visitors order by visitor_id limit 100",
