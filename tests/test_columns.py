@@ -100,18 +100,23 @@ def test_return_bucket_edges(spark):
         assert bucket == b.same_day if n > 1 else bucket.startswith(expected.get(gap, "2")[0])
 
 
-def stage_in_words(funnel, app, soft, approved, hard):
-    """The ITA stages, each stated as its own full condition."""
-    omf = funnel == "FA_OMF"
+# Category number per (soft, approved) = 00, 01, 10, 11, by what else happened.
+STAGES = {
+    ("hard submit",): "4444",
+    ("no app start",): "5555",
+    ("app start", "FA_OMF"): "1111",
+    ("app start", "other funnel"): "1132",
+}
+
+
+def expected_stage(funnel, app, soft, approved, hard):
     if hard:
-        return "4. Hard submitted"
-    if app and ((omf and not hard) or (not omf and not soft)):
-        return "1. App started, no submit"
-    if not omf and app and soft and approved and not hard:
-        return "2. Soft approved, no hard submit"
-    if not omf and app and soft and not approved:
-        return "3. Soft submitted, not soft approved"
-    return "5. Other"
+        row = ("hard submit",)
+    elif not app:
+        row = ("no app start",)
+    else:
+        row = ("app start", "FA_OMF" if funnel == "FA_OMF" else "other funnel")
+    return STAGES[row][2 * soft + approved]
 
 
 def test_ita_category_truth_table(spark):
@@ -120,7 +125,9 @@ def test_ita_category_truth_table(spark):
     got = df.select("*", C.ita_category("f", "app", "soft", "approved", "hard")).collect()
     assert len(got) == 48
     for row in got:
-        assert row[5] == stage_in_words(*row[:5]), row
+        assert row[5][0] == expected_stage(*row[:5]), row
+    labels = {r[5] for r in got}
+    assert labels == {rules.ITA_STARTED, rules.ITA_APPROVED, rules.ITA_SOFT, rules.ITA_HARD, rules.ITA_OTHER}
 
 
 def test_ita_reasons(spark):
