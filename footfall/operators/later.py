@@ -7,7 +7,6 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from footfall.functions import columns as C
-from footfall.operators import returns as R
 from footfall.params import DateWindow
 
 EVENTS = ("soft", "hard")

@@ -25,8 +25,8 @@ def build_visitor_tables(
         custtype.visitor_cust_type(traffic_visits, applications, traffic_years, application_years),
     )
     repeat = store.replace("repeat_visitors", jobs.repeat_visitors(interactions, grain))
-    ita = jobs.visitor_ita(interactions, repeat, lookup, grain, unique_lookup=True)
-    pq = jobs.visitor_pq(interactions, repeat, lookup, grain, unique_lookup=True)
+    ita = jobs.visitor_ita(interactions, repeat, lookup, grain, same_source=True, unique_lookup=True)
+    pq = jobs.visitor_pq(interactions, repeat, lookup, grain, same_source=True, unique_lookup=True)
     return {
         "visitor_cust_type": lookup,
         "repeat_visitors": repeat,

@@ -105,41 +105,72 @@ def person_funnel_type(population: DataFrame, interactions: DataFrame, grain: Gr
     )
 
 
-def _group(classified: DataFrame, key: str, group: str) -> DataFrame:
-    return classified.filter(F.col("first_visit_group") == group).select(key)
+FIRST_VISIT = ("first_visit_id", "first_interaction_time", "first_visit_funnel")
+
+
+def _group(classified: DataFrame, group: str) -> DataFrame:
+    return classified.filter(F.col("first_visit_group") == group)
+
+
+def _ita_stages(first: DataFrame, interactions: DataFrame, grain: Grain) -> DataFrame:
+    rows = _first_visit_rows(interactions, grain)
+    return stages.with_ita_category(stages.first_visit_activity(first, rows, grain.key, stages.ita_flags()))
+
+
+def _pq_stages(first: DataFrame, interactions: DataFrame, grain: Grain) -> DataFrame:
+    rows = _first_visit_rows(interactions, grain)
+    activity = stages.first_visit_activity(first, rows, grain.key, stages.pq_flags())
+    return stages.with_pq_category(activity.select(*first.columns, "matched_first_visit_rows", "hard_submitted"))
 
 
 def ita_first_visits(interactions: DataFrame, classified: DataFrame, grain: Grain) -> DataFrame:
     """First visit and stage of every ITA key that has rows in the window."""
     rows = _first_visit_rows(interactions, grain)
-    first = T.first_touch(rows, grain.key, audience=_group(classified, grain.key, rules.ITA))
-    return stages.with_ita_category(stages.first_visit_activity(first, rows, grain.key, stages.ita_flags()))
+    first = T.first_touch(rows, grain.key, audience=_group(classified, rules.ITA))
+    return _ita_stages(first, interactions, grain)
 
 
 def pq_first_visits(interactions: DataFrame, classified: DataFrame, grain: Grain) -> DataFrame:
     """First visit and stage of every PQ key, with or without rows in the window."""
-    rows = _first_visit_rows(interactions, grain)
-    audience = _group(classified, grain.key, rules.PQ).distinct()
-    first = audience.join(T.first_touch(rows, grain.key), grain.key, "left")
-    activity = stages.first_visit_activity(first, rows, grain.key, stages.pq_flags())
-    return stages.with_pq_category(
-        activity.select(*first.columns, "matched_first_visit_rows", "hard_submitted")
-    )
+    audience = _group(classified, rules.PQ).select(grain.key).distinct()
+    first = audience.join(T.first_touch(_first_visit_rows(interactions, grain), grain.key), grain.key, "left")
+    return _pq_stages(first, interactions, grain)
 
 
 def visitor_ita(
-    interactions: DataFrame, repeat: DataFrame, lookup: DataFrame, grain: Grain = VISITOR, unique_lookup: bool = False
+    interactions: DataFrame,
+    repeat: DataFrame,
+    lookup: DataFrame,
+    grain: Grain = VISITOR,
+    same_source: bool = False,
+    unique_lookup: bool = False,
 ) -> DataFrame:
-    """ITA audience with stage and summarised customer type."""
-    stage = ita_first_visits(interactions, repeat, grain)
+    """ITA audience with stage and summarised customer type.
+
+    ``same_source`` says that ``repeat`` was built by ``repeat_visitors`` from the
+    same interactions and grain. Its first visits are then taken as they are, which
+    spares a scan and a shuffle; otherwise they are found again.
+    """
+    if same_source:
+        stage = _ita_stages(_group(repeat, rules.ITA).select(grain.key, *FIRST_VISIT), interactions, grain)
+    else:
+        stage = ita_first_visits(interactions, repeat, grain)
     return custtype.attach_summary(stage, lookup, grain.key, unique_lookup)
 
 
 def visitor_pq(
-    interactions: DataFrame, repeat: DataFrame, lookup: DataFrame, grain: Grain = VISITOR, unique_lookup: bool = False
+    interactions: DataFrame,
+    repeat: DataFrame,
+    lookup: DataFrame,
+    grain: Grain = VISITOR,
+    same_source: bool = False,
+    unique_lookup: bool = False,
 ) -> DataFrame:
-    """PQ audience with stage and summarised customer type."""
-    stage = pq_first_visits(interactions, repeat, grain)
+    """PQ audience with stage and summarised customer type; ``same_source`` as in ``visitor_ita``."""
+    if same_source:
+        stage = _pq_stages(_group(repeat, rules.PQ).select(grain.key, *FIRST_VISIT), interactions, grain)
+    else:
+        stage = pq_first_visits(interactions, repeat, grain)
     return custtype.attach_summary(stage, lookup, grain.key, unique_lookup)
 
 

@@ -81,13 +81,23 @@ class Data:
     @cached_property
     def visitor_ita(self) -> DataFrame:
         return jobs.visitor_ita(
-            self.rows, self.repeat_visitors, self.visitor_cust_type, VISITOR_GRAIN, unique_lookup=True
+            self.rows,
+            self.repeat_visitors,
+            self.visitor_cust_type,
+            VISITOR_GRAIN,
+            same_source=True,
+            unique_lookup=True,
         )
 
     @cached_property
     def visitor_pq(self) -> DataFrame:
         return jobs.visitor_pq(
-            self.rows, self.repeat_visitors, self.visitor_cust_type, VISITOR_GRAIN, unique_lookup=True
+            self.rows,
+            self.repeat_visitors,
+            self.visitor_cust_type,
+            VISITOR_GRAIN,
+            same_source=True,
+            unique_lookup=True,
         )
 
     @cached_property

@@ -143,6 +143,21 @@ def test_windows_reach_the_scan(stored, make, pushed):
     assert f"GreaterThanOrEqual({pushed}" in filters and f"LessThan({pushed}" in filters
 
 
+def test_rows_without_a_join_key_are_dropped_at_the_scan(stored):
+    def below_first_grouping(df, table):
+        """Plan text of the branch that scans ``table``, under its last shuffle."""
+        text = plan(df)
+        scan = text.index(f"/{table}]")
+        return text[text.rindex("Exchange hashpartitioning", 0, scan) : scan]
+
+    seen = custtype.person_candidates(stored["interactions"], stored["applications"], APPLICATION_YEARS)
+    assert "isnotnull(appl_key" in below_first_grouping(seen, "interactions")
+    traffic = custtype.visitor_candidates(
+        stored["traffic_visits"], stored["applications"], TRAFFIC_YEARS, APPLICATION_YEARS
+    )
+    assert "isnotnull(try_cast(customer_id" in below_first_grouping(traffic, "traffic_visits")
+
+
 def test_scans_read_only_needed_columns(stored):
     text = plan(jobs.return_buckets(stored["interactions"], VISITOR_GRAIN))
     assert re.search(r"ReadSchema: struct<(.*?)>", text).group(1) == (

@@ -107,6 +107,13 @@ def test_adapter_meets_the_contracts(spark):
         assert schemas.check_schema(df, name).columns == schemas.contract(name).names
 
 
+@pytest.mark.parametrize("name", ["visitor_ita", "visitor_pq"])
+def test_first_visits_found_again_are_the_same(spark, name):
+    data = Data(spark, SF_DIR)
+    again = getattr(jobs, name)(data.rows, data.repeat_visitors, data.visitor_cust_type, VISITOR_GRAIN)
+    assert same(again, getattr(data, name)) and again.count() > 0
+
+
 def test_window_hint_drops_no_row(spark):
     data = Data(spark, SF_DIR)
     window = VISITOR_GRAIN.window
