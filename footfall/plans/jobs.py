@@ -113,28 +113,39 @@ def _group(classified: DataFrame, group: str) -> DataFrame:
 
 
 def _ita_stages(first: DataFrame, interactions: DataFrame, grain: Grain) -> DataFrame:
+    """Stages of the first visits in ``first``; whatever else it holds comes last.
+
+    What is looked up by the key alone belongs into ``first``: the join with the
+    visits, by key and visit, is then the only one that moves it.
+    """
     rows = _first_visit_rows(interactions, grain)
-    return stages.with_ita_category(stages.first_visit_activity(first, rows, grain.key, stages.ita_flags()))
+    staged = stages.with_ita_category(stages.first_visit_activity(first, rows, grain.key, stages.ita_flags()))
+    return _extras_last(staged, first, grain)
 
 
 def _pq_stages(first: DataFrame, interactions: DataFrame, grain: Grain) -> DataFrame:
+    """The same for PQ."""
     rows = _first_visit_rows(interactions, grain)
     activity = stages.first_visit_activity(first, rows, grain.key, stages.pq_flags())
-    return stages.with_pq_category(activity.select(*first.columns, "matched_first_visit_rows", "hard_submitted"))
+    ordered = activity.select(*first.columns, "matched_first_visit_rows", "hard_submitted")
+    return _extras_last(stages.with_pq_category(ordered), first, grain)
+
 
+def _extras_last(staged: DataFrame, first: DataFrame, grain: Grain) -> DataFrame:
+    extras = [c for c in first.columns if c not in (grain.key, *FIRST_VISIT)]
+    return staged.select(*[c for c in staged.columns if c not in extras], *extras)
 
-def ita_first_visits(interactions: DataFrame, classified: DataFrame, grain: Grain) -> DataFrame:
-    """First visit and stage of every ITA key that has rows in the window."""
+
+def _ita_first(interactions: DataFrame, classified: DataFrame, grain: Grain) -> DataFrame:
+    """First visits of the ITA keys that have rows in the window."""
     rows = _first_visit_rows(interactions, grain)
-    first = T.first_touch(rows, grain.key, audience=_group(classified, rules.ITA))
-    return _ita_stages(first, interactions, grain)
+    return T.first_touch(rows, grain.key, audience=_group(classified, rules.ITA))
 
 
-def pq_first_visits(interactions: DataFrame, classified: DataFrame, grain: Grain) -> DataFrame:
-    """First visit and stage of every PQ key, with or without rows in the window."""
+def _pq_first(interactions: DataFrame, classified: DataFrame, grain: Grain) -> DataFrame:
+    """First visits of all PQ keys, NULL for those without rows in the window."""
     audience = _group(classified, rules.PQ).select(grain.key).distinct()
-    first = audience.join(T.first_touch(_first_visit_rows(interactions, grain), grain.key), grain.key, "left")
-    return _pq_stages(first, interactions, grain)
+    return audience.join(T.first_touch(_first_visit_rows(interactions, grain), grain.key), grain.key, "left")
 
 
 def visitor_ita(
@@ -152,10 +163,10 @@ def visitor_ita(
     spares a scan and a shuffle; otherwise they are found again.
     """
     if same_source:
-        stage = _ita_stages(_group(repeat, rules.ITA).select(grain.key, *FIRST_VISIT), interactions, grain)
+        first = _group(repeat, rules.ITA).select(grain.key, *FIRST_VISIT)
     else:
-        stage = ita_first_visits(interactions, repeat, grain)
-    return custtype.attach_summary(stage, lookup, grain.key, unique_lookup)
+        first = _ita_first(interactions, repeat, grain)
+    return _ita_stages(custtype.attach_summary(first, lookup, grain.key, unique_lookup), interactions, grain)
 
 
 def visitor_pq(
@@ -168,26 +179,28 @@ def visitor_pq(
 ) -> DataFrame:
     """PQ audience with stage and summarised customer type; ``same_source`` as in ``visitor_ita``."""
     if same_source:
-        stage = _pq_stages(_group(repeat, rules.PQ).select(grain.key, *FIRST_VISIT), interactions, grain)
+        first = _group(repeat, rules.PQ).select(grain.key, *FIRST_VISIT)
     else:
-        stage = pq_first_visits(interactions, repeat, grain)
-    return custtype.attach_summary(stage, lookup, grain.key, unique_lookup)
+        first = _pq_first(interactions, repeat, grain)
+    return _pq_stages(custtype.attach_summary(first, lookup, grain.key, unique_lookup), interactions, grain)
 
 
 def person_ita(interactions: DataFrame, classified: DataFrame, lookup: DataFrame, grain: Grain) -> DataFrame:
     """ITA audience with stage and customer type as looked up (NULL when unmatched)."""
-    return custtype.attach_type(ita_first_visits(interactions, classified, grain), lookup, grain.key)
-
-
-def person_pq(interactions: DataFrame, classified: DataFrame, lookup: DataFrame, grain: Grain) -> DataFrame:
-    """PQ audience with stage, customer type and whether one was found."""
-    return custtype.attach_type(
-        pq_first_visits(interactions, classified, grain), lookup, grain.key, default=rules.UNKNOWN
-    )
+    first = custtype.attach_type(_ita_first(interactions, classified, grain), lookup, grain.key)
+    return _ita_stages(first, interactions, grain)
 
 
 def person_ita_later(interactions: DataFrame, classified: DataFrame, lookup: DataFrame, grain: Grain) -> DataFrame:
     """``person_ita`` with the submits after the first visit day."""
-    return later.with_later_activity(
-        person_ita(interactions, classified, lookup, grain), interactions, grain.key, grain.window
+    first = custtype.attach_type(_ita_first(interactions, classified, grain), lookup, grain.key)
+    followed = later.with_later_activity(first, interactions, grain.key, grain.window)
+    return _ita_stages(followed, interactions, grain)
+
+
+def person_pq(interactions: DataFrame, classified: DataFrame, lookup: DataFrame, grain: Grain) -> DataFrame:
+    """PQ audience with stage, customer type and whether one was found."""
+    first = custtype.attach_type(
+        _pq_first(interactions, classified, grain), lookup, grain.key, default=rules.UNKNOWN
     )
+    return _pq_stages(first, interactions, grain)

@@ -83,6 +83,15 @@ def test_later_activity_groups_without_shuffle(stored):
     assert len(keys) == 3
 
 
+def test_audience_moves_once(stored):
+    """First touch, customer type and later days meet by key; only the join with the visits moves the audience."""
+    tables = stored["interactions"], stored["person_funnel_type"], stored["person_cust_type"]
+    keys = shuffles(jobs.person_ita_later(*tables, PERSON_GRAIN))
+    assert keys.count("person, first_visit_id") == 1 and keys.count("person, visit_id") == 1
+    # audience, first touch, customer types, submit days by person
+    assert keys.count("person") + keys.count("_key") == 4 and len(keys) == 7
+
+
 def test_typed_lookup_joins_reduced_rows(stored):
     text = plan(custtype.visitor_candidates(stored["traffic_visits"], stored["applications"], TRAFFIC_YEARS, APPLICATION_YEARS))
     assert "LeftOuter" not in text
