@@ -8,7 +8,8 @@ from collections import Counter
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
+import oracle
+from footfall import queries as contract
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = ("orders", "lineitem", "events")
@@ -26,13 +27,13 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(contract.queries()) == set(oracle.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query_matches_oracle(spark, duck, name):
     ours = contract.queries()[name](spark, SF_DIR)
-    result = duck.execute(contract.oracle_sql()[name])
+    result = duck.execute(oracle.oracle_sql()[name])
     columns = [d[0] for d in result.description]
     assert sorted(ours.columns) == sorted(columns)
     expected = Counter(tuple(row) for row in result.fetchall())
@@ -47,5 +48,5 @@ KINDS = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "TIMESTAMP":
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_types_match_oracle(spark, duck, name):
     ours = contract.queries()[name](spark, SF_DIR)
-    described = duck.execute(f"describe {contract.oracle_sql()[name]}").fetchall()
+    described = duck.execute(f"describe {oracle.oracle_sql()[name]}").fetchall()
     assert {f.name: f.dataType.simpleString() for f in ours.schema.fields} == {r[0]: KINDS[r[1]] for r in described}
