@@ -2,7 +2,7 @@
 
 A task hashes the windows of its documents and sends each distinct window of a block once, with its
 earliest place, to the bucket of its hash. A bucket sees all blocks that hold a window: every place but
-the earliest is a repeat. Repeats return to their document, where they merge into maximal intervals.
+the earliest is a repeat. Repeats go on in packed arrays, one for each group of documents, and merge into maximal intervals in their document.
 
 Hashes travel as packed arrays, one row for each block and bucket. A window in very many documents brings
 one entry for each block, however many documents of the block hold it. The bucket number comes from a second hash,
@@ -107,12 +107,24 @@ def _by_document(docs: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, by
         yield int(docs[a]), starts[a:b].tobytes()
 
 
-SENT = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary()), ("doc", pa.int64())])
+#: Windows for a bucket (its number), or repeats for a group of documents (-1 - its number; no hashes).
+SENT = pa.schema([("key", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary())])
+REPEATS = pa.schema([("dest", pa.int32()), ("places", pa.binary())])
 FOUND = pa.schema([("doc", pa.int64()), ("starts", pa.binary())])
 
 
+def _by_destination(docs: np.ndarray, starts: np.ndarray, groups: int) -> list[tuple[int, bytes]]:
+    """The places in packed arrays, one for each group of documents that has any."""
+    mixed = docs.view(np.uint64) * np.uint64(BASES[1])
+    dest = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(groups)).astype(np.int32)
+    order = np.lexsort((starts, docs, dest))
+    docs, starts, dest = docs[order], starts[order], dest[order]
+    cuts = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1]]) if len(dest) else dest
+    return [(int(dest[a]), _pack(docs[a:b], starts[a:b])) for a, b in zip(cuts, np.r_[cuts[1:], len(docs)])]
+
+
 def _hasher(width: int, buckets: int):
-    """A task: rows of windows for the buckets, and rows (bucket null) of repeats inside a block."""
+    """A task: windows for the buckets, and repeats inside a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rolls = WordHashes(), [Rolling(base) for base in BASES]
@@ -142,8 +154,8 @@ def _hasher(width: int, buckets: int):
                 # Equal places of one document number are sent once; they are never repeats of each other.
                 again = _repeats(hashes ^ second, docs, starts)
                 if again.any():
-                    rows = list(_by_document(docs[again], starts[again]))
-                    yield pa.RecordBatch.from_pydict({"bucket": [None] * len(rows), "hashes": [None] * len(rows), "places": [x for _, x in rows], "doc": [x for x, _ in rows]}, SENT)
+                    rows = _by_destination(docs[again], starts[again], buckets)
+                    yield pa.RecordBatch.from_pydict({"key": [-1 - x for x, _ in rows], "hashes": [None] * len(rows), "places": [x for _, x in rows]}, SENT)
                     hashes, docs, starts, bucket = hashes[~again], docs[~again], starts[~again], bucket[~again]
                 order = np.argsort(bucket, kind="stable")
                 hashes, docs, starts, bucket = hashes[order], docs[order], starts[order], bucket[order]
@@ -151,10 +163,9 @@ def _hasher(width: int, buckets: int):
                 ends = np.r_[cuts[1:], len(bucket)]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "bucket": bucket[cuts],
+                        "key": bucket[cuts],
                         "hashes": [hashes[a:b].tobytes() for a, b in zip(cuts, ends)],
                         "places": [_pack(docs[a:b], starts[a:b]) for a, b in zip(cuts, ends)],
-                        "doc": pa.nulls(len(cuts), pa.int64()),
                     },
                     SENT,
                 )
@@ -162,13 +173,25 @@ def _hasher(width: int, buckets: int):
     return run
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """One bucket: all places of windows that also start earlier, by document."""
+def _count(table: pa.Table, groups: int) -> pa.Table:
+    """One bucket: all places of windows that also start earlier. Repeats that a task has already found pass through."""
+    if not table.column("hashes")[0].is_valid:
+        return pa.Table.from_pydict({"dest": [-1 - k for k in table.column("key").to_pylist()], "places": table.column("places").to_pylist()}, REPEATS)
     keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
-    places = [_unpack(x) for x in table.column("places").to_pylist()]
-    docs, starts = (np.concatenate([p[k] for p in places]) for k in (0, 1))
+    docs, starts = _all_places(table)
     again = _repeats(keys, docs, starts)
-    rows = list(_by_document(docs[again], starts[again]))
+    rows = _by_destination(docs[again], starts[again], groups)
+    return pa.Table.from_pydict({"dest": [x for x, _ in rows], "places": [x for _, x in rows]}, REPEATS)
+
+
+def _all_places(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    places = [_unpack(x) for x in table.column("places").to_pylist()]
+    return np.concatenate([docs for docs, _ in places]), np.concatenate([starts for _, starts in places])
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """All repeats of a group of documents, one row for each document."""
+    rows = list(_by_document(*_all_places(table)))
     return pa.Table.from_pydict({"doc": [x for x, _ in rows], "starts": [x for _, x in rows]}, FOUND)
 
 
@@ -180,7 +203,7 @@ def _remover(width: int):
                 words = (text or b"").split()
                 cover = np.zeros(len(words) + 1, np.int32)
                 if found:
-                    starts = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in found]))
+                    starts = np.unique(np.frombuffer(found, np.int32))
                     starts = starts[starts + width <= len(words)]
                     np.add.at(cover, starts, 1)
                     np.add.at(cover, starts + width, -1)
@@ -215,17 +238,10 @@ def dedup_substrings(docs: DataFrame, width: int = 20, bucket_windows: int = BUC
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), -(-total // (6 * bucket_windows)))
-    sent = docs.mapInArrow(_hasher(width, buckets), "bucket int, hashes binary, places binary, doc long")
-    counted = sent.groupBy(F.coalesce("bucket", -1 - F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int")).alias("key")).applyInArrow(_found, "doc long, starts binary")
-    repeats = counted.groupBy("doc").agg(F.collect_list("starts").alias("starts"))
+    sent = docs.mapInArrow(_hasher(width, buckets), "key int, hashes binary, places binary")
+    counted = sent.groupBy("key").applyInArrow(lambda table: _count(table, buckets), "dest int, places binary")
+    repeats = counted.groupBy("dest").applyInArrow(_merge, "doc long, starts binary")
     joined = docs.join(repeats, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("doc"), "left")
     return joined.select("doc_id", "text", "starts").mapInArrow(
         _remover(width), "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start int, end int>>"
     )
-
-
-def _found(table: pa.Table) -> pa.Table:
-    """A bucket to be counted, or repeats that a task has already found."""
-    if table.num_rows and table.column("hashes")[0].is_valid:
-        return _count(table)
-    return pa.Table.from_arrays([table.column("doc"), table.column("places")], schema=FOUND)
