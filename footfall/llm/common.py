@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: A word in Spark's and DuckDB's regular expressions. ``bytes.split()`` cuts at exactly these characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,3 +68,15 @@ def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = BLOCK_BYTES)
         size += n or 0
     if start < len(lengths):
         yield batch.slice(start)
+
+
+def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], extra: T.StructField | None = None) -> DataFrame:
+    """``mapInArrow`` that keeps all columns, whatever their names, and may add one at the end.
+
+    ``run`` gets the columns as c0, c1, ...; the one named text is called ``text``.
+    """
+    names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    fields = [T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema.fields)]
+    fields += [T.StructField("extra", extra.dataType)] if extra else []
+    out = docs.toDF(*names).mapInArrow(run, T.StructType(fields))
+    return out.toDF(*docs.columns, *([extra.name] if extra else []))

@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, sh
     """
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    links = _deal_out(nodes, max_distance, shard, sample).groupBy("shard").applyInArrow(partial(_shard_links, reach=max_distance), "u long, v long")
+    links = _deal_out(nodes, max_distance, shard, sample).groupBy("shard").applyInArrow(lambda table: _shard_links(table, max_distance), "u long, v long")
     roots = components(links).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
