@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import lines, mixing, secrets, simhash, substrings, toxicity
+from footfall.llm import decontaminate, html_text, imatch, lines, mixing, secrets, simhash, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +22,24 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    counts = [secrets.number("base", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
     return out.select("doc_id", *counts, F.sha2(F.encode(secrets.written("base"), "UTF-8"), 256).alias("base_sha256"), secrets.written("spans").alias("spans"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -43,7 +55,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_simhash_near_dedup, op6_secret_scan, op8_source_mix, op9_toxicity, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_simhash_near_dedup, op4_decontamination, op5_imatch_fingerprints, op6_secret_scan, op7_html_text, op8_source_mix, op9_toxicity, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

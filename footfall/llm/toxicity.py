@@ -37,7 +37,7 @@ SHORTEST, LONGEST = 3, 12
 CANDIDATES = 50_000
 
 #: An entry must be this much (natural logarithm) likelier in a toxic text, and hold in so many of them.
-MIN_WEIGHT, MIN_TEXTS = 3.0, 5
+MIN_WEIGHT, MIN_TEXTS = 1.5, 5
 
 #: Entries are added until each toxic text of the sample has this many, if it can.
 COVER = 4
@@ -148,8 +148,8 @@ def _incidence(batches: Iterator[pa.RecordBatch], among: dict[str, int]) -> Iter
 def choose(weights: dict[str, float], texts: list[np.ndarray], names: list[str]) -> dict[str, float]:
     """The entries that cover toxic texts, best first, until each has ``COVER`` of them or none holds in ``MIN_TEXTS`` texts that still need one.
 
-    ``texts`` has the numbers (places in ``names``) of the entries of each text. Of equally good entries the shorter one
-    counts; an entry that begins with a chosen one adds nothing and is left out.
+    ``texts`` has the numbers (places in ``names``) of the entries of each text. Of equally good entries the longer one
+    counts, a whole word if it can be; an entry that begins with a chosen one adds nothing and is left out, and so is the beginning of a chosen one that few other texts have.
     """
     holders: dict[int, list[int]] = {}
     for t, entries in enumerate(texts):
@@ -157,16 +157,18 @@ def choose(weights: dict[str, float], texts: list[np.ndarray], names: list[str])
             holders.setdefault(e, []).append(t)
     need = np.full(len(texts), COVER)
     chosen: dict[str, float] = {}
+    chosen_in: dict[str, int] = {}
     gain = {e: len(h) for e, h in holders.items()}
     while gain:
-        best = max(gain, key=lambda e: (gain[e] * weights[names[e]], -len(names[e]), names[e]))
+        best = max(gain, key=lambda e: (gain[e] * weights[names[e]], len(names[e]), names[e]))
         now = int((need[holders[best]] > 0).sum())
-        if now < MIN_TEXTS or any(names[best].startswith(c) for c in chosen):
+        if now < MIN_TEXTS or any(names[best].startswith(c) or c.startswith(names[best]) and len(holders[best]) <= 1.1 * n for c, n in chosen_in.items()):
             del gain[best]
         elif now < gain[best]:
             gain[best] = now
         else:
             chosen[names[best]] = weights[names[best]]
+            chosen_in[names[best]] = len(holders[best])
             need[holders[best]] -= 1
             del gain[best]
     return chosen
@@ -238,7 +240,7 @@ def _around(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.
     yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(toxic, pa.int32())], names=["phrase", "toxic"])
 
 
-def _exceptions(rows: DataFrame, lexicon: Lexicon, least: int = 5, most: int = 1000) -> tuple[str, ...]:
+def _exceptions(rows: DataFrame, lexicon: Lexicon, least: int = 10, most: int = 1000) -> tuple[str, ...]:
     """Pairs of words with an entry in them that are usual in clean texts and not in toxic ones."""
     if not lexicon.weights:
         return ()
