@@ -28,7 +28,7 @@ BAND = (0.0005, 0.02)
 MAX_TERMS = 1_000_000
 
 #: Densities of the random subsets, and subsets of each density.
-LEVELS = (1 / 4, 1 / 16, 1 / 64, 1 / 256, 1 / 1024)
+LEVELS = tuple(2.0**-k for k in range(1, 11))
 SUBSETS = 12
 
 #: Parts that must be filled, in one document or the other, for a level to count.
@@ -39,24 +39,17 @@ PUNCTUATION = string.punctuation
 
 
 class Terms(dict):
-    """The term number (64-bit hash) of a word as written; 0 for one that is only punctuation, or not in the lexicon."""
-
-    def __init__(self, lexicon: np.ndarray | None = None):
-        super().__init__()
-        self.lexicon = lexicon
+    """The term number (64-bit hash) of a word as written; 0 for one that is only punctuation."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= KNOWN_WORDS:
             self.clear()
         term = word.strip(PUNCTUATION)
-        value = xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass")) if term else 0
-        if value and self.lexicon is not None:
-            at = np.searchsorted(self.lexicon, np.uint64(value))
-            value = value if at < len(self.lexicon) and self.lexicon[at] == value else 0
-        self[word] = value
+        value = self[word] = xxhash.xxh3_64_intdigest(term) if term else 0
         return value
 
     def of(self, text: str) -> set[int]:
+        """The distinct terms of a text."""
         found = {self[w] for w in set(text.lower().split())}
         found.discard(0)
         return found
@@ -100,21 +93,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SEEDS = _mix(np.arange(1, len(LEVELS) * SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_LIMITS = np.repeat([np.uint64(int(level * 2**64)) for level in LEVELS], SUBSETS)
+PARTS = len(LEVELS) * SUBSETS
+_SEEDS = _mix(np.arange(1, PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_LIMITS = np.repeat(np.array([int(level * 2**64) for level in LEVELS], np.uint64), SUBSETS)
 
 
-def parts(text: str, in_band: Terms, everything: Terms) -> np.ndarray:
-    """A text's fingerprint: a 32-bit hash for each subset, 0 where it has no term. A text without terms in the band is taken by all its terms."""
-    found = in_band.of(text) or everything.of(text)
+def parts(text: str, known: Terms, lexicon: np.ndarray) -> np.ndarray:
+    """A text's fingerprint: a 32-bit hash for each subset, 0 where it has no term. A text without terms in the lexicon is taken by all its terms."""
+    found = known.of(text)
     terms = np.sort(np.fromiter(found, np.uint64, len(found)))
-    out = np.zeros(len(_SEEDS), np.uint32)
+    if len(lexicon):
+        at = np.minimum(np.searchsorted(lexicon, terms), len(lexicon) - 1)
+        inside = lexicon[at] == terms
+        terms = terms[inside] if inside.any() else terms
+    out = np.zeros(PARTS, np.uint32)
     if len(terms):
         subset, term = np.nonzero(_mix(terms[None, :] ^ _SEEDS[:, None]) < _LIMITS[:, None])
-        chosen = terms[term]
-        ends = np.searchsorted(subset, np.arange(len(_SEEDS) + 1))
-        for k in np.flatnonzero(ends[1:] > ends[:-1]):
-            out[k] = xxhash.xxh32_intdigest(chosen[ends[k] : ends[k + 1]].tobytes(), int(k)) or 1
+        chosen = terms[term].tobytes()
+        ends = 8 * np.searchsorted(subset, np.arange(PARTS + 1))
+        for k, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+            if b > a:
+                out[k] = xxhash.xxh32_intdigest(chosen[a:b], k) or 1
     return out
 
 
@@ -129,18 +128,19 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def written(fingerprint: np.ndarray) -> str:
-    return fingerprint.astype(">u4").tobytes().hex()
+    """Four hexadecimal digits for each part, the lower half of its hash."""
+    return fingerprint.astype(">u2").tobytes().hex()
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch], terms) -> Iterator[pa.RecordBatch]:
-    in_band, everything = Terms(terms.value), Terms()
+    known = Terms()
     for batch in batches:
-        found = [written(parts(text or "", in_band, everything)) for text in batch.column("text").to_pylist()]
+        found = [written(parts(text or "", known, terms.value)) for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], names=["doc_id", "fingerprint"])
 
 
 def fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """Columns doc_id and fingerprint (hexadecimal, eight digits for each part), one row for each row of ``docs``; a null text is empty."""
+    """Columns doc_id and fingerprint (hexadecimal, four digits for each part), one row for each row of ``docs``; a null text is empty."""
     sent = docs.sparkSession.sparkContext.broadcast(terms)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_fingerprint_rows, terms=sent), "doc_id long, fingerprint string")
 
@@ -198,17 +198,17 @@ def edited(text: str, following: str) -> str:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], terms) -> Iterator[pa.RecordBatch]:
-    in_band, everything = Terms(terms.value), Terms()
+    known = Terms()
     previous = None
     for batch in batches:
         rows = []
         for bucket, doc_id, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "packed"))):
             text = zstandard.decompress(packed).decode("utf-8") if packed else ""
-            own = parts(text, in_band, everything)
+            own = parts(text, known, terms.value)
             if previous is not None and previous[0] == bucket:
                 _, before_id, before, print_ = previous
                 other = edited(before, text)
-                changed = parts(other, in_band, everything)
+                changed = parts(other, known, terms.value)
                 rows.append(
                     (before_id, len(before), hashlib.sha256(other.encode()).hexdigest(), written(print_), written(changed), likeness(print_, changed), likeness(print_, own))
                 )
