@@ -15,7 +15,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from footfall.llm.common import NULL_ID, raw, stored
 from footfall.llm.cuckoo import CuckooFilter
@@ -189,31 +189,32 @@ def _clean(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Rec
             texts.append(b"\n".join(keep).decode())
             counts.append(len(lines))
             dropped.append(len(lines) - len(keep))
-        rest = batch.select([n for n in batch.schema.names if n not in ("text", "gone")])
-        yield pa.RecordBatch.from_arrays(
-            [*rest.columns, pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=[*rest.schema.names, "kept_text", "n_lines", "n_dropped"]
-        )
+        names = [n for n in batch.schema.names if n != "gone"]
+        columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
 
 def clean(counts: LineCounts, docs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """Columns doc_id, kept_text, n_lines, n_dropped: the documents without their lines that the counts say to drop.
+    """The documents, in all their columns, without the lines that the counts say to drop; with the columns n_lines (before) and n_dropped at the end.
 
-    A null or empty text is one empty line. Other columns are not read. ``keys`` may hold the line keys of the documents, if they are at hand.
+    A null or empty text is one empty line; a text that loses all lines is empty. ``keys`` may hold the line keys of the documents, if they are at hand.
     """
     keys = line_keys(docs, counts.min_chars) if keys is None else keys
     drop = references(counts).where(F.col("n_docs") >= counts.min_docs).select("key")
     gone = _known(keys, counts).join(drop, "key").groupBy("doc").agg(F.collect_set("key").alias("gone"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = docs.join(gone, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("doc"), "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(partial(_clean, min_chars=counts.min_chars), "doc_id long, kept_text string, n_lines long, n_dropped long")
+    names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    doc_id = names[docs.columns.index("doc_id")]
+    joined = docs.toDF(*names).join(gone, F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)) == F.col("doc"), "left").select(*names, "gone")
+    schema = T.StructType([*[f for f in joined.schema.fields if f.name != "gone"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    return joined.mapInArrow(partial(_clean, min_chars=counts.min_chars), schema).toDF(*docs.columns, "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """Drop every line whose key is found in at least ``min_docs`` documents, in all of them.
 
     A key is the line without white space at both ends and with A-Z lower-cased; keys of fewer than ``min_chars`` code points are never
-    dropped. Returns doc_id, kept_text, n_lines and n_dropped. Documents that share a doc_id count once; equal rows get equal results. A null text
-    is one empty line; a text that loses all lines is empty. An empty table gives an empty result.
+    dropped. Returns the documents as :func:`clean` does. Documents that share a doc_id count once, so do those without one; equal rows get equal
+    results. A null text is one empty line; a text that loses all lines is empty. An empty table gives an empty result.
     """
     keys = stored(line_keys(docs, min_chars), "line-keys")
     shards = 1 + (keys.agg(F.approx_count_distinct("key")).first()[0] or 0) // shard_keys

@@ -55,6 +55,20 @@ def shares(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int) -> Data
     return filled.select("source", "number", "source_size", target.alias("target"), F.col("total").alias("budget"))
 
 
+#: What identifies a row of the documents.
+ROW = ("id", "tie", "twin")
+
+
+def identity(doc_id: str, text: str) -> list[Column]:
+    """Columns id (doc_id without nulls) and tie (a hash of the text)."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("tie")]
+
+
+def _twin(source: str) -> Column:
+    """Numbers rows that are equal in id and tie, in the order of their source."""
+    return F.row_number().over(Window.partitionBy("id", "tie").orderBy(F.col(source).cast("string").asc_nulls_last()))
+
+
 def _running(df: DataFrame, keys: list[str], part: str, order: list[Column], value: str) -> DataFrame:
     """Column ``total``: the sum of ``value`` up to and including each row, within ``keys``, in the order of ``part`` and then ``order``.
 
@@ -69,8 +83,8 @@ def _running(df: DataFrame, keys: list[str], part: str, order: list[Column], val
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
-    """Columns doc_id, source, size, source_size, target, taken (words that the mix takes of the document, repeats counted), begins (how many words
-    the mix has before its first copy, null if it is not taken) and twin (1, 2, ... among rows equal in source, doc_id and size), one row for each row of ``docs``.
+    """Columns doc_id, source, size, source_size, target, taken (words that the mix takes of the document, repeats counted) and begins (how many words
+    the mix has before its first copy, null if it is not taken), one row for each row of ``docs``; and id, tie, twin, which identify the row.
 
     Size is the number of words (null: none). Targets share the total size by weight, see :func:`shares`. A source's copies queue pass
     after pass, at most ``max_repeats``, each in the order of a hash of doc_id; the last is cut where the source's target, rounded down, is met. Copies
@@ -78,14 +92,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     words are never taken. Null sources are one source, the last; a null doc_id queues like the others; repeated rows queue
     one behind the other. An empty table gives an empty result. Other columns are not read. Sources are ranked in one task, one row each; documents never are.
     """
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), tokens("text").alias("size")), "sizes")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), tokens("text").alias("size")]
+    sized = stored(docs.select(*columns, *identity("doc_id", "text")), "sizes")
     facts = shares(sized, weights, max_repeats).withColumnRenamed("source", "of")
-    rows = sized.join(facts, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    same = ["number", "id", "size"]
-    rows = stored(rows.withColumn("twin", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))), "queue")
+    rows = sized.join(facts, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    rows = stored(rows.withColumn("twin", _twin("source")), "queue")
     place = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    queue = rows.where("size > 0").select(*same, "twin", "source_size", "target", "budget", place.alias("place"), F.substring(place, 1, DIGITS).alias("part"))
-    queue = _running(queue, ["number"], "part", [F.col(c) for c in ("place", "id", "size", "twin")], "size")
+    queue = rows.where("size > 0").select(*ROW, "number", "size", "source_size", "target", "budget", place.alias("place"), F.substring(place, 1, DIGITS).alias("part"))
+    queue = _running(queue, ["number"], "part", [F.col(c) for c in ("place", *ROW)], "size")
     copies = queue.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
     start = F.col("round") * F.col("source_size") + F.col("total") - F.col("size")
     words = F.least(F.col("size"), F.floor("target") - start)
@@ -93,8 +107,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     finish = (F.col("start") + F.col("words")) / F.col("target")
     # At finish time 1, the last range, each source has at most one copy.
     time = F.least(F.floor(finish * TIMES), F.lit(TIMES)).cast("int")
-    copies = copies.select(*same, "twin", "budget", "start", "words", finish.alias("finish"), time.alias("time"))
+    copies = copies.select(*ROW, "number", "budget", "start", "words", finish.alias("finish"), time.alias("time"))
     mixed = _running(copies, [], "time", [F.col("finish"), F.col("number"), F.col("start")], "words").where("total <= budget")
-    taken = mixed.groupBy(*same, "twin").agg(F.sum("words").alias("taken"), F.min(F.col("total") - F.col("words")).alias("begins"))
-    out = rows.join(taken, [*same, "twin"], "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "begins", "twin")
+    taken = mixed.groupBy(*ROW).agg(F.sum("words").alias("taken"), F.min(F.col("total") - F.col("words")).alias("begins"))
+    out = rows.join(taken, list(ROW), "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "begins", *ROW)
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
+    """The documents that :func:`mix` takes, in all their columns, with the columns size, target, taken and begins at the end."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names))
+    rows = docs.toDF(*names)
+    rows = rows.select(*names, *identity(at["doc_id"], at["text"])).withColumn("twin", _twin(at["source"]))
+    facts = mix(docs, weights, max_repeats, seed).where("taken > 0").select(*ROW, "size", "target", "taken", "begins")
+    return rows.join(facts, list(ROW)).select(*names, "size", "target", "taken", "begins").toDF(*docs.columns, "size", "target", "taken", "begins")

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import decontaminate, html_text, imatch, lines, mixing, secrets, simhash, substrings, toxicity
+from footfall.llm import decontaminate, html_text, imatch, lines, mixing, secrets, simhash, substrings, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokens.load())
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.dedup_substrings(_table(spark, sf_dir, "documents"), width=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -50,12 +54,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+    out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_simhash_near_dedup, op4_decontamination, op5_imatch_fingerprints, op6_secret_scan, op7_html_text, op8_source_mix, op9_toxicity, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_simhash_near_dedup, op4_decontamination, op5_imatch_fingerprints, op6_secret_scan, op7_html_text, op8_source_mix, op9_toxicity, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

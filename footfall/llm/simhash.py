@@ -16,9 +16,9 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from footfall.llm.common import blocks, raw, stored
+from footfall.llm.common import NULL_ID, blocks, raw, stored
 from footfall.llm.components import components
 
 #: Distinct fingerprints that live in a shard, about.
@@ -80,16 +80,18 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
             found = [_hashes(text, shingle) for text in raw(part.column("text"))]
             counts = np.array([len(x) for x in found], np.int64)
             hashes = np.fromiter((h for x in found for h in x), np.uint64, counts.sum())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(majority_bits(hashes, counts).view(np.int64))], names=["doc_id", "fp"])
+            names = [n for n in part.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(majority_bits(hashes, counts).view(np.int64))], names=[*names, "fp"])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """Columns doc_id and fp (64 bits as a long): the bits that over half of the shingle hashes of a text have set.
+def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), shingle: int = 3) -> DataFrame:
+    """The columns ``keys`` (long) and fp (64 bits as a long): the bits that over half of the shingle hashes of a text have set.
 
     A-Z are lower-cased; shingles of ``shingle`` words count as often as they occur; a shorter text is one shingle. A text without words,
     or a null one, has the fingerprint zero. Other columns are not read.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_fingerprints, shingle=shingle), "doc_id long, fp long")
+    rows = docs.select(*[F.col(k).cast("long").alias(k) for k in keys], "text")
+    return rows.mapInArrow(partial(_fingerprints, shingle=shingle), ", ".join(f"{k} long" for k in (*keys, "fp")))
 
 
 # --- vantage-point tree ---------------------------------------------------------------------------
@@ -234,6 +236,15 @@ def _deal_out(nodes: DataFrame, reach: int, shard: int, sample: int) -> DataFram
     return nodes.select("fp").mapInArrow(partial(_deal, tree=tree, reach=reach), "shard int, fp long, home boolean")
 
 
+def _clusters(prints: DataFrame, max_distance: int, shard: int, sample: int) -> DataFrame:
+    """Columns fp, root (a fingerprint of the component) and component_id, one row for each fingerprint of ``prints`` (doc_id, fp)."""
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    links = _deal_out(nodes, max_distance, shard, sample).groupBy("shard").applyInArrow(lambda table: _shard_links(table, max_distance), "u long, v long")
+    roots = components(links).select(F.col("node").alias("fp"), "root")
+    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """Columns doc_id, fingerprint (16 hexadecimal digits) and component_id, one row for each row of ``docs``.
 
@@ -241,11 +252,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, sh
     links, itself included. Texts without words share the fingerprint zero and are linked like any other. Rows with a null doc_id
     link like others; component_id is null only where no document of the component has a number. Repeated rows get equal results.
     """
-    prints = stored(fingerprints(docs, shingle), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    links = _deal_out(nodes, max_distance, shard, sample).groupBy("shard").applyInArrow(lambda table: _shard_links(table, max_distance), "u long, v long")
-    roots = components(links).select(F.col("node").alias("fp"), "root")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(first, "root").select("fp", "component_id")
+    prints = stored(fingerprints(docs, shingle=shingle), "fingerprints")
+    known = _clusters(prints, max_distance, shard, sample).drop("root")
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 2, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """The documents, in all their columns, that come first in their component: by doc_id (null last), then by a hash of their text.
+
+    Of rows equal in both one stays, any. Only what identifies a document is joined to the components; texts are shuffled once, by that identity.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, doc_id = names[docs.columns.index("text")], names[docs.columns.index("doc_id")]
+    rows = docs.toDF(*names).withColumn("id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).withColumn("tie", F.xxhash64(text))
+    prints = stored(fingerprints(rows.select("id", "tie", F.col(text).alias("text")), ("id", "tie"), shingle), "fingerprints")
+    known = _clusters(prints.select(F.nullif("id", F.lit(NULL_ID)).alias("doc_id"), "fp"), max_distance, shard, sample)
+    first = F.min(F.struct(F.col("id") == NULL_ID, "id", "tie")).alias("first")
+    firsts = prints.join(known, "fp").groupBy("root").agg(first).select("first.id", "first.tie")
+    one = rows.withColumn("n", F.row_number().over(Window.partitionBy("id", "tie").orderBy(F.lit(0)))).where("n = 1")
+    return one.join(firsts, ["id", "tie"], "left_semi").select(*names).toDF(*docs.columns)
