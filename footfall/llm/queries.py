@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import decontaminate, html_text, imatch, lines, mixing, secrets, simhash, substrings, tokens, toxicity
+from footfall.llm import decontaminate, html_text, imatch, lines, mixing, oracle, secrets, simhash, substrings, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,4 +63,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the exact, word-based operators; the others hash, learn or align, and are tested against plain versions."""
+    return {"op2_substring_dedup": oracle.OP2, "op8_source_mix": oracle.OP8, "op10_line_dedup": oracle.OP10}

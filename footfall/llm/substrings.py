@@ -152,7 +152,7 @@ def _hasher(width: int, buckets: int):
                 starts = (np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n))[at].astype(np.int32)
                 bucket = (second % np.uint64(buckets)).astype(np.int32)
                 # Equal places of one document number are sent once; they are never repeats of each other.
-                again = _repeats(hashes ^ second, docs, starts)
+                again = _repeats(hashes * np.uint64(BASES[0]) + second, docs, starts)
                 if again.any():
                     rows = _by_destination(docs[again], starts[again], buckets)
                     yield pa.RecordBatch.from_pydict({"key": [-1 - x for x, _ in rows], "hashes": [None] * len(rows), "places": [x for _, x in rows]}, SENT)

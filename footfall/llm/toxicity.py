@@ -39,6 +39,9 @@ CANDIDATES = 50_000
 #: An entry must be this much (natural logarithm) likelier in a toxic text, and hold in so many of them.
 MIN_WEIGHT, MIN_TEXTS = 1.5, 5
 
+#: Log odds of a text without hits at most: about 0.05, however many toxic texts the sample has that no entry explains.
+NO_HIT = -3.0
+
 #: Entries are added until each toxic text of the sample has this many, if it can.
 COVER = 4
 
@@ -221,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     lexicon = Lexicon(entries, _exceptions(rows, Lexicon(entries)))
     found = rows.select("toxic", "text").mapInArrow(partial(_measure, lexicon=lexicon), "toxic int, x double, y double").toPandas()
     intercept, *slopes = fit_logistic(found[["x", "y"]].to_numpy(), found["toxic"].to_numpy().astype(float))
-    return Lexicon(lexicon.weights, lexicon.exceptions, float(intercept), tuple(map(float, slopes)))
+    return Lexicon(lexicon.weights, lexicon.exceptions, min(float(intercept), NO_HIT), tuple(map(float, slopes)))
 
 
 def _around(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:

@@ -1,0 +1,277 @@
+"""Pieces of the operators on their own."""
+
+from __future__ import annotations
+
+import random
+import string
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from footfall.llm import charcnn, components, decontaminate, html_text, imatch, secrets, simhash, toxicity
+from footfall.llm.cuckoo import CuckooFilter
+
+from tests.llm import plain
+from tests.llm.conftest import prose
+
+
+# --- near duplicates ---
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=30), st.integers(0, 600))
+@settings(max_examples=30, deadline=None)
+def test_majority_bits(hashes, n):
+    hashes = (hashes * (1 + n))[: n + len(hashes)]
+    got = simhash.majority_bits(np.array(hashes, np.uint64), np.array([0, len(hashes), 0]))
+    expected = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert got.tolist() == [0, expected, 0]
+
+
+def near_points(n, seed):
+    rng = random.Random(seed)
+    points = [rng.getrandbits(64) for _ in range(n)]
+    for p in points[: n // 3]:
+        points.append(p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    center = rng.getrandbits(64)
+    points += [center ^ (1 << a) ^ (1 << b) for a in range(0, 40, 3) for b in range(0, 40, 5)]
+    return np.unique(np.array(points, np.uint64))
+
+
+@pytest.mark.parametrize("reach", [0, 1, 2, 3])
+def test_tree_loses_no_link(reach):
+    points = near_points(900, reach)
+    tree, leaves = simhash.upper_tree(points[::5], 9)
+    u, v = [], []
+    todo = [(tree, points, points[:0])]
+    while todo:
+        node, homes, guests = todo.pop()
+        if isinstance(node, simhash.Node):
+            inner, outer = simhash.pass_on(node.vantage, node.radius, homes, guests, reach)
+            todo += [(node.inside, *inner), (node.outside, *outer)]
+        else:
+            a, b = simhash.spanning_links(homes, guests, reach)
+            u += a.tolist()
+            v += b.tolist()
+    assert 2 <= leaves <= 9
+    every = points.tolist()
+    links = [(a, b) for i, a in enumerate(every) for b in every[:i] if (a ^ b).bit_count() <= reach]
+    assert plain.groups(list(zip(u, v)), every) == plain.groups(links, every)
+    assert len(u) <= 3 * len(every)
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(140, 130), (7, 7), (200, 201), (200, 201)]
+    random.Random(1).shuffle(chain)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    least = plain.groups(chain, {x for link in chain for x in link})
+    assert got == {n: r for n, r in least.items() if n != r}
+    assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+# --- line filters ---
+
+
+def test_cuckoo_filter_remembers_and_forgets():
+    rng = random.Random(2)
+    keys = [rng.randbytes(16) for _ in range(3000)]
+    known = CuckooFilter.of(keys[:2000])
+    assert known.contains(keys[:2000]).all() and known.contains(keys[2000:]).mean() < 0.01
+    known.remove(keys[:1000])
+    assert known.contains(keys[1000:2000]).all() and known.contains(keys[:1000]).mean() < 0.01
+    again = CuckooFilter.from_bytes(known.to_bytes())
+    assert np.array_equal(again.contains(keys), known.contains(keys))
+    small = CuckooFilter(8)
+    assert not small.add(keys[:100]) and not CuckooFilter().contains([]).size
+
+
+# --- decontamination ---
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_edited_passages_are_found(seed):
+    rng = random.Random(seed)
+    items = [(k, "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(60, 300)))) for k in range(20)]
+    pieces, grams = decontaminate.cut(items, 12, 100, 50, 0.06), decontaminate.Grams(12)
+    texts, planted = [], set()
+    for k in range(60):
+        number, item = rng.choice(items)
+        whole = list(decontaminate.normalise(item))
+        budget = decontaminate.allowed(min(100, len(whole)), 12, 0.06)
+        if k % 3 == 0:  # one whole piece with as many edits as allowed
+            whole = whole[:100]
+        for _ in range(budget if k % 3 == 0 else 2):
+            at = rng.randrange(len(whole))
+            whole[at : at + 1] = rng.choice([[], ["Z"], [whole[at], "Z"]])
+        around = ["".join(rng.choice("uvwxyz ") for _ in range(rng.randint(0, 200))) for _ in range(2)]
+        texts.append(decontaminate.normalise("".join([around[0], " ", *whole, " ", around[1]])))
+        planted.add((k, number))
+    clean = len(texts)
+    texts += [decontaminate.normalise("".join(rng.choice("abcdefghijklm") for _ in range(2000))) for _ in range(5)]
+    found = {(t, pieces.item[p]): cost for t, p, _, _, cost in decontaminate._find(texts, pieces, grams)}
+    assert {x for x in planted} <= found.keys()
+    assert all(t < clean for t, _ in found)
+    for t, p, start, end, cost in decontaminate._find(texts, pieces, grams):
+        piece = "".join(map(chr, pieces.codes[p]))
+        assert cost >= plain.edits_within(piece, texts[t]) and plain.edits_within(piece, texts[t][start:end]) <= cost <= pieces.edits[p]
+
+
+def test_large_benchmarks_go_in_blocks(spark, frame, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 500)
+    items = [(k, prose(40, k)) for k in range(12)]
+    docs = frame([(k, prose(20, 50 + k) + " " + items[k % 12][1].upper() + " end") for k in range(24)] + [(99, prose(80, 99))])
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_matches(docs, benchmark).collect()} == {(k, k % 12) for k in range(24)}
+    assert [r.doc_id for r in decontaminate.remove_matches(docs, benchmark).collect()] == [99]
+
+
+# --- fingerprints ---
+
+
+def test_likeness():
+    known, lexicon = imatch.Terms(), np.empty(0, np.uint64)
+    prints = [imatch.parts(t, known, lexicon) for t in (prose(300, 1), prose(300, 1), prose(300, 2, 10**6), "", ".")]
+    assert imatch.likeness(prints[0], prints[1]) == 1 and imatch.likeness(prints[0], prints[2]) < 0.2
+    assert imatch.likeness(prints[3], prints[4]) == 1 and imatch.likeness(prints[0], prints[3]) == 0
+    near = imatch.parts(imatch.edited(prose(300, 1), prose(300, 2, 10**6)), known, lexicon)
+    assert imatch.likeness(prints[0], near) > 0.3
+
+
+def test_lexicon_counts_documents_and_is_bounded(frame):
+    docs = frame(["a a, b", "a b c", "A! c", "d", None])
+    terms = lambda *names: sorted(imatch.Terms()[n] for n in names)
+    assert imatch.lexicon(docs, (0.35, 0.5)).tolist() == terms("b", "c")
+    assert imatch.lexicon(docs, (0.0, 1.0)).tolist() == terms("a", "b", "c", "d")
+    assert len(imatch.lexicon(docs, (0.0, 1.0), max_terms=3)) <= 3
+
+
+def test_successors_with_ties(frame):
+    rows = [(5, "five five"), (1, "aaaa bbbb"), (None, "nnnn"), (5, "other!"), (9, "")]
+    got = imatch.compare_with_edits(frame(rows).repartition(4)).collect()
+    assert sorted(r.n_chars for r in got) == sorted(len(t) for _, t in rows)
+    one = {r.doc_id: r for r in got}
+    assert one[1].edited_sha256 in {plain.sha("aaaa bb" + t[:2]) for t in ("five five", "other!")}
+    assert one[None].edited_sha256 == plain.sha("nnna") and one[9].edited_sha256 == plain.sha("")
+
+
+# --- secrets ---
+
+
+def spoken(n: int, seed: int) -> str:
+    """Prose of letters only."""
+    return prose(n, seed, 10**6).translate(str.maketrans("0123456789", "aeioulnrst"))
+
+
+def test_network_learns_the_shape_of_secrets(spark, frame):
+    rng = random.Random(4)
+    prose = lambda n, seed: spoken(n, seed)
+    secret = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    texts = [f"{prose(8, k)} {rng.choice(['token', 'password'])} = '{secret('0123456789abcdef', 32)}' {prose(5, k + 1)} call +1 555-{k:04} now" for k in range(300)]
+    hidden = [f"{prose(5, 900 + k)} take {secret(string.ascii_uppercase + string.digits, 40)} then {prose(5, k)}" for k in range(40)]
+    plainly = [f"{prose(5, 900 + k)} see chapter_{k}_of_the_handbook2 or theQuickBrownFoxName7 {prose(5, k)}" for k in range(40)]
+    got = {r.doc_id: r for r in secrets.scan_secrets(frame(texts + hidden + plainly)).collect()}
+    found = lambda ids: sum(any(s.kind == "model" for s in got[i].spans) for i in ids) / len(ids)
+    assert found(range(300, 340)) >= 0.6 and found(range(340, 380)) <= 0.1
+    assert all([s.kind for s in got[i].base] == ["assign", "hex"] for i in range(300))
+    given = spark.createDataFrame([("x", "y", "z", 1)], "before string, token string, after string, label int")
+    assert all(r.spans == r.base for r in secrets.scan_secrets(frame(texts[:5] + hidden[:5]), given).collect())
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(0)
+    x = charcnn.encode(["ab = "] * 6, ["deadbeef0123", "word", "", "x" * 70, "A1b2C3", "..."], [" end"] * 6)
+    y, weight = np.array([1, 0, 0, 1, 1, 0]), np.ones(6)
+    shapes = {"embed": (charcnn.CHARS, charcnn.DEPTH), "filters": (charcnn.SPAN * charcnn.DEPTH, charcnn.FILTERS), "hidden": (2 * charcnn.FILTERS, charcnn.HIDDEN), "out": (charcnn.HIDDEN,), "filter_bias": (charcnn.FILTERS,), "hidden_bias": (charcnn.HIDDEN,), "out_bias": ()}
+    net = charcnn.CharCNN({k: rng.normal(0, 0.5, s) for k, s in shapes.items()})
+
+    def loss():
+        z = net._forward(x)[0]
+        return np.mean(weight * (np.logaddexp(0, z) - y * z))
+
+    gradients = net._gradients(x, y, weight)
+    for name, w in net.weights.items():
+        for _ in range(4):
+            at = tuple(rng.integers(0, s) for s in w.shape)
+            if name == "embed":
+                at = (int(rng.choice(x.ravel())), at[1])
+            old, step = w[at].copy(), 1e-5
+            w[at] = old + step
+            up = loss()
+            w[at] = old - step
+            down = loss()
+            w[at] = old
+            assert np.isclose((up - down) / (2 * step), gradients[name][at], rtol=1e-2, atol=1e-6)
+
+
+@pytest.mark.parametrize(
+    "text, spans",
+    [
+        ("token = abcdefghijkl", [("assign", 0, 20)]),
+        ("API_KEY:'AKIAABCDEFGHIJKLMN'", [("assign", 0, 27), ("access", 9, 27)]),
+        ("password=short token=0123456789abcdef", [("assign", 15, 37), ("hex", 21, 37)]),
+        ("ſecret=abcdefghijklmn", []),
+        ("password: token: abcdefghijklmnop", []),
+        ("é0123456789abcdef0123", [("hex", 1, 21)]),
+    ],
+)
+def test_base_spans(text, spans):
+    assert secrets.base_spans(text) == spans
+
+
+# --- toxicity ---
+
+
+def test_folding_undoes_disguises():
+    assert toxicity.fold("1D1OT").split() == toxicity.fold("іdіоt").split() == toxicity.fold("IDIOT!!").split() == ["idiot"]
+    assert toxicity.fold("$tup1d, ｌｏser").split() == ["stupid", "ioser"]
+    assert toxicity.fold("").strip() == ""
+
+
+def test_exceptions_hide_entries():
+    lexicon = toxicity.Lexicon({toxicity.fold("clown"): 2.0, " scu": 1.0}, (toxicity.fold("clown fish").strip(),))
+    assert [w for _, w in lexicon.hits("A clown! Scum")] == [2.0, 1.0]
+    assert lexicon.hits("a clown fish") == [] and lexicon.score("") < 0.3
+    assert len(lexicon.hits("clown clown")) == 2
+
+
+def test_learned_lexicon_holds_for_disguises(spark, frame):
+    bad = ["grotwort", "fiesling"]
+    texts = [prose(60, k, 400) + f" you {bad[k // 4 % 2] if k % 4 == 0 else 'good'} there " + prose(40, k + 999, 400) for k in range(400)]
+    docs = frame(texts)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    assert {toxicity.fold(b) for b in bad} <= set(lexicon.weights)
+    assert lexicon.score("such a GR0TW0RT") > 0.3 > lexicon.score(prose(50, 1, 400))
+    assert toxicity.learn(docs, labels.where("toxic = 0")).weights == {}
+
+
+# --- pages ---
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (None, ""),
+        ("", ""),
+        ("just text", "just text"),
+        ("<p>one<p>two", "one\n\ntwo"),
+        ("<body><nav>menu menu menu</nav></body>", ""),
+        ("<article><h1>T &amp; U</h1><p>a\n  b<br>c&#8212;d<b>e</b></p></article><footer>f</footer>", "T & U\n\na b c—de"),
+        ("<article><p>a</p><!-- <p>x</p> --><script>if (a<b) '</p>'</script><style>p{}</style><p>b</p></article>", "a\n\nb"),
+        ("<article><p>a</p><section class='comments'><article><p>reader</p></article></section></article>", "a"),
+        ("<article><p>a</p><div id='cookie-notice'>ok?</div><form>name <input></form><aside>s</aside><p>b</p></article>", "a\n\nb"),
+        ("<main><ul><li>x<li>y</ul><table><tr><td>1<td>2</table></main>", "x\n\ny\n\n1\n\n2"),
+        ("<div><p>" + "long text here " * 20 + "</p></div><div class='sidebar'>" + "side " * 90 + "</div>", ("long text here " * 20).strip()),
+        ("<article><p>open <a href='x>y'>link</a> &lt;tag&gt; &nbsp; end", "open link <tag> end"),
+        ("<" * 50, "<" * 50),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+    ],
+)
+def test_pages(page, text):
+    assert html_text.extract(page) == text
+
+
+def test_densest_subtree_wins_over_menus():
+    links = "".join(f"<li><a href='/{k}'>Section number {k}</a></li>" for k in range(30))
+    page = f"<body><div><ul>{links}</ul></div><div><h2>Head</h2><div><p>{prose(80, 1)}</p><p>{prose(60, 2)}</p></div></div></body>"
+    assert html_text.extract(page) == "\n\n".join(["Head", prose(80, 1), prose(60, 2)])

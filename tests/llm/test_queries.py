@@ -1,0 +1,164 @@
+"""The queries on whole test tables, against SQL or plain versions."""
+
+from __future__ import annotations
+
+import math
+import os
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import pytest
+
+import __spark_entry__ as contract
+from footfall.llm import decontaminate, imatch, queries as llm
+
+from tests.llm import plain
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def rows(spark, sf_dir, name):
+    return contract.queries()[name](spark, sf_dir)
+
+
+def test_every_operator_has_one_query():
+    names = [n for n in contract.queries() if n.startswith("op")]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert "pipeline" in contract.queries()
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_sql_gives_the_same_rows(spark, sf_dir, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    result = con.execute(llm.oracle_sql()[name])
+    columns = [d[0] for d in result.description]
+    ours = rows(spark, sf_dir, name)
+    assert sorted(ours.columns) == sorted(columns)
+    assert Counter(map(tuple, ours.select(*columns).collect())) == Counter(result.fetchall())
+
+
+def test_op1_counts_every_document(spark, sf_dir, docs):
+    got = {r.doc_id: r for r in rows(spark, sf_dir, "op1_token_counts").collect()}
+    assert {d: r.n_words for d, r in got.items()} == {d: len(plain.words(t)) for d, t in docs}
+    assert all(r.n_words <= r.n_tokens <= len(t.encode()) + r.n_words * 2 for (d, t) in docs for r in [got[d]])
+
+
+def test_op3_components(spark, sf_dir, docs):
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in rows(spark, sf_dir, "op3_simhash_near_dedup").collect()}
+    prints = {d: plain.fingerprint(t) for d, t in docs}
+    least = plain.components(prints, 2)
+    assert got == {d: (f"{prints[d]:016x}", least[d]) for d, _ in docs}
+
+
+def test_op4_finds_all_passages_and_nothing_else(spark, sf_dir, docs):
+    got = {(r.doc_id, r.item_id): r for r in rows(spark, sf_dir, "op4_decontamination").collect()}
+    items = {r.item_id: decontaminate.normalise(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    whole = {d: decontaminate.normalise(t) for d, t in docs}
+    exact = {(d, i) for d, t in whole.items() for i, item in items.items() if item in t}
+    assert exact and exact <= got.keys()
+    for d, i in exact:
+        assert items[i] in whole[d][got[d, i].start : got[d, i].end] and got[d, i].edits == 0
+    for d, i in got.keys() - exact:  # by the operator's own measure
+        item = items[i]
+        pieces = [item[a : a + decontaminate.PIECE] for a in {*range(0, max(1, len(item) - decontaminate.PIECE), decontaminate.STRIDE), max(0, len(item) - decontaminate.PIECE)}]
+        assert min(plain.edits_within(p, whole[d]) - decontaminate.allowed(len(p), decontaminate.Q, decontaminate.RATE) for p in pieces) <= 0
+
+
+def test_op5_texts_and_likeness(spark, sf_dir, docs):
+    got = {r.doc_id: r for r in rows(spark, sf_dir, "op5_imatch_fingerprints").collect()}
+    ordered = sorted(docs)
+    for k, (d, text) in enumerate(ordered):
+        n = len(text) // 4
+        edited = text[: len(text) - n] + ordered[(k + 1) % len(ordered)][1][:n]
+        assert (got[d].n_chars, got[d].edited_sha256) == (len(text), plain.sha(edited))
+        assert 0 <= got[d].near_next <= 1 and 0 <= got[d].near_edited <= 1
+    by_text = {}
+    for d, text in docs:
+        assert by_text.setdefault(text, got[d].fingerprint) == got[d].fingerprint
+    mean = lambda column: sum(r[column] for r in got.values()) / len(got)
+    assert mean("near_edited") > 0.5 and mean("near_next") < 0.05
+    assert len(next(iter(got.values())).fingerprint) == 4 * imatch.PARTS
+
+
+def test_op6_base_spans(spark, sf_dir, docs):
+    got = {r.doc_id: r for r in rows(spark, sf_dir, "op6_secret_scan").collect()}
+    letters = lambda word: "".join(f"[{c}{c.upper()}]" for c in word)
+    names = "|".join(map(letters, ("password", "passwd", "secret", "token", "api"))).replace("[aA][pP][iI]", "[aA][pP][iI]_?[kK][eE][yY]")
+    assign = re.compile(rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for d, text in docs:
+        found = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(text) if len(m[2]) >= 12]
+        found += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        found += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+        base = [f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found)]
+        kinds = Counter(x.split(":")[0] for x in base)
+        assert tuple(got[d])[1:5] == (kinds["assign"], kinds["access"], kinds["hex"], plain.sha(",".join(base)))
+        assert set(base) <= set(got[d].spans.split(","))
+
+
+def test_op7_article_text(spark, sf_dir):
+    got = {r.page_id: r for r in rows(spark, sf_dir, "op7_html_text").collect()}
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    import html
+
+    for page in pages:
+        article = re.search(r"<article>(.*?)</article>", page.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"</?b>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:h1|p)\b[^>]*>", article)]
+        assert got[page.page_id].text == "\n\n".join(b for b in blocks if b)
+        assert got[page.page_id].n_chars == len(got[page.page_id].text) and got[page.page_id].url == page.url
+
+
+def test_op9_held_out_accuracy(spark, sf_dir):
+    got = rows(spark, sf_dir, "op9_toxicity").collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert 0 <= r.score <= 1 and not math.isnan(r.score) and r.predicted == (r.score >= 0.3)
+    judged = [(labels[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in labels]
+    assert sum(a == b for a, b in judged) / len(judged) >= 0.95
+
+
+def test_pipeline_keeps_clean_documents(spark, sf_dir):
+    import corpus_pipeline as pipeline
+    from footfall.llm.common import stored
+
+    def step(docs, k):
+        return stored(pipeline.STAGES[k][1](spark, docs, sf_dir), "test")
+
+    read = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = {r.doc_id: r for r in read.collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    docs = step(read, 0)
+    assert docs.schema == read.schema
+    kept = {r.doc_id: r for r in docs.collect()}
+    assert all(kept[d] == before[d] for d in kept)
+    assert sum((d in kept) == (y == 0) for d, y in labels.items()) >= 0.97 * len(labels)
+
+    before, docs = kept, step(docs, 1)
+    kept = {r.doc_id: r for r in docs.collect()}
+    expected = plain.lines([(d, r.text) for d, r in before.items()], 10)
+    assert docs.columns == read.columns and {d: r.text for d, r in kept.items()} == {d: x[2] for d, x in expected.items()}
+    assert all(r.n_chars == len(r.text) for r in kept.values())
+
+    before, docs = kept, step(docs, 2)
+    kept = {r.doc_id: r for r in docs.collect()}
+    least = plain.components({d: plain.fingerprint(r.text) for d, r in before.items()}, 2)
+    assert set(kept) == set(least.values()) and all(kept[d] == before[d] for d in kept)
+
+    before, docs = kept, step(docs, 3)
+    kept = {r.doc_id: r for r in docs.collect()}
+    items = [decontaminate.normalise(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    dirty = {d for d, r in before.items() if any(i in decontaminate.normalise(r.text) for i in items)}
+    assert dirty and not dirty & kept.keys() and len(before) - len(kept) <= len(dirty) + 2
+
+    before, docs = kept, step(docs, 4)
+    expected = plain.mixture([(d, r.source, r.text) for d, r in before.items()])
+    got = {r.doc_id: (r.size, r.target, r.taken) for r in docs.collect()}
+    assert {d: t for d, (_, _, t) in got.items()} == {d: x[3] for d, x in expected.items() if x[3]}
+    assert all(math.isclose(got[d][1], expected[d][2]) for d in got)
