@@ -24,8 +24,8 @@ from footfall.llm.common import NULL_ID, shuffle_partitions, stored
 #: Shares of the documents that hold a term of the lexicon.
 BAND = (0.0005, 0.02)
 
-#: Terms of the lexicon at most (8 bytes each). The band's lower end rises where it could hold more, see :func:`lexicon`.
-MAX_TERMS = 1_000_000
+#: Terms of the lexicon at most; a task holds about 150 bytes for each. The band's lower end rises where it could hold more, see :func:`lexicon`.
+MAX_TERMS = 500_000
 
 #: Densities of the random subsets, and subsets of each density.
 LEVELS = tuple(2.0**-k for k in range(1, 11))
@@ -44,17 +44,31 @@ class Terms(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        term = word.strip(PUNCTUATION)
-        value = self[word] = xxhash.xxh3_64_intdigest(term) if term else 0
+        value = self[word] = self.number(word)
         return value
 
+    def number(self, word: str) -> int:
+        term = word.strip(PUNCTUATION)
+        return xxhash.xxh3_64_intdigest(term) if term else 0
+
     def of(self, text: str) -> set[int]:
         """The distinct terms of a text."""
-        found = {self[w] for w in set(text.lower().split())}
+        found = set(map(self.__getitem__, set(text.lower().split())))
         found.discard(0)
         return found
 
 
+class Places(Terms):
+    """The place of a word's term in the lexicon, from 1; 0 for others."""
+
+    def __init__(self, lexicon: np.ndarray):
+        super().__init__()
+        self.places = dict(zip(lexicon.tolist(), range(1, len(lexicon) + 1)))
+
+    def number(self, word: str) -> int:
+        return self.places.get(super().number(word), 0)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, counts = Terms(), Counter()
 
@@ -98,23 +112,62 @@ _SEEDS = _mix(np.arange(1, PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4
 _LIMITS = np.repeat(np.array([int(level * 2**64) for level in LEVELS], np.uint64), SUBSETS)
 
 
-def parts(text: str, known: Terms, lexicon: np.ndarray) -> np.ndarray:
-    """A text's fingerprint: a 32-bit hash for each subset, 0 where it has no term. A text without terms in the lexicon is taken by all its terms."""
-    found = known.of(text)
-    terms = np.sort(np.fromiter(found, np.uint64, len(found)))
-    if len(lexicon):
-        at = np.minimum(np.searchsorted(lexicon, terms), len(lexicon) - 1)
-        inside = lexicon[at] == terms
-        terms = terms[inside] if inside.any() else terms
-    out = np.zeros(PARTS, np.uint32)
-    if len(terms):
-        subset, term = np.nonzero(_mix(terms[None, :] ^ _SEEDS[:, None]) < _LIMITS[:, None])
-        chosen = terms[term].tobytes()
-        ends = 8 * np.searchsorted(subset, np.arange(PARTS + 1))
-        for k, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
-            if b > a:
-                out[k] = xxhash.xxh32_intdigest(chosen[a:b], k) or 1
-    return out
+class Lexicons:
+    """The lexicon's terms, and for each the subsets that hold it, one list behind the other."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms
+        drawn = [_drawn(terms[k : k + 10_000]) for k in range(0, len(terms), 10_000)]
+        counts = [np.bincount(term, minlength=min(10_000, len(terms) - 10_000 * k)) for k, (term, _) in enumerate(drawn)]
+        self.subsets = np.concatenate([*(subset.astype(np.uint8) for _, subset in drawn), np.empty(0, np.uint8)])
+        self.ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *counts]))
+
+    def reader(self) -> "Reader":
+        return Reader(self)
+
+
+def _drawn(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in ``terms`` and number of each subset that a term is drawn for."""
+    return np.nonzero(_mix(terms[:, None] ^ _SEEDS[None, :]) < _LIMITS[None, :])
+
+
+class Reader:
+    """Fingerprints of texts, in one task."""
+
+    def __init__(self, lexicons: Lexicons):
+        self.lexicons, self.inside, self.all = lexicons, Places(lexicons.terms), Terms()
+
+    def members(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Term and subset of each membership, in the order of the terms. A text without terms in the lexicon is taken by all its terms."""
+        found = self.inside.of(text)
+        if found:
+            at = np.fromiter(found, np.int64, len(found))
+            at.sort()
+            first, end = self.lexicons.ends[at - 1], self.lexicons.ends[at]
+            n = end - first
+            before = n.cumsum()
+            every = np.arange(before[-1]) + np.repeat(end - before, n)
+            return np.repeat(self.lexicons.terms[at - 1], n), self.lexicons.subsets[every]
+        found = self.all.of(text)
+        terms = np.sort(np.fromiter(found, np.uint64, len(found)))
+        term, subset = _drawn(terms)
+        return terms[term], subset
+
+    def parts(self, text: str) -> np.ndarray:
+        """A text's fingerprint: a 32-bit hash for each subset, 0 where it has no term."""
+        terms, subset = self.members(text)
+        out = np.zeros(PARTS, np.uint32)
+        if len(subset):
+            terms = terms[subset.argsort(kind="stable")]
+            counts = np.bincount(subset, minlength=PARTS)
+            filled = counts.nonzero()[0]
+            counts = counts[filled]
+            heads = counts.cumsum() - counts
+            # A subset's terms are hashed in order: each with its rank, and then summed up.
+            rank = np.arange(len(terms)) - np.repeat(heads, counts)
+            hashes = np.add.reduceat(_mix(terms + rank.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), heads)
+            out[filled] = np.maximum(hashes >> np.uint64(32), np.uint64(1))
+        return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -132,17 +185,17 @@ def written(fingerprint: np.ndarray) -> str:
     return fingerprint.astype(">u2").tobytes().hex()
 
 
-def _fingerprint_rows(batches: Iterator[pa.RecordBatch], terms) -> Iterator[pa.RecordBatch]:
-    known = Terms()
+def _fingerprint_rows(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    reader = sent.value.reader()
     for batch in batches:
-        found = [written(parts(text or "", known, terms.value)) for text in batch.column("text").to_pylist()]
+        found = [written(reader.parts(text or "")) for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], names=["doc_id", "fingerprint"])
 
 
-def fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+def fingerprints(docs: DataFrame, lexicons: Lexicons) -> DataFrame:
     """Columns doc_id and fingerprint (hexadecimal, four digits for each part), one row for each row of ``docs``; a null text is empty."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_fingerprint_rows, terms=sent), "doc_id long, fingerprint string")
+    sent = docs.sparkSession.sparkContext.broadcast(lexicons)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_fingerprint_rows, sent=sent), "doc_id long, fingerprint string")
 
 
 # --- each document with its successor ---------------------------------------------------------------
@@ -197,18 +250,18 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _compare(batches: Iterator[pa.RecordBatch], terms) -> Iterator[pa.RecordBatch]:
-    known = Terms()
+def _compare(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    reader = sent.value.reader()
     previous = None
     for batch in batches:
         rows = []
         for bucket, doc_id, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "packed"))):
             text = zstandard.decompress(packed).decode("utf-8") if packed else ""
-            own = parts(text, known, terms.value)
+            own = reader.parts(text)
             if previous is not None and previous[0] == bucket:
                 _, before_id, before, print_ = previous
                 other = edited(before, text)
-                changed = parts(other, known, terms.value)
+                changed = reader.parts(other)
                 rows.append(
                     (before_id, len(before), hashlib.sha256(other.encode()).hexdigest(), written(print_), written(changed), likeness(print_, changed), likeness(print_, own))
                 )
@@ -225,5 +278,5 @@ def compare_with_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Dat
     document). A null text is empty; rows that share a doc_id follow each other in the order of a hash of their text; null ids come first. A single document follows
     itself; an empty table gives an empty result. Other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon(docs, band))
-    return in_order(docs).mapInArrow(partial(_compare, terms=sent), EDITED)
+    sent = docs.sparkSession.sparkContext.broadcast(Lexicons(lexicon(docs, band)))
+    return in_order(docs).mapInArrow(partial(_compare, sent=sent), EDITED)

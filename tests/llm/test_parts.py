@@ -129,11 +129,11 @@ def test_large_benchmarks_go_in_blocks(spark, frame, monkeypatch):
 
 
 def test_likeness():
-    known, lexicon = imatch.Terms(), np.empty(0, np.uint64)
-    prints = [imatch.parts(t, known, lexicon) for t in (prose(300, 1), prose(300, 1), prose(300, 2, 10**6), "", ".")]
+    reader = imatch.Lexicons(np.empty(0, np.uint64)).reader()
+    prints = [reader.parts(t) for t in (prose(300, 1), prose(300, 1), prose(300, 2, 10**6), "", ".")]
     assert imatch.likeness(prints[0], prints[1]) == 1 and imatch.likeness(prints[0], prints[2]) < 0.2
     assert imatch.likeness(prints[3], prints[4]) == 1 and imatch.likeness(prints[0], prints[3]) == 0
-    near = imatch.parts(imatch.edited(prose(300, 1), prose(300, 2, 10**6)), known, lexicon)
+    near = reader.parts(imatch.edited(prose(300, 1), prose(300, 2, 10**6)))
     assert imatch.likeness(prints[0], near) > 0.3
 
 
