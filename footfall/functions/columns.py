@@ -36,8 +36,9 @@ def midnight(day: date) -> str:
 
 
 def in_window(ts: str, window: DateWindow) -> Column:
-    """Half-open range test on typed literals, so that it reaches the file scan."""
-    return F.expr(f"{ts} >= {midnight(window.start)} and {ts} < {midnight(window.end)}")
+    """Half-open range tests on typed literals, so that they reach the file scan."""
+    tests = [f"({ts} >= {midnight(start)} and {ts} < {midnight(end)})" for start, end in window.ranges]
+    return F.expr(" or ".join(tests))
 
 
 def days_between(first: str, later: str) -> Column:
@@ -133,26 +134,29 @@ def ita_category(funnel: str, app: str, soft: str, approved: str, hard: str) ->
 
     Decided from the end of the funnel backwards: a hard submit settles it, a
     visit without an application start has no stage, and for the hard-only
-    funnel soft submits are ignored.
+    funnel soft submits are ignored. A flag that is NULL supports no stage.
     """
-    stalled = f"{funnel} = {text(rules.HARD_ONLY_FUNNEL)} or {soft} = 0"
+    hard_only = f"{funnel} = {text(rules.HARD_ONLY_FUNNEL)}"
     branches = [
         (f"{hard} = 1", text(rules.ITA_HARD)),
-        (f"{app} = 0", text(rules.ITA_OTHER)),
-        (stalled, text(rules.ITA_STARTED)),
-        (f"{approved} = 1", text(rules.ITA_APPROVED)),
+        (f"{funnel} is null or not {app} <=> 1", text(rules.ITA_OTHER)),
+        (f"if({hard_only}, {hard}, {soft}) = 0", text(rules.ITA_STARTED)),
+        (f"{hard_only} or not {soft} <=> 1", text(rules.ITA_OTHER)),
+        (f"{approved} = 0", text(rules.ITA_SOFT)),
+        (f"{approved} = 1 and {hard} = 0", text(rules.ITA_APPROVED)),
     ]
-    return F.expr(cases(branches, text(rules.ITA_SOFT)))
+    return F.expr(cases(branches, text(rules.ITA_OTHER)))
 
 
 def ita_other_reason(matched: str, app: str, soft: str) -> Column:
-    """Why an ITA first visit has no stage."""
+    """Why an ITA first visit has no stage; NULL flags are an unexpected combination."""
     branches = [
         (f"{matched} = 0", text(rules.ITA_REASON_UNMATCHED)),
-        (f"{app} = 1", text(rules.ITA_REASON_UNEXPECTED)),
+        (f"{app} = 1 or {app} is null", text(rules.ITA_REASON_UNEXPECTED)),
         (f"{soft} = 1", text(rules.ITA_REASON_SOFT_ONLY)),
+        (f"{soft} = 0", text(rules.ITA_REASON_NOTHING)),
     ]
-    return F.expr(cases(branches, text(rules.ITA_REASON_NOTHING)))
+    return F.expr(cases(branches, text(rules.ITA_REASON_UNEXPECTED)))
 
 
 def pq_other_reason(first_time: str, first_visit: str, matched: str) -> Column:

@@ -27,14 +27,13 @@ def submit_days(interactions: DataFrame, key: str, window: DateWindow) -> DataFr
     )
 
 
-def with_later_activity(first: DataFrame, interactions: DataFrame, key: str, window: DateWindow) -> DataFrame:
+def with_later_activity(first: DataFrame, days: DataFrame, key: str) -> DataFrame:
     """Add whether, when and how long after the first visit day a key submitted.
 
-    ``first`` holds one row per key, from the same window. Interactions are reduced
-    to days with a submit before the join, so a key brings at most one row per day
-    of the window to it, and the grouping after it needs no further shuffle.
+    ``first`` holds one row per key, and ``days`` one per key and day with a submit, of the same window.
+    So a key brings at most one row per day of the window to the join, and the grouping after it needs no further shuffle.
     """
-    days = submit_days(interactions, key, window).withColumnRenamed(key, "_key")
+    days = days.withColumnRenamed(key, "_key")
     after = F.expr(f"{key} = _key and submit_date > to_date(first_interaction_time)")
     dates = [f"first_later_{e}_submit_date" for e in EVENTS]
     dated = (

@@ -15,18 +15,14 @@ def count_keys_by(
     key: str,
     name: str = "visitor_count",
     only: dict[str, Sequence[str]] | None = None,
-    unique: bool = False,
 ) -> DataFrame:
     """Distinct keys per combination of ``dims``, in order of the dimensions.
 
-    ``only`` keeps the listed values of a column. ``unique`` says that a key occurs
-    once per combination already: plain counting then gives the same number
-    without shuffling the keys themselves.
+    ``only`` keeps the listed values of a column.
     """
     for column, values in (only or {}).items():
         df = df.filter(F.col(column).isin(*values))
-    count = F.count(key) if unique else F.count_distinct(key)
-    return df.groupBy(*dims).agg(count.alias(name)).orderBy(*[F.col(d).asc_nulls_last() for d in dims])
+    return df.groupBy(*dims).agg(F.count_distinct(key).alias(name)).orderBy(*[F.col(d).asc_nulls_last() for d in dims])
 
 
 def with_total(counts: DataFrame, dim: str, measure: str) -> DataFrame:
@@ -45,8 +41,10 @@ def rows_for(df: DataFrame, column: str, value: object) -> DataFrame:
     """All rows of one entity.
 
     The value is brought to the column's type, not the other way round, so the
-    filter reaches the file scan; a value that does not fit matches no row.
+    filter reaches the file scan; a value that does not fit, or None, matches no row.
     """
+    if value is None:
+        return df.where("false")
     kind = df.schema[column].dataType
     return df.filter(F.col(column) == F.lit(str(value)).try_cast(kind))
 

@@ -8,7 +8,7 @@ per day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions import columns as C
 from footfall.functions.rules import BucketRules
@@ -42,8 +42,8 @@ def return_gap(daily: DataFrame, key: str) -> DataFrame:
     return return_summary(daily, key).filter("min_return_gap is not null").select(key, "min_return_gap")
 
 
-def return_summary(daily: DataFrame, key: str) -> DataFrame:
-    """One row per key: same-day maximum, and gap to the second active day.
+def return_summary(daily: DataFrame, key: str, *more: Column) -> DataFrame:
+    """One row per key: same-day maximum, gap to the second active day, and ``more`` aggregates of its days.
 
     The nearest later day is the second day in order, so looking one day ahead
     replaces joining the days to themselves. A key has at most one row per day of
@@ -56,6 +56,7 @@ def return_summary(daily: DataFrame, key: str) -> DataFrame:
         .agg(
             F.expr("max(visit_id_count) as max_visit_ids_in_day"),
             F.expr("date_diff(min_by(next_date, visit_date), min(visit_date)) as min_return_gap"),
+            *more,
         )
     )
 

@@ -1,8 +1,7 @@
 """First-touch and latest-row operators.
 
-The earliest row of a key is ``min`` over an ordered struct rather than a sorted
-window: the minimum combines on the map side, so a hot key costs one row per map
-task whatever its size.
+The earliest row of a key is ``min`` over an ordered struct rather than a sorted window. A struct with a text in it is aggregated by sorting, so the
+rows are first reduced by hash to one for each key, visit and funnel, with the time as the only measure; the struct sees only those.
 """
 
 from __future__ import annotations
@@ -27,11 +26,9 @@ def first_touch(
     ``audience`` only its keys are kept.
     """
     funnel = C.trimmed("funnel") if trim_funnel else "funnel"
-    touch = (
-        f"min(struct({ts} as time, visit_id is null as no_visit, visit_id as visit, "
-        f"{funnel} is null as no_funnel, {funnel} as funnel)) as touch"
-    )
-    first = rows.groupBy(key).agg(F.expr(touch))
+    reduced = rows.groupBy(key, F.col("visit_id").alias("visit"), F.expr(f"{funnel} as funnel")).agg(F.min(ts).alias("time"))
+    touch = "min(struct(time, visit is null as no_visit, visit, funnel is null as no_funnel, funnel)) as touch"
+    first = reduced.groupBy(key).agg(F.expr(touch))
     if audience is not None:
         first = restrict_to(first, audience, key)
     return first.selectExpr(

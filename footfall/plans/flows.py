@@ -19,15 +19,17 @@ def build_visitor_tables(
     traffic_years: DateWindow = DEFAULT_YEARS,
     application_years: DateWindow = DEFAULT_YEARS,
 ) -> dict[str, DataFrame]:
-    """Replace the four visitor tables; returns them as stored."""
+    """Replace the visit summary and the four visitor tables; returns them as stored. The interactions are read once."""
     lookup = store.replace(
         "visitor_cust_type",
         custtype.visitor_cust_type(traffic_visits, applications, traffic_years, application_years),
     )
-    repeat = store.replace("repeat_visitors", jobs.repeat_visitors(interactions, grain))
-    ita = jobs.visitor_ita(interactions, repeat, lookup, grain, same_source=True, unique_lookup=True)
-    pq = jobs.visitor_pq(interactions, repeat, lookup, grain, same_source=True, unique_lookup=True)
+    visits = store.replace("visitor_visits", jobs.visit_summary(interactions, grain))
+    repeat = store.replace("repeat_visitors", jobs.repeat_visitors(visits, grain))
+    ita = jobs.visitor_ita(visits, repeat, lookup, grain)
+    pq = jobs.visitor_pq(visits, repeat, lookup, grain)
     return {
+        "visitor_visits": visits,
         "visitor_cust_type": lookup,
         "repeat_visitors": repeat,
         "visitor_ita": store.replace("visitor_ita", ita),
@@ -43,12 +45,17 @@ def build_person_tables(
     grain: Grain = PERSON,
     years: DateWindow = DEFAULT_YEARS,
 ) -> dict[str, DataFrame]:
-    """Replace the four person tables; returns them as stored. ITA includes later activity."""
+    """Replace the visit summary and the four person tables; returns them as stored. ITA includes later activity.
+
+    The interactions are read twice: for the summary, and over other years for the customer types.
+    """
     lookup = store.replace("person_cust_type", custtype.person_cust_type(interactions, applications, years))
-    classified = store.replace("person_funnel_type", jobs.person_funnel_type(returning_population, interactions, grain))
-    ita = jobs.person_ita_later(interactions, classified, lookup, grain)
-    pq = jobs.person_pq(interactions, classified, lookup, grain)
+    visits = store.replace("person_visits", jobs.visit_summary(interactions, grain))
+    classified = store.replace("person_funnel_type", jobs.person_funnel_type(returning_population, visits, grain))
+    ita = jobs.person_ita_later(visits, classified, lookup, grain)
+    pq = jobs.person_pq(visits, classified, lookup, grain)
     return {
+        "person_visits": visits,
         "person_cust_type": lookup,
         "person_funnel_type": classified,
         "person_ita": store.replace("person_ita", ita),

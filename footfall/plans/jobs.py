@@ -2,7 +2,9 @@
 
 Every job takes its input tables as DataFrames and returns a DataFrame; nothing
 runs until the caller writes or reads the result. The same code serves the visitor
-and the person grain.
+and the person grain. Where a job takes ``visits``, it takes the interactions, or the
+visit summary that ``visit_summary`` makes of them for the same grain, and sees the
+same rows either way.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from footfall.functions import columns as C, rules
-from footfall.operators import custtype, later, reports, returns as R, stages, touch as T
+from footfall.operators import custtype, later, reports, returns as R, stages, visits as V
 from footfall.params import VISITOR, Grain
 
 
@@ -43,10 +45,9 @@ def _known(interactions: DataFrame, grain: Grain) -> DataFrame:
     return rows.filter(f"{grain.key} is not null")
 
 
-def _first_visit_rows(interactions: DataFrame, grain: Grain) -> DataFrame:
-    """Rows that may make up a first visit."""
-    rows = R.slice_window(interactions, "interaction_date", grain.window)
-    return rows.filter("visitor_flag = 1") if grain.flagged_only else rows
+def visit_summary(interactions: DataFrame, grain: Grain) -> DataFrame:
+    """The interactions of the window, by key, day, visit, funnel and visitor flag; one scan that serves all jobs of the grain."""
+    return V.visits_of(interactions, grain)
 
 
 def return_buckets(interactions: DataFrame, grain: Grain = VISITOR) -> DataFrame:
@@ -71,22 +72,24 @@ def return_bucket_report(interactions: DataFrame, grain: Grain = VISITOR) -> Dat
     return reports.formatted(total, "visitor_count").orderBy("return_bucket")
 
 
-def repeat_visitors(interactions: DataFrame, grain: Grain = VISITOR) -> DataFrame:
+def repeat_visitors(visits: DataFrame, grain: Grain = VISITOR) -> DataFrame:
     """Keys that came back, with return bucket, first touch and audience group.
 
-    Buckets and first touch both end up partitioned by the key, so joining them
-    shuffles nothing.
+    Days carry their earliest visit along, so buckets and first touch come out of the same grouping.
     """
-    returned = return_buckets(interactions, grain).filter(F.col("return_bucket") != grain.buckets.none)
-    first = T.first_touch(_known(interactions, grain), grain.key, grain.trim_funnel)
-    return (
-        returned.select(grain.key, "return_bucket")
-        .join(first, grain.key)
-        .withColumn("first_visit_group", C.funnel_group("first_visit_funnel"))
+    daily = (
+        V.visits_of(visits, grain)
+        .groupBy(grain.key, F.col("day").alias("visit_date"))
+        .agg(F.expr("count(distinct visit_id) as visit_id_count"), V.touch(grain.trim_funnel))
+    )
+    summary = R.return_summary(daily, grain.key, F.expr("min(touch) as touch"))
+    returned = R.with_bucket(summary, grain.buckets).filter(F.col("return_bucket") != grain.buckets.none)
+    return returned.select(grain.key, "return_bucket", *V.touched(grain.trim_funnel)).withColumn(
+        "first_visit_group", C.funnel_group("first_visit_funnel")
     )
 
 
-def person_funnel_type(population: DataFrame, interactions: DataFrame, grain: Grain) -> DataFrame:
+def person_funnel_type(population: DataFrame, visits: DataFrame, grain: Grain) -> DataFrame:
     """Returning population with the funnel and group of each first interaction.
 
     Someone without a flagged interaction in the window stays, ``Unmapped``.
@@ -96,8 +99,7 @@ def person_funnel_type(population: DataFrame, interactions: DataFrame, grain: Gr
         .select(grain.key, "return_bucket")
         .distinct()
     )
-    rows = _first_visit_rows(interactions, grain)
-    first = T.first_touch(rows, grain.key, grain.trim_funnel, audience=returning)
+    first = V.first_touch(V.flagged(V.visits_of(visits, grain), grain), grain.key, grain.trim_funnel, returning)
     return (
         returning.join(first, grain.key, "left")
         .select(grain.key, "return_bucket", "first_interaction_time", "first_visit_funnel")
@@ -105,102 +107,55 @@ def person_funnel_type(population: DataFrame, interactions: DataFrame, grain: Gr
     )
 
 
-FIRST_VISIT = ("first_visit_id", "first_interaction_time", "first_visit_funnel")
-
-
-def _group(classified: DataFrame, group: str) -> DataFrame:
+def _audience(classified: DataFrame, group: str) -> DataFrame:
     return classified.filter(F.col("first_visit_group") == group)
 
 
-def _ita_stages(first: DataFrame, interactions: DataFrame, grain: Grain) -> DataFrame:
-    """Stages of the first visits in ``first``; whatever else it holds comes last.
-
-    What is looked up by the key alone belongs into ``first``: the join with the
-    visits, by key and visit, is then the only one that moves it.
-    """
-    rows = _first_visit_rows(interactions, grain)
-    staged = stages.with_ita_category(stages.first_visit_activity(first, rows, grain.key, stages.ita_flags()))
-    return _extras_last(staged, first, grain)
-
-
-def _pq_stages(first: DataFrame, interactions: DataFrame, grain: Grain) -> DataFrame:
-    """The same for PQ."""
-    rows = _first_visit_rows(interactions, grain)
-    activity = stages.first_visit_activity(first, rows, grain.key, stages.pq_flags())
-    ordered = activity.select(*first.columns, "matched_first_visit_rows", "hard_submitted")
-    return _extras_last(stages.with_pq_category(ordered), first, grain)
+def _first_visits(visits: DataFrame, audience: DataFrame, grain: Grain) -> DataFrame:
+    """First visits of the audience's keys that have rows in the window, with what happened in them."""
+    return V.first_visits(V.flagged(V.visits_of(visits, grain), grain), grain.key, audience=audience)
 
 
-def _extras_last(staged: DataFrame, first: DataFrame, grain: Grain) -> DataFrame:
-    extras = [c for c in first.columns if c not in (grain.key, *FIRST_VISIT)]
-    return staged.select(*[c for c in staged.columns if c not in extras], *extras)
+def _ita(visits: DataFrame, classified: DataFrame, grain: Grain) -> DataFrame:
+    """First visits of the ITA audience with their stage."""
+    return stages.with_ita_category(_first_visits(visits, _audience(classified, rules.ITA), grain))
 
 
-def _ita_first(interactions: DataFrame, classified: DataFrame, grain: Grain) -> DataFrame:
-    """First visits of the ITA keys that have rows in the window."""
-    rows = _first_visit_rows(interactions, grain)
-    return T.first_touch(rows, grain.key, audience=_group(classified, rules.ITA))
-
+def _pq(visits: DataFrame, classified: DataFrame, grain: Grain) -> DataFrame:
+    """First visits of all PQ keys, NULL for those without rows in the window, with their stage."""
+    keys = _audience(classified, rules.PQ).select(grain.key).distinct()
+    first = keys.join(_first_visits(visits, keys, grain), grain.key, "left").selectExpr(
+        grain.key,
+        "first_visit_id",
+        "first_interaction_time",
+        "first_visit_funnel",
+        "coalesce(matched_first_visit_rows, 0L) as matched_first_visit_rows",
+        "coalesce(hard_submitted, 0) as hard_submitted",
+    )
+    return stages.with_pq_category(first)
 
-def _pq_first(interactions: DataFrame, classified: DataFrame, grain: Grain) -> DataFrame:
-    """First visits of all PQ keys, NULL for those without rows in the window."""
-    audience = _group(classified, rules.PQ).select(grain.key).distinct()
-    return audience.join(T.first_touch(_first_visit_rows(interactions, grain), grain.key), grain.key, "left")
 
+def visitor_ita(visits: DataFrame, repeat: DataFrame, lookup: DataFrame, grain: Grain = VISITOR) -> DataFrame:
+    """ITA audience with stage and summarised customer type."""
+    return custtype.attach_summary(_ita(visits, repeat, grain), lookup, grain.key)
 
-def visitor_ita(
-    interactions: DataFrame,
-    repeat: DataFrame,
-    lookup: DataFrame,
-    grain: Grain = VISITOR,
-    same_source: bool = False,
-    unique_lookup: bool = False,
-) -> DataFrame:
-    """ITA audience with stage and summarised customer type.
 
-    ``same_source`` says that ``repeat`` was built by ``repeat_visitors`` from the
-    same interactions and grain. Its first visits are then taken as they are, which
-    spares a scan and a shuffle; otherwise they are found again.
-    """
-    if same_source:
-        first = _group(repeat, rules.ITA).select(grain.key, *FIRST_VISIT)
-    else:
-        first = _ita_first(interactions, repeat, grain)
-    return _ita_stages(custtype.attach_summary(first, lookup, grain.key, unique_lookup), interactions, grain)
-
-
-def visitor_pq(
-    interactions: DataFrame,
-    repeat: DataFrame,
-    lookup: DataFrame,
-    grain: Grain = VISITOR,
-    same_source: bool = False,
-    unique_lookup: bool = False,
-) -> DataFrame:
-    """PQ audience with stage and summarised customer type; ``same_source`` as in ``visitor_ita``."""
-    if same_source:
-        first = _group(repeat, rules.PQ).select(grain.key, *FIRST_VISIT)
-    else:
-        first = _pq_first(interactions, repeat, grain)
-    return _pq_stages(custtype.attach_summary(first, lookup, grain.key, unique_lookup), interactions, grain)
+def visitor_pq(visits: DataFrame, repeat: DataFrame, lookup: DataFrame, grain: Grain = VISITOR) -> DataFrame:
+    """PQ audience with stage and summarised customer type."""
+    return custtype.attach_summary(_pq(visits, repeat, grain), lookup, grain.key)
 
 
-def person_ita(interactions: DataFrame, classified: DataFrame, lookup: DataFrame, grain: Grain) -> DataFrame:
+def person_ita(visits: DataFrame, classified: DataFrame, lookup: DataFrame, grain: Grain) -> DataFrame:
     """ITA audience with stage and customer type as looked up (NULL when unmatched)."""
-    first = custtype.attach_type(_ita_first(interactions, classified, grain), lookup, grain.key)
-    return _ita_stages(first, interactions, grain)
+    return custtype.attach_type(_ita(visits, classified, grain), lookup, grain.key)
 
 
-def person_ita_later(interactions: DataFrame, classified: DataFrame, lookup: DataFrame, grain: Grain) -> DataFrame:
+def person_ita_later(visits: DataFrame, classified: DataFrame, lookup: DataFrame, grain: Grain) -> DataFrame:
     """``person_ita`` with the submits after the first visit day."""
-    first = custtype.attach_type(_ita_first(interactions, classified, grain), lookup, grain.key)
-    followed = later.with_later_activity(first, interactions, grain.key, grain.window)
-    return _ita_stages(followed, interactions, grain)
+    days = V.submit_days(V.visits_of(visits, grain), grain.key)
+    return later.with_later_activity(person_ita(visits, classified, lookup, grain), days, grain.key)
 
 
-def person_pq(interactions: DataFrame, classified: DataFrame, lookup: DataFrame, grain: Grain) -> DataFrame:
+def person_pq(visits: DataFrame, classified: DataFrame, lookup: DataFrame, grain: Grain) -> DataFrame:
     """PQ audience with stage, customer type and whether one was found."""
-    first = custtype.attach_type(
-        _pq_first(interactions, classified, grain), lookup, grain.key, default=rules.UNKNOWN
-    )
-    return _pq_stages(first, interactions, grain)
+    return custtype.attach_type(_pq(visits, classified, grain), lookup, grain.key, default=rules.UNKNOWN)

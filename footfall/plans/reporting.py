@@ -1,7 +1,6 @@
 """Reports, audits and look-ups over the inputs and over the tables the jobs build.
 
-Reports count distinct keys. The audience tables hold one row per key; for them
-``unique=True`` counts rows instead, which spares shuffling the keys.
+Reports count distinct keys.
 """
 
 from __future__ import annotations
@@ -47,43 +46,36 @@ def ita_by_type(
     ita: DataFrame,
     key: str,
     categories: tuple[str, ...] | None = (rules.ITA_STARTED, rules.ITA_APPROVED),
-    unique: bool = False,
 ) -> DataFrame:
     """Keys per ITA category and customer type; ``categories=None`` keeps all."""
     only = {CATEGORY: categories} if categories else None
-    return O.count_keys_by(ita, [CATEGORY, "cust_type"], key, only=only, unique=unique)
+    return O.count_keys_by(ita, [CATEGORY, "cust_type"], key, only=only)
 
 
 def pq_by_type(
-    pq: DataFrame, key: str, categories: tuple[str, ...] | None = (rules.PQ_NO_HARD,), unique: bool = False
+    pq: DataFrame, key: str, categories: tuple[str, ...] | None = (rules.PQ_NO_HARD,)
 ) -> DataFrame:
     """Keys per PQ category and customer type; ``categories=None`` keeps all."""
-    return ita_by_type(pq, key, categories, unique)
+    return ita_by_type(pq, key, categories)
 
 
-def by_category(audience: DataFrame, key: str, unique: bool = False) -> DataFrame:
+def by_category(audience: DataFrame, key: str) -> DataFrame:
     """Keys per category."""
-    return O.count_keys_by(audience, [CATEGORY], key, unique=unique)
+    return O.count_keys_by(audience, [CATEGORY], key)
 
 
-def ita_other_reasons(ita: DataFrame, key: str, unique: bool = False) -> DataFrame:
+def ita_other_reasons(ita: DataFrame, key: str) -> DataFrame:
     """Why ITA first visits have no stage, by funnel, most first."""
     reason = C.ita_other_reason("matched_first_visit_rows", "app_started", "soft_submitted")
     others = ita.filter(F.col(CATEGORY) == rules.ITA_OTHER).withColumn("other_reason", reason)
     dims = ["first_visit_funnel", "other_reason"]
-    counts = O.count_keys_by(others, dims, key, unique=unique)
+    counts = O.count_keys_by(others, dims, key)
     return counts.orderBy(F.desc("visitor_count"), *dims)
 
 
-def return_bucket_by_group(classified: DataFrame, key: str, unique: bool = False) -> DataFrame:
-    """Keys per return bucket and audience group.
-
-    A key may be in several buckets. It is once in each, so ``unique`` fits the table
-    that ``person_funnel_type`` builds.
-    """
-    return O.count_keys_by(
-        classified, ["return_bucket", "first_visit_group"], key, name="returning_visitors", unique=unique
-    )
+def return_bucket_by_group(classified: DataFrame, key: str) -> DataFrame:
+    """Keys per return bucket and audience group."""
+    return O.count_keys_by(classified, ["return_bucket", "first_visit_group"], key, name="returning_visitors")
 
 
 def later_submit_report(ita_later: DataFrame) -> DataFrame:

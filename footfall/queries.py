@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import date
+from datetime import date, timedelta
 from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.functions import rules
-from footfall.operators import custtype, later, reports as O, returns as R, stages, touch as T
+from footfall.operators import custtype, later, reports as O, returns as R, stages, touch as T, visits as V
 from footfall.params import PERSON, VISITOR, DateWindow
 from footfall.plans import jobs, reporting
 from footfall.sources import testdata
@@ -22,6 +22,7 @@ APPLICATION_YEARS = DateWindow.years(1996, 1998)
 PERSON_YEARS = DateWindow.years(1996, 1997)
 TRAFFIC_YEARS = DateWindow.years(2024, 2024)
 AS_OF = date(2001, 8, 1)
+OFFER_WINDOW = DateWindow(AS_OF - timedelta(days=30), date(9999, 12, 31))
 VISITOR_ID = 7
 CUSTOMER_ID = "7"
 PERSON_ID = "7"
@@ -38,8 +39,8 @@ class Data:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._table = cache(lambda name: testdata.table(spark, sf_dir, name))
 
-    def interactions(self, window: DateWindow | None = None) -> DataFrame:
-        return testdata.interactions(self._table("orders"), self._table("lineitem"), window)
+    def interactions(self, window: DateWindow | None = None, person: str | None = None) -> DataFrame:
+        return testdata.interactions(self._table("orders"), self._table("lineitem"), window, person)
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -73,6 +74,10 @@ class Data:
     def repeat_visitors(self) -> DataFrame:
         return jobs.repeat_visitors(self.rows, VISITOR_GRAIN)
 
+    @cached_property
+    def wide_repeat_visitors(self) -> DataFrame:
+        return jobs.repeat_visitors(self.interactions(WIDE_WINDOW), WIDE_GRAIN)
+
     @cached_property
     def person_funnel_type(self) -> DataFrame:
         population = testdata.returning_population(self.rows, POPULATION_GRAIN)
@@ -80,25 +85,11 @@ class Data:
 
     @cached_property
     def visitor_ita(self) -> DataFrame:
-        return jobs.visitor_ita(
-            self.rows,
-            self.repeat_visitors,
-            self.visitor_cust_type,
-            VISITOR_GRAIN,
-            same_source=True,
-            unique_lookup=True,
-        )
+        return jobs.visitor_ita(self.rows, self.repeat_visitors, self.visitor_cust_type, VISITOR_GRAIN)
 
     @cached_property
     def visitor_pq(self) -> DataFrame:
-        return jobs.visitor_pq(
-            self.rows,
-            self.repeat_visitors,
-            self.visitor_cust_type,
-            VISITOR_GRAIN,
-            same_source=True,
-            unique_lookup=True,
-        )
+        return jobs.visitor_pq(self.rows, self.repeat_visitors, self.visitor_cust_type, VISITOR_GRAIN)
 
     @cached_property
     def person_ita(self) -> DataFrame:
@@ -120,7 +111,7 @@ def _first(*columns: str):
 _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     # Returns and pages
     "url_map_visitors": lambda d: jobs.url_map_visitors(d.interactions()),
-    "recent_offer_cookies": lambda d: jobs.recent_offer_cookies(d.interactions(), AS_OF),
+    "recent_offer_cookies": lambda d: jobs.recent_offer_cookies(d.interactions(OFFER_WINDOW), AS_OF),
     "return_bucket_detail": lambda d: jobs.return_bucket_detail(d.rows, VISITOR_GRAIN),
     "return_bucket_detail_wide": lambda d: jobs.return_bucket_detail(d.interactions(WIDE_WINDOW), WIDE_GRAIN),
     "return_bucket_report": lambda d: jobs.return_bucket_report(d.rows, VISITOR_GRAIN),
@@ -138,22 +129,22 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     # Visitor audiences
     "repeat_visitors": lambda d: d.repeat_visitors,
     "visitor_ita": lambda d: d.visitor_ita,
-    "visitor_ita_by_type": lambda d: reporting.ita_by_type(d.visitor_ita, "visitor_id", unique=True),
-    "visitor_ita_by_category": lambda d: reporting.by_category(d.visitor_ita, "visitor_id", unique=True),
-    "visitor_ita_other_reasons": lambda d: reporting.ita_other_reasons(d.visitor_ita, "visitor_id", unique=True),
+    "visitor_ita_by_type": lambda d: reporting.ita_by_type(d.visitor_ita, "visitor_id"),
+    "visitor_ita_by_category": lambda d: reporting.by_category(d.visitor_ita, "visitor_id"),
+    "visitor_ita_other_reasons": lambda d: reporting.ita_other_reasons(d.visitor_ita, "visitor_id"),
     "visitor_pq": lambda d: d.visitor_pq,
-    "visitor_pq_by_type": lambda d: reporting.pq_by_type(d.visitor_pq, "visitor_id", unique=True),
-    "visitor_pq_by_category": lambda d: reporting.by_category(d.visitor_pq, "visitor_id", unique=True),
+    "visitor_pq_by_type": lambda d: reporting.pq_by_type(d.visitor_pq, "visitor_id"),
+    "visitor_pq_by_category": lambda d: reporting.by_category(d.visitor_pq, "visitor_id"),
     # Person audiences
     "person_funnel_type": lambda d: d.person_funnel_type,
-    "return_bucket_by_group": lambda d: reporting.return_bucket_by_group(d.person_funnel_type, "person", unique=True),
+    "return_bucket_by_group": lambda d: reporting.return_bucket_by_group(d.person_funnel_type, "person"),
     "person_ita": lambda d: d.person_ita,
-    "person_ita_by_type": lambda d: reporting.ita_by_type(d.person_ita, "person", categories=None, unique=True),
+    "person_ita_by_type": lambda d: reporting.ita_by_type(d.person_ita, "person", categories=None),
     "person_pq": lambda d: d.person_pq,
-    "person_pq_by_type": lambda d: reporting.pq_by_type(d.person_pq, "person", categories=None, unique=True),
+    "person_pq_by_type": lambda d: reporting.pq_by_type(d.person_pq, "person", categories=None),
     "person_ita_later": lambda d: d.person_ita_later,
     "later_submit_report": lambda d: reporting.later_submit_report(d.person_ita_later),
-    "interactions_for": lambda d: O.rows_for(d.interactions(), "person", PERSON_ID),
+    "interactions_for": lambda d: O.rows_for(d.interactions(person=PERSON_ID), "person", PERSON_ID),
     # Single operators, over all keys
     "daily_visits": lambda d: R.daily_visits(d.known_rows, "visitor_id"),
     "first_date": lambda d: R.first_date(R.daily_visits(d.known_rows, "visitor_id"), "visitor_id"),
@@ -174,8 +165,23 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "visitor_ita_all_candidates": lambda d: jobs.visitor_ita(
         d.rows, d.repeat_visitors, d.visitor_candidates, VISITOR_GRAIN
     ),
+    "visitor_ita_second_type": lambda d: jobs.visitor_ita(
+        d.rows, d.repeat_visitors, testdata.with_second_type(d.visitor_cust_type), VISITOR_GRAIN
+    ),
+    "cust_type_summary_second_type": lambda d: custtype.cust_type_summary(
+        testdata.with_second_type(d.visitor_cust_type), "visitor_id"
+    ),
+    # Audiences that reach beyond the window of their interactions
+    "visitor_ita_wider_repeat": lambda d: jobs.visitor_ita(
+        d.rows, d.wide_repeat_visitors, d.visitor_cust_type, VISITOR_GRAIN
+    ),
+    "visitor_pq_wider_repeat": lambda d: jobs.visitor_pq(
+        d.rows, d.wide_repeat_visitors, d.visitor_cust_type, VISITOR_GRAIN
+    ),
+    "visit_summary": lambda d: jobs.visit_summary(d.rows, VISITOR_GRAIN),
+    "first_visits": lambda d: V.first_visits(jobs.visit_summary(d.rows, VISITOR_GRAIN), "visitor_id"),
     "later_activity": lambda d: later.with_later_activity(
-        T.first_touch(d.known_rows, "person"), d.rows, "person", WINDOW
+        T.first_touch(d.known_rows, "person"), later.submit_days(d.rows, "person", WINDOW), "person"
     ),
     # Previews, in a fixed order so that they can be checked
     "sample_cookie_summary": lambda d: O.sample_rows(

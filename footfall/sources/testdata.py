@@ -1,7 +1,7 @@
 """Adapter: the generated test tables seen as the logical input tables.
 
 A visitor is a customer, a visit an order, an interaction a line item. The
-expressions are those of FIXTURES.md; ``oracle/inputs.sql`` states them again in SQL.
+expressions are those of FIXTURES.md; ``oracle/statements.py`` states them again in SQL.
 """
 
 from __future__ import annotations
@@ -48,12 +48,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def interactions(orders: DataFrame, lineitem: DataFrame, window: DateWindow | None = None) -> DataFrame:
-    """All interactions; with ``window``, those the window needs (and possibly more).
+def interactions(
+    orders: DataFrame, lineitem: DataFrame, window: DateWindow | None = None, person: str | None = None
+) -> DataFrame:
+    """All interactions; with ``window`` or ``person``, those that these need (and possibly more).
 
-    The date of an interaction is computed, so a filter on it cannot reach the scan
-    of the orders. The implied bound on the order date can.
+    The date and the person of an interaction are computed, so a filter on them cannot reach the scan
+    of the orders. The implied bounds on the order date and the customer can.
     """
+    if person is not None:
+        orders = orders.filter(F.col("o_custkey") == F.lit(person).try_cast("bigint"))
     if window:
         orders = orders.filter(C.in_window("o_orderdate", DateWindow(window.start - LINE_ITEM_SLACK, window.end)))
     return lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
@@ -112,3 +116,9 @@ def returning_population(rows: DataFrame, grain: Grain) -> DataFrame:
 
 def cookie_summary(rows: DataFrame) -> DataFrame:
     return rows.select("cookie_id", "visitor_id").distinct()
+
+
+def with_second_type(lookup: DataFrame) -> DataFrame:
+    """The lookup with another customer type for every fifth visitor."""
+    types = "explode(if(visitor_id % 5 = 0, array(cust_type, 'SECOND'), array(cust_type))) as cust_type"
+    return lookup.selectExpr("visitor_id", "customer_id", "cust_id", types, "visit_date")

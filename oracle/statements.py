@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+# Labels, codes and patterns below are fixed values: results are compared by them.
+
 W13 = "interaction_date >= timestamp '1996-01-01' and interaction_date < timestamp '1997-02-01'"
 WALL = "interaction_date >= timestamp '1995-01-01' and interaction_date < timestamp '2002-01-01'"
 
@@ -203,6 +205,17 @@ RELATIONS = {
     "visitor_pq_stage": _pq("visitor_id", "visitor_pq_activity"),
     "visitor_ita": _with_summary("visitor_ita_stage"),
     "visitor_pq": _with_summary("visitor_pq_stage"),
+    "first_wide": _first("visitor_id", WALL),
+    "repeat_wide": f"""
+        select visitor_id, {_group("first_funnel")} as first_visit_group
+        from visitor_buckets_wide join first_wide using (visitor_id) where return_bucket not like '7.%'""",
+    "visitor_ita_wide": _activity("visitor_id", W13, "repeat_wide", "ITA"),
+    "visitor_pq_wide": _activity("visitor_id", W13, "repeat_wide", "PQ"),
+    "visitor_ita_wide_stage": _ita("visitor_id", "visitor_ita_wide"),
+    "visitor_pq_wide_stage": _pq("visitor_id", "visitor_pq_wide"),
+    "second_types": """
+        select * from visitor_cust_type union all
+        select visitor_id, customer_id, cust_id, 'SECOND', visit_date from visitor_cust_type where visitor_id % 5 = 0""",
     # person audiences
     "returning_population": _buckets("person", W13, none="7. No repeat identified"),
     "first_flagged": _first("person", f"{W13} and visitor_flag = 1", funnel="funnel"),
@@ -363,6 +376,25 @@ STATEMENTS = {
                     when cust_type_count > 1 then 'Multiple customer types'
                     else coalesce(max(nullif(upper(trim(cust_type)), '')), 'Unknown') end as cust_type
         from visitor_candidates group by visitor_id""",
+    "cust_type_summary_second_type": """
+        select visitor_id, count(distinct nullif(trim(customer_id), '')) as customer_id_count,
+               count(distinct nullif(upper(trim(cust_type)), '')) as cust_type_count,
+               case when customer_id_count > 1 then 'Multiple customer IDs'
+                    when cust_type_count > 1 then 'Multiple customer types'
+                    else coalesce(max(nullif(upper(trim(cust_type)), '')), 'Unknown') end as cust_type
+        from second_types group by visitor_id""",
+    "visitor_ita_second_type": _with_summary("visitor_ita_stage", "second_types"),
+    "visitor_ita_wider_repeat": _with_summary("visitor_ita_wide_stage"),
+    "visitor_pq_wider_repeat": _with_summary("visitor_pq_wide_stage"),
+    "visit_summary": f"""
+        select visitor_id, cast(interaction_date as date) as day, visit_id, funnel, visitor_flag,
+               min(interaction_date) as first_time,
+               cast(coalesce(bool_or({_STARTED}), false) as integer) as app_started,
+               cast(coalesce(bool_or(soft_submit_flag = 1), false) as integer) as soft_submitted,
+               cast(coalesce(bool_or(soft_approval_flag = 1), false) as integer) as soft_approved,
+               cast(coalesce(bool_or(hard_submit_flag = 1), false) as integer) as hard_submitted,
+               count(*) as row_count
+        from interactions where {W13} and visitor_id is not null group by all""",
     "visitor_ita_all_candidates": _with_summary("visitor_ita_stage", "visitor_candidates"),
     "later_activity": f"""
         select * exclude (soft_day, hard_day, day0),
@@ -388,6 +420,9 @@ STATEMENTS = {
 }
 
 
+STATEMENTS["first_visits"] = STATEMENTS["first_visit_activity"]
+
+
 def _needed(sql: str) -> list[str]:
     """Relations ``sql`` uses, directly or not, in order of definition."""
     names = {n for n in RELATIONS if re.search(rf"\b(?:from|join)\s+{n}\b", sql)}

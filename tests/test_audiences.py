@@ -6,7 +6,7 @@ from dataclasses import replace
 
 import pytest
 
-from footfall.operators import custtype, stages, touch as T
+from footfall.operators import custtype, stages, touch as T, visits as V
 from footfall.params import PERSON, VISITOR
 from footfall.plans import jobs, reporting
 from footfall.sources import schemas
@@ -157,11 +157,6 @@ def test_customer_type_summary(spark):
         (1, "NEW", 1, 1), (2, "Multiple customer IDs", 2, 2), (3, "Multiple customer types", 1, 2),
         (4, "Unknown", 0, 0), (5, "OLD", 0, 1),
     }
-    single = lookup(spark, [dict(visitor_id=i, customer_id=c, cust_type=t) for i, (_, c, t) in enumerate(rows)])
-    grouped = custtype.cust_type_summary(single, "visitor_id")
-    direct = custtype.cust_type_summary(single, "visitor_id", unique=True)
-    assert grouped.schema == direct.schema or grouped.dtypes == direct.dtypes
-    assert grouped.exceptAll(direct).count() == direct.exceptAll(grouped).count() == 0
 
 
 def test_person_cust_type(spark):
@@ -261,11 +256,59 @@ def test_person_pq_tells_matched_from_unknown(spark):
 
 
 @pytest.mark.parametrize("name", ["visitor_ita", "visitor_pq"])
-def test_unique_flag_changes_nothing(spark, name):
+def test_lookup_with_several_rows_adds_none(spark, name):
     rows = interactions(spark, [hit(k, "2025-03-01 10:00", 1, funnel="X", gen_url="/apply") for k in range(9)])
     group = "ITA" if name == "visitor_ita" else "PQ"
-    table = getattr(jobs, name)(rows, repeat(spark, group, range(9)), lookup(spark), GRAIN)
-    counted = reporting.by_category(table, "visitor_id").collect()
-    assert counted == reporting.by_category(table, "visitor_id", unique=True).collect()
-    assert sum(r[1] for r in counted) == 9
+    several = lookup(spark, [dict(visitor_id=k, customer_id=str(c), cust_type="NEW") for k in range(9) for c in range(2)])
+    table = getattr(jobs, name)(rows, repeat(spark, group, range(9)), several, GRAIN)
+    assert {r.cust_type for r in table.collect()} == {"Multiple customer IDs"} and table.count() == 9
+    assert sum(r[1] for r in reporting.by_category(table, "visitor_id").collect()) == 9
     assert [f.name for f in schemas.contract(name)] == table.columns
+
+
+@pytest.mark.parametrize("name", ["visitor_ita", "visitor_pq"])
+def test_repeat_table_of_a_wider_window_adds_no_rows_from_outside(spark, name):
+    """First visits come from the interactions given, whatever the repeat table says."""
+    rows = interactions(spark, [hit(1, "2025-03-05 10:00", 2, funnel="X", hard_submit_flag=1), hit(2, "2024-03-01 10:00", 1)])
+    group = "ITA" if name == "visitor_ita" else "PQ"
+    got = keyed(getattr(jobs, name)(rows, repeat(spark, group, [1, 2]), lookup(spark), GRAIN), "visitor_id")
+    assert got[1]["first_visit_id"] == 2 and got[1]["hard_submitted"] == 1
+    if name == "visitor_pq":
+        assert got[2]["other_reason"] == "No source records in date window"
+    else:
+        assert set(got) == {1}
+
+
+@pytest.mark.parametrize("grain", [GRAIN, PERSONS])
+def test_jobs_see_the_same_through_the_visit_summary(spark, grain):
+    rows = interactions(
+        spark,
+        [
+            hit(v, f"2025-0{1 + (v * k) % 9}-{1 + (v + k) % 5:02} {k % 24:02}:{k:02}", None if k % 7 == 0 else k % 4, funnel=["PQ_OMF", " CK_EA", None, ""][k % 4],
+                gen_url=["/apply", None][k % 2], soft_submit_flag=[0, 1, None][k % 3], soft_approval_flag=k % 2, hard_submit_flag=int(k == 11), visitor_flag=int(k % 5 > 0))
+            for v in range(1, 12) for k in range(14)
+        ] + [hit(None, "2025-03-01 10:00", 1), hit(3, "2027-01-01 10:00", 1), hit(5, "2025-05-05 23:59", 9), hit(5, "2025-05-06 00:01", 9, hard_submit_flag=1)],
+    )
+    summary = jobs.visit_summary(rows, grain)
+    assert summary.agg({"row_count": "sum"}).first()[0] == 11 * 14 + 2
+    key = grain.key
+    audience = rows.select(key).distinct().selectExpr(key, "'b' as return_bucket", f"if(crc32(cast({key} as string)) % 2 = 0, 'ITA', 'PQ') as first_visit_group")
+    if grain is PERSONS:
+        made = [lambda t: jobs.person_ita_later(t, audience, types(spark, []), grain), lambda t: jobs.person_pq(t, audience, types(spark, []), grain)]
+    else:
+        made = [lambda t: jobs.repeat_visitors(t, grain), lambda t: jobs.visitor_ita(t, audience, lookup(spark), grain), lambda t: jobs.visitor_pq(t, audience, lookup(spark), grain)]
+    for make in made:
+        direct, derived = sorted(map(str, make(rows).collect())), sorted(map(str, make(summary).collect()))
+        assert direct == derived and direct
+
+
+def test_first_visits_agree_with_first_touch_and_activity(spark):
+    rows = interactions(
+        spark,
+        [hit(v, f"2025-01-0{1 + (v + k) % 3} 0{k % 3}:00", None if (v + k) % 4 == 0 else (v * k) % 3, funnel=[None, " a", "b", ""][k % 4], gen_url="/apply" if k % 3 else None, soft_submit_flag=k % 2) for v in range(30) for k in range(9)],
+    )
+    for trim in (True, False):
+        first = T.first_touch(rows, "visitor_id", trim)
+        expected = stages.first_visit_activity(first, rows, "visitor_id", stages.ita_flags())
+        got = V.first_visits(jobs.visit_summary(rows, GRAIN), "visitor_id", trim)
+        assert got.columns == expected.columns and got.exceptAll(expected).count() == expected.exceptAll(got).count() == 0

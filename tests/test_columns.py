@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.functions import columns as C, rules
-from footfall.params import DateWindow
+from footfall.params import DateWindow, YearSet
 from tests.data import at
 
 
@@ -130,6 +130,34 @@ def test_ita_category_truth_table(spark):
     assert labels == {rules.ITA_STARTED, rules.ITA_APPROVED, rules.ITA_SOFT, rules.ITA_HARD, rules.ITA_OTHER}
 
 
+def test_ita_category_with_null_flags(spark):
+    """What the conditions of the stages, spelled out one by one, give when a flag is missing."""
+    cases = [c for c in itertools.product(["FA_OMF", "PQ_OMF", None], *[(0, 1, None)] * 4) if None in c]
+    df = spark.createDataFrame(cases, "f string, app int, soft int, approved int, hard int")
+    no, yes = (lambda x: x == 0), (lambda x: x == 1)
+    for f, app, soft, approved, hard, got in df.select("*", C.ita_category("f", "app", "soft", "approved", "hard")).collect():
+        only, other = f == "FA_OMF", f not in (None, "FA_OMF")
+        started = yes(app) and (only and no(hard) or other and no(soft))
+        approved_only = other and yes(app) and yes(soft) and yes(approved) and no(hard)
+        soft_only = other and yes(app) and yes(soft) and no(approved)
+        stage = "4" if yes(hard) else "1" if started else "2" if approved_only else "3" if soft_only else "5"
+        assert got[0] == stage, (f, app, soft, approved, hard)
+
+
+def test_ita_reasons_with_null_flags(spark):
+    df = spark.createDataFrame([(2, 0, None), (2, None, 1), (2, None, 0), (None, 0, 0), (0, None, None)], "m long, app int, soft int")
+    assert [r[0][0] for r in df.select(C.ita_other_reason("m", "app", "soft")).collect()] == ["4", "4", "4", "3", "1"]
+
+
+def test_year_sets_with_gaps(spark):
+    assert YearSet.of(2024, 2026, 2025).ranges == DateWindow.years(2024, 2026).ranges
+    df = spark.sql("select timestamp_ntz'2020-06-01 00:00:00' + make_ym_interval(id) as t, 2020 + id as y from range(8) as r(id)")
+    years = YearSet.of(2021, 2023, 2024)
+    assert {r.y for r in df.filter(C.in_window("t", years)).collect()} == years.years
+    with pytest.raises(ValueError):
+        YearSet.of()
+
+
 def test_ita_reasons(spark):
     df = spark.createDataFrame([(0, 0, 1), (2, 0, 1), (2, 0, 0), (2, 1, 0)], "m long, app int, soft int")
     got = [r[0] for r in df.select(C.ita_other_reason("m", "app", "soft")).collect()]

@@ -6,9 +6,10 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from footfall.operators import custtype, later, returns as R, stages, touch as T
-from footfall.plans import jobs
+from footfall.plans import flows, jobs
 from footfall.queries import APPLICATION_YEARS, PERSON_GRAIN, TRAFFIC_YEARS, VISITOR_GRAIN, queries
 from footfall.sources import schemas
 
@@ -54,20 +55,73 @@ def test_returns_shuffle_small_keys_last(stored):
 
 def test_big_aggregations_hash_and_combine_first(stored):
     rows = stored["interactions"]
-    for df in (R.daily_visits(rows, "visitor_id"), stages.visit_flags(rows, "visitor_id", stages.ita_flags())):
-        text = plan(df)
-        assert "SortAggregate" not in text and "HashAggregate" in text.split("Exchange hashpartitioning")[-1]
+    tables = stored["person_funnel_type"], stored["person_cust_type"]
+    for df in (
+        R.daily_visits(rows, "visitor_id"),
+        stages.visit_flags(rows, "visitor_id", stages.ita_flags()),
+        T.first_touch(rows, "visitor_id"),
+        jobs.visit_summary(rows, VISITOR_GRAIN),
+        jobs.repeat_visitors(rows, VISITOR_GRAIN),
+        jobs.person_pq(rows, *tables, PERSON_GRAIN),
+        jobs.person_ita_later(rows, *tables, PERSON_GRAIN),
+    ):
+        for part in above_scans(df, "interactions"):
+            assert "SortAggregate" not in part and "Sort [" not in part and "HashAggregate" in part
+
+
+def above_scans(df, table):
+    """Plan text between each scan of a table and the first shuffle above it."""
+    text = plan(df)
+    scans = [m.start() for m in re.finditer(rf"/{table}\]", text)]
+    assert scans
+    return [text[text.rindex("Exchange hashpartitioning", 0, at) : at] for at in scans]
+
+
+def scans(df, table):
+    return len(re.findall(rf"/{table}\]", plan(df)))
+
+
+def test_interactions_are_scanned_once(stored):
+    """Each audience job reads them once; with the stored summary it does not read them at all."""
+    rows, lookup = stored["interactions"], stored["visitor_cust_type"]
+    for source, name in ((rows, "interactions"), (stored["visitor_visits"], "visitor_visits")):
+        assert scans(jobs.repeat_visitors(source, VISITOR_GRAIN), name) == 1
+        assert scans(jobs.visitor_ita(source, stored["repeat_visitors"], lookup, VISITOR_GRAIN), name) == 1
+        assert scans(jobs.visitor_pq(source, stored["repeat_visitors"], lookup, VISITOR_GRAIN), name) == 1
+    tables = stored["person_funnel_type"], stored["person_cust_type"]
+    for source, name in ((rows, "interactions"), (stored["person_visits"], "person_visits")):
+        assert scans(jobs.person_funnel_type(stored["returning_population"], source, PERSON_GRAIN), name) == 1
+        assert scans(jobs.person_ita(source, *tables, PERSON_GRAIN), name) == 1
+        assert scans(jobs.person_pq(source, *tables, PERSON_GRAIN), name) == 1
+        # the days after the first visit are a second branch; the flow takes it from the stored summary
+        assert scans(jobs.person_ita_later(source, *tables, PERSON_GRAIN), name) == 2
 
 
-def test_first_touch_shuffles_one_row_per_key(stored):
-    df = T.first_touch(stored["interactions"], "visitor_id")
-    assert shuffles(df) == ["visitor_id"]
-    assert "partial_min" in plan(df).split("Exchange hashpartitioning")[-1]
+def test_flows_scan_interactions_once_and_twice(spark, stored, monkeypatch):
+    seen = []
 
+    class Kept:
+        def replace(self, name, df):
+            seen.append(scans(df, "interactions"))
+            return stored[name]
 
-def test_buckets_and_first_touch_join_without_shuffle(stored):
-    keys = shuffles(jobs.repeat_visitors(stored["interactions"], VISITOR_GRAIN))
-    assert keys.count("visitor_id") == 2 and len(keys) == 4
+    t = stored
+    flows.build_visitor_tables(t["interactions"], t["applications"], t["traffic_visits"], Kept(), VISITOR_GRAIN)
+    assert sum(seen) == 1
+    seen.clear()
+    flows.build_person_tables(t["interactions"], t["applications"], t["returning_population"], Kept(), PERSON_GRAIN)
+    assert sum(seen) == 2
+
+
+def test_first_touch_shuffles_reduced_rows(stored):
+    keys = shuffles(T.first_touch(stored["interactions"], "visitor_id"))
+    assert keys[0] == "visitor_id" and keys[1].startswith("visitor_id, visit") and len(keys) == 2
+
+
+def test_buckets_and_first_touch_are_one_chain(stored):
+    text = plan(jobs.repeat_visitors(stored["interactions"], VISITOR_GRAIN))
+    assert "Join" not in text
+    assert [k.count(",") + 1 for k in shuffles(jobs.repeat_visitors(stored["interactions"], VISITOR_GRAIN))] == [1, 2, 3, 5]
 
 
 def test_latest_row_is_pruned_before_the_shuffle(stored):
@@ -78,18 +132,19 @@ def test_latest_row_is_pruned_before_the_shuffle(stored):
 
 def test_later_activity_groups_without_shuffle(stored):
     first = stored["person_pq"].select("person", "first_interaction_time")
-    keys = shuffles(later.with_later_activity(first, stored["interactions"], "person", PERSON_GRAIN.window))
+    days = later.submit_days(stored["interactions"], "person", PERSON_GRAIN.window)
+    keys = shuffles(later.with_later_activity(first, days, "person"))
     # first side, daily submits, daily submits by person; nothing for the final grouping
     assert len(keys) == 3
 
 
-def test_audience_moves_once(stored):
-    """First touch, customer type and later days meet by key; only the join with the visits moves the audience."""
-    tables = stored["interactions"], stored["person_funnel_type"], stored["person_cust_type"]
+def test_audience_stays_where_its_key_is(stored):
+    """First visits, audience, customer type and later days meet by key; nothing is shuffled by (key, first visit)."""
+    tables = stored["person_visits"], stored["person_funnel_type"], stored["person_cust_type"]
     keys = shuffles(jobs.person_ita_later(*tables, PERSON_GRAIN))
-    assert keys.count("person, first_visit_id") == 1 and keys.count("person, visit_id") == 1
-    # audience, first touch, customer types, submit days by person
-    assert keys.count("person") + keys.count("_key") == 4 and len(keys) == 7
+    assert sorted(k for k in keys if "," in k) == ["person, submit_date", "person, visit_id"] or sorted(k for k in keys if "," in k) == ["person, day", "person, visit_id"]
+    # first visits, audience, customer types, submit days by person
+    assert len([k for k in keys if "," not in k]) == 4
 
 
 def test_typed_lookup_joins_reduced_rows(stored):
@@ -175,14 +230,35 @@ def test_scans_read_only_needed_columns(stored):
 
 
 def test_small_audience_prunes_rows_before_grouping(spark, stored):
-    """The semi-join moves below the grouping when the audience can be broadcast, and only then."""
+    """The semi-join moves below the groupings when the audience can be broadcast, and only then."""
+    tables = stored["person_funnel_type"], stored["person_cust_type"]
+    for make, first in (
+        (lambda: T.first_touch(stored["interactions"], "visitor_id", audience=stored["repeat_visitors"]), "partial_min(interaction_date"),
+        (lambda: jobs.person_ita(stored["interactions"], *tables, PERSON_GRAIN), "partial_min(interaction_date"),
+        (lambda: jobs.person_pq(stored["interactions"], *tables, PERSON_GRAIN), "partial_min(interaction_date"),
+    ):
+        text = plan(make())
+        assert text.index("LeftSemi") < text.index(first)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+        text = plan(make())
+        assert text.rindex(first) < text.rindex("LeftSemi")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
 
-    def text():
-        return plan(T.first_touch(stored["interactions"], "visitor_id", audience=stored["repeat_visitors"]))
 
-    assert text().index("LeftSemi") < text().index("partial_min")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
-    assert text().index("partial_min") < text().index("BroadcastHashJoin")
+def test_times_with_a_zone_reach_the_scan(spark, stored, tmp_path):
+    zoned = stored["interactions"].withColumn("interaction_date", F.expr("cast(interaction_date as timestamp)"))
+    zoned.write.parquet(f"{tmp_path}/interactions")
+    rows = schemas.check_schema(spark.read.parquet(f"{tmp_path}/interactions"), "interactions")
+    filters = re.search(r"PushedFilters: \[(.*?)\]", plan(jobs.return_buckets(rows, VISITOR_GRAIN))).group(1)
+    assert "GreaterThanOrEqual(interaction_date" in filters and "LessThan(interaction_date" in filters
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test data not present")
+@pytest.mark.parametrize("name, column", [("recent_offer_cookies", "o_orderdate"), ("interactions_for", "o_custkey")])
+def test_look_ups_reach_the_scan_of_the_orders(spark, name, column):
+    text = plan(queries()[name](spark, SF_DIR))
+    pushed = [f for f in re.findall(r"PushedFilters: \[(.*?)\]", text) if f"({column}" in f]
+    assert any("GreaterThanOrEqual(o_orderdate" in f or "EqualTo(o_custkey,7" in f for f in pushed)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test data not present")
