@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from footfall.sources import schemas
 
+#: Folders of versions, and the file that says one is complete.
+VERSION = "version-"
+MARK = "_COMPLETE"
+
 
 @dataclass(frozen=True)
 class TableStore:
@@ -29,7 +35,9 @@ class TableStore:
     def read(self, name: str) -> DataFrame:
         """A table in its declared columns; an unlisted table as it is."""
         if self.root is not None:
-            df = self.spark.read.format(self.format).load(f"{self.root}/{name}")
+            versions = self._complete(name)
+            folder = f"{self.root}/{name}/{versions[-1]}" if versions else f"{self.root}/{name}"
+            df = self.spark.read.format(self.format).load(folder)
         else:
             df = self.spark.table(f"{self.database}.{name}")
         return schemas.check_schema(df, name) if name in {**schemas.INPUTS, **schemas.TABLES} else df
@@ -37,12 +45,59 @@ class TableStore:
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         """Write a derived table in full, in place of any earlier one, and return it as stored.
 
+        The new version is written beside the old one, and readers are switched to it only when it is complete: a failed
+        write leaves the table as it was. The version before stays, for those who still read it; older ones are removed after the switch.
         Reading it back ends the lineage: whatever is built on the table does not
         repeat the work behind it when an executor is lost.
         """
-        writer = schemas.check_schema(df, name).write.mode("overwrite").format(self.format)
+        checked = schemas.check_schema(df, name)
         if self.root is not None:
-            writer.save(f"{self.root}/{name}")
+            self._replace_folder(name, checked)
         else:
-            writer.saveAsTable(f"{self.database}.{name}")
+            self._replace_view(name, checked)
         return self.read(name)
+
+    # --- folders: a version counts once it has its mark, a single file made after all others
+
+    def _files(self, path: str):
+        jvm = self.spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _versions(self, name: str) -> list[str]:
+        files, folder = self._files(f"{self.root}/{name}")
+        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        return sorted(n for n in names if n.startswith(VERSION))
+
+    def _complete(self, name: str) -> list[str]:
+        def marked(version: str) -> bool:
+            files, mark = self._files(f"{self.root}/{name}/{version}/{MARK}")
+            return files.exists(mark)
+
+        return [v for v in self._versions(name) if marked(v)]
+
+    def _replace_folder(self, name: str, df: DataFrame) -> None:
+        before = self._versions(name)
+        number = int(before[-1].split("-")[1]) + 1 if before else 1
+        version = f"{VERSION}{number:09d}-{uuid.uuid4().hex[:8]}"
+        df.write.format(self.format).save(f"{self.root}/{name}/{version}")
+        files, mark = self._files(f"{self.root}/{name}/{version}/{MARK}")
+        files.create(mark, False).close()
+        oldest = self._complete(name)[-2:][0]
+        for old in self._versions(name):
+            if old < oldest:
+                files, folder = self._files(f"{self.root}/{name}/{old}")
+                files.delete(folder, True)
+
+    # --- catalog: a view names the current version
+
+    def _replace_view(self, name: str, df: DataFrame) -> None:
+        full, catalog = f"{self.database}.{name}", self.spark.catalog
+        version = f"{name}__{VERSION.rstrip('-')}{time.time_ns():020d}"
+        df.write.format(self.format).saveAsTable(f"{self.database}.{version}")
+        if catalog.tableExists(full) and catalog.getTable(full).tableType != "VIEW":
+            self.spark.sql(f"alter table {full} rename to {self.database}.{name}__{VERSION.rstrip('-')}{0:020d}")
+        self.spark.sql(f"create or replace view {full} as select * from {self.database}.{version}")
+        kept = sorted(t.name for t in catalog.listTables(self.database) if t.name.startswith(f"{name}__{VERSION.rstrip('-')}"))
+        for old in kept[: kept.index(version)][:-1]:
+            self.spark.sql(f"drop table if exists {self.database}.{old}")

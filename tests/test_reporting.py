@@ -58,6 +58,7 @@ def test_rows_for_compares_in_the_column_type(spark):
     df = spark.createDataFrame([(7, "7"), (8, "007"), (None, None)], "n long, s string")
     assert O.rows_for(df, "n", "7").count() == O.rows_for(df, "n", 7).count() == O.rows_for(df, "s", 7).count() == 1
     assert O.rows_for(df, "n", "abc").count() == 0
+    assert O.rows_for(spark.createDataFrame([("None",), (None,)], "s string"), "s", None).count() == 0
 
 
 def test_sample_rows(spark):
@@ -87,13 +88,94 @@ def test_store_takes_one_place(spark):
         TableStore(spark, root="/tmp/x", database="d")
 
 
-def test_catalog_store_replaces_tables(spark):
-    store = TableStore(spark, database="default")
-    row = dict(appl_key=1, person="1", cust_type="NEW", visit_date=at("2025-01-01"))
-    store.replace("person_cust_type", frame(spark, "person_cust_type", [row, row]))
-    stored = store.replace("person_cust_type", frame(spark, "person_cust_type", [row]))
-    assert [r.asDict() for r in stored.collect()] == [row]
-    spark.sql("drop table person_cust_type")
+ROW = dict(appl_key=1, person="1", cust_type="NEW", visit_date=at("2025-01-01"))
+
+
+@pytest.fixture(params=["folder", "catalog"])
+def any_store(spark, request, tmp_path):
+    if request.param == "folder":
+        yield TableStore(spark, root=str(tmp_path))
+        return
+    spark.sql("create database replaced")
+    yield TableStore(spark, database="replaced")
+    spark.sql("drop database replaced cascade")
+
+
+def versions(store, tmp_path):
+    if store.root:
+        return [p.name for p in (tmp_path / "person_cust_type").iterdir() if p.is_dir()]
+    return [t.name for t in store.spark.catalog.listTables(store.database) if "__" in t.name]
+
+
+def test_store_replaces_tables(spark, any_store, tmp_path):
+    for n in (2, 1, 3, 1):
+        stored = any_store.replace("person_cust_type", frame(spark, "person_cust_type", [ROW] * n))
+        assert stored.count() == any_store.read("person_cust_type").count() == n
+    assert [r.asDict() for r in stored.collect()] == [ROW]
+    assert len(versions(any_store, tmp_path)) == 2
+
+
+def test_failed_write_leaves_the_table(spark, any_store, tmp_path):
+    any_store.replace("person_cust_type", frame(spark, "person_cust_type", [ROW]))
+    rows = frame(spark, "person_cust_type", [ROW] * 3)
+    broken = rows.withColumn("cust_type", F.raise_error(F.lit("lost")).cast("string"))
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost"):
+            any_store.replace("person_cust_type", broken)
+        assert any_store.read("person_cust_type").count() == 1
+    assert any_store.replace("person_cust_type", rows).count() == 3
+
+
+def test_new_version_may_be_made_of_the_old(spark, any_store, tmp_path):
+    any_store.replace("person_cust_type", frame(spark, "person_cust_type", [ROW]))
+    for n in (2, 4, 8):
+        old = any_store.read("person_cust_type")
+        assert any_store.replace("person_cust_type", old.unionAll(old)).count() == n
+
+
+def test_table_written_by_others_becomes_a_version(spark, any_store, tmp_path):
+    plain = frame(spark, "person_cust_type", [ROW, ROW])
+    if any_store.root:
+        plain.write.parquet(f"{any_store.root}/person_cust_type")
+    else:
+        plain.write.saveAsTable("replaced.person_cust_type")
+    assert any_store.read("person_cust_type").count() == 2
+    assert any_store.replace("person_cust_type", plain.limit(1)).count() == 1
+
+
+def test_ordinary_input_types_fit(spark):
+    usual = {f.name: f.dataType.simpleString() for f in schemas.contract("interactions")}
+    for other in (
+        {"interaction_date": "timestamp"},
+        {"interaction_date": "date", "visitor_id": "int", "visit_id": "smallint"},
+        {"visitor_id": "decimal(38,0)", "person": "bigint", "cookie_id": "decimal(20,0)", "appl_key": "string"},
+        {"soft_submit_flag": "bigint", "hard_submit_flag": "boolean", "visitor_flag": "decimal(1,0)", "soft_approval_flag": "tinyint"},
+    ):
+        kinds = usual | other
+        values = dict.fromkeys(kinds, "'1'") | {"interaction_date": "timestamp_ntz'2025-03-01 00:00:00'", "gen_url": "'/apply'"}
+        row = spark.sql("select " + ", ".join(f"cast({'true' if kinds[c] == 'boolean' else v} as {kinds[c]}) as {c}" for c, v in values.items()))
+        got = schemas.check_schema(row, "interactions")
+        assert {f.name: f.dataType.simpleString() for f in got.schema} == usual | ({"interaction_date": "timestamp"} if other.get("interaction_date") == "timestamp" else {})
+        (r,) = got.collect()
+        assert (r.visitor_id, r.person, r.visit_id, r.appl_key, r.soft_submit_flag, r.hard_submit_flag, r.visitor_flag) == (1, "1", 1, 1, 1, 1, 1)
+        assert r.interaction_date == at("2025-03-01")
+
+
+def test_times_with_a_zone_give_the_same_audience(spark):
+    data = Data(spark, SF_DIR)
+    zoned = schemas.check_schema(data.rows.withColumn("interaction_date", F.expr("cast(interaction_date as timestamp)")), "interactions")
+    repeat = schemas.check_schema(jobs.repeat_visitors(zoned, VISITOR_GRAIN), "repeat_visitors")
+    assert repeat.dtypes == data.repeat_visitors.dtypes and same(repeat, data.repeat_visitors)
+
+
+def test_what_would_lose_data_is_refused(spark):
+    for kind in ("double", "decimal(10,2)", "boolean"):
+        with pytest.raises(ValueError, match="visitor_id is"):
+            schemas.check_schema(frame(spark, "traffic_visits", []).withColumn("visitor_id", F.lit(None).cast(kind)), "traffic_visits")
+    for value in ("cast('99999999999999999999' as decimal(38,0))", "'7a'"):
+        wide = frame(spark, "traffic_visits", [dict(visit_id=1)]).withColumn("visitor_id", F.expr(value))
+        with pytest.raises(Exception, match="visitor_id does not fit bigint"):
+            schemas.check_schema(wide, "traffic_visits").collect()
 
 
 def same(a, b):
@@ -107,13 +189,6 @@ def test_adapter_meets_the_contracts(spark):
         assert schemas.check_schema(df, name).columns == schemas.contract(name).names
 
 
-@pytest.mark.parametrize("name", ["visitor_ita", "visitor_pq"])
-def test_first_visits_found_again_are_the_same(spark, name):
-    data = Data(spark, SF_DIR)
-    again = getattr(jobs, name)(data.rows, data.repeat_visitors, data.visitor_cust_type, VISITOR_GRAIN)
-    assert same(again, getattr(data, name)) and again.count() > 0
-
-
 def test_window_hint_drops_no_row(spark):
     data = Data(spark, SF_DIR)
     window = VISITOR_GRAIN.window
@@ -122,6 +197,8 @@ def test_window_hint_drops_no_row(spark):
     for cond in inside:
         hinted, full = hinted.filter(cond), full.filter(cond)
     assert same(hinted, full)
+    person = data.interactions().filter("person = '7'")
+    assert same(data.interactions(person="7").filter("person = '7'"), person) and person.count()
 
 
 def test_visitor_flow_replaces_tables(spark, tmp_path):
@@ -132,9 +209,10 @@ def test_visitor_flow_replaces_tables(spark, tmp_path):
             data.rows, data.applications, data.traffic, store, VISITOR_GRAIN, TRAFFIC_YEARS, APPLICATION_YEARS
         )
     for name, df in tables.items():
-        assert same(df, getattr(data, name)), name
         assert same(store.read(name), df)
-        assert df.select("visitor_id").distinct().count() == df.count()
+        if name != "visitor_visits":
+            assert same(df, getattr(data, name)), name
+            assert df.select("visitor_id").distinct().count() == df.count()
 
 
 def test_person_flow_replaces_tables(spark, tmp_path):
