@@ -28,7 +28,7 @@ BAND = (0.0005, 0.02)
 MAX_TERMS = 500_000
 
 #: Densities of the random subsets, and subsets of each density.
-LEVELS = tuple(2.0**-k for k in range(1, 11))
+LEVELS = tuple(2.0**-k for k in range(2, 11))
 SUBSETS = 12
 
 #: Parts that must be filled, in one document or the other, for a level to count.
@@ -48,12 +48,12 @@ class Terms(dict):
         return value
 
     def number(self, word: str) -> int:
-        term = word.strip(PUNCTUATION)
+        term = word.strip(PUNCTUATION).lower()
         return xxhash.xxh3_64_intdigest(term) if term else 0
 
     def of(self, text: str) -> set[int]:
         """The distinct terms of a text."""
-        found = set(map(self.__getitem__, set(text.lower().split())))
+        found = set(map(self.__getitem__, set(text.split())))
         found.discard(0)
         return found
 
