@@ -307,7 +307,7 @@ STATEMENTS = {
     "repeat_visitors": "select * from repeat_visitors",
     "visitor_ita": "select * from visitor_ita",
     "visitor_ita_by_type": _counts(
-        "visitor_ita", "visitor_id", "first_visit_category, cust_type", "left(first_visit_category, 1) in ('1', '2')"
+        "visitor_ita", "visitor_id", "first_visit_category, cust_type", "first_visit_category in ('1. App started, no submit', '2. Soft approved, no hard submit')"
     ),
     "visitor_ita_by_category": _counts("visitor_ita", "visitor_id", "first_visit_category"),
     "visitor_ita_other_reasons": """
@@ -317,10 +317,10 @@ STATEMENTS = {
                     when app_started = 0 then '2. Soft submitted, no app-start URL match'
                     else '4. Unexpected flag combination' end as other_reason,
                count(distinct visitor_id) as visitor_count
-        from visitor_ita where left(first_visit_category, 1) = '5' group by all order by visitor_count desc""",
+        from visitor_ita where first_visit_category = '5. Other' group by all order by visitor_count desc""",
     "visitor_pq": "select * from visitor_pq",
     "visitor_pq_by_type": _counts(
-        "visitor_pq", "visitor_id", "first_visit_category, cust_type", "left(first_visit_category, 1) = '1'"
+        "visitor_pq", "visitor_id", "first_visit_category, cust_type", "first_visit_category = '1. Prequalified, no hard submit'"
     ),
     "visitor_pq_by_category": _counts("visitor_pq", "visitor_id", "first_visit_category"),
     "person_funnel_type": "select * from person_funnel_type",
