@@ -43,10 +43,13 @@ def first_visit_activity(first: DataFrame, rows: DataFrame, key: str, flags: Map
     """Add to each first visit its flags over all rows of that visit, and their number.
 
     Visits are summarised before the join, so both sides are unique in (key, visit)
-    and neither can be skewed. A first visit without an id, or a key without a first
+    and neither can be skewed. Only first visits are wanted: the semi-join right above the grouping
+    moves below it, to the rows, when the first visits can be broadcast. A first visit without an id, or a key without a first
     visit, matches no rows: its flags and count are 0.
     """
-    visits = visit_flags(rows, key, flags).withColumnRenamed("visit_id", "first_visit_id")
+    wanted = first.select(key, F.col("first_visit_id").alias("visit_id"))
+    visits = visit_flags(rows, key, flags).join(wanted, [key, "visit_id"], "left_semi")
+    visits = visits.withColumnRenamed("visit_id", "first_visit_id")
     names = [*flags, "matched_first_visit_rows"]
     return first.join(visits, [key, "first_visit_id"], "left").select(
         *first.columns, *[F.expr(f"coalesce({n}, 0) as {n}") for n in names]

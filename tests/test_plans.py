@@ -234,6 +234,10 @@ def test_small_audience_prunes_rows_before_grouping(spark, stored):
     tables = stored["person_funnel_type"], stored["person_cust_type"]
     for make, first in (
         (lambda: T.first_touch(stored["interactions"], "visitor_id", audience=stored["repeat_visitors"]), "partial_min(interaction_date"),
+        (
+            lambda: stages.first_visit_activity(stored["visitor_ita"].select("visitor_id", "first_visit_id"), stored["interactions"], "visitor_id", stages.pq_flags()),
+            "partial_max(",
+        ),
         (lambda: jobs.person_ita(stored["interactions"], *tables, PERSON_GRAIN), "partial_min(interaction_date"),
         (lambda: jobs.person_pq(stored["interactions"], *tables, PERSON_GRAIN), "partial_min(interaction_date"),
     ):
