@@ -132,22 +132,20 @@ def _hasher(width: int, buckets: int):
             for part in blocks(batch):
                 ids = np.array([NULL_ID if x is None else x for x in part.column("doc_id").to_pylist()], np.int64)
                 texts = raw(part.column("text"))
-                words: list[int] = []
-                lengths = []
+                hashed = []
                 order = np.argsort(ids, kind="stable")
                 for i in order:
-                    found = [known[w] for w in (texts[i] or b"").split()]
-                    words += found
-                    lengths.append(len(found))
+                    found = (texts[i] or b"").split()
+                    hashed.append(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
+                words = np.concatenate(hashed)
                 if len(words) < width:
                     continue
-                n = np.array(lengths, np.int64)
+                n = np.array([len(x) for x in hashed], np.int64)
                 left = np.repeat(np.cumsum(n), n) - np.arange(len(words))
                 at = np.flatnonzero(left >= width)
                 if not len(at):
                     continue
-                values = np.array(words, np.uint64)
-                hashes, second = (r.windows(values, width)[at] for r in rolls)
+                hashes, second = (r.windows(words, width)[at] for r in rolls)
                 docs = np.repeat(ids[order], n)[at]
                 starts = (np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n))[at].astype(np.int32)
                 bucket = (second % np.uint64(buckets)).astype(np.int32)

@@ -131,11 +131,19 @@ def features(text: str) -> set[str]:
 
 def _count_features(batches: Iterator[pa.RecordBatch], among: dict[str, int] | None) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
+
+    def rows() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["entry", "n"])
+        counts.clear()
+        return out
+
     for batch in batches:
         for text in batch.column("text").to_pylist():
             found = features(text or "")
             counts.update(found if among is None else found & among.keys())
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["entry", "n"])
+            if len(counts) > 500_000:
+                yield rows()
+    yield rows()
 
 
 def _counts(texts: DataFrame, among: dict[str, int] | None = None) -> DataFrame:
