@@ -220,27 +220,34 @@ def in_order(docs: DataFrame) -> DataFrame:
     """The documents (columns of ``PACKED``) sorted by doc_id within buckets, each bucket followed by the first document of the next (``last``).
 
     The first bucket follows the last. Buckets are ranges of doc_id, as many as shuffle partitions, cut by a histogram of the ids; only the
-    ids of their first documents come to the driver. Null ids come first; rows of one id are in the order of a hash of their text.
+    ids of their first documents come to the driver, one for each bucket. Null ids come first; rows of one id are in the order of a hash of their text.
     """
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     rows = docs.select(ids.alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     n = shuffle_partitions(docs.sparkSession)
     cuts = np.unique(rows.select("id").approxQuantile("id", [k / n for k in range(1, n)], 0.2 / n)).astype(np.int64)
-    spark_cuts = F.array(*[F.lit(int(c)) for c in cuts])
-    bucket = F.size(F.filter(spark_cuts, lambda c: c < F.col("id"))) if len(cuts) else F.lit(0)
-    heads = [(r.bucket, r.id) for r in rows.groupBy(bucket.alias("bucket")).agg(F.min("id").alias("id")).orderBy("bucket").collect()]
+    found = rows.select("id").mapInArrow(partial(_least_ids, cuts=cuts), "bucket int, id long").groupBy("bucket").agg(F.min("id").alias("id"))
+    heads = [(r.id, r.bucket) for r in found.orderBy("bucket").collect()]
     if not heads:
         return docs.sparkSession.createDataFrame([], PACKED)
-    before = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}
-    first = rows.where(F.col("id").isin([head for _, head in heads])).groupBy("id").agg(F.min_by(F.struct("doc_id", "text", "tie"), "tie").alias("r"))
-    follows = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    first = first.select("id", "r.doc_id", "r.text", "r.tie", follows[F.col("id")].alias("bucket"))
+    # One row for each bucket: the id it begins with, and the bucket before, which that document follows.
+    before = docs.sparkSession.createDataFrame([(head, heads[k - 1][1]) for k, (head, _) in enumerate(heads)], "id long, bucket int")
+    first = rows.join(F.broadcast(before), "id").groupBy("id", "bucket").agg(F.min_by(F.struct("doc_id", "text", "tie"), "tie").alias("r"))
+    first = first.select("id", "r.doc_id", "r.text", "r.tie", "bucket")
     both = rows.withColumn("bucket", F.lit(None).cast("int")).unionByName(first)
     packed = both.select("id", "doc_id", "text", "tie", "bucket").mapInArrow(partial(_pack, cuts=cuts), PACKED)
     return packed.repartition(n, "bucket").sortWithinPartitions("bucket", "last", "id", "tie")
 
 
+def _least_ids(batches: Iterator[pa.RecordBatch], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = np.sort(batch.column("id").to_numpy())
+        bucket = np.searchsorted(cuts, ids).astype(np.int32)
+        heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(ids) else []
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[heads], pa.int32()), pa.array(ids[heads], pa.int64())], names=["bucket", "id"])
+
+
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
