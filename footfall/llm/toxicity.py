@@ -37,7 +37,7 @@ SHORTEST, LONGEST = 3, 12
 CANDIDATES = 50_000
 
 #: An entry must be this much (natural logarithm) likelier in a toxic text, and hold in so many of them.
-MIN_WEIGHT, MIN_TEXTS = 1.5, 5
+MIN_WEIGHT, MIN_TEXTS = 1.5, 3
 
 #: Log odds of a text without hits at most: about 0.05, however many toxic texts the sample has that no entry explains.
 NO_HIT = -3.0
