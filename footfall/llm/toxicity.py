@@ -6,6 +6,7 @@ beginning of a word. Entries and weights are learned from labelled texts, or giv
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -169,19 +170,20 @@ def choose(weights: dict[str, float], texts: list[np.ndarray], names: list[str])
     need = np.full(len(texts), COVER)
     chosen: dict[str, float] = {}
     chosen_in: dict[str, int] = {}
-    gain = {e: len(h) for e, h in holders.items()}
-    while gain:
-        best = max(gain, key=lambda e: (gain[e] * weights[names[e]], len(names[e]), names[e]))
-        now = int((need[holders[best]] > 0).sum())
-        if now < MIN_TEXTS or any(names[best].startswith(c) or c.startswith(names[best]) and len(holders[best]) <= 1.1 * n for c, n in chosen_in.items()):
-            del gain[best]
-        elif now < gain[best]:
-            gain[best] = now
-        else:
-            chosen[names[best]] = weights[names[best]]
-            chosen_in[names[best]] = len(holders[best])
-            need[holders[best]] -= 1
-            del gain[best]
+    # Gains only fall as texts get covered, so an entry whose gain is still the best after counting anew is the best.
+    queue = [(-len(h) * weights[names[e]], -len(names[e]), names[e], e) for e, h in holders.items()]
+    heapq.heapify(queue)
+    while queue:
+        value, _, name, e = heapq.heappop(queue)
+        now = int((need[holders[e]] > 0).sum())
+        if now < MIN_TEXTS or any(name.startswith(c) or c.startswith(name) and len(holders[e]) <= 1.1 * n for c, n in chosen_in.items()):
+            continue
+        if -now * weights[name] > value:
+            heapq.heappush(queue, (-now * weights[name], -len(name), name, e))
+            continue
+        chosen[name] = weights[name]
+        chosen_in[name] = len(holders[e])
+        need[holders[e]] -= 1
     return chosen
 
 
