@@ -29,6 +29,9 @@ BLOCK_CHARS = 2_000_000
 #: Alignments done at once.
 BATCH = 2048
 
+#: A code that equals no character.
+NOTHING = 0xFFFFFFFF
+
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93
 MATCHES = "doc_id long, item_id long, start int, end int, edits int, pieces int"
@@ -119,7 +122,7 @@ def align(pieces: list[np.ndarray], texts: list[np.ndarray], edits: np.ndarray)
     width = max(len(t) - len(p) for p, t in zip(pieces, texts)) + 1
     lengths = np.array([len(p) for p in pieces])
     a = np.full((n, rows), 0xFFFFFFFE, np.uint32)
-    b = np.full((n, rows + width), 0xFFFFFFFF, np.uint32)
+    b = np.full((n, rows + width), NOTHING, np.uint32)
     for k, (p, t) in enumerate(zip(pieces, texts)):
         a[k, : len(p)] = p
         b[k, : len(t)] = t
@@ -186,17 +189,20 @@ def _find(texts: list[str], pieces: Pieces, grams: Grams) -> Iterator[tuple[int,
         part = slice(k, k + BATCH)
         some_pieces = [pieces.codes[p] for p in piece[part]]
         budget = pieces.edits[piece[part]]
-        begins, stretches = [], []
+        begins, sizes, stretches = [], [], []
         for t, p, d, e in zip(text[part], some_pieces, diagonal[part], budget):
             lo, hi = (ends[t - 1] if t else 0), ends[t] - 1
             begin = lo + d - e  # an edit to either side of the band's diagonals
-            end = min(hi, lo + d + 3 * e + 2 + len(p))
-            begins.append(max(0, d - e))
-            stretches.append(codes[max(lo, begin) : end])
-        cost, start, end = align(some_pieces, [s if len(s) >= len(p) else np.r_[s, np.full(len(p) - len(s), 0xFFFFFFFF, np.uint32)] for s, p in zip(stretches, some_pieces)], budget)
+            # Where the text begins or ends within the band, the stretch is filled up, so that the band has all its diagonals.
+            stretch = np.full(len(p) + 4 * e + 2, NOTHING, np.uint32)
+            first, last = max(lo, begin), min(hi, begin + len(stretch))
+            stretch[first - begin : last - begin] = codes[first:last]
+            begins.append(d - e)
+            sizes.append(hi - lo)
+            stretches.append(stretch)
+        cost, start, end = align(some_pieces, stretches, budget)
         for i in np.flatnonzero(cost <= budget):
-            # A stretch that a text's end cuts short is filled up for the alignment.
-            yield int(text[k + i]), int(piece[k + i]), int(begins[i] + start[i]), int(begins[i] + min(end[i], len(stretches[i]))), int(cost[i])
+            yield int(text[k + i]), int(piece[k + i]), int(max(0, begins[i] + start[i])), int(min(sizes[i], begins[i] + end[i])), int(cost[i])
 
 
 def _matches(batches: Iterator[pa.RecordBatch], sent, q: int) -> Iterator[pa.RecordBatch]:

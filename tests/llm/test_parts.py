@@ -116,6 +116,20 @@ def test_edited_passages_are_found(seed):
         assert cost >= plain.edits_within(piece, texts[t]) and plain.edits_within(piece, texts[t][start:end]) <= cost <= pieces.edits[p]
 
 
+@pytest.mark.parametrize("size", [60, 80, 100, 103])
+def test_edits_where_a_text_begins_and_ends(size):
+    rng = random.Random(size)
+    item = "".join(rng.choice("abcdefghijklm") for _ in range(size))
+    pieces, grams = decontaminate.cut([(7, item)], 12, 100, 50, 0.06), decontaminate.Grams(12)
+    for lost in range(1, min(pieces.edits) + 1):
+        places = ["".join(c for i, c in enumerate(item) if i not in range(at, at + lost)) for at in (0, 1, 13, size - 13 - lost, size - lost)]
+        for short in places:
+            for text in (short, short + " " + "z" * 40, "z" * 40 + " " + short):
+                found = list(decontaminate._find([text], pieces, grams))  # alone: no wider pair beside it
+                assert found and all(plain.edits_within("".join(map(chr, pieces.codes[p])), text[a:b]) <= cost <= lost for _, p, a, b, cost in found)
+                assert all(0 <= a < b <= len(text) for _, _, a, b, _ in found)
+
+
 def test_large_benchmarks_go_in_blocks(spark, frame, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 500)
     items = [(k, prose(40, k)) for k in range(12)]
