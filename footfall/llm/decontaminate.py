@@ -1,6 +1,7 @@
 """Benchmark decontamination: q-gram lemma filtering in diagonal bands, verified by banded alignment.
 
-Benchmark items are cut into overlapping pieces. A piece of m characters that occurs in a text with at most k edits shares at least m - q + 1 - k q
+Benchmark items are cut into overlapping pieces of two sizes: long ones, and short ones at a small stride, so that any passage of ``SHORT + STEP - 1``
+characters of an item holds a whole piece, wherever it begins. A piece of m characters that occurs in a text with at most k edits shares at least m - q + 1 - k q
 of its q-grams with it, on diagonals that lie within k of each other. Every place of a text is looked up in the table of q-grams; a text's hits are counted for each piece in
 overlapping bands of diagonals, and the bands that reach the bound are aligned.
 """
@@ -20,12 +21,14 @@ from footfall.llm.common import blocks, map_rows
 Q = 12
 #: Characters of a piece, and from one piece to the next.
 PIECE, STRIDE = 100, 50
+#: The same for the short pieces: any 69 characters of an item in a row hold a whole one.
+SHORT, STEP = 60, 10
 #: Edits allowed for each character of a piece.
 RATE = 0.06
 #: Items with fewer characters, after normalising, are no evidence.
 LEAST = 24
-#: Characters of benchmark items that tasks get at once; about 40 bytes each. A larger benchmark goes in several blocks.
-BLOCK_CHARS = 2_000_000
+#: Characters of benchmark items that tasks get at once; about 120 bytes each. A larger benchmark goes in several blocks.
+BLOCK_CHARS = 700_000
 #: Alignments done at once.
 BATCH = 2048
 
@@ -89,15 +92,22 @@ def allowed(m: int, q: int, rate: float) -> int:
     return min(int(rate * m), (m - q) // q)
 
 
-def cut(items: list[tuple[int, str]], q: int, piece: int, stride: int, rate: float) -> Pieces:
+def _starts(size: int, piece: int, stride: int) -> list[int]:
+    return list(dict.fromkeys(max(0, min(s, size - piece)) for s in range(0, max(1, size - piece + stride), stride)))
+
+
+def cut(items: list[tuple[int, str]], q: int, piece: int, stride: int, rate: float, short: int = 0, step: int = 0) -> Pieces:
+    """Pieces of ``piece`` characters every ``stride``, and, if ``short`` is given, of ``short`` every ``step``; an item that has no more is one piece."""
     item, offset, codes = [], [], []
     for number, text in items:
         whole = _codes(normalise(text))
-        starts = range(0, max(1, len(whole) - piece + stride), stride)
-        for start in dict.fromkeys(max(0, min(s, len(whole) - piece)) for s in starts):
+        spans = [(start, piece) for start in _starts(len(whole), piece, stride)]
+        if 0 < short < min(piece, len(whole)):
+            spans += [(start, short) for start in _starts(len(whole), short, step)]
+        for start, length in spans:
             item.append(number)
             offset.append(start)
-            codes.append(whole[start : start + piece])
+            codes.append(whole[start : start + length])
     grams = Grams(q)
     found = [grams(c) for c in codes]
     sizes = [len(f) for f in found]
@@ -108,8 +118,8 @@ def cut(items: list[tuple[int, str]], q: int, piece: int, stride: int, rate: flo
     maybe[(all_ >> np.uint64(64 - bits)).astype(np.int64)] = True
     edits = np.array([allowed(len(c), q, rate) for c in codes], np.int64)
     bound = np.array(sizes, np.int64) - edits * q
-    place = np.concatenate([*(np.arange(n) for n in sizes), np.empty(0, np.int64)])
-    return Pieces(item, offset, codes, edits, bound, all_[order], np.repeat(np.arange(len(codes)), sizes)[order], place[order].astype(np.int64), maybe)
+    place = np.concatenate([*(np.arange(n, dtype=np.int32) for n in sizes), np.empty(0, np.int32)])
+    return Pieces(item, offset, codes, edits, bound, all_[order], np.repeat(np.arange(len(codes), dtype=np.int32), sizes)[order], place[order], maybe)
 
 
 def align(pieces: list[np.ndarray], texts: list[np.ndarray], edits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,7 +241,7 @@ def _clean(batches: Iterator[pa.RecordBatch], sent, q: int) -> Iterator[pa.Recor
             yield part.filter(pa.array(keep))
 
 
-def _blocks(benchmark: DataFrame, q: int, piece: int, stride: int, rate: float, least: int) -> Iterator:
+def _blocks(benchmark: DataFrame, q: int, piece: int, stride: int, rate: float, least: int, short: int, step: int) -> Iterator:
     """The benchmark as broadcast tables of at most about ``BLOCK_CHARS`` characters each, by a hash of the item's text."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
@@ -241,27 +251,32 @@ def _blocks(benchmark: DataFrame, q: int, piece: int, stride: int, rate: float,
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).distinct().collect()
         rows = sorted(((r.item_id if r.item_id is not None else -1, r.text) for r in rows if len(normalise(r.text)) >= least))
         if rows:
-            yield spark.sparkContext.broadcast(cut(rows, q, piece, stride, rate))
+            yield spark.sparkContext.broadcast(cut(rows, q, piece, stride, rate, short, step))
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, piece: int = PIECE, stride: int = STRIDE, rate: float = RATE, least: int = LEAST) -> DataFrame:
+def find_matches(
+    docs: DataFrame, benchmark: DataFrame, q: int = Q, piece: int = PIECE, stride: int = STRIDE, rate: float = RATE, least: int = LEAST, short: int = SHORT, step: int = STEP
+) -> DataFrame:
     """One row for each document and benchmark item that have a piece in common: doc_id, item_id, start, end, edits, pieces.
 
     Start and end (code points of the normalised text, end exclusive) span all matching pieces of the item, ``pieces`` of them; ``edits`` is the least of
-    a piece. Text is compared in lower case with each run of white space one space. A piece has ``piece`` characters, or the whole item if that is shorter, and may differ by
-    ``rate`` edits a character, but by no more than the q-gram bound can see. Items shorter than ``least`` characters, null and empty texts match nothing; an item without a
+    a piece. Text is compared in lower case with each run of white space one space. A piece has ``piece`` or
+    ``short`` characters (no short ones if that is 0), or the whole item if that is shorter, and may differ by ``rate`` edits a character, but by no more than the q-gram bound
+    can see. So ``short + step - 1`` characters of an item in a row are found for certain, wherever they begin, with the edits of a short piece. Items shorter than ``least`` characters, null and empty texts match nothing; an item without a
     number is -1. Repeated rows give repeated results; an empty table on either side gives an empty result. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for sent in _blocks(benchmark, q, piece, stride, rate, least):
+    for sent in _blocks(benchmark, q, piece, stride, rate, least, short, step):
         found = docs.mapInArrow(partial(_matches, sent=sent, q=q), MATCHES)
         out = found if out is None else out.unionAll(found)
     return docs.sparkSession.createDataFrame([], MATCHES) if out is None else out
 
 
-def remove_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, piece: int = PIECE, stride: int = STRIDE, rate: float = RATE, least: int = LEAST) -> DataFrame:
+def remove_matches(
+    docs: DataFrame, benchmark: DataFrame, q: int = Q, piece: int = PIECE, stride: int = STRIDE, rate: float = RATE, least: int = LEAST, short: int = SHORT, step: int = STEP
+) -> DataFrame:
     """The documents, in all their columns, that :func:`find_matches` finds nothing in. Rows stay where they are: nothing is shuffled."""
-    for sent in _blocks(benchmark, q, piece, stride, rate, least):
+    for sent in _blocks(benchmark, q, piece, stride, rate, least, short, step):
         docs = map_rows(docs, partial(_clean, sent=sent, q=q))
     return docs

@@ -130,6 +130,23 @@ def test_edits_where_a_text_begins_and_ends(size):
                 assert all(0 <= a < b <= len(text) for _, _, a, b, _ in found)
 
 
+@pytest.mark.parametrize("size", [75, 93, 145, 233, 301])
+def test_passages_cut_at_every_offset_are_found(spark, frame, size):
+    rng = random.Random(size)
+    item = "".join(rng.choice("abcdefghijklm") for _ in range(size))
+    least = decontaminate.SHORT + decontaminate.STEP - 1
+    texts = []
+    for at in range(size - least + 1):
+        passage = list(item[at : at + least])
+        texts.append("z" * rng.randrange(30) + "".join(passage) + "z" * rng.randrange(30))
+        for place in rng.sample(range(least), decontaminate.allowed(decontaminate.SHORT, decontaminate.Q, decontaminate.RATE)):
+            passage[place] = "Z"
+        texts.append("z" * rng.randrange(30) + "".join(passage) + "z" * rng.randrange(30))
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.find_matches(frame(texts), benchmark).collect()} == set(range(len(texts)))
+    assert decontaminate.remove_matches(frame([*texts, "x" * 300]), benchmark).count() == 1
+
+
 def test_large_benchmarks_go_in_blocks(spark, frame, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 500)
     items = [(k, prose(40, k)) for k in range(12)]
