@@ -1,6 +1,7 @@
 """Document fingerprints by I-Match: hashes of a document's terms in a band of document frequency, over several random lexicons.
 
-The lexicon holds the terms whose document frequency, counted over all documents, lies in the band. Each fingerprint part belongs to a random
+The lexicon holds the terms whose document frequency lies in the band; the members of a large group of copies or near copies count as about one document. A text with few
+terms in the lexicon is completed by its rarest terms above the band. Each fingerprint part belongs to a random
 subset of the lexicon: a document's distinct terms in the subset are sorted and hashed. Subsets come in levels of density, so that short and long
 documents both have parts that a small edit leaves alone. The likeness of two fingerprints is the share of equal parts on the level that agrees best.
 """
@@ -8,6 +9,8 @@ documents both have parts that a small edit leaves alone. The likeness of two fi
 from __future__ import annotations
 
 import hashlib
+import heapq
+import math
 import string
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +27,15 @@ from footfall.llm.common import NULL_ID, shuffle_partitions, stored
 #: Shares of the documents that hold a term of the lexicon.
 BAND = (0.0005, 0.02)
 
+#: Terms that a text is taken by at least: this share of its distinct terms, and this many, if it has them; see :meth:`Reader.terms`.
+LEAST_SHARE, LEAST_TERMS = 0.25, 8
+
+#: Sketches of a text, and least terms in each. Texts that share nine tenths of their terms have a sketch in common but for one pair in some thousands.
+SKETCHES, SKETCH_TERMS = 8, 4
+
+#: Weight of a document without near copies; whole numbers add up to the same in any order.
+UNIT = 1 << 20
+
 #: Terms of the lexicon at most; a task holds about 150 bytes for each. The band's lower end rises where it could hold more, see :func:`lexicon`.
 MAX_TERMS = 500_000
 
@@ -53,7 +65,11 @@ class Terms(dict):
 
     def of(self, text: str) -> set[int]:
         """The distinct terms of a text."""
-        found = set(map(self.__getitem__, set(text.split())))
+        return self.among(set(text.split()))
+
+    def among(self, words: set[str]) -> set[int]:
+        """The distinct terms of words as written."""
+        found = set(map(self.__getitem__, words))
         found.discard(0)
         return found
 
@@ -69,42 +85,84 @@ class Places(Terms):
         return self.places.get(super().number(word), 0)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, counts = Terms(), Counter()
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_ORDERS = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _sketches(terms: set[int]) -> list[int]:
+    """The hash of the ``SKETCH_TERMS`` least terms in each of ``SKETCHES`` orders. Texts whose terms are nearly the same have some in common."""
+    mixed = _mix(np.fromiter(terms, np.uint64, len(terms))[None, :] ^ _ORDERS[:, None])
+    if len(terms) > SKETCH_TERMS:
+        mixed = np.partition(mixed, SKETCH_TERMS - 1, axis=1)[:, :SKETCH_TERMS]
+    return _mix(_mix(mixed).sum(1, dtype=np.uint64) ^ _ORDERS).view(np.int64).tolist()
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = Terms()
+    for batch in batches:
+        found = [key for text in batch.column("text").to_pylist() for key in _sketches(known.of(text or ""))]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["sketch"])
+
+
+def _count(batches: Iterator[pa.RecordBatch], groups: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    known, counts, parts = Terms(), Counter(), Counter()
 
     def rows() -> pa.RecordBatch:
+        for term, n in counts.items():
+            parts[term] += n * UNIT
         out = pa.RecordBatch.from_arrays(
-            [pa.array(np.fromiter(counts, np.uint64, len(counts)).view(np.int64)), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["term", "n"]
+            [pa.array(np.fromiter(parts, np.uint64, len(parts)).view(np.int64)), pa.array(np.fromiter(parts.values(), np.int64, len(parts)))], names=["term", "n"]
         )
         counts.clear()
+        parts.clear()
         return out
 
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            counts.update(known.of(text or ""))
-        if len(counts) > KNOWN_WORDS:
+            found = known.of(text or "")
+            copies = max(map(groups.get, groups.keys() & _sketches(found)), default=1) if groups else 1
+            found.add(0)  # stands for the document
+            if copies == 1:
+                counts.update(found)
+            else:
+                weight = max(1, UNIT // copies)
+                for term in found:
+                    parts[term] += weight
+        if len(counts) + len(parts) > KNOWN_WORDS:
             yield rows()
     yield rows()
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, max_terms: int = MAX_TERMS) -> np.ndarray:
-    """The sorted numbers of the terms in the band, by document frequency over all of ``docs``.
+def vocabulary(docs: DataFrame, band: tuple[float, float] = BAND, max_terms: int = MAX_TERMS) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted numbers of the terms in the band, and those of the terms above it, rarest first.
 
-    A document of m distinct terms counts m times in the frequencies, so at most (mean of m) / share terms are in at least that share of the
-    documents. The lower end is raised to where this is ``max_terms``: the lexicon has no more, whatever the input.
+    Documents are weighted: members of a group that has a sketch in common, and holds more than a quarter of the band's upper end of the documents, count
+    as one together; smaller groups cannot lift a term out of the band by themselves. There are at most ``SKETCHES`` / that share such groups. A document
+    of m distinct terms counts m times in the frequencies, so at most (mean of m) / share terms are in at least that share of the documents, which bounds
+    the terms above the band. The lower end is raised to where this is ``max_terms``: the lexicon has no more, whatever the input.
     """
-    counts = stored(docs.select("text").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "term-counts")
-    n = docs.count()
+    docs = docs.select("text")
+    least = max(2, band[1] / 4 * docs.count())
+    large = docs.mapInArrow(_sketch, "sketch long").groupBy("sketch").count().where(F.col("count") >= least).collect()
+    groups = {r.sketch: r["count"] for r in large}
+    counts = stored(docs.mapInArrow(partial(_count, groups=groups), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "term-counts")
+    n = counts.where("term = 0").agg(F.sum("n")).first()[0] or 0
+    counts = counts.where("term != 0")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    low = max(band[0] * n, total / max_terms)
-    terms = counts.where((F.col("n") >= low) & (F.col("n") <= band[1] * n)).select("term").toPandas()["term"]
-    return np.sort(terms.to_numpy(np.int64).view(np.uint64))
+    low, high = max(band[0] * n, total / max_terms), band[1] * n
+    inside = counts.where((F.col("n") >= low) & (F.col("n") <= high)).select("term").toPandas()["term"]
+    above = counts.where((F.col("n") >= low) & (F.col("n") > high)).orderBy("n", "term").select("term").toPandas()["term"]
+    return np.sort(inside.to_numpy(np.int64).view(np.uint64)), above.to_numpy(np.int64).view(np.uint64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, max_terms: int = MAX_TERMS) -> np.ndarray:
+    """The sorted numbers of the terms in the band; see :func:`vocabulary`."""
+    return vocabulary(docs, band, max_terms)[0]
 
 
 PARTS = len(LEVELS) * SUBSETS
@@ -113,10 +171,10 @@ _LIMITS = np.repeat(np.array([int(level * 2**64) for level in LEVELS], np.uint64
 
 
 class Lexicons:
-    """The lexicon's terms, and for each the subsets that hold it, one list behind the other."""
+    """The lexicon's terms, and for each the subsets that hold it, one list behind the other; and the terms above the band, rarest first."""
 
-    def __init__(self, terms: np.ndarray):
-        self.terms = terms
+    def __init__(self, terms: np.ndarray, above: np.ndarray = np.empty(0, np.uint64)):
+        self.terms, self.above = terms, above
         drawn = [_drawn(terms[k : k + 10_000]) for k in range(0, len(terms), 10_000)]
         counts = [np.bincount(term, minlength=min(10_000, len(terms) - 10_000 * k)) for k, (term, _) in enumerate(drawn)]
         self.subsets = np.concatenate([*(subset.astype(np.uint8) for _, subset in drawn), np.empty(0, np.uint8)])
@@ -136,11 +194,22 @@ class Reader:
 
     def __init__(self, lexicons: Lexicons):
         self.lexicons, self.inside, self.all = lexicons, Places(lexicons.terms), Terms()
+        self.above = dict(zip(lexicons.above.tolist(), range(len(lexicons.above))))
+
+    def terms(self, words: set[str], found: set[int]) -> np.ndarray:
+        """The sorted terms of a text with few terms (places ``found``) in the lexicon: these and, up to the least number, its rarest above the band, then
+        those below it by their number. With one more term in the lexicon it has one of these less, so the choice changes by no more than the text."""
+        every = self.all.among(words)
+        inside = set(self.lexicons.terms[np.fromiter(found, np.int64, len(found)) - 1].tolist())
+        missing = max(LEAST_TERMS, math.ceil(LEAST_SHARE * len(every))) - len(inside)
+        rest = heapq.nsmallest(max(0, missing), every - inside, key=lambda term: (self.above.get(term, len(self.above)), term))
+        return np.sort(np.array([*inside, *rest], np.uint64))
 
     def members(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Term and subset of each membership, in the order of the terms. A text without terms in the lexicon is taken by all its terms."""
-        found = self.inside.of(text)
-        if found:
+        """Term and subset of each membership, in the order of the terms; a text with few terms in the lexicon is completed, see :meth:`terms`."""
+        words = set(text.split())
+        found = self.inside.among(words)
+        if len(found) >= max(LEAST_TERMS, LEAST_SHARE * len(words)):
             at = np.fromiter(found, np.int64, len(found))
             at.sort()
             first, end = self.lexicons.ends[at - 1], self.lexicons.ends[at]
@@ -148,8 +217,7 @@ class Reader:
             before = n.cumsum()
             every = np.arange(before[-1]) + np.repeat(end - before, n)
             return np.repeat(self.lexicons.terms[at - 1], n), self.lexicons.subsets[every]
-        found = self.all.of(text)
-        terms = np.sort(np.fromiter(found, np.uint64, len(found)))
+        terms = self.terms(words, found)
         term, subset = _drawn(terms)
         return terms[term], subset
 
@@ -285,5 +353,5 @@ def compare_with_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Dat
     document). A null text is empty; rows that share a doc_id follow each other in the order of a hash of their text; null ids come first. A single document follows
     itself; an empty table gives an empty result. Other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Lexicons(lexicon(docs, band)))
+    sent = docs.sparkSession.sparkContext.broadcast(Lexicons(*vocabulary(docs, band)))
     return in_order(docs).mapInArrow(partial(_compare, sent=sent), EDITED)

@@ -176,6 +176,40 @@ def test_lexicon_counts_documents_and_is_bounded(frame):
     assert len(imatch.lexicon(docs, (0.0, 1.0), max_terms=3)) <= 3
 
 
+def test_a_large_group_of_near_copies_keeps_its_lexicon(frame):
+    """Two groups of near copies, of a third and a tenth of the rows, each copy with one word of its own; the rest are ordinary."""
+    rng = random.Random(3)
+    base = [[f"g{k}x{i}" for i in range(120)] for k in range(2)]
+
+    def copy(k, word):
+        words = list(base[k])
+        words[rng.randrange(120)] = word
+        return " ".join(words)
+
+    copies = [copy(0, f"w{rng.randrange(3000)}") for _ in range(200)] + [copy(1, f"w{rng.randrange(3000)}") for _ in range(60)]
+    others = [prose(150, 500 + k) for k in range(340)]
+    docs = frame(copies + others)
+    lexicons = imatch.Lexicons(*imatch.vocabulary(docs))
+    assert {imatch.Terms()[w] for w in base[0] + base[1]} <= set(lexicons.terms.tolist())
+    got = {r.doc_id: r for r in imatch.compare_with_edits(docs).collect()}
+    assert min(got[k].near_next for k in range(199)) > 0.5 and min(got[k].near_next for k in range(200, 259)) > 0.5
+    assert min(got[k].near_edited for k in range(260)) > 0.3
+    reader = lexicons.reader()
+    assert imatch.likeness(*(reader.parts(" ".join([*base[k], "w7"])) for k in (0, 1))) < 0.2
+
+
+def test_one_term_of_the_lexicon_changes_little():
+    """Texts without terms in the band: a term of it more, and a last quarter of an ordinary text."""
+    common, ordinary = [f"c{i}" for i in range(100)], [f"o{i}" for i in range(300)]
+    numbers = lambda words: np.array([imatch.Terms()[w] for w in words], np.uint64)
+    reader = imatch.Lexicons(np.sort(numbers(ordinary)), numbers(common)).reader()
+    first, second = " ".join(common[:50]), " ".join(common[50:])
+    print_ = reader.parts(first)
+    assert imatch.likeness(print_, reader.parts(first + " o5")) > 0.5
+    assert imatch.likeness(reader.parts(first + " o5"), reader.parts(second + " o5")) < 0.3
+    assert imatch.likeness(print_, reader.parts(" ".join(common[:38] + ordinary[:6] + common[90:96]))) > 0.1
+
+
 def test_successors_with_ties(frame):
     rows = [(5, "five five"), (1, "aaaa bbbb"), (None, "nnnn"), (5, "other!"), (9, "")]
     got = imatch.compare_with_edits(frame(rows).repartition(4)).collect()
