@@ -210,6 +210,13 @@ def test_one_term_of_the_lexicon_changes_little():
     assert imatch.likeness(print_, reader.parts(" ".join(common[:38] + ordinary[:6] + common[90:96]))) > 0.1
 
 
+def test_short_texts_have_filled_parts():
+    lexicon = np.sort(np.array([imatch.Terms()[f"o{k}"] for k in range(200)], np.uint64))
+    reader = imatch.Lexicons(lexicon).reader()
+    filled = [np.count_nonzero(reader.parts(f"o{k}").reshape(len(imatch.LEVELS), imatch.SUBSETS), axis=1).max() for k in range(200)]
+    assert sum(filled) / 200 > 5  # of 12; a quarter of them would be 3
+
+
 def test_successors_with_ties(frame):
     rows = [(5, "five five"), (1, "aaaa bbbb"), (None, "nnnn"), (5, "other!"), (9, "")]
     got = imatch.compare_with_edits(frame(rows).repartition(4)).collect()
