@@ -249,6 +249,15 @@ def test_network_learns_the_shape_of_secrets(spark, frame):
     assert all(r.spans == r.base for r in secrets.scan_secrets(frame(texts[:5] + hidden[:5]), given).collect())
 
 
+def test_a_weak_network_keeps_the_recall():
+    rng = random.Random(8)
+    tokens = ["".join(rng.choice(string.ascii_lowercase) for _ in range(16)) for _ in range(400)]
+    x, y = charcnn.encode([""] * 400, tokens, [""] * 400), np.array([rng.randrange(2) for _ in tokens])
+    net = charcnn.train(x, y, 0.98, rounds=2)
+    test = np.random.default_rng(1).permutation(400)[:80]
+    assert net.threshold < 0.5 and (net.probability(x[test])[y[test] == 1] >= net.threshold).mean() >= 0.98
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
     x = charcnn.encode(["ab = "] * 6, ["deadbeef0123", "word", "", "x" * 70, "A1b2C3", "..."], [" end"] * 6)
