@@ -197,6 +197,12 @@ def _is_menu(node: Node) -> bool:
     return node.tag in ("ul", "ol", "dl", "div", "section", "table") and node.links >= 3 and node.link_chars >= 0.9 * node.chars
 
 
+def _within(node: Node, top: Node | None) -> bool:
+    while node is not None and node is not top:
+        node = node.parent
+    return node is not None
+
+
 def _text_blocks(node: Node, keep) -> list[str]:
     """White space made one space, block by block; ``keep`` says of an element whether it is part of the text."""
     out: list[str] = []
@@ -215,7 +221,7 @@ def _text_blocks(node: Node, keep) -> list[str]:
             flush()
         elif isinstance(item, str):
             line.append(item)
-        elif not item.noise and not _is_menu(item) and keep(item):
+        elif not item.noise and keep(item):
             if item.tag in BLOCK:
                 flush()
                 todo.append(None)
@@ -247,9 +253,15 @@ def extract(page: str | None) -> str:
     scope = home or way[-1]
     on_way = {id(n) for n in way}
 
+    # All of the best subtree and of its article, lists of links too; around them, no menus, and beside the way, what is dense enough, and headings.
+    chosen = home or (best if best is not body else None)
+
     def keep(node: Node) -> bool:
-        # All of the best subtree and of its article; beside the way, what is dense enough, and headings.
-        if home is not None or id(node) in on_way or id(node.parent) not in on_way or node.parent is best:
+        if home is not None or id(node) in on_way:
+            return True
+        if _is_menu(node) and not _within(node, chosen):
+            return False
+        if id(node.parent) not in on_way or node.parent is best:
             return True
         return node.tag not in BLOCK or node.density >= threshold or node.tag in ("h1", "h2", "h3")
 

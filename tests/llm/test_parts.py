@@ -356,3 +356,13 @@ def test_densest_subtree_wins_over_menus():
     links = "".join(f"<li><a href='/{k}'>Section number {k}</a></li>" for k in range(30))
     page = f"<body><div><ul>{links}</ul></div><div><h2>Head</h2><div><p>{prose(80, 1)}</p><p>{prose(60, 2)}</p></div></div></body>"
     assert html_text.extract(page) == "\n\n".join(["Head", prose(80, 1), prose(60, 2)])
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_linked_references_are_text(tag):
+    references = "".join(f"<li><a href='/{k}'>Reference number {k}</a></li>" for k in range(5))
+    cells = "".join(f"<tr><td><a href='/e{k}'>Episode {k}</a></td></tr>" for k in range(4))
+    menu = "".join(f"<li><a href='/m{k}'>Menu {k}</a></li>" for k in range(5))
+    page = f"<body><div><ul>{menu}</ul></div><{tag}><p>{prose(80, 1)}</p><p>{prose(60, 2)}</p><ol>{references}</ol><table>{cells}</table></{tag}></body>"
+    expected = [prose(80, 1), prose(60, 2), *(f"Reference number {k}" for k in range(5)), *(f"Episode {k}" for k in range(4))]
+    assert html_text.extract(page) == "\n\n".join(expected)
