@@ -2,7 +2,7 @@
 
 Each node of a page's tree gets its characters per tag, adjusted for links; a node's density sum adds up those of its children. The main text
 is the subtree with the greatest sum, together with what lies beside its way to the body and is as dense as the thinnest node on that way.
-Parts that say by tag, role or name that they are no main text are taken out first.
+Parts that say by tag or role that they are no main text are taken out first; so are forms and parts with such a name, unless they hold the main text.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ BLOCK = frozenset(
     "hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 NEVER = frozenset(
-    "script style noscript template iframe object embed applet canvas svg math audio video map form button select textarea input option fieldset datalist "
+    "script style noscript template iframe object embed applet canvas svg audio video map button select textarea input option datalist "
     "nav menu footer aside dialog head title noembed noframes".split()
 )
 CLOSES = {
@@ -53,13 +53,22 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: Words that say nothing beside one of NAMES.
+NEUTRAL = frozenset(
+    "left right top bottom main site page primary secondary container wrapper wrap box block area list item items section bar button buttons link links icon icons "
+    "inner outer title form post posts article articles stories slot unit google global header".split()
+)
+#: Names that parts of an article have as well.
+WEAK = frozenset("discussion related share sharing social notice notices alert promotion respond reply replies aside copyright consent notification subscription".split())
+COMMENTS = frozenset("comment comments commentlist disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "noise", "parent", "children", "chars", "tags", "link_chars", "links", "density", "total")
+    __slots__ = ("tag", "noise", "hint", "parent", "children", "chars", "tags", "link_chars", "links", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", noise: bool):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: "Node | None", noise: bool, hint: str = ""):
+        self.tag, self.parent, self.noise, self.hint = tag, parent, noise, hint
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.total = 0.0
@@ -77,13 +86,32 @@ def _noise(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id"):
-            words = {w.lower() for w in PART.findall(value)} | set(re.findall(r"[a-z]+", value.lower()))
-            if words & NAMES or "header" in words and not inside and tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                return True
     return False
 
 
+def _hint(tag: str, attributes: str, inside: bool) -> str:
+    """What speaks against an element: "form", a "name" (all words of a class or the id) or one of "comments", or a "weak" one, which articles use too."""
+    if tag in ("form", "fieldset"):
+        return "form"
+    if tag in HEADINGS or tag in ("html", "body") or not attributes.strip() or tag in ("article", "main") and "comment" not in attributes.lower():
+        return ""
+    found = ""
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() not in ("class", "id"):
+            continue
+        for token in (m[2] or "").strip("\"'").split():
+            if not token.isascii():
+                continue
+            names = NAMES if inside else NAMES | {"header"}
+            for words in ({w.lower() for w in PART.findall(token)}, set(re.findall(r"[a-z]+", token.lower()))):
+                said = words & names
+                if said and words <= names | NEUTRAL:
+                    if said & COMMENTS:
+                        return "comments"
+                    found = "name" if said - WEAK else found or "weak"
+    return found
+
+
 def parse(page: str) -> Node:
     """The page's tree. Open elements that an end tag or a new block implies closed are closed; stray end tags are ignored."""
     root = node = Node("html", None, False)
@@ -145,7 +173,7 @@ def parse(page: str) -> Node:
         if tag == "br":
             node.children.append(" ")
             continue
-        child = Node(tag, node, _noise(tag, m[3], inside > 0))
+        child = Node(tag, node, _noise(tag, m[3], inside > 0), _hint(tag, m[3], inside > 0))
         node.children.append(child)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>|\Z", re.I).search(page, at)
@@ -169,6 +197,49 @@ def _preorder(root: Node) -> list[Node]:
     return out
 
 
+def settle(root: Node) -> None:
+    """Take out the elements that a name or form tag speaks against, unless their text says otherwise.
+
+    Outside articles, none stays that leaves an article or main element with text outside it; else one that holds the greater part of the page's paragraphs (of its
+    text, for a form; nine tenths, for comments and on a page without paragraphs). Inside an article, one with a name stays if it holds nine tenths of the article, one with a weak name if half of its text is
+    unlinked paragraphs.
+    """
+    nodes = _preorder(root)
+    if not any(n.hint for n in nodes):
+        return
+    text, para, homes = {}, {}, {}
+    above: dict[int, tuple[bool, bool, Node | None]] = {}  # inside a paragraph, inside a link, nearest article or main element
+    for n in nodes:
+        in_p, in_a, home = above.get(id(n.parent), (False, False, None))
+        above[id(n)] = in_p or n.tag in ("p", "pre", "blockquote") or n.tag in HEADINGS, in_a or n.tag == "a", n if n.tag in ("article", "main") else home
+    for n in reversed(nodes):
+        in_p, in_a, _ = above[id(n)]
+        below = [c for c in n.children if isinstance(c, Node) and not c.noise]
+        own = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        text[id(n)] = own + sum(text[id(c)] for c in below)
+        para[id(n)] = own * (in_p and not in_a) + sum(para[id(c)] for c in below)
+        inner = sum(homes[id(c)] for c in below)
+        homes[id(n)] = 1 if n.tag in ("article", "main") and text[id(n)] else inner
+    all_text, all_para, all_homes = text[id(root)], para[id(root)], homes[id(root)]
+    for n in nodes:
+        if not n.hint:
+            continue
+        t, p, home = text[id(n)], para[id(n)], above.get(id(n.parent), (False, False, None))[2]
+        if n.tag in ("article", "main"):
+            stays = homes[id(n)] == all_homes and home is None
+        elif n.hint == "weak" and (home is not None or not all_homes):
+            stays = p and 2 * p >= t
+        elif home is not None:
+            stays = 10 * t >= 9 * text[id(home)]
+        elif homes[id(n)] < all_homes:
+            stays = False
+        elif n.hint == "form" and 2 * t > all_text:
+            stays = True
+        else:
+            stays = (10 * p >= 9 * all_para if n.hint == "comments" else 2 * p > all_para) if all_para else 10 * t >= 9 * all_text
+        n.noise = not stays
+
+
 def weigh(nodes: list[Node], body: Node) -> None:
     """Counts, composite densities and density sums; ``nodes`` with parents first."""
     for node in reversed(nodes):
@@ -235,6 +306,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    settle(root)
     nodes = _preorder(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     weigh(nodes, body)

@@ -366,3 +366,21 @@ def test_linked_references_are_text(tag):
     page = f"<body><div><ul>{menu}</ul></div><{tag}><p>{prose(80, 1)}</p><p>{prose(60, 2)}</p><ol>{references}</ol><table>{cells}</table></{tag}></body>"
     expected = [prose(80, 1), prose(60, 2), *(f"Reference number {k}" for k in range(5)), *(f"Episode {k}" for k in range(4))]
     assert html_text.extract(page) == "\n\n".join(expected)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><div class='content has-sidebar'><article><p>a b c</p></article></div></body>", "a b c"),
+        ("<body><div id='page-no-comments'><article><p>a b c</p></article></div></body>", "a b c"),
+        ("<article><h1>T</h1><p>a b c</p><section id='discussion'><h2>Discussion</h2><p>d e f</p></section></article>", "T\n\na b c\n\nDiscussion\n\nd e f"),
+        ("<article><p>a b c</p><h2 id='related-work'>Related</h2><p>d</p><h2 id='share-prices'>Prices</h2><p>e</p></article>", "a b c\n\nRelated\n\nd\n\nPrices\n\ne"),
+        ("<body><form action='/x'><input type=hidden><div><p>one two three</p><p>four five six</p></div></form></body>", "one two three\n\nfour five six"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", "so x=1 holds"),
+        ("<body><div class='widget'><h1>T</h1><main><p>a b c</p></main></div></body>", "T\n\na b c"),
+        ("<body><div><p>a b c d</p><p>e f</p></div><section class='comments'><article><p>reader says</p></article></section></body>", "a b c d\n\ne f"),
+        ("<article><p>a b c d e f g h</p><div class='left-sidebar'>side</div><div class='share-buttons'><a href='x'>F</a></div><p>i</p></article>", "a b c d e f g h\n\ni"),
+    ],
+)
+def test_names_and_forms_are_no_verdict(page, text):
+    assert html_text.extract(page) == text
