@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import decontaminate, html_text, imatch, lines, mixing, oracle, secrets, simhash, substrings, tokens, toxicity
+from footfall.llm import decontaminate, html_text, imatch, lines, mixing, oracle, quality, runs, secrets, simhash, substrings, tokens, toxicity, tries
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +58,34 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.find_runs(runs.with_planted_periods(_table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    written = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), F.sha2(F.encode(written, "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+    best = {"start": -F.col("best.start"), "length": F.col("best.length"), "period": -F.col("best.period"), "exponent_milli": F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("long")}
+    return out.select("doc_id", "n_runs", *[c.alias(name) for name, c in best.items()], "runs_sha256", "collapsed_sha256")
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), stratum="lang", alpha=0.05, delta=0.05)
+    return out.select("doc_id", *quality.BASE, "base_failed", "kept", "rejected_by")
+
+
+def op13_conversation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_tree(tries.with_shared_starts(tries.sequences(_table(spark, sf_dir, "conversations"))))
+
+
+OPERATORS = (
+    op1_token_counts, op2_substring_dedup, op3_simhash_near_dedup, op4_decontamination, op5_imatch_fingerprints, op6_secret_scan, op7_html_text, op8_source_mix, op9_toxicity,
+    op10_line_dedup, op11_periodic_runs, op12_quality_rules, op13_conversation_tree,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_simhash_near_dedup, op4_decontamination, op5_imatch_fingerprints, op6_secret_scan, op7_html_text, op8_source_mix, op9_toxicity, op10_line_dedup)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the exact, word-based operators; the others hash, learn or align, and are tested against plain versions."""
-    return {"op2_substring_dedup": oracle.OP2, "op8_source_mix": oracle.OP8, "op10_line_dedup": oracle.OP10}
+    return {"op2_substring_dedup": oracle.OP2, "op8_source_mix": oracle.OP8, "op10_line_dedup": oracle.OP10, "op12_quality_rules": oracle.OP12, "op13_conversation_tree": oracle.OP13}
