@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from footfall.llm import decontaminate, html_text, imatch, lines, mixing, secrets, simhash, substrings, tokens, toxicity
+from footfall.llm import decontaminate, html_text, imatch, lines, mixing, quality, runs, secrets, simhash, substrings, tokens, toxicity
 
 from tests.llm import plain
 from tests.llm.conftest import prose
@@ -37,6 +37,8 @@ OPERATORS = {
     "html": lambda d: html_text.extract_pages(d.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"))),
     "mixing": lambda d: mixing.mix(d),
     "toxicity": lambda d: toxicity.score_documents(d, d.sparkSession.createDataFrame([(5, 1), (6, 0), (7, None), (None, 1)], "doc_id long, toxic int")),
+    "runs": lambda d: runs.find_runs(d),
+    "quality": lambda d: quality.judge(d, d.sparkSession.createDataFrame([(5, 1), (6, 0), (7, None), (None, 1)], "doc_id long, quality int")),
     "lines": lambda d: lines.dedup_lines(d, min_docs=2),
 }
 #: Those that return one row for each row of their input.
