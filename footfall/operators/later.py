@@ -2,47 +2,28 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import DataFrame, functions as F
 
 from footfall.functions import columns as C
-from footfall.params import DateWindow
 
 EVENTS = ("soft", "hard")
 
 
-def submit_days(interactions: DataFrame, key: str, window: DateWindow) -> DataFrame:
-    """Days on which a key soft- or hard-submitted.
+def with_later_activity(first: DataFrame) -> DataFrame:
+    """Whether, when and how long after the first visit day a key submitted, in place of ``submit_days``.
 
-    No visitor flag is required here. The first day of the window cannot be later
-    than anyone's first visit day, so the scan starts one day in.
+    ``first`` holds one row per key with its submit days (submit_date, soft, hard), as ``visits.first_visits_and_days`` makes them: at most one for each
+    day of the window. So nothing is joined or grouped.
     """
-    start = C.midnight(window.start + timedelta(days=1))
-    return (
-        interactions.filter(f"interaction_date >= {start} and interaction_date < {C.midnight(window.end)}")
-        .filter(" or ".join(f"{e}_submit_flag = 1" for e in EVENTS))
-        .groupBy(key, F.expr("to_date(interaction_date) as submit_date"))
-        .agg(*[F.expr(f"max(if({e}_submit_flag = 1, 1, 0)) as {e}_that_day") for e in EVENTS])
-    )
-
-
-def with_later_activity(first: DataFrame, days: DataFrame, key: str) -> DataFrame:
-    """Add whether, when and how long after the first visit day a key submitted.
-
-    ``first`` holds one row per key, and ``days`` one per key and day with a submit, of the same window.
-    So a key brings at most one row per day of the window to the join, and the grouping after it needs no further shuffle.
-    """
-    days = days.withColumnRenamed(key, "_key")
-    after = F.expr(f"{key} = _key and submit_date > to_date(first_interaction_time)")
+    kept = [c for c in first.columns if c != "submit_days"]
     dates = [f"first_later_{e}_submit_date" for e in EVENTS]
-    dated = (
-        first.join(days, after, "left")
-        .groupBy(*first.columns)
-        .agg(*[F.expr(f"min(if({e}_that_day = 1, submit_date, null)) as {d}") for e, d in zip(EVENTS, dates)])
-    )
-    return dated.select(
-        *first.columns,
+    after = "submit_date > to_date(first_interaction_time)"
+    earliest = [
+        F.expr(f"array_min(transform(filter(submit_days, d -> d.{after} and d.{e} = 1), d -> d.submit_date)) as {d}")
+        for e, d in zip(EVENTS, dates)
+    ]
+    return first.select(*kept, *earliest).select(
+        *kept,
         *[C.flag(f"{d} is not null").alias(f"later_{e}_submitted") for e, d in zip(EVENTS, dates)],
         *dates,
         *[

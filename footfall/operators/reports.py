@@ -26,9 +26,15 @@ def count_keys_by(
 
 
 def with_total(counts: DataFrame, dim: str, measure: str) -> DataFrame:
-    """Append one ``Total`` row, the sum of the detail rows (NULL when there are none)."""
-    total = counts.agg(F.sum(measure).alias(measure)).select(F.lit(rules.TOTAL).alias(dim), measure)
-    return counts.select(dim, measure).unionByName(total)
+    """Append one ``Total`` row, the sum of the detail rows (NULL when there are none).
+
+    A rollup, so ``counts`` is computed once; ``grouping`` tells the total from a NULL in the dimension. A row without a measure makes sure
+    that there is a total, and is no detail row.
+    """
+    detail = counts.selectExpr(dim, measure, "true as _real")
+    empty = counts.sparkSession.range(1).selectExpr(f"cast(null as {counts.schema[dim].dataType.simpleString()}) as {dim}", f"cast(null as {counts.schema[measure].dataType.simpleString()}) as {measure}", "false as _real")
+    summed = detail.unionAll(empty).rollup(dim).agg(F.sum(measure).alias(measure), F.max("_real").alias("_real"), F.grouping(dim).alias("_total"))
+    return summed.filter("_total = 1 or _real").selectExpr(f"if(_total = 1, {C.text(rules.TOTAL)}, {dim}) as {dim}", measure)
 
 
 def multi_value_audit(df: DataFrame, key: str, value: str, name: str) -> DataFrame:

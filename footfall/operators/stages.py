@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions import columns as C, rules
@@ -19,43 +17,6 @@ def ita_flags() -> dict[str, Column]:
     }
 
 
-def pq_flags() -> dict[str, Column]:
-    """Row-level 0/1 flags followed in a PQ first visit."""
-    return {"hard_submitted": C.flag("hard_submit_flag = 1")}
-
-
-def visit_flags(rows: DataFrame, key: str, flags: Mapping[str, Column]) -> DataFrame:
-    """Per key and visit: each flag over all its rows, and their number.
-
-    Every column is fixed-width, so this is a hash aggregation that combines on the
-    map side; URLs are reduced to a flag before anything is shuffled.
-    """
-    known = rows.filter("visit_id is not null")
-    if "gen_url" in known.columns:
-        known = known.selectExpr("*", "lower(gen_url) as _url")
-    return known.groupBy(key, "visit_id").agg(
-        *[F.max(expr).alias(name) for name, expr in flags.items()],
-        F.count(key).alias("matched_first_visit_rows"),
-    )
-
-
-def first_visit_activity(first: DataFrame, rows: DataFrame, key: str, flags: Mapping[str, Column]) -> DataFrame:
-    """Add to each first visit its flags over all rows of that visit, and their number.
-
-    Visits are summarised before the join, so both sides are unique in (key, visit)
-    and neither can be skewed. Only first visits are wanted: the semi-join right above the grouping
-    moves below it, to the rows, when the first visits can be broadcast. A first visit without an id, or a key without a first
-    visit, matches no rows: its flags and count are 0.
-    """
-    wanted = first.select(key, F.col("first_visit_id").alias("visit_id"))
-    visits = visit_flags(rows, key, flags).join(wanted, [key, "visit_id"], "left_semi")
-    visits = visits.withColumnRenamed("visit_id", "first_visit_id")
-    names = [*flags, "matched_first_visit_rows"]
-    return first.join(visits, [key, "first_visit_id"], "left").select(
-        *first.columns, *[F.expr(f"coalesce({n}, 0) as {n}") for n in names]
-    )
-
-
 def with_ita_category(activity: DataFrame) -> DataFrame:
     """Add the ITA stage of the first visit."""
     stage = C.ita_category("first_visit_funnel", "app_started", "soft_submitted", "soft_approved", "hard_submitted")

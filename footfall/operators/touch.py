@@ -1,44 +1,8 @@
-"""First-touch and latest-row operators.
-
-The earliest row of a key is ``min`` over an ordered struct rather than a sorted window. A struct with a text in it is aggregated by sorting, so the
-rows are first reduced by hash to one for each key, visit and funnel, with the time as the only measure; the struct sees only those.
-"""
+"""Latest row per key, and rows of an audience."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-from footfall.functions import columns as C
-
-
-def first_touch(
-    rows: DataFrame,
-    key: str,
-    trim_funnel: bool = True,
-    audience: DataFrame | None = None,
-    ts: str = "interaction_date",
-) -> DataFrame:
-    """Earliest row per key: visit id, time and funnel.
-
-    Rows are ordered by time, then visit id, then funnel; a boolean in front of a
-    nullable field sorts its NULLs last. With ``trim_funnel`` the funnel is cleaned
-    first and a missing one is named; otherwise it stays as recorded. With an
-    ``audience`` only its keys are kept.
-    """
-    funnel = C.trimmed("funnel") if trim_funnel else "funnel"
-    reduced = rows.groupBy(key, F.col("visit_id").alias("visit"), F.expr(f"{funnel} as funnel")).agg(F.min(ts).alias("time"))
-    touch = "min(struct(time, visit is null as no_visit, visit, funnel is null as no_funnel, funnel)) as touch"
-    first = reduced.groupBy(key).agg(F.expr(touch))
-    if audience is not None:
-        first = restrict_to(first, audience, key)
-    return first.selectExpr(
-        key, "touch.visit as first_visit_id", "touch.time as first_interaction_time", "touch.funnel"
-    ).select(
-        key,
-        "first_visit_id",
-        "first_interaction_time",
-        (C.clean_funnel("funnel") if trim_funnel else F.col("funnel")).alias("first_visit_funnel"),
-    )
+from pyspark.sql import DataFrame
 
 
 def latest_per_key(df: DataFrame, key: str, ts: str, tie_break: str) -> DataFrame:

@@ -27,7 +27,7 @@ def build_visitor_tables(
     visits = store.replace("visitor_visits", jobs.visit_summary(interactions, grain))
     repeat = store.replace("repeat_visitors", jobs.repeat_visitors(visits, grain))
     ita = jobs.visitor_ita(visits, repeat, lookup, grain)
-    pq = jobs.visitor_pq(visits, repeat, lookup, grain)
+    pq = jobs.visitor_pq(visits, repeat, lookup, grain, prune=True)
     return {
         "visitor_visits": visits,
         "visitor_cust_type": lookup,
@@ -53,7 +53,7 @@ def build_person_tables(
     visits = store.replace("person_visits", jobs.visit_summary(interactions, grain))
     classified = store.replace("person_funnel_type", jobs.person_funnel_type(returning_population, visits, grain))
     ita = jobs.person_ita_later(visits, classified, lookup, grain)
-    pq = jobs.person_pq(visits, classified, lookup, grain)
+    pq = jobs.person_pq(visits, classified, lookup, grain, prune=True)
     return {
         "person_visits": visits,
         "person_cust_type": lookup,

@@ -50,22 +50,23 @@ def visit_summary(interactions: DataFrame, grain: Grain) -> DataFrame:
     return V.visits_of(interactions, grain)
 
 
-def return_buckets(interactions: DataFrame, grain: Grain = VISITOR) -> DataFrame:
+def return_buckets(visits: DataFrame, grain: Grain = VISITOR) -> DataFrame:
     """Return bucket of every key seen in the window."""
-    daily = R.daily_visits(_known(interactions, grain), grain.key)
-    return R.with_bucket(R.return_summary(daily, grain.key), grain.buckets)
+    key = grain.key
+    daily = V.daily_visits(visits, key) if V.is_summary(visits) else R.daily_visits(_known(visits, grain), key)
+    return R.with_bucket(R.return_summary(daily, key), grain.buckets)
 
 
-def return_bucket_detail(interactions: DataFrame, grain: Grain = VISITOR) -> DataFrame:
+def return_bucket_detail(visits: DataFrame, grain: Grain = VISITOR) -> DataFrame:
     """Return bucket of the keys that came back."""
-    return return_buckets(interactions, grain).filter(
+    return return_buckets(visits, grain).filter(
         f"return_bucket not ilike {C.text(rules.NO_REPEAT_VISITOR_PATTERN)}"
     )
 
 
-def return_bucket_report(interactions: DataFrame, grain: Grain = VISITOR) -> DataFrame:
+def return_bucket_report(visits: DataFrame, grain: Grain = VISITOR) -> DataFrame:
     """Formatted number of keys per return bucket, and their total."""
-    counts = return_buckets(interactions, grain).groupBy("return_bucket").agg(
+    counts = return_buckets(visits, grain).groupBy("return_bucket").agg(
         F.count(grain.key).alias("visitor_count")
     )
     total = reports.with_total(counts, "return_bucket", "visitor_count")
@@ -89,19 +90,29 @@ def repeat_visitors(visits: DataFrame, grain: Grain = VISITOR) -> DataFrame:
     )
 
 
+def repeat_first_visits(visits: DataFrame, grain: Grain = VISITOR) -> DataFrame:
+    """``repeat_visitors`` with what happened in the first visit, from one pass over the visits."""
+    if grain.flagged_only:
+        raise ValueError("first visits are among the flagged visits only, return buckets are not; use repeat_visitors")
+    daily = V.daily_first_visits(V.visits_of(visits, grain), grain.key, grain.trim_funnel)
+    summary = R.return_summary(daily, grain.key, F.expr("min(first) as first"))
+    returned = R.with_bucket(summary, grain.buckets).filter(F.col("return_bucket") != grain.buckets.none)
+    return (
+        returned.select(grain.key, "return_bucket", "first.*")
+        .select(grain.key, "return_bucket", *V.touched(grain.trim_funnel), *V.CARRIED)
+        .withColumn("first_visit_group", C.funnel_group("first_visit_funnel"))
+    )
+
+
 def person_funnel_type(population: DataFrame, visits: DataFrame, grain: Grain) -> DataFrame:
     """Returning population with the funnel and group of each first interaction.
 
     Someone without a flagged interaction in the window stays, ``Unmapped``.
     """
-    returning = (
-        population.filter(f"return_bucket not ilike {C.text(rules.NO_REPEAT_PERSON_PATTERN)}")
-        .select(grain.key, "return_bucket")
-        .distinct()
-    )
-    first = V.first_touch(V.flagged(V.visits_of(visits, grain), grain), grain.key, grain.trim_funnel, returning)
+    returning = population.filter(f"return_bucket not ilike {C.text(rules.NO_REPEAT_PERSON_PATTERN)}")
+    flagged = V.flagged(V.visits_of(visits, grain), grain)
     return (
-        returning.join(first, grain.key, "left")
+        V.audience_first_touch(flagged, returning, grain.key, "return_bucket", grain.trim_funnel)
         .select(grain.key, "return_bucket", "first_interaction_time", "first_visit_funnel")
         .withColumn("first_visit_group", C.funnel_group("first_visit_funnel"))
     )
@@ -111,38 +122,41 @@ def _audience(classified: DataFrame, group: str) -> DataFrame:
     return classified.filter(F.col("first_visit_group") == group)
 
 
-def _first_visits(visits: DataFrame, audience: DataFrame, grain: Grain) -> DataFrame:
-    """First visits of the audience's keys that have rows in the window, with what happened in them."""
-    return V.first_visits(V.flagged(V.visits_of(visits, grain), grain), grain.key, audience=audience)
+def _first(columns: DataFrame, grain: Grain) -> DataFrame:
+    return columns.select(grain.key, "first_visit_id", "first_interaction_time", "first_visit_funnel", *V.CARRIED)
 
 
-def _ita(visits: DataFrame, classified: DataFrame, grain: Grain) -> DataFrame:
-    """First visits of the ITA audience with their stage."""
-    return stages.with_ita_category(_first_visits(visits, _audience(classified, rules.ITA), grain))
+def _ita(visits: DataFrame, classified: DataFrame | None, grain: Grain) -> DataFrame:
+    """First visits of the ITA audience with their stage; of its keys that have rows in the window."""
+    if classified is None:
+        first = _first(_audience(repeat_first_visits(visits, grain), rules.ITA), grain)
+    else:
+        first = V.first_visits(V.flagged(V.visits_of(visits, grain), grain), grain.key, audience=_audience(classified, rules.ITA))
+    return stages.with_ita_category(first)
 
 
-def _pq(visits: DataFrame, classified: DataFrame, grain: Grain) -> DataFrame:
+def _pq(visits: DataFrame, classified: DataFrame | None, grain: Grain, prune: bool) -> DataFrame:
     """First visits of all PQ keys, NULL for those without rows in the window, with their stage."""
-    keys = _audience(classified, rules.PQ).select(grain.key).distinct()
-    first = keys.join(_first_visits(visits, keys, grain), grain.key, "left").selectExpr(
-        grain.key,
-        "first_visit_id",
-        "first_interaction_time",
-        "first_visit_funnel",
-        "coalesce(matched_first_visit_rows, 0L) as matched_first_visit_rows",
-        "coalesce(hard_submitted, 0) as hard_submitted",
-    )
-    return stages.with_pq_category(first)
+    if classified is None:
+        first = _audience(repeat_first_visits(visits, grain), rules.PQ)
+    else:
+        keys = _audience(classified, rules.PQ).select(grain.key)
+        first = V.audience_first_visits(V.flagged(V.visits_of(visits, grain), grain), keys, grain.key, prune=prune)
+    columns = ("first_visit_id", "first_interaction_time", "first_visit_funnel", "matched_first_visit_rows", "hard_submitted")
+    return stages.with_pq_category(first.select(grain.key, *columns))
 
 
-def visitor_ita(visits: DataFrame, repeat: DataFrame, lookup: DataFrame, grain: Grain = VISITOR) -> DataFrame:
-    """ITA audience with stage and summarised customer type."""
+def visitor_ita(visits: DataFrame, repeat: DataFrame | None, lookup: DataFrame, grain: Grain = VISITOR) -> DataFrame:
+    """ITA audience with stage and summarised customer type; ``repeat=None`` finds the repeat visitors in the same pass."""
     return custtype.attach_summary(_ita(visits, repeat, grain), lookup, grain.key)
 
 
-def visitor_pq(visits: DataFrame, repeat: DataFrame, lookup: DataFrame, grain: Grain = VISITOR) -> DataFrame:
-    """PQ audience with stage and summarised customer type."""
-    return custtype.attach_summary(_pq(visits, repeat, grain), lookup, grain.key)
+def visitor_pq(visits: DataFrame, repeat: DataFrame | None, lookup: DataFrame, grain: Grain = VISITOR, prune: bool = False) -> DataFrame:
+    """PQ audience with stage and summarised customer type; ``repeat=None`` finds the repeat visitors in the same pass.
+
+    ``prune`` is for a stored ``repeat``: a small audience then drops the other keys' visits before they are grouped.
+    """
+    return custtype.attach_summary(_pq(visits, repeat, grain, prune), lookup, grain.key)
 
 
 def person_ita(visits: DataFrame, classified: DataFrame, lookup: DataFrame, grain: Grain) -> DataFrame:
@@ -151,11 +165,12 @@ def person_ita(visits: DataFrame, classified: DataFrame, lookup: DataFrame, grai
 
 
 def person_ita_later(visits: DataFrame, classified: DataFrame, lookup: DataFrame, grain: Grain) -> DataFrame:
-    """``person_ita`` with the submits after the first visit day."""
-    days = V.submit_days(V.visits_of(visits, grain), grain.key)
-    return later.with_later_activity(person_ita(visits, classified, lookup, grain), days, grain.key)
+    """``person_ita`` with the submits after the first visit day, from one pass over the visits."""
+    audience = _audience(classified, rules.ITA)
+    first = V.first_visits_and_days(V.visits_of(visits, grain), grain.key, grain.flagged_only, audience=audience)
+    return later.with_later_activity(custtype.attach_type(stages.with_ita_category(first), lookup, grain.key))
 
 
-def person_pq(visits: DataFrame, classified: DataFrame, lookup: DataFrame, grain: Grain) -> DataFrame:
-    """PQ audience with stage, customer type and whether one was found."""
-    return custtype.attach_type(_pq(visits, classified, grain), lookup, grain.key, default=rules.UNKNOWN)
+def person_pq(visits: DataFrame, classified: DataFrame, lookup: DataFrame, grain: Grain, prune: bool = False) -> DataFrame:
+    """PQ audience with stage, customer type and whether one was found; ``prune`` as in ``visitor_pq``."""
+    return custtype.attach_type(_pq(visits, classified, grain, prune), lookup, grain.key, default=rules.UNKNOWN)

@@ -10,10 +10,11 @@ from functools import cache, cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.functions import rules
-from footfall.operators import custtype, later, reports as O, returns as R, stages, touch as T, visits as V
+from footfall.operators import custtype, later, reports as O, returns as R, visits as V
 from footfall.params import PERSON, VISITOR, DateWindow
 from footfall.plans import jobs, reporting
 from footfall.sources import testdata
+from footfall.sources.tables import TableStore, scratch_folder
 
 # Parameters that suit the dates of the test data.
 WINDOW = DateWindow(date(1996, 1, 1), date(1997, 2, 1))
@@ -85,11 +86,11 @@ class Data:
 
     @cached_property
     def visitor_ita(self) -> DataFrame:
-        return jobs.visitor_ita(self.rows, self.repeat_visitors, self.visitor_cust_type, VISITOR_GRAIN)
+        return jobs.visitor_ita(self.rows, None, self.visitor_cust_type, VISITOR_GRAIN)
 
     @cached_property
     def visitor_pq(self) -> DataFrame:
-        return jobs.visitor_pq(self.rows, self.repeat_visitors, self.visitor_cust_type, VISITOR_GRAIN)
+        return jobs.visitor_pq(self.rows, None, self.visitor_cust_type, VISITOR_GRAIN)
 
     @cached_property
     def person_ita(self) -> DataFrame:
@@ -104,6 +105,15 @@ class Data:
         return jobs.person_ita_later(self.rows, self.person_funnel_type, self.person_cust_type, PERSON_GRAIN)
 
 
+def _replaced(data: Data) -> DataFrame:
+    """The repeat visitors as read back from a table that held those of a wider window before."""
+    spark = data.rows.sparkSession
+    store = TableStore(spark, root=scratch_folder(spark))
+    store.replace("repeat_visitors", data.wide_repeat_visitors)
+    store.replace("repeat_visitors", data.repeat_visitors)
+    return store.read("repeat_visitors")
+
+
 def _first(*columns: str):
     return [F.col(c).asc_nulls_last() for c in columns]
 
@@ -150,10 +160,10 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "first_date": lambda d: R.first_date(R.daily_visits(d.known_rows, "visitor_id"), "visitor_id"),
     "same_day_max": lambda d: R.same_day_max(R.daily_visits(d.known_rows, "visitor_id"), "visitor_id"),
     "return_gap": lambda d: R.return_gap(R.daily_visits(d.known_rows, "visitor_id"), "visitor_id"),
-    "first_touch": lambda d: T.first_touch(d.known_rows, "visitor_id"),
-    "first_touch_raw_funnel": lambda d: T.first_touch(d.known_rows, "person", trim_funnel=False),
-    "first_visit_activity": lambda d: stages.first_visit_activity(
-        T.first_touch(d.known_rows, "visitor_id"), d.known_rows, "visitor_id", stages.ita_flags()
+    "first_touch": lambda d: V.first_touch(jobs.visit_summary(d.rows, VISITOR_GRAIN), "visitor_id"),
+    "first_touch_raw_funnel": lambda d: V.first_touch(jobs.visit_summary(d.rows, PERSON_GRAIN), "person", trim_funnel=False),
+    "first_visit_activity": lambda d: V.audience_first_visits(
+        jobs.visit_summary(d.rows, VISITOR_GRAIN), d.known_rows.select("visitor_id"), "visitor_id"
     ),
     "latest_application": lambda d: custtype.latest_application(d.applications, "cust_id", APPLICATION_YEARS),
     "latest_application_row": lambda d: custtype.latest_application(d.applications, "appl_key", PERSON_YEARS),
@@ -181,8 +191,12 @@ _QUERIES: dict[str, Callable[[Data], DataFrame]] = {
     "visit_summary": lambda d: jobs.visit_summary(d.rows, VISITOR_GRAIN),
     "first_visits": lambda d: V.first_visits(jobs.visit_summary(d.rows, VISITOR_GRAIN), "visitor_id"),
     "later_activity": lambda d: later.with_later_activity(
-        T.first_touch(d.known_rows, "person"), later.submit_days(d.rows, "person", WINDOW), "person"
+        V.first_visits_and_days(jobs.visit_summary(d.rows, PERSON_GRAIN), "person", flagged_only=False)
+        .select("person", "first_visit_id", "first_interaction_time", "first_visit_funnel", "submit_days")
     ),
+    "return_bucket_report_from_summary": lambda d: jobs.return_bucket_report(jobs.visit_summary(d.rows, VISITOR_GRAIN), VISITOR_GRAIN),
+    # The sink: a table replaced twice
+    "repeat_visitors_replaced": _replaced,
     # Previews, in a fixed order so that they can be checked
     "sample_cookie_summary": lambda d: O.sample_rows(
         testdata.cookie_summary(d.interactions()), order_by=_first("cookie_id", "visitor_id")

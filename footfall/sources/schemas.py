@@ -71,6 +71,9 @@ TABLES = {
     "person_pq": f"person string, {_PQ}, cust_type string, cust_type_matched int",
 }
 
+# The column that the jobs group and join each table by.
+CLUSTER_KEYS = {name: "visitor_id" if "visitor" in name else "person" for name in TABLES}
+
 
 def contract(name: str) -> StructType:
     """The declared schema of a table."""

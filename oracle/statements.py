@@ -421,6 +421,8 @@ STATEMENTS = {
 
 
 STATEMENTS["first_visits"] = STATEMENTS["first_visit_activity"]
+STATEMENTS["repeat_visitors_replaced"] = STATEMENTS["repeat_visitors"]
+STATEMENTS["return_bucket_report_from_summary"] = STATEMENTS["return_bucket_report"]
 
 
 def _needed(sql: str) -> list[str]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
-from footfall.operators import custtype, stages, touch as T, visits as V
+from footfall.operators import custtype, visits as V
 from footfall.params import PERSON, VISITOR
 from footfall.plans import jobs, reporting
 from footfall.sources import schemas
@@ -77,8 +78,8 @@ def test_visit_summaries_equal_joining_rows(spark):
     rows = interactions(
         spark, [{**h, "gen_url": u, "soft_submit_flag": s} for h, u, s in zip(random_hits(21), ["/apply", "/x", None] * 300, [0, 1, None, 1, 0] * 200)]
     ).filter("visitor_id is not null")
-    first = T.first_touch(rows, "visitor_id")
-    ours = stages.first_visit_activity(first, rows, "visitor_id", stages.ita_flags())
+    visits = V.summarise(rows, "visitor_id")
+    first, ours = V.first_touch(visits, "visitor_id"), V.first_visits(visits, "visitor_id")
     first.createOrReplaceTempView("first_rows")
     rows.createOrReplaceTempView("all_rows")
     joined = spark.sql(
@@ -296,19 +297,57 @@ def test_jobs_see_the_same_through_the_visit_summary(spark, grain):
     if grain is PERSONS:
         made = [lambda t: jobs.person_ita_later(t, audience, types(spark, []), grain), lambda t: jobs.person_pq(t, audience, types(spark, []), grain)]
     else:
-        made = [lambda t: jobs.repeat_visitors(t, grain), lambda t: jobs.visitor_ita(t, audience, lookup(spark), grain), lambda t: jobs.visitor_pq(t, audience, lookup(spark), grain)]
+        made = [lambda t: jobs.repeat_visitors(t, grain), lambda t: jobs.return_bucket_report(t, grain), lambda t: jobs.repeat_first_visits(t, grain), lambda t: jobs.visitor_ita(t, audience, lookup(spark), grain), lambda t: jobs.visitor_pq(t, audience, lookup(spark), grain)]
     for make in made:
         direct, derived = sorted(map(str, make(rows).collect())), sorted(map(str, make(summary).collect()))
         assert direct == derived and direct
 
 
-def test_first_visits_agree_with_first_touch_and_activity(spark):
-    rows = interactions(
+def mixed_hits(spark):
+    return interactions(
         spark,
-        [hit(v, f"2025-01-0{1 + (v + k) % 3} 0{k % 3}:00", None if (v + k) % 4 == 0 else (v * k) % 3, funnel=[None, " a", "b", ""][k % 4], gen_url="/apply" if k % 3 else None, soft_submit_flag=k % 2) for v in range(30) for k in range(9)],
+        [hit(v, f"2025-01-0{1 + (v + k) % 3} 0{k % 3}:00", None if (v + k) % 4 == 0 else (v * k) % 3, funnel=[None, " a", "b", ""][k % 4], gen_url="/apply" if k % 3 else None, soft_submit_flag=k % 2,
+             hard_submit_flag=int(k == 7), visitor_flag=int((v + k) % 3 > 0)) for v in range(30) for k in range(9)],
     )
-    for trim in (True, False):
-        first = T.first_touch(rows, "visitor_id", trim)
-        expected = stages.first_visit_activity(first, rows, "visitor_id", stages.ita_flags())
-        got = V.first_visits(jobs.visit_summary(rows, GRAIN), "visitor_id", trim)
-        assert got.columns == expected.columns and got.exceptAll(expected).count() == expected.exceptAll(got).count() == 0
+
+
+def equal(a, b):
+    return a.columns == b.columns and a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("trim", [True, False])
+def test_all_forms_of_first_visits_agree(spark, trim):
+    """By audience, in one pass with the submit days, and in one pass with the return buckets."""
+    visits, key = jobs.visit_summary(mixed_hits(spark), GRAIN), "visitor_id"
+    expected = V.first_visits(visits, key, trim)
+    assert expected.count() == 30
+    audience = spark.createDataFrame([(k,) for k in (1, 1, 5, 9, 77, None)], "visitor_id bigint")
+    for prune in (False, True):
+        got = V.audience_first_visits(visits, audience, key, trim, prune)
+        assert equal(got.filter("matched_first_visit_rows > 0 or first_interaction_time is not null"), V.first_visits(visits, key, trim, audience))
+        assert sorted(str(r.visitor_id) for r in got.collect()) == ["1", "5", "77", "9", "None"]
+        assert {tuple(r)[1:] for r in got.collect() if r.visitor_id in (None, 77)} == {(None, None, None, 0, 0, 0, 0, 0)}
+    for flagged in (False, True):
+        some = visits.filter("visitor_flag = 1") if flagged else visits
+        assert equal(V.first_visits_and_days(visits, key, flagged, trim).drop("submit_days"), V.first_visits(some, key, trim))
+    daily = V.daily_first_visits(visits, key, trim)
+    assert equal(daily.drop("first"), V.daily_visits(visits, key))
+    first = daily.groupBy(key).agg(F.expr("min(first) as first")).select(key, "first.*").select(key, *V.touched(trim), *V.CARRIED)
+    assert equal(first, expected)
+
+
+def test_submit_days_are_one_per_day(spark):
+    visits = jobs.visit_summary(mixed_hits(spark), GRAIN)
+    days = V.first_visits_and_days(visits, "visitor_id", flagged_only=True).selectExpr("visitor_id", "inline(submit_days)")
+    expected = visits.filter("soft_submitted = 1 or hard_submitted = 1").groupBy("visitor_id", "day").agg(F.expr("max(soft_submitted)"), F.expr("max(hard_submitted)"))
+    assert days.exceptAll(expected).count() == expected.exceptAll(days).count() == 0
+
+
+def test_repeat_visitors_in_the_same_pass(spark):
+    rows = mixed_hits(spark)
+    together = jobs.repeat_first_visits(rows, GRAIN)
+    assert equal(together.drop(*V.CARRIED), jobs.repeat_visitors(rows, GRAIN)) and together.count()
+    for job in (jobs.visitor_ita, jobs.visitor_pq):
+        assert equal(job(rows, None, lookup(spark), GRAIN), job(rows, jobs.repeat_visitors(rows, GRAIN), lookup(spark), GRAIN))
+    with pytest.raises(ValueError):
+        jobs.repeat_first_visits(rows, PERSONS)

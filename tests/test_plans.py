@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from footfall.operators import custtype, later, returns as R, stages, touch as T
+from footfall.operators import custtype, returns as R
 from footfall.plans import flows, jobs
 from footfall.queries import APPLICATION_YEARS, PERSON_GRAIN, TRAFFIC_YEARS, VISITOR_GRAIN, queries
 from footfall.sources import schemas
@@ -58,8 +58,6 @@ def test_big_aggregations_hash_and_combine_first(stored):
     tables = stored["person_funnel_type"], stored["person_cust_type"]
     for df in (
         R.daily_visits(rows, "visitor_id"),
-        stages.visit_flags(rows, "visitor_id", stages.ita_flags()),
-        T.first_touch(rows, "visitor_id"),
         jobs.visit_summary(rows, VISITOR_GRAIN),
         jobs.repeat_visitors(rows, VISITOR_GRAIN),
         jobs.person_pq(rows, *tables, PERSON_GRAIN),
@@ -86,15 +84,18 @@ def test_interactions_are_scanned_once(stored):
     rows, lookup = stored["interactions"], stored["visitor_cust_type"]
     for source, name in ((rows, "interactions"), (stored["visitor_visits"], "visitor_visits")):
         assert scans(jobs.repeat_visitors(source, VISITOR_GRAIN), name) == 1
+        assert scans(jobs.repeat_first_visits(source, VISITOR_GRAIN), name) == 1
+        assert scans(jobs.return_bucket_report(source, VISITOR_GRAIN), name) == 1
         assert scans(jobs.visitor_ita(source, stored["repeat_visitors"], lookup, VISITOR_GRAIN), name) == 1
+        assert scans(jobs.visitor_ita(source, None, lookup, VISITOR_GRAIN), name) == 1
+        assert scans(jobs.visitor_pq(source, None, lookup, VISITOR_GRAIN), name) == 1
         assert scans(jobs.visitor_pq(source, stored["repeat_visitors"], lookup, VISITOR_GRAIN), name) == 1
     tables = stored["person_funnel_type"], stored["person_cust_type"]
     for source, name in ((rows, "interactions"), (stored["person_visits"], "person_visits")):
         assert scans(jobs.person_funnel_type(stored["returning_population"], source, PERSON_GRAIN), name) == 1
         assert scans(jobs.person_ita(source, *tables, PERSON_GRAIN), name) == 1
         assert scans(jobs.person_pq(source, *tables, PERSON_GRAIN), name) == 1
-        # the days after the first visit are a second branch; the flow takes it from the stored summary
-        assert scans(jobs.person_ita_later(source, *tables, PERSON_GRAIN), name) == 2
+        assert scans(jobs.person_ita_later(source, *tables, PERSON_GRAIN), name) == 1
 
 
 def test_flows_scan_interactions_once_and_twice(spark, stored, monkeypatch):
@@ -113,9 +114,31 @@ def test_flows_scan_interactions_once_and_twice(spark, stored, monkeypatch):
     assert sum(seen) == 2
 
 
-def test_first_touch_shuffles_reduced_rows(stored):
-    keys = shuffles(T.first_touch(stored["interactions"], "visitor_id"))
-    assert keys[0] == "visitor_id" and keys[1].startswith("visitor_id, visit") and len(keys) == 2
+def test_audiences_are_read_once(stored):
+    """A tagged union: an audience computed in the plan is computed once."""
+    lookup = stored["visitor_cust_type"]
+    pq = jobs.visitor_pq(stored["interactions"], stored["repeat_visitors"], lookup, VISITOR_GRAIN)
+    assert scans(pq, "repeat_visitors") == 1 and plan(pq).count("Join") == 1  # the customer type
+    funnel = jobs.person_funnel_type(stored["returning_population"], stored["interactions"], PERSON_GRAIN)
+    assert scans(funnel, "returning_population") == 1 and "Join" not in plan(funnel)
+    pruned = jobs.visitor_pq(stored["interactions"], stored["repeat_visitors"], lookup, VISITOR_GRAIN, prune=True)
+    assert scans(pruned, "repeat_visitors") == 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test data not present")
+@pytest.mark.parametrize("name, most", [("visitor_pq", 5), ("visitor_ita", 5), ("person_funnel_type", 4), ("person_pq", 9), ("person_ita_later", 9), ("return_bucket_report", 2)])
+def test_scans_of_registered_queries(spark, name, most):
+    assert plan(queries()[name](spark, SF_DIR)).count("FileScan") <= most
+
+
+def test_total_computes_the_counts_once(stored):
+    text = plan(jobs.return_bucket_report(stored["interactions"], VISITOR_GRAIN))
+    assert "Expand" in text and len(shuffles(jobs.return_bucket_report(stored["interactions"], VISITOR_GRAIN))) == 5
+
+
+def test_report_on_the_summary_reads_no_interactions(stored):
+    text = plan(jobs.return_bucket_report(stored["visitor_visits"], VISITOR_GRAIN))
+    assert "/interactions]" not in text and "struct<visitor_id:bigint,day:date,visit_id:bigint>" in text
 
 
 def test_buckets_and_first_touch_are_one_chain(stored):
@@ -130,21 +153,13 @@ def test_latest_row_is_pruned_before_the_shuffle(stored):
     assert "WindowGroupLimit" in before_shuffle
 
 
-def test_later_activity_groups_without_shuffle(stored):
-    first = stored["person_pq"].select("person", "first_interaction_time")
-    days = later.submit_days(stored["interactions"], "person", PERSON_GRAIN.window)
-    keys = shuffles(later.with_later_activity(first, days, "person"))
-    # first side, daily submits, daily submits by person; nothing for the final grouping
-    assert len(keys) == 3
-
-
-def test_audience_stays_where_its_key_is(stored):
-    """First visits, audience, customer type and later days meet by key; nothing is shuffled by (key, first visit)."""
+def test_later_activity_is_in_the_grouping(stored):
+    """First visits and submit days meet by key in one grouping; audience and customer type are joined by key, and nothing else."""
     tables = stored["person_visits"], stored["person_funnel_type"], stored["person_cust_type"]
-    keys = shuffles(jobs.person_ita_later(*tables, PERSON_GRAIN))
-    assert sorted(k for k in keys if "," in k) == ["person, submit_date", "person, visit_id"] or sorted(k for k in keys if "," in k) == ["person, day", "person, visit_id"]
-    # first visits, audience, customer types, submit days by person
-    assert len([k for k in keys if "," not in k]) == 4
+    df = jobs.person_ita_later(*tables, PERSON_GRAIN)
+    keys = shuffles(df)
+    assert [k for k in keys if "," in k] == ["person, is_day, visit, submit_date"] and len([k for k in keys if "," not in k]) == 3
+    assert plan(df).count("Join") == 2
 
 
 def test_typed_lookup_joins_reduced_rows(stored):
@@ -199,7 +214,7 @@ def test_shared_applications_and_customers_are_split(spark, stored, eager_skew_s
         (lambda t: R.slice_window(t["interactions"], "interaction_date", VISITOR_GRAIN.window).select("visitor_id"), "interaction_date"),
         (lambda t: R.slice_window(t["applications"], "tran_date", APPLICATION_YEARS).select("cust_id"), "tran_date"),
         (lambda t: jobs.return_buckets(t["interactions"], VISITOR_GRAIN), "interaction_date"),
-        (lambda t: later.submit_days(t["interactions"], "person", PERSON_GRAIN.window), "interaction_date"),
+        (lambda t: jobs.visit_summary(t["interactions"], PERSON_GRAIN), "interaction_date"),
     ],
 )
 def test_windows_reach_the_scan(stored, make, pushed):
@@ -232,14 +247,10 @@ def test_scans_read_only_needed_columns(stored):
 def test_small_audience_prunes_rows_before_grouping(spark, stored):
     """The semi-join moves below the groupings when the audience can be broadcast, and only then."""
     tables = stored["person_funnel_type"], stored["person_cust_type"]
-    for make, first in (
-        (lambda: T.first_touch(stored["interactions"], "visitor_id", audience=stored["repeat_visitors"]), "partial_min(interaction_date"),
-        (
-            lambda: stages.first_visit_activity(stored["visitor_ita"].select("visitor_id", "first_visit_id"), stored["interactions"], "visitor_id", stages.pq_flags()),
-            "partial_max(",
-        ),
-        (lambda: jobs.person_ita(stored["interactions"], *tables, PERSON_GRAIN), "partial_min(interaction_date"),
-        (lambda: jobs.person_pq(stored["interactions"], *tables, PERSON_GRAIN), "partial_min(interaction_date"),
+    first = "partial_min(interaction_date"
+    for make in (
+        lambda: jobs.person_ita(stored["interactions"], *tables, PERSON_GRAIN),
+        lambda: jobs.person_pq(stored["interactions"], *tables, PERSON_GRAIN, prune=True),
     ):
         text = plan(make())
         assert text.index("LeftSemi") < text.index(first)
@@ -249,6 +260,41 @@ def test_small_audience_prunes_rows_before_grouping(spark, stored):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
 
 
+def test_small_audience_prunes_visits_before_their_days(spark, stored):
+    """In the one pass with the submit days the semi-join stops above the exploding, which is before the first shuffle of the summary."""
+    make = lambda: jobs.person_ita_later(stored["person_visits"], stored["person_funnel_type"], stored["person_cust_type"], PERSON_GRAIN)
+    text = plan(make())
+    assert text.index("LeftSemi") < text.index("hashpartitioning(person") < text.index("Generate")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    text = plan(make())
+    assert text.index("is_day") < text.index("LeftSemi") and not re.search(r"hashpartitioning\(person.*LeftSemi.*hashpartitioning\(person.*Generate", text, re.S)
+
+
+def test_large_audience_prunes_by_a_bloom_filter(spark, tmp_path):
+    """An audience too large to broadcast: Spark's runtime filter drops rows of other keys at the scan, before the first grouping."""
+    rows = spark.range(2000).selectExpr("cast(id as string) as person", "timestamp_ntz'1996-05-01 10:00:00' as interaction_date", "id as visit_id", "1 as visitor_flag")
+    for name, df in (("interactions", schemas_filled(rows, "interactions")), ("person_funnel_type", schemas_filled(rows.selectExpr("person", "if(visit_id < 50, 'ITA', 'PQ') as first_visit_group"), "person_funnel_type"))):
+        df.write.parquet(f"{tmp_path}/{name}")
+    settings = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        classified = spark.read.parquet(f"{tmp_path}/person_funnel_type")
+        lookup = spark.createDataFrame([], schemas.contract("person_cust_type"))
+        df = jobs.person_ita(spark.read.parquet(f"{tmp_path}/interactions"), classified, lookup, PERSON_GRAIN)
+        text = plan(df)
+        assert "might_contain" in text and text.rindex("partial_min(interaction_date") < text.rindex("might_contain")
+        assert df.count() == 50
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
+def schemas_filled(df, name):
+    """``df`` with the columns of a table that it lacks, as NULL."""
+    return df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.contract(name).fields])
+
+
 def test_times_with_a_zone_reach_the_scan(spark, stored, tmp_path):
     zoned = stored["interactions"].withColumn("interaction_date", F.expr("cast(interaction_date as timestamp)"))
     zoned.write.parquet(f"{tmp_path}/interactions")

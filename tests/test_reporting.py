@@ -14,7 +14,7 @@ from footfall.params import PERSON, VISITOR, DateWindow
 from footfall.plans import flows, jobs, reporting
 from footfall.queries import PERSON_GRAIN, POPULATION_GRAIN, PERSON_YEARS, TRAFFIC_YEARS, APPLICATION_YEARS, VISITOR_GRAIN, Data
 from footfall.sources import schemas, testdata
-from footfall.sources.tables import TableStore
+from footfall.sources.tables import TableBusy, TableStore
 from tests.data import at, frame, hit, interactions
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -143,6 +143,120 @@ def test_table_written_by_others_becomes_a_version(spark, any_store, tmp_path):
     assert any_store.replace("person_cust_type", plain.limit(1)).count() == 1
 
 
+def test_readers_always_find_the_table(spark, any_store, tmp_path):
+    """Also while a table that others made is replaced for the first time."""
+    import threading
+
+    rows = frame(spark, "person_cust_type", [ROW, ROW])
+    if any_store.root:
+        any_store.replace("person_cust_type", rows)
+    else:
+        rows.write.saveAsTable("replaced.person_cust_type")
+    done, seen, faults = threading.Event(), set(), []
+
+    def reader():
+        while not done.is_set():
+            try:
+                seen.add(any_store.read("person_cust_type").count())
+            except Exception as error:
+                faults.append(str(error)[:300])
+
+    thread = threading.Thread(target=reader)
+    thread.start()
+    try:
+        for n in (3, 4, 5):
+            assert any_store.replace("person_cust_type", frame(spark, "person_cust_type", [ROW] * n)).count() == n
+    finally:
+        done.set()
+        thread.join()
+    assert not faults and seen <= {2, 3, 4, 5} and seen
+
+
+def test_tables_of_another_layout_are_refused(spark):
+    spark.sql("create database other")
+    try:
+        store = TableStore(spark, database="other")
+        rows = frame(spark, "person_cust_type", [ROW, ROW])
+        for make in (lambda w: w.partitionBy("cust_type"), lambda w: w.bucketBy(2, "person"), lambda w: w.format("json")):
+            make(rows.write).saveAsTable("other.person_cust_type")
+            with pytest.raises(ValueError, match="layout"):
+                store.replace("person_cust_type", rows)
+            assert spark.table("other.person_cust_type").count() == 2
+            spark.sql("drop table other.person_cust_type")
+        rows.withColumn("more", F.lit(1)).write.saveAsTable("other.person_cust_type")
+        with pytest.raises(ValueError, match="columns"):
+            store.replace("person_cust_type", rows)
+    finally:
+        spark.sql("drop database other cascade")
+
+
+def test_one_writer_at_a_time(spark, any_store, tmp_path):
+    rows = frame(spark, "person_cust_type", [ROW])
+    any_store.replace("person_cust_type", rows)
+    before = versions(any_store, tmp_path)
+    any_store._claim("person_cust_type")
+    with pytest.raises(TableBusy):
+        any_store.replace("person_cust_type", rows)
+    assert any_store.read("person_cust_type").count() == 1 and sorted(versions(any_store, tmp_path)) == sorted(before)
+    any_store.release("person_cust_type")
+    assert any_store.replace("person_cust_type", rows.unionAll(rows)).count() == 2
+
+
+def test_only_one_of_two_writers_succeeds(spark, any_store, tmp_path):
+    """A second writer that starts while the first one writes gets an error, and the first one's rows are there."""
+    rows = frame(spark, "person_cust_type", [ROW])
+
+    class Meddling(type(any_store)):
+        def _replace_folder(self, name, df):
+            with pytest.raises(TableBusy):
+                any_store.replace(name, rows.limit(0))
+            super()._replace_folder(name, df)
+
+        def _replace_view(self, name, df):
+            with pytest.raises(TableBusy):
+                any_store.replace(name, rows.limit(0))
+            super()._replace_view(name, df)
+
+    first = Meddling(spark, root=any_store.root, database=any_store.database)
+    assert first.replace("person_cust_type", rows).count() == 1
+    assert any_store.replace("person_cust_type", rows.unionAll(rows)).count() == 2
+
+
+def test_clustered_tables_are_not_shuffled_by_key(spark, tmp_path):
+    """Repeat visitors, audiences and later activity on stored tables: no exchange by the key, and the same rows."""
+    from tests.test_plans import plan, shuffles
+
+    spark.sql("create database clustered")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        data = Data(spark, SF_DIR)
+        population = testdata.returning_population(data.rows, POPULATION_GRAIN)
+        store = TableStore(spark, database="clustered", buckets=4)
+        tables = flows.build_visitor_tables(data.rows, data.applications, data.traffic, store, VISITOR_GRAIN, TRAFFIC_YEARS, APPLICATION_YEARS)
+        tables |= flows.build_person_tables(data.interactions(PERSON_YEARS), data.applications, population, store, PERSON_GRAIN, PERSON_YEARS)
+        visits, repeat, lookup = tables["visitor_visits"], tables["repeat_visitors"], tables["visitor_cust_type"]
+        persons = tables["person_visits"], tables["person_funnel_type"], tables["person_cust_type"]
+        for df, plain in (
+            (jobs.repeat_visitors(visits, VISITOR_GRAIN), data.repeat_visitors),
+            (jobs.repeat_first_visits(visits, VISITOR_GRAIN).select(*repeat.columns), data.repeat_visitors),
+            (jobs.return_buckets(visits, VISITOR_GRAIN), jobs.return_buckets(data.rows, VISITOR_GRAIN)),
+            (jobs.person_ita(*persons, PERSON_GRAIN), data.person_ita),
+            (jobs.person_ita_later(*persons, PERSON_GRAIN), data.person_ita_later),
+        ):
+            assert shuffles(df) == [], plan(df)
+            assert same(df, plain)
+        # Counting customer ids and types expands the look-up, which shuffles that alone.
+        ita = jobs.visitor_ita(visits, repeat, lookup, VISITOR_GRAIN)
+        assert same(ita, data.visitor_ita) and all("visits" not in part and "repeat" not in part for part in plan(ita).split("Exchange hashpartitioning")[1:])
+        # The two sides of the tagged union are clustered alike, and so is the union.
+        pq = jobs.person_pq(*persons, PERSON_GRAIN)
+        assert same(pq, data.person_pq) and shuffles(pq) == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("drop database clustered cascade")
+
+
 def test_ordinary_input_types_fit(spark):
     usual = {f.name: f.dataType.simpleString() for f in schemas.contract("interactions")}
     for other in (

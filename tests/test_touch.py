@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from footfall.operators import touch as T
+from footfall.operators import touch as T, visits as V
 from tests.data import at, hit, interactions, keyed
 
 
@@ -20,10 +20,11 @@ def test_first_touch_order(spark):
             hit(4, "2025-03-01 10:00", None, funnel="  "),
         ],
     )
-    trimmed = keyed(T.first_touch(rows, "visitor_id"), "visitor_id")
+    visits = V.summarise(rows, "visitor_id")
+    trimmed = keyed(V.first_touch(visits, "visitor_id"), "visitor_id")
     facts = {k: (r["first_visit_id"], r["first_visit_funnel"]) for k, r in trimmed.items()}
     assert facts == {1: (9, "A"), 2: (3, "D"), 3: (5, "Y"), 4: (None, "Unknown")}
-    raw = keyed(T.first_touch(rows, "visitor_id", trim_funnel=False), "visitor_id")
+    raw = keyed(V.first_touch(visits, "visitor_id", trim_funnel=False), "visitor_id")
     assert [raw[k]["first_visit_funnel"] for k in (1, 2, 3, 4)] == ["A", "D", " Y", "  "]
 
 
@@ -38,7 +39,7 @@ def test_first_touch_equals_sorted_window(spark):
     ranked = rows.selectExpr("*", order).filter("n = 1").selectExpr(
         "visitor_id", "visit_id", "interaction_date", "coalesce(nullif(trim(funnel), ''), 'Unknown')"
     )
-    got = T.first_touch(rows, "visitor_id")
+    got = V.first_touch(V.summarise(rows, "visitor_id"), "visitor_id")
     assert sorted(map(str, got.collect())) != [] and got.exceptAll(ranked).count() == ranked.exceptAll(got).count() == 0
 
 
