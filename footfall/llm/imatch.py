@@ -14,6 +14,7 @@ import math
 import string
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -36,9 +37,6 @@ SKETCHES, SKETCH_TERMS = 8, 4
 #: Weight of a document without near copies; whole numbers add up to the same in any order.
 UNIT = 1 << 20
 
-#: Terms of the lexicon at most; a task holds about 150 bytes for each. The band's lower end rises where it could hold more, see :func:`lexicon`.
-MAX_TERMS = 500_000
-
 #: Densities of the random subsets, and subsets of each density.
 LEVELS = tuple(2.0**-k for k in range(1, 11))
 SUBSETS = 12
@@ -56,35 +54,17 @@ class Terms(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        value = self[word] = self.number(word)
-        return value
-
-    def number(self, word: str) -> int:
         term = word.strip(PUNCTUATION).lower()
-        return xxhash.xxh3_64_intdigest(term) if term else 0
+        value = self[word] = xxhash.xxh3_64_intdigest(term) if term else 0
+        return value
 
     def of(self, text: str) -> set[int]:
         """The distinct terms of a text."""
-        return self.among(set(text.split()))
-
-    def among(self, words: set[str]) -> set[int]:
-        """The distinct terms of words as written."""
-        found = set(map(self.__getitem__, words))
+        found = set(map(self.__getitem__, set(text.split())))
         found.discard(0)
         return found
 
 
-class Places(Terms):
-    """The place of a word's term in the lexicon, from 1; 0 for others."""
-
-    def __init__(self, lexicon: np.ndarray):
-        super().__init__()
-        self.places = dict(zip(lexicon.tolist(), range(1, len(lexicon) + 1)))
-
-    def number(self, word: str) -> int:
-        return self.places.get(super().number(word), 0)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -138,13 +118,13 @@ def _count(batches: Iterator[pa.RecordBatch], groups: dict[int, int]) -> Iterato
     yield rows()
 
 
-def vocabulary(docs: DataFrame, band: tuple[float, float] = BAND, max_terms: int = MAX_TERMS) -> tuple[np.ndarray, np.ndarray]:
+def vocabulary(docs: DataFrame, band: tuple[float, float] = BAND) -> tuple[np.ndarray, np.ndarray]:
     """The sorted numbers of the terms in the band, and those of the terms above it, rarest first.
 
     Documents are weighted: members of a group that has a sketch in common, and holds more than a quarter of the band's upper end of the documents, count
     as one together; smaller groups cannot lift a term out of the band by themselves. There are at most ``SKETCHES`` / that share such groups. A document
-    of m distinct terms counts m times in the frequencies, so at most (mean of m) / share terms are in at least that share of the documents, which bounds
-    the terms above the band. The lower end is raised to where this is ``max_terms``: the lexicon has no more, whatever the input.
+    of m distinct terms counts m times in the frequencies, so at most (mean of m) / share terms are in at least that share of the documents. That bounds both
+    results by the length of the documents, whatever their number: 400,000 terms in the band for a mean of 200 distinct terms, 20 bytes for each in a task.
     """
     docs = docs.select("text")
     least = max(2, band[1] / 4 * docs.count())
@@ -153,16 +133,15 @@ def vocabulary(docs: DataFrame, band: tuple[float, float] = BAND, max_terms: int
     counts = stored(docs.mapInArrow(partial(_count, groups=groups), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "term-counts")
     n = counts.where("term = 0").agg(F.sum("n")).first()[0] or 0
     counts = counts.where("term != 0")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    low, high = max(band[0] * n, total / max_terms), band[1] * n
+    low, high = band[0] * n, band[1] * n
     inside = counts.where((F.col("n") >= low) & (F.col("n") <= high)).select("term").toPandas()["term"]
     above = counts.where((F.col("n") >= low) & (F.col("n") > high)).orderBy("n", "term").select("term").toPandas()["term"]
     return np.sort(inside.to_numpy(np.int64).view(np.uint64)), above.to_numpy(np.int64).view(np.uint64)
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, max_terms: int = MAX_TERMS) -> np.ndarray:
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
     """The sorted numbers of the terms in the band; see :func:`vocabulary`."""
-    return vocabulary(docs, band, max_terms)[0]
+    return vocabulary(docs, band)[0]
 
 
 PARTS = len(LEVELS) * SUBSETS
@@ -175,6 +154,8 @@ class Lexicons:
 
     def __init__(self, terms: np.ndarray, above: np.ndarray = np.empty(0, np.uint64)):
         self.terms, self.above = terms, above
+        # For looking up what may be greater than all terms.
+        self.padded = np.r_[terms, np.uint64(0)]
         drawn = [_drawn(terms[k : k + 10_000]) for k in range(0, len(terms), 10_000)]
         counts = [np.bincount(term, minlength=min(10_000, len(terms) - 10_000 * k)) for k, (term, _) in enumerate(drawn)]
         self.subsets = np.concatenate([*(subset.astype(np.uint8) for _, subset in drawn), np.empty(0, np.uint8)])
@@ -193,37 +174,40 @@ class Reader:
     """Fingerprints of texts, in one task."""
 
     def __init__(self, lexicons: Lexicons):
-        self.lexicons, self.inside, self.all = lexicons, Places(lexicons.terms), Terms()
+        self.lexicons, self.known = lexicons, Terms()
         self.above = dict(zip(lexicons.above.tolist(), range(len(lexicons.above))))
 
-    def terms(self, words: set[str], found: set[int]) -> np.ndarray:
-        """The sorted terms of a text with few terms (places ``found``) in the lexicon: these and, up to the least number, its rarest above the band, then
+    def terms(self, every: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """The sorted terms of a text with few terms (``inside``) in the lexicon: these and, up to the least number, its rarest above the band, then
         those below it by their number. With one more term in the lexicon it has one of these less, so the choice changes by no more than the text."""
-        every = self.all.among(words)
-        inside = set(self.lexicons.terms[np.fromiter(found, np.int64, len(found)) - 1].tolist())
         missing = max(LEAST_TERMS, math.ceil(LEAST_SHARE * len(every))) - len(inside)
-        rest = heapq.nsmallest(max(0, missing), every - inside, key=lambda term: (self.above.get(term, len(self.above)), term))
-        return np.sort(np.array([*inside, *rest], np.uint64))
-
-    def members(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Term and subset of each membership, in the order of the terms; a text with few terms in the lexicon is completed, see :meth:`terms`."""
-        words = set(text.split())
-        found = self.inside.among(words)
-        if len(found) >= max(LEAST_TERMS, LEAST_SHARE * len(words)):
-            at = np.fromiter(found, np.int64, len(found))
-            at.sort()
-            first, end = self.lexicons.ends[at - 1], self.lexicons.ends[at]
+        others = set(every.tolist()) - set(inside.tolist())
+        rest = heapq.nsmallest(max(0, missing), others, key=lambda term: (self.above.get(term, len(self.above)), term))
+        return np.sort(np.array([*inside.tolist(), *rest], np.uint64))
+
+    def members(self, found: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Term and subset of each membership of a text with the terms ``found``, in the order of the terms; with few in the lexicon it is completed, see :meth:`terms`."""
+        every = np.fromiter(found, np.uint64, len(found))
+        every.sort()
+        places = self.lexicons.terms.searchsorted(every)
+        at = places[self.lexicons.padded[places] == every]
+        if len(at) >= max(LEAST_TERMS, LEAST_SHARE * len(every)):
+            first, end = self.lexicons.ends[at], self.lexicons.ends[at + 1]
             n = end - first
             before = n.cumsum()
-            every = np.arange(before[-1]) + np.repeat(end - before, n)
-            return np.repeat(self.lexicons.terms[at - 1], n), self.lexicons.subsets[every]
-        terms = self.terms(words, found)
+            drawn = np.arange(before[-1]) + np.repeat(end - before, n)
+            return np.repeat(self.lexicons.terms[at], n), self.lexicons.subsets[drawn]
+        terms = self.terms(every, self.lexicons.terms[at])
         term, subset = _drawn(terms)
         return terms[term], subset
 
     def parts(self, text: str) -> np.ndarray:
         """A text's fingerprint: a 32-bit hash for each subset, 0 where it has no term."""
-        terms, subset = self.members(text)
+        return self.parts_of(self.known.of(text))
+
+    def parts_of(self, found: set[int]) -> np.ndarray:
+        """The fingerprint of a text with the terms ``found``."""
+        terms, subset = self.members(found)
         out = np.zeros(PARTS, np.uint32)
         if len(subset):
             terms = terms[subset.argsort(kind="stable")]
@@ -325,22 +309,45 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def whole_words(text: str) -> int:
+    """Where the words end that a text and its edited form surely share: before the word that the last quarter begins in or behind."""
+    end = len(text) - len(text) // 4
+    while end and not text[end - 1].isspace():
+        end -= 1
+    return end
+
+
+@dataclass
+class Read:
+    """A text, the terms of the words that its edited form shares, and its fingerprint."""
+
+    bucket: int
+    doc_id: int | None
+    text: str
+    shared: set[int]
+    parts: np.ndarray
+
+
 def _compare(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     reader = sent.value.reader()
+    terms = reader.known.of
     previous = None
     for batch in batches:
         rows = []
         for bucket, doc_id, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "packed"))):
             text = zstandard.decompress(packed).decode("utf-8") if packed else ""
-            own = reader.parts(text)
-            if previous is not None and previous[0] == bucket:
-                _, before_id, before, print_ = previous
-                other = edited(before, text)
-                changed = reader.parts(other)
+            # Three quarters of the terms are those of the edited text too, and looked up once for both.
+            end = whole_words(text)
+            shared = terms(text[:end])
+            now = Read(bucket, doc_id, text, shared, reader.parts_of(shared | terms(text[end:])))
+            if previous is not None and previous.bucket == bucket:
+                before = previous
+                other = edited(before.text, text)
+                changed = reader.parts_of(before.shared | terms(other[whole_words(before.text) :]))
                 rows.append(
-                    (before_id, len(before), hashlib.sha256(other.encode()).hexdigest(), written(print_), written(changed), likeness(print_, changed), likeness(print_, own))
+                    (before.doc_id, len(before.text), hashlib.sha256(other.encode()).hexdigest(), written(before.parts), written(changed), likeness(before.parts, changed), likeness(before.parts, now.parts))
                 )
-            previous = bucket, doc_id, text, own
+            previous = now
         columns = list(zip(*rows)) or [()] * 7
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in EDITED.split(", ")])

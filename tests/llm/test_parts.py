@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 import string
+import string
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings, strategies as st
 
 from footfall.llm import charcnn, components, decontaminate, html_text, imatch, secrets, simhash, toxicity
@@ -173,7 +176,61 @@ def test_lexicon_counts_documents_and_is_bounded(frame):
     terms = lambda *names: sorted(imatch.Terms()[n] for n in names)
     assert imatch.lexicon(docs, (0.35, 0.5)).tolist() == terms("b", "c")
     assert imatch.lexicon(docs, (0.0, 1.0)).tolist() == terms("a", "b", "c", "d")
-    assert len(imatch.lexicon(docs, (0.0, 1.0), max_terms=3)) <= 3
+
+
+def test_bands_do_not_depend_on_the_number_of_documents(frame):
+    """The same shares in ten times the documents, and many distinct terms: no term of the band is left out."""
+    few = [f"{prose(400, k, 10**6)} shared{k % 5}" for k in range(20)]
+    numbers = [imatch.lexicon(frame(few * n), (0.1, 0.3)).tolist() for n in (1, 10)]
+    assert numbers[0] == numbers[1] == sorted(imatch.Terms()[f"shared{k}"] for k in range(5))
+    assert len(imatch.lexicon(frame(few), (0.0, 1.0))) == len({w for t in few for w in t.split()})
+
+
+def plain_parts(text, lexicon, above):
+    """A fingerprint by the description, with whole numbers and no arrays."""
+    mask = 2**64 - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    words = {w.strip(string.punctuation).lower() for w in text.split()} - {""}
+    terms = {xxhash.xxh3_64_intdigest(w) for w in words}
+    inside = terms & set(lexicon)
+    least = max(8, math.ceil(len(terms) / 4))
+    if len(inside) < least:
+        rarest = sorted(terms - inside, key=lambda t: (above.index(t) if t in above else len(above), t))
+        inside |= set(rarest[: least - len(inside)])
+    parts = []
+    for k in range(120):
+        seed, share = mix((k + 1) * 0x9E3779B97F4A7C15 & mask), 2.0 ** -(k // 12 + 1)
+        drawn = [t for t in sorted(inside) if mix(t ^ seed) < share * 2**64]
+        total = sum(mix((t + rank * 0xD6E8FEB86659FD93) & mask) for rank, t in enumerate(drawn)) & mask
+        parts.append(max(total >> 32, 1) if drawn else 0)
+    return parts
+
+
+def plain_likeness(a, b):
+    levels = [(a[k : k + 12], b[k : k + 12]) for k in range(0, 120, 12)]
+    filled = [sum(x or y for x, y in ((p > 0, q > 0) for p, q in zip(*level))) for level in levels]
+    equal = [sum(p == q > 0 for p, q in zip(*level)) for level in levels]
+    return 1.0 if a == b else max(e / max(f, 1) for e, f in zip(equal, filled) if f >= min(4, max(filled)))
+
+
+def test_parts_and_likeness_against_plain(frame):
+    texts = [prose(n, n, 300) for n in (0, 1, 2, 5, 9, 20, 40, 80, 200)] + ["", "...", "Ünï, ünï! w1", "w1 w2 w3", None, f"{prose(60, 3, 300)} solo", "a b c d e f g"] + [prose(50, 70 + k, 300) for k in range(40)]
+    docs = frame(texts)
+    lexicon, above = imatch.vocabulary(docs, (0.05, 0.3))
+    assert len(lexicon) and len(above)
+    got = [r for r in sorted(imatch.compare_with_edits(docs, (0.05, 0.3)).collect(), key=lambda r: r.doc_id)]
+    plain = [plain_parts(t or "", lexicon.tolist(), above.tolist()) for t in texts]
+    digits = lambda parts: "".join(f"{p & 0xFFFF:04x}" for p in parts)
+    for k, r in enumerate(got):
+        following = texts[(k + 1) % len(texts)] or ""
+        other = plain_parts(imatch.edited(texts[k] or "", following), lexicon.tolist(), above.tolist())
+        assert (r.fingerprint, r.edited_fingerprint) == (digits(plain[k]), digits(other)), k
+        assert r.near_edited == pytest.approx(plain_likeness(plain[k], other)) and r.near_next == pytest.approx(plain_likeness(plain[k], plain[(k + 1) % len(texts)]))
 
 
 def test_a_large_group_of_near_copies_keeps_its_lexicon(frame):
