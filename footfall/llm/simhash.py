@@ -30,6 +30,12 @@ SAMPLE = 65536
 #: Fingerprints that live in a leaf, within a shard.
 LEAF = 192
 
+#: Bytes of text that are hashed at once.
+BLOCK = 1 << 20
+
+#: Fingerprints that visit a shard in one task; beyond it they are dealt to several tasks, each with all that live there.
+GUESTS = 32768
+
 #: Fingerprints compared with a leaf at once.
 CHUNK = 4096
 
@@ -39,16 +45,18 @@ LANES = np.uint64(0x0101010101010101)
 # --- fingerprints ---------------------------------------------------------------------------------
 
 
-def _hashes(text: bytes | None, shingle: int) -> list[int]:
+def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """The shingle hashes of a text, in one array: 8 bytes for each word."""
     words = (text or b"").lower().split()
     if not words:
-        return []
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.r_[0, ends[:-1]]
     k = min(shingle, len(words))
+    n = len(words) - k + 1
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist())]
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), (ends[k - 1 :] - 1).tolist())), np.uint64, n)
 
 
 def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -76,10 +84,10 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in blocks(batch):
+        for part in blocks(batch, limit=BLOCK):
             found = [_hashes(text, shingle) for text in raw(part.column("text"))]
             counts = np.array([len(x) for x in found], np.int64)
-            hashes = np.fromiter((h for x in found for h in x), np.uint64, counts.sum())
+            hashes = np.concatenate(found)
             names = [n for n in part.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(majority_bits(hashes, counts).view(np.int64))], names=[*names, "fp"])
 
@@ -236,10 +244,24 @@ def _deal_out(nodes: DataFrame, reach: int, shard: int, sample: int) -> DataFram
     return nodes.select("fp").mapInArrow(partial(_deal, tree=tree, reach=reach), "shard int, fp long, home boolean")
 
 
-def _clusters(prints: DataFrame, max_distance: int, shard: int, sample: int) -> DataFrame:
+def _in_tasks(dealt: DataFrame, guests: int) -> DataFrame:
+    """``dealt`` with task: a shard's visitors spread over as many tasks as they need, what lives there in each of them.
+
+    So a task's rows are bounded by those that live in a shard and ``guests``, however many boundaries are near.
+    """
+    sizes = dealt.groupBy("shard").agg(F.sum(F.when(F.col("home"), 0).otherwise(1)).alias("visitors"))
+    large = sizes.where(F.col("visitors") > guests).select("shard", F.ceil(F.col("visitors") / guests).cast("int").alias("tasks"))
+    rows = dealt.join(large, "shard", "left").withColumn("tasks", F.coalesce("tasks", F.lit(1)))
+    every = F.sequence(F.lit(0), F.col("tasks") - 1)
+    one = F.array(F.pmod(F.xxhash64("fp"), F.col("tasks")).cast("int"))
+    return rows.select("shard", F.explode(F.when(F.col("home"), every).otherwise(one)).alias("task"), "fp", "home")
+
+
+def _clusters(prints: DataFrame, max_distance: int, shard: int, sample: int, guests: int = GUESTS) -> DataFrame:
     """Columns fp, root (a fingerprint of the component) and component_id, one row for each fingerprint of ``prints`` (doc_id, fp)."""
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    links = _deal_out(nodes, max_distance, shard, sample).groupBy("shard").applyInArrow(lambda table: _shard_links(table, max_distance), "u long, v long")
+    dealt = _in_tasks(stored(_deal_out(nodes, max_distance, shard, sample), "dealt"), guests)
+    links = dealt.groupBy("shard", "task").applyInArrow(lambda table: _shard_links(table, max_distance), "u long, v long")
     roots = components(links).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
