@@ -1,11 +1,11 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
-Each source queues its documents in a random but fixed order, again and again until its target is met. A copy's virtual finish time is the
-source's running total of tokens over the source's target; the mix takes copies by finish time until the budget is spent. The copy in which a source
-meets its target, at time 1, is cut there, so every source ends within one token of its target.
+Each source queues its documents in a random but fixed order, pass after pass. A copy's virtual finish time is the source's running total of tokens,
+this copy included, over the source's target; the mix takes whole copies in the order of finish time, over all sources, until the budget is
+spent, and cuts the last one. While all sources have copies left, each is behind its share of virtual time by less than one copy.
 
-Running totals go by two levels, so that no source is one task's: totals of fixed ranges of the random order are added up first, then
-each range is summed on its own, beginning at its total. The budget is cut in the same way over ranges of finish time.
+Running totals go by two levels, so that no source and no stretch of time is one task's: totals of ranges are added up first, then
+each range is summed on its own, beginning at its total. Ranges of time that begin beyond the budget are dropped before they are sorted.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from footfall.llm.common import NULL_ID, stored
 #: Ranges of a source's random order, as leading hexadecimal digits of a hash: 16^3 for each source.
 DIGITS = 3
 
-#: Ranges of virtual time until the targets are met.
-TIMES = 4096
+#: Ranges of virtual time until the targets are met at least, and copies in each about, where there are more.
+TIMES, RANGE = 4096, 20_000
 
 
 def tokens(text: Column | str) -> Column:
@@ -69,16 +69,20 @@ def _twin(source: str) -> Column:
     return F.row_number().over(Window.partitionBy("id", "tie").orderBy(F.col(source).cast("string").asc_nulls_last()))
 
 
-def _running(df: DataFrame, keys: list[str], part: str, order: list[Column], value: str) -> DataFrame:
+def _offsets(df: DataFrame, keys: list[str], part: str, value: str) -> DataFrame:
+    """Columns ``keys``, ``part`` and offset: the sum of ``value`` in the parts before, within ``keys``."""
+    parts = df.groupBy(*keys, part).agg(F.sum(value).alias("own"))
+    ahead = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(*keys, part, F.coalesce(F.sum("own").over(ahead), F.lit(0)).alias("offset"))
+
+
+def _running(df: DataFrame, offsets: DataFrame, keys: list[str], part: str, order: list[Column], value: str) -> DataFrame:
     """Column ``total``: the sum of ``value`` up to and including each row, within ``keys``, in the order of ``part`` and then ``order``.
 
-    ``keys`` and ``part`` have no nulls.
+    Rows of parts that ``offsets`` lack are dropped. ``keys`` and ``part`` have no nulls.
     """
-    parts = df.groupBy(*keys, part).agg(F.sum(value).alias("own"))
-    ahead = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(*keys, part, F.coalesce(F.sum("own").over(ahead), F.lit(0)).alias("offset"))
     within = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = df.withColumn("within", F.sum(value).over(within)).join(offsets, [*keys, part])
+    joined = df.join(offsets, [*keys, part]).withColumn("within", F.sum(value).over(within))
     return joined.withColumn("total", F.col("within") + F.col("offset")).drop("within", "offset")
 
 
@@ -87,8 +91,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     the mix has before its first copy, null if it is not taken), one row for each row of ``docs``; and id, tie, twin, which identify the row.
 
     Size is the number of words (null: none). Targets share the total size by weight, see :func:`shares`. A source's copies queue pass
-    after pass, at most ``max_repeats``, each in the order of a hash of doc_id; the last is cut where the source's target, rounded down, is met. Copies
-    are mixed by finish time, ties by source, then place in the queue, up to the total size. Rows without
+    after pass, at most ``max_repeats``, each in the order of a hash of doc_id. Whole copies are taken by finish time, ties by source, then place in the queue,
+    until their sizes reach the total size; the last one is cut there. So a source differs from its target by about one copy: by less below, and above by its share of
+    what others lack. Rows without
     words are never taken. Null sources are one source, the last; a null doc_id queues like the others; repeated rows queue
     one behind the other. An empty table gives an empty result. Other columns are not read. Sources are ranked in one task, one row each; documents never are.
     """
@@ -99,26 +104,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     rows = stored(rows.withColumn("twin", _twin("source")), "queue")
     place = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     queue = rows.where("size > 0").select(*ROW, "number", "size", "source_size", "target", "budget", place.alias("place"), F.substring(place, 1, DIGITS).alias("part"))
-    queue = _running(queue, ["number"], "part", [F.col(c) for c in ("place", *ROW)], "size")
+    queue = _running(queue, _offsets(queue, ["number"], "part", "size"), ["number"], "part", [F.col(c) for c in ("place", *ROW)], "size")
     copies = queue.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
-    start = F.col("round") * F.col("source_size") + F.col("total") - F.col("size")
-    words = F.least(F.col("size"), F.floor("target") - start)
-    copies = copies.withColumn("start", start).withColumn("words", words).where("words > 0")
-    finish = (F.col("start") + F.col("words")) / F.col("target")
-    # At finish time 1, the last range, each source has at most one copy.
-    time = F.least(F.floor(finish * TIMES), F.lit(TIMES)).cast("int")
-    copies = copies.select(*ROW, "number", "budget", "start", "words", finish.alias("finish"), time.alias("time"))
-    mixed = _running(copies, [], "time", [F.col("finish"), F.col("number"), F.col("start")], "words").where("total <= budget")
-    taken = mixed.groupBy(*ROW).agg(F.sum("words").alias("taken"), F.min(F.col("total") - F.col("words")).alias("begins"))
+    copies = copies.withColumn("start", F.col("round") * F.col("source_size") + F.col("total") - F.col("size"))
+    finish = (F.col("start") + F.col("size")) / F.col("target")
+    times = max(TIMES, rows.count() * max_repeats // RANGE)
+    copies = stored(copies.select(*ROW, "number", "budget", "start", "size", finish.alias("finish"), F.floor(finish * times).cast("long").alias("time")), "copies")
+    budget = copies.agg(F.max("budget")).first()[0] or 0
+    offsets = _offsets(copies, [], "time", "size").where(F.col("offset") < budget)
+    mixed = _running(copies, offsets, [], "time", [F.col("finish"), F.col("number"), F.col("start")], "size")
+    begins = F.col("total") - F.col("size")
+    mixed = mixed.select(*ROW, begins.alias("begins"), F.least(F.col("size"), budget - begins).alias("words")).where("words > 0")
+    taken = mixed.groupBy(*ROW).agg(F.sum("words").alias("taken"), F.min("begins").alias("begins"))
     out = rows.join(taken, list(ROW), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "begins", *ROW)
 
 
+MIXED = ("size", "target", "taken", "begins")
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
-    """The documents that :func:`mix` takes, in all their columns, with the columns size, target, taken and begins at the end."""
+    """The documents that :func:`mix` takes, in all their columns, with the columns size, target, taken and begins at the end.
+
+    Columns of ``docs`` with one of these names, in upper or lower case, are replaced.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names))
+    kept = [c for c in docs.columns if c.lower() not in MIXED]
     rows = docs.toDF(*names)
     rows = rows.select(*names, *identity(at["doc_id"], at["text"])).withColumn("twin", _twin(at["source"]))
-    facts = mix(docs, weights, max_repeats, seed).where("taken > 0").select(*ROW, "size", "target", "taken", "begins")
-    return rows.join(facts, list(ROW)).select(*names, "size", "target", "taken", "begins").toDF(*docs.columns, "size", "target", "taken", "begins")
+    facts = mix(docs, weights, max_repeats, seed).where("taken > 0").select(*ROW, *MIXED)
+    return rows.join(facts, list(ROW)).select(*[at[c] for c in kept], *MIXED).toDF(*kept, *MIXED)

@@ -32,21 +32,25 @@ level as (
 ),
 capped as (select *, most * others <= (total - below) * weight as is_capped from level),
 targets as (
-  select source, source_size,
+  select source, source_size, number,
          case when is_capped then cast(most as double)
               else cast(total - sum(case when is_capped then most else 0 end) over () as double) * cast(weight as double)
                    / cast(sum(case when is_capped then 0 else weight end) over () as double) end as target
   from capped
 ),
 queue as (
-  select doc_id, size, source_size, target, cast(floor(target) as bigint) as whole,
+  select doc_id, size, source_size, target, number,
          sum(size) over (partition by docs.source order by md5('mix:' || coalesce(cast(doc_id as varchar), 'null')), doc_id rows unbounded preceding) - size as start
   from docs join targets on docs.source is not distinct from targets.source
-)
-select doc_id, cast(size as bigint) as size, source_size, target,
-       cast(greatest(0, least(size, whole - start)) + greatest(0, least(size, whole - source_size - start))
-            + greatest(0, least(size, whole - 2 * source_size - start)) as bigint) as taken
-from queue
+),
+copies as (
+  select doc_id, size, number, cast(start + pass * source_size as bigint) as place, (start + pass * source_size + size) / target as finish
+  from queue, range(0, 3) as t(pass) where size > 0
+),
+mixed as (select *, cast(sum(size) over (order by finish, number, place rows unbounded preceding) as bigint) - size as begins, (select sum(size) from docs) as budget from copies),
+taken as (select doc_id, cast(sum(least(size, budget - begins)) as bigint) as taken, min(begins) as begins from mixed where begins < budget group by doc_id)
+select queue.doc_id, cast(size as bigint) as size, source_size, target, coalesce(taken, 0) as taken, cast(begins as bigint) as begins
+from queue left join taken on queue.doc_id is not distinct from taken.doc_id
 """
 
 OP10 = r"""

@@ -104,15 +104,18 @@ def mixture(docs: list[tuple], weights=(1, 2, 3), most: int = 3, seed: str = "mi
             break
         capped |= {s: most * total_of[s] for s in over}
     target = {s: float(capped.get(s, 0) or (share[s] if s not in capped else 0)) for s in sources}
-    out = {}
-    for s in sources:
+    copies = []
+    for number, s in enumerate(sources):
         queue = sorted(((hashlib.md5(f"{seed}:{'null' if d is None else d}".encode()).hexdigest(), d) for d, x, _ in docs if x == s), key=lambda q: q[0])
-        left, taken = int(target[s] + 1e-9), defaultdict(int)
+        start = 0
         for _ in range(most):
             for _, d in queue:
-                n = min(size[d], left)
-                taken[d] += n
-                left -= n
-        for _, d in queue:
-            out[d] = size[d], total_of[s], target[s], taken[d]
-    return out
+                if size[d]:
+                    copies.append(((start + size[d]) / target[s], number, start, d))
+                    start += size[d]
+    taken, left = defaultdict(int), total
+    for *_, d in sorted(copies, key=lambda c: c[:3]):
+        n = min(size[d], left)
+        taken[d] += n
+        left -= n
+    return {d: (size[d], total_of[s], target[s], taken[d]) for d, s, _ in docs}
