@@ -34,9 +34,6 @@ SAMPLE = 20_000
 #: Beginnings of words have this many letters; lexicon entries of a whole word end with a space.
 SHORTEST, LONGEST = 3, 12
 
-#: Candidates for the lexicon at most; the most frequent ones of toxic texts stay.
-CANDIDATES = 50_000
-
 #: An entry must be this much (natural logarithm) likelier in a toxic text, and hold in so many of them.
 MIN_WEIGHT, MIN_TEXTS = 1.5, 3
 
@@ -70,6 +67,19 @@ def fold(text: str) -> str:
     return " " + " ".join(w.rstrip("!|") for w in text.split()).translate(_FOLDED) + " "
 
 
+def _outside(found: list[tuple], hidden: list[tuple]) -> list[tuple]:
+    """The spans of ``found`` (start, end, weight) that lie within none of ``hidden``, in the order of their ends: one sweep by start."""
+    kept, reach, spans = [], -1, iter(sorted(hidden, key=lambda x: x[0]))
+    following = next(spans, None)
+    for span in sorted(found, key=lambda x: x[0]):
+        while following is not None and following[0] <= span[0]:
+            reach = max(reach, following[1])
+            following = next(spans, None)
+        if span[1] > reach:
+            kept.append(span)
+    return sorted(kept, key=lambda x: x[1])
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Weights of entries (folded, with a space before; a space behind ends a whole word), and exception phrases (folded words)."""
@@ -105,9 +115,7 @@ class Lexicon:
         found, hidden = [], []
         for end, (length, weight) in self._matcher().iter(fold(text)):
             (hidden if weight is None else found).append((end - length + 1, end, weight))
-        if hidden:
-            found = [(a, b, w) for a, b, w in found if not any(x <= a and b <= y for x, y, _ in hidden)]
-        return [(b, w) for _, b, w in found]
+        return [(b, w) for _, b, w in (_outside(found, hidden) if hidden else found)]
 
     def measures(self, text: str) -> tuple[float, float]:
         """The logarithm of the summed weight of hits, and of that sum for 100 words."""
@@ -210,8 +218,8 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """A lexicon from the labelled documents that are not held out.
 
-    At most ``sample`` labelled rows are used, the first in the order of a hash of doc_id; of rows with the same text one counts. The driver holds candidate
-    entries, at most ``CANDIDATES``, and the entries of the sample's toxic texts, never texts. Without toxic texts, or without clean ones, the lexicon is empty. A label that is null is no label; of
+    At most ``sample`` labelled rows are used, the first in the order of a hash of doc_id; of rows with the same text one counts. The driver holds the candidate
+    entries, those that ``MIN_TEXTS`` toxic texts of the sample share, and which texts have them, never texts: bounded by the sample, with no cap of their own. Without toxic texts, or without clean ones, the lexicon is empty. A label that is null is no label; of
     several labels for a document the highest holds.
     """
     ids = F.col("doc_id").cast("long")
@@ -224,7 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
         return Lexicon({})
-    toxic = _counts(rows.where("toxic = 1")).where(F.col("n") >= MIN_TEXTS).orderBy(F.desc("n"), "entry").limit(CANDIDATES).collect()
+    toxic = _counts(rows.where("toxic = 1")).where(F.col("n") >= MIN_TEXTS).orderBy(F.desc("n"), "entry").collect()
     among = {r.entry: i for i, r in enumerate(toxic)}
     clean = {r.entry: r.n for r in _counts(rows.where("toxic = 0"), among).collect()}
     weights = {r.entry: math.log((r.n + 0.5) / (bad + 1)) - math.log((clean.get(r.entry, 0) + 0.5) / (good + 1)) for r in toxic}
@@ -253,13 +261,13 @@ def _around(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.
     yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(toxic, pa.int32())], names=["phrase", "toxic"])
 
 
-def _exceptions(rows: DataFrame, lexicon: Lexicon, least: int = 10, most: int = 1000) -> tuple[str, ...]:
-    """Pairs of words with an entry in them that are usual in clean texts and not in toxic ones."""
+def _exceptions(rows: DataFrame, lexicon: Lexicon, least: int = 10) -> tuple[str, ...]:
+    """Pairs of words with an entry in them that at least ``least`` places of the sample have, nine tenths of them in clean texts."""
     if not lexicon.weights:
         return ()
     pairs = rows.select("text", "toxic").mapInArrow(partial(_around, lexicon=lexicon), "phrase string, toxic int")
     counted = pairs.groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("bad") * 10 <= F.col("n")))
-    return tuple(sorted(r.phrase for r in counted.orderBy(F.desc("n"), "phrase").limit(most).collect()))
+    return tuple(sorted(r.phrase for r in counted.collect()))
 
 
 def _measure(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
@@ -282,6 +290,16 @@ def score(docs: DataFrame, lexicon: Lexicon, column: str = "toxicity") -> DataFr
     return map_rows(docs.drop(column), partial(_scores, lexicon=lexicon), T.StructField(column, T.DoubleType()))
 
 
+def _clean(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array([lexicon.score(text or "") < threshold for text in batch.column("text").to_pylist()], pa.bool_()))
+
+
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float) -> DataFrame:
+    """The documents, in all their columns whatever their names, that score below ``threshold``; a null text scores like an empty one."""
+    return map_rows(docs, partial(_clean, lexicon=lexicon, threshold=threshold))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """Columns doc_id, held_out, score and predicted, one row for each row of ``docs``.
 
