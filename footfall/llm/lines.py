@@ -2,8 +2,8 @@
 
 The state has one row for each shard of the line keys: its keys, the number of documents that hold each, and a cuckoo filter of
 those in so many documents that their lines are dropped. Documents are added and deleted by changing counts; a key
-that passes the limit enters the filter or leaves it. Cleaning asks the filters first, so that only lines they know are joined to the
-exact counts.
+that passes the limit enters the filter or leaves it. Cleaning brings line keys to their shard, where the filter is asked first and the
+exact counts decide on what it lets through.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Keys that a shard holds, about.
 SHARD_KEYS = 100_000
 
-#: Filters sent to all tasks at once, in bytes at most. More are sent in several blocks, one after the other.
-FILTER_BYTES = 32 << 20
+#: Line keys that ask a shard's filter in one group, about.
+ASKED = 250_000
 
 STATE = "shard int, keys binary, counts binary, filter binary"
 
@@ -142,39 +142,29 @@ def references(counts: LineCounts) -> DataFrame:
 
 
 def _known(keys: DataFrame, counts: LineCounts) -> DataFrame:
-    """The keys that the filters know. Filters go to the tasks in blocks of at most ``FILTER_BYTES``."""
-    sizes = counts.state.select("shard", F.octet_length("filter").alias("n")).orderBy("shard").collect()
-    blocks, size = [[]], 0
-    for shard, n in sizes:
-        if size + n > FILTER_BYTES and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(shard)
-        size += n
+    """The rows of ``keys`` (doc, key) whose lines are to be dropped.
+
+    Rows and state meet by shard, where the filter turns most rows away and the exact counts decide on the rest; nothing goes through the driver. The rows of a shard are dealt to
+    as many groups as they need, by their document, so a line that a third of all documents hold is many groups' work.
+    """
     keys = keys.withColumn("shard", _shard(counts.shards))
-    out = keys.where("false")
-    for block in blocks if sizes else []:
-        some = counts.state.where(F.col("shard").between(block[0], block[-1])).select("shard", "filter").collect()
-        sent = keys.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in some})
-        own = keys if len(blocks) == 1 else keys.where(F.col("shard").between(block[0], block[-1]))
-        out = out.union(own.mapInArrow(partial(_ask, filters=sent), "doc long, key binary, shard int"))
-    return out.select("doc", "key")
+    parts = keys.groupBy("shard").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
+    asked = keys.join(parts, "shard").select("doc", "key", "shard", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"))
+    state = counts.state.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "keys", "counts", "filter")
+    together, min_docs = asked.groupBy("shard", "part").cogroup(state.groupBy("shard", "part")), counts.min_docs
+    return together.applyInArrow(lambda rows, known: _ask(rows, known, min_docs), "doc long, key binary")
 
 
-def _ask(batches: Iterator[pa.RecordBatch], filters) -> Iterator[pa.RecordBatch]:
-    read: dict[int, CuckooFilter] = {}
-    for batch in batches:
-        shards = batch.column("shard").to_numpy()
-        keys = batch.column("key").to_pylist()
-        found = np.zeros(len(keys), bool)
-        order = np.argsort(shards, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(shards[order]) != 0]) if len(order) else []
-        for at in np.split(order, cuts[1:]) if len(order) else ():
-            shard = int(shards[at[0]])
-            if shard not in read:
-                read[shard] = CuckooFilter.from_bytes(filters.value[shard]) if shard in filters.value else CuckooFilter()
-            found[at] = read[shard].contains([keys[i] for i in at])
-        yield batch.filter(pa.array(found))
+def _ask(rows: pa.Table, known: pa.Table, min_docs: int) -> pa.Table:
+    rows = rows.select(["doc", "key"])
+    if not known.num_rows or not rows.num_rows:
+        return rows.slice(0, 0)
+    state = known.slice(0, 1).to_pylist()[0]
+    keys = rows.column("key").to_pylist()
+    passed = CuckooFilter.from_bytes(state["filter"]).contains(keys)
+    # The filter may let others through; the counts do not.
+    exact = {key for key, n in zip(_unpack(state["keys"]), np.frombuffer(state["counts"], np.int64).tolist()) if n >= min_docs}
+    return rows.filter(pa.array([bool(maybe) and key in exact for maybe, key in zip(passed, keys)], pa.bool_()))
 
 
 def _clean(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
@@ -194,19 +184,23 @@ def _clean(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
 
+ADDED = ("n_lines", "n_dropped")
+
+
 def clean(counts: LineCounts, docs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """The documents, in all their columns, without the lines that the counts say to drop; with the columns n_lines (before) and n_dropped at the end.
 
-    A null or empty text is one empty line; a text that loses all lines is empty. ``keys`` may hold the line keys of the documents, if they are at hand.
+    Columns of ``docs`` with one of these two names, in upper or lower case, are replaced. A null or empty text is one empty line; a text that loses all lines is empty. ``keys`` may hold the line keys of the documents, if they are at hand.
     """
     keys = line_keys(docs, counts.min_chars) if keys is None else keys
-    drop = references(counts).where(F.col("n_docs") >= counts.min_docs).select("key")
-    gone = _known(keys, counts).join(drop, "key").groupBy("doc").agg(F.collect_set("key").alias("gone"))
+    gone = _known(keys, counts).groupBy("doc").agg(F.collect_set("key").alias("gone"))
     names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
     doc_id = names[docs.columns.index("doc_id")]
     joined = docs.toDF(*names).join(gone, F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)) == F.col("doc"), "left").select(*names, "gone")
     schema = T.StructType([*[f for f in joined.schema.fields if f.name != "gone"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(partial(_clean, min_chars=counts.min_chars), schema).toDF(*docs.columns, "n_lines", "n_dropped")
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
+    out = joined.mapInArrow(partial(_clean, min_chars=counts.min_chars), schema).select(*[names[docs.columns.index(c)] for c in kept], *ADDED)
+    return out.toDF(*kept, *ADDED)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_keys: int = SHARD_KEYS) -> DataFrame:
@@ -220,3 +214,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_k
     shards = 1 + (keys.agg(F.approx_count_distinct("key")).first()[0] or 0) // shard_keys
     counts = _changed(empty(docs.sparkSession, shards, min_docs, min_chars), keys, 1)
     return clean(counts, docs, keys)
+
+
+def cleaned_documents(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """The documents in exactly their columns, whatever the names of the others, with the texts of :func:`dedup_lines`; a column n_chars, a long, follows the text."""
+    names = ["doc_id" if c == "doc_id" else "text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    out = dedup_lines(docs.toDF(*names), min_docs, min_chars, shard_keys)
+    length = F.length("text").cast("long")
+    return out.select(*[length.alias(n) if c == "n_chars" else F.col(n) for n, c in zip(names, docs.columns)]).toDF(*docs.columns)
