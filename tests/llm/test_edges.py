@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from footfall.llm import decontaminate, html_text, imatch, lines, mixing, quality, runs, secrets, simhash, substrings, tokens, toxicity
 
+from footfall.llm.common import stored
+
 from tests.llm import plain
 from tests.llm.conftest import prose
 
@@ -155,13 +159,24 @@ def test_line_counts_are_reversible(spark, frame):
     assert exact(lines.delete(one, first)) == {}
 
 
-def test_filters_in_several_blocks(spark, frame, monkeypatch):
-    monkeypatch.setattr(lines, "FILTER_BYTES", 100)
+def test_filters_asked_in_many_groups(frame, monkeypatch):
+    monkeypatch.setattr(lines, "ASKED", 5)
     docs = [(i, f"a\nb{i % 5}\nc{i}") for i in range(40)]
     got = {r.doc_id: r.text for r in lines.dedup_lines(frame(docs), min_docs=8, shard_keys=7).collect()}
     assert got == {d: x[2] for d, x in plain.lines(docs, 8).items()}
 
 
+def test_exact_counts_decide_what_the_filter_lets_through(frame, monkeypatch):
+    monkeypatch.setattr(lines.CuckooFilter, "contains", lambda self, keys: [True] * len(keys))
+    docs = [(i, f"a\nb{i % 5}\nc{i}") for i in range(40)]
+    rows = lines._ask(
+        pa.table({"doc": pa.array([1, 2]), "key": pa.array([b"k" * 16, b"l" * 16], pa.binary())}),
+        pa.table({"keys": pa.array([b"k" * 16 + b"l" * 16], pa.binary()), "counts": pa.array([np.array([9, 2]).tobytes()], pa.binary()), "filter": pa.array([lines.CuckooFilter().to_bytes()], pa.binary())}),
+        min_docs=3,
+    )
+    assert rows.column("doc").to_pylist() == [1] and docs
+
+
 def test_mixture_against_plain(spark):
     rows = [(i, f"s{i % 4}" if i % 9 else None, prose(1 + i % 13 * 9, i)) for i in range(150)] + [(200, "s0", LONG), (201, "tiny", "one"), (202, "none", ""), (203, "none", None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
@@ -175,10 +190,18 @@ def test_mixture_against_plain(spark):
 
 
 def test_mixture_is_one_order(spark):
-    docs = spark.createDataFrame([(i, f"s{i % 3}", prose(5, i)) for i in range(30)], "doc_id long, source string, text string")
-    taken = [r for r in mixing.mix(docs).collect() if r.taken]
+    """Whole copies follow each other without gaps; only the last one is cut."""
+    rows = [(i, f"s{i % 3}", prose(5 + i % 7, i)) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs).collect()
+    total = sum(r.size for r in got)
+    taken = [r for r in got if r.taken]
     starts = sorted(r.begins for r in taken)
-    assert starts[0] == 0 and len(set(starts)) == len(starts) and starts[-1] < 150
+    assert sum(r.taken for r in taken) == total and starts[0] == 0 and len(set(starts)) == len(starts) and starts[-1] < total
+    assert sum(r.taken % r.size > 0 for r in taken) <= 1 and all(r.taken <= 3 * r.size for r in taken)
+    by_source = {s: sum(r.taken for r in got if r.source == s) for s in ("s0", "s1", "s2")}
+    target = {r.source: r.target for r in got}
+    assert all(abs(by_source[s] - target[s]) <= 2 * 11 for s in by_source)
 
 
 def test_mixed_rows_that_repeat(frame):
@@ -189,6 +212,7 @@ def test_mixed_rows_that_repeat(frame):
 
 
 STAGES = dict(pipeline.STAGES)
+CLASHES = ("n_lines", "N_Dropped", "size", "Target", "taken", "begins", "_toxicity", "toxicity", "gone", "tick`ed", "a.b", "doc", "c1")
 
 
 @pytest.fixture(scope="module")
@@ -215,6 +239,27 @@ def test_stage_with_hard_rows(spark, frame, folder, name):
             assert got.count() == len(REPEATED)
 
 
+@pytest.mark.parametrize("name", list(STAGES))
+def test_stage_keeps_columns_of_any_name(frame, folder, spark, name):
+    """Stored and read again, as the pipeline does; only mixing replaces the columns that it adds."""
+    docs = frame(REPEATED)
+    docs = docs.toDF(*docs.columns)
+    for c in CLASHES:
+        docs = docs.withColumn(c, docs.source)
+    got = stored(STAGES[name](spark, docs, folder), "odd")
+    added = mixing.MIXED if name == "mixing" else ()
+    kept = [c for c in docs.columns if c.lower() not in added]
+    assert got.columns == [*kept, *added]
+    rows = got.collect()
+    assert rows and all(r[k] == "s" for r in rows for k, c in enumerate(kept) if c in CLASHES)
+
+
+def test_added_columns_replace_those_of_the_same_name(frame):
+    docs = frame(["a\nb", "a\nc"]).withColumn("N_LINES", F.lit("x")).withColumn("n_dropped", F.lit("y"))
+    got = lines.dedup_lines(docs, min_docs=2)
+    assert got.columns == [*frame(["a"]).columns, "n_lines", "n_dropped"] and {(r.n_lines, r.n_dropped) for r in got.collect()} == {(2, 1)}
+
+
 @pytest.mark.parametrize("name", list(STAGES))
 def test_stage_without_rows(spark, frame, folder, name):
     assert STAGES[name](spark, frame([]), folder).collect() == []
