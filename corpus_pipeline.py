@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from footfall.llm import decontaminate, lines, mixing, simhash, toxicity
 from footfall.llm.common import stored
@@ -19,13 +19,12 @@ TOXIC = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold; the lexicon is learned from the labels that are not held out."""
     lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, lexicon, "_toxicity").where(F.col("_toxicity") < TOXIC).drop("_toxicity")
+    return toxicity.drop_toxic(docs, lexicon, TOXIC)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the lines that at least ten of them share; n_chars follows the text."""
-    cleaned = lines.dedup_lines(docs, min_docs=10, min_chars=1)
-    return cleaned.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    return lines.cleaned_documents(docs, min_docs=10, min_chars=1)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the mix, with size, target (of the source), taken (words, repeats counted) and begins (place in the mix)."""
+    """The documents in the mix, with size, target (of the source), taken (words, repeats counted) and begins (place in the mix); columns of these names are replaced."""
     return mixing.mixed_documents(docs)
 
 
