@@ -3,7 +3,7 @@
 Benchmark items are cut into overlapping pieces of two sizes: long ones, and short ones at a small stride, so that any passage of ``SHORT + STEP - 1``
 characters of an item holds a whole piece, wherever it begins. A piece of m characters that occurs in a text with at most k edits shares at least m - q + 1 - k q
 of its q-grams with it, on diagonals that lie within k of each other. Every place of a text is looked up in the table of q-grams; a text's hits are counted for each piece in
-overlapping bands of diagonals, and the bands that reach the bound are aligned.
+overlapping bands of diagonals, and the bands that reach the bound are aligned. Items too short for that are found exactly, all of them in one pass of an automaton.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -25,7 +26,7 @@ PIECE, STRIDE = 100, 50
 SHORT, STEP = 60, 10
 #: Edits allowed for each character of a piece.
 RATE = 0.06
-#: Items with fewer characters, after normalising, are no evidence.
+#: Items with fewer characters, after normalising, are looked for as they are, as whole words; their q-grams are too few to allow an edit.
 LEAST = 24
 #: Characters of benchmark items that tasks get at once; about 120 bytes each. A larger benchmark goes in several blocks.
 BLOCK_CHARS = 700_000
@@ -74,11 +75,11 @@ class Grams:
 
 @dataclass
 class Pieces:
-    """The pieces of some items and the table of their q-grams."""
+    """The pieces of some items and the table of their q-grams; short items are pieces without any, behind the others."""
 
-    item: list[int]
-    offset: list[int]
+    item: list[int | None]
     codes: list[np.ndarray]
+    short: dict[str, range]  # a text, and the pieces of the items that have it
     edits: np.ndarray
     bound: np.ndarray
     grams: np.ndarray  # sorted
@@ -96,17 +97,23 @@ def _starts(size: int, piece: int, stride: int) -> list[int]:
     return list(dict.fromkeys(max(0, min(s, size - piece)) for s in range(0, max(1, size - piece + stride), stride)))
 
 
-def cut(items: list[tuple[int, str]], q: int, piece: int, stride: int, rate: float, short: int = 0, step: int = 0) -> Pieces:
-    """Pieces of ``piece`` characters every ``stride``, and, if ``short`` is given, of ``short`` every ``step``; an item that has no more is one piece."""
-    item, offset, codes = [], [], []
+def cut(items: list[tuple[int | None, str]], q: int, piece: int, stride: int, rate: float, short: int = 0, step: int = 0, least: int = LEAST) -> Pieces:
+    """Pieces of ``piece`` characters every ``stride``, and, if ``short`` is given, of ``short`` every ``step``; an item that has no more is one piece.
+
+    Items of fewer than ``least`` characters, or too few for a q-gram, are not cut.
+    """
+    item, codes, exact = [], [], {}
     for number, text in items:
-        whole = _codes(normalise(text))
+        text = normalise(text)
+        if len(text) < max(least, q):
+            exact.setdefault(text, []).append(number)
+            continue
+        whole = _codes(text)
         spans = [(start, piece) for start in _starts(len(whole), piece, stride)]
         if 0 < short < min(piece, len(whole)):
             spans += [(start, short) for start in _starts(len(whole), short, step)]
         for start, length in spans:
             item.append(number)
-            offset.append(start)
             codes.append(whole[start : start + length])
     grams = Grams(q)
     found = [grams(c) for c in codes]
@@ -119,7 +126,11 @@ def cut(items: list[tuple[int, str]], q: int, piece: int, stride: int, rate: flo
     edits = np.array([allowed(len(c), q, rate) for c in codes], np.int64)
     bound = np.array(sizes, np.int64) - edits * q
     place = np.concatenate([*(np.arange(n, dtype=np.int32) for n in sizes), np.empty(0, np.int32)])
-    return Pieces(item, offset, codes, edits, bound, all_[order], np.repeat(np.arange(len(codes), dtype=np.int32), sizes)[order], place[order], maybe)
+    known = {}
+    for text, numbers in exact.items():
+        known[text] = range(len(item), len(item) + len(numbers))
+        item += numbers
+    return Pieces(item, codes, known, edits, bound, all_[order], np.repeat(np.arange(len(codes), dtype=np.int32), sizes)[order], place[order], maybe)
 
 
 def align(pieces: list[np.ndarray], texts: list[np.ndarray], edits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,8 +201,29 @@ def candidates(codes: np.ndarray, ends: np.ndarray, pieces: Pieces, grams: Grams
     return text[good], piece[good], half[good] * (pieces.edits[piece[good]] + 1)
 
 
-def _find(texts: list[str], pieces: Pieces, grams: Grams) -> Iterator[tuple[int, int, int, int, int]]:
-    """Text, piece, start, end (of the normalised text) and edits of each verified band."""
+def _machine(pieces: Pieces) -> ahocorasick.Automaton | None:
+    """Finds the short items of a table."""
+    if not pieces.short:
+        return None
+    machine = ahocorasick.Automaton()
+    for text, numbers in pieces.short.items():
+        machine.add_word(text, (numbers, len(text)))
+    machine.make_automaton()
+    return machine
+
+
+def _whole(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on beyond the ends of the stretch."""
+    return not (start and text[start].isalnum() and text[start - 1].isalnum()) and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+
+
+def _find(texts: list[str], pieces: Pieces, grams: Grams, machine: ahocorasick.Automaton | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+    """Text, piece, start, end (of the normalised text) and edits of each verified band, and of each short item."""
+    for number, text in enumerate(texts if machine else ()):
+        for last, (numbers, size) in machine.iter(text):
+            if _whole(text, last + 1 - size, last + 1):
+                for piece in numbers:
+                    yield number, piece, last + 1 - size, last + 1, 0
     codes = _codes("\0".join(texts) + "\0")
     ends = np.cumsum([len(t) + 1 for t in texts])
     text, piece, diagonal = candidates(codes, ends, pieces, grams)
@@ -217,26 +249,28 @@ def _find(texts: list[str], pieces: Pieces, grams: Grams) -> Iterator[tuple[int,
 
 def _matches(batches: Iterator[pa.RecordBatch], sent, q: int) -> Iterator[pa.RecordBatch]:
     pieces, grams = sent.value, Grams(q)
+    machine = _machine(pieces)
     for batch in batches:
         for part in blocks(batch):
             ids = part.column("doc_id").to_pylist()
             best: dict[tuple[int, int], list] = {}
-            for text, piece, start, end, cost in _find([normalise(t) for t in part.column("text").to_pylist()], pieces, grams):
+            for text, piece, start, end, cost in _find([normalise(t) for t in part.column("text").to_pylist()], pieces, grams, machine):
                 key = text, pieces.item[piece]
                 old = best.setdefault(key, [start, end, cost, set()])
                 old[:3] = min(old[0], start), max(old[1], end), min(old[2], cost)
                 old[3].add(piece)
-            rows = [(ids[t], item, a, b, cost, len(found)) for (t, item), (a, b, cost, found) in sorted(best.items())]
+            rows = [(ids[t], item, a, b, cost, len(found)) for (t, item), (a, b, cost, found) in best.items()]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)], names=[c.split()[0] for c in MATCHES.split(", ")])
 
 
 def _clean(batches: Iterator[pa.RecordBatch], sent, q: int) -> Iterator[pa.RecordBatch]:
     pieces, grams = sent.value, Grams(q)
+    machine = _machine(pieces)
     for batch in batches:
         for part in blocks(batch):
             keep = np.ones(part.num_rows, bool)
-            for text, *_ in _find([normalise(t) for t in part.column("text").to_pylist()], pieces, grams):
+            for text, *_ in _find([normalise(t) for t in part.column("text").to_pylist()], pieces, grams, machine):
                 keep[text] = False
             yield part.filter(pa.array(keep))
 
@@ -249,9 +283,9 @@ def _blocks(benchmark: DataFrame, q: int, piece: int, stride: int, rate: float,
     n = 1 + chars // BLOCK_CHARS
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).distinct().collect()
-        rows = sorted(((r.item_id if r.item_id is not None else -1, r.text) for r in rows if len(normalise(r.text)) >= least))
+        rows = sorted(((r.item_id, r.text) for r in rows if normalise(r.text)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         if rows:
-            yield spark.sparkContext.broadcast(cut(rows, q, piece, stride, rate, short, step))
+            yield spark.sparkContext.broadcast(cut(rows, q, piece, stride, rate, short, step, least))
 
 
 def find_matches(
@@ -262,8 +296,9 @@ def find_matches(
     Start and end (code points of the normalised text, end exclusive) span all matching pieces of the item, ``pieces`` of them; ``edits`` is the least of
     a piece. Text is compared in lower case with each run of white space one space. A piece has ``piece`` or
     ``short`` characters (no short ones if that is 0), or the whole item if that is shorter, and may differ by ``rate`` edits a character, but by no more than the q-gram bound
-    can see. So ``short + step - 1`` characters of an item in a row are found for certain, wherever they begin, with the edits of a short piece. Items shorter than ``least`` characters, null and empty texts match nothing; an item without a
-    number is -1. Repeated rows give repeated results; an empty table on either side gives an empty result. Other columns are not read.
+    can see. So ``short + step - 1`` characters of an item in a row are found for certain, wherever they begin, with the edits of a short piece. An item shorter than ``least`` characters is found where it
+    stands as it is, with no word going on beyond its ends. Null and empty texts match nothing; item_id is null for an item without a
+    number, and such items count as one. Repeated rows give repeated results; an empty table on either side gives an empty result. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
