@@ -82,57 +82,69 @@ def _sketches(terms: set[int]) -> list[int]:
     return _mix(_mix(mixed).sum(1, dtype=np.uint64) ^ _ORDERS).view(np.int64).tolist()
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = Terms()
-    for batch in batches:
-        found = [key for text in batch.column("text").to_pylist() for key in _sketches(known.of(text or ""))]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["sketch"])
-
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sketch, key, n, same): each sketch of each document, ``same`` telling its text, and how many documents hold each term; term 0 stands for the document."""
+    known, counts = Terms(), Counter()
 
-def _count(batches: Iterator[pa.RecordBatch], groups: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    known, counts, parts = Terms(), Counter(), Counter()
+    def rows(sketch: bool, keys: np.ndarray, ns: np.ndarray, same: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), sketch)), pa.array(keys.view(np.int64)), pa.array(ns), pa.array(same)], names=["sketch", "key", "n", "same"])
 
-    def rows() -> pa.RecordBatch:
-        for term, n in counts.items():
-            parts[term] += n * UNIT
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(np.fromiter(parts, np.uint64, len(parts)).view(np.int64)), pa.array(np.fromiter(parts.values(), np.int64, len(parts)))], names=["term", "n"]
-        )
+    def counted() -> pa.RecordBatch:
+        out = rows(False, np.fromiter(counts, np.uint64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts)), np.zeros(len(counts), np.int64))
         counts.clear()
-        parts.clear()
         return out
 
     for batch in batches:
+        sketches = []
         for text in batch.column("text").to_pylist():
             found = known.of(text or "")
-            copies = max(map(groups.get, groups.keys() & _sketches(found)), default=1) if groups else 1
-            found.add(0)  # stands for the document
-            if copies == 1:
-                counts.update(found)
-            else:
-                weight = max(1, UNIT // copies)
-                for term in found:
-                    parts[term] += weight
-        if len(counts) + len(parts) > KNOWN_WORDS:
-            yield rows()
-    yield rows()
+            sketches += _sketches(found)
+            found.add(0)
+            counts.update(found)
+            if len(counts) > KNOWN_WORDS:
+                yield counted()
+        yield rows(True, np.array(sketches, np.int64).view(np.uint64), np.ones(len(sketches), np.int64), np.repeat(batch.column("same").to_numpy(), SKETCHES))
+    yield counted()
+
+
+def _correct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the terms of texts of large groups (text, docs, copies) count less than one for each document."""
+    known, less = Terms(), Counter()
+    for batch in batches:
+        for text, docs, copies in zip(*(batch.column(c).to_pylist() for c in ("text", "docs", "copies"))):
+            change = docs * (max(1, UNIT // copies) - UNIT)
+            for term in known.of(text or ""):
+                less[term] += change
+            if len(less) > KNOWN_WORDS:
+                yield _terms(less)
+    yield _terms(less)
+
+
+def _terms(counts: Counter) -> pa.RecordBatch:
+    out = pa.RecordBatch.from_arrays([pa.array(np.fromiter(counts, np.uint64, len(counts)).view(np.int64)), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["term", "n"])
+    counts.clear()
+    return out
 
 
 def vocabulary(docs: DataFrame, band: tuple[float, float] = BAND) -> tuple[np.ndarray, np.ndarray]:
     """The sorted numbers of the terms in the band, and those of the terms above it, rarest first.
 
     Documents are weighted: members of a group that has a sketch in common, and holds more than a quarter of the band's upper end of the documents, count
-    as one together; smaller groups cannot lift a term out of the band by themselves. There are at most ``SKETCHES`` / that share such groups. A document
+    as one together; smaller groups cannot lift a term out of the band by themselves. There are at most ``SKETCHES`` / that share such groups. One pass reads all texts for
+    sketches and counts; then one text of each kind (by a 64-bit hash) in a large group is read again for what it counts less. A document
     of m distinct terms counts m times in the frequencies, so at most (mean of m) / share terms are in at least that share of the documents. That bounds both
     results by the length of the documents, whatever their number: 400,000 terms in the band for a mean of 200 distinct terms, 20 bytes for each in a task.
     """
-    docs = docs.select("text")
-    least = max(2, band[1] / 4 * docs.count())
-    large = docs.mapInArrow(_sketch, "sketch long").groupBy("sketch").count().where(F.col("count") >= least).collect()
-    groups = {r.sketch: r["count"] for r in large}
-    counts = stored(docs.mapInArrow(partial(_count, groups=groups), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "term-counts")
-    n = counts.where("term = 0").agg(F.sum("n")).first()[0] or 0
-    counts = counts.where("term != 0")
+    texts = docs.select("text", F.xxhash64("text").alias("same"))
+    read = stored(texts.mapInArrow(_read, "sketch boolean, key long, n long, same long"), "terms")
+    counts = read.where("not sketch").select(F.col("key").alias("term"), (F.col("n") * UNIT).alias("n"))
+    total = counts.where("term = 0").agg(F.sum("n")).first()[0] or 0
+    large = read.where("sketch").groupBy("key").agg(F.count("*").alias("copies")).where(F.col("copies") >= max(2, band[1] / 4 * (total // UNIT)))
+    members = stored(read.where("sketch").join(large, "key").groupBy("same", "key").agg(F.count("*").alias("docs"), F.max("copies").alias("copies")).groupBy("same").agg(F.max("docs").alias("docs"), F.max("copies").alias("copies")), "members")
+    n = total + (members.agg(F.sum(F.col("docs") * (F.greatest(F.lit(1), F.floor(UNIT / F.col("copies"))) - UNIT))).first()[0] or 0)
+    once = texts.join(members, "same").groupBy("same").agg(F.first("text").alias("text"), F.max("docs").alias("docs"), F.max("copies").alias("copies"))
+    less = once.select("text", "docs", "copies").mapInArrow(_correct, "term long, n long")
+    counts = stored(counts.unionAll(less).groupBy("term").agg(F.sum("n").alias("n")), "term-counts").where("term != 0")
     low, high = band[0] * n, band[1] * n
     inside = counts.where((F.col("n") >= low) & (F.col("n") <= high)).select("term").toPandas()["term"]
     above = counts.where((F.col("n") >= low) & (F.col("n") > high)).orderBy("n", "term").select("term").toPandas()["term"]
