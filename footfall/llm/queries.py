@@ -37,7 +37,7 @@ def op5_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
     counts = [secrets.number("base", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
-    return out.select("doc_id", *counts, F.sha2(F.encode(secrets.written("base"), "UTF-8"), 256).alias("base_sha256"), secrets.written("spans").alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(F.encode(secrets.written("base"), "UTF-8"), 256).alias("base_sha256"), secrets.written("spans").alias("spans"), F.col("judged"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
