@@ -9,6 +9,7 @@ import string
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Row
 from hypothesis import given, settings, strategies as st
 
 from footfall.llm import charcnn, components, decontaminate, html_text, imatch, secrets, simhash, toxicity
@@ -158,6 +159,16 @@ def test_large_benchmarks_go_in_blocks(spark, frame, monkeypatch):
     assert [r.doc_id for r in decontaminate.remove_matches(docs, benchmark).collect()] == [99]
 
 
+def test_short_items_are_found_as_they_are(spark, frame):
+    items = [(1, "2 + 2 = 4"), (2, "Paris"), (3, "What?"), (4, "x"), (None, "the cat"), (5, "paris"), (6, prose(30, 8))]
+    texts = ["He said PARIS\n twice", "comparison", "so 2 +  2 = 4, yes", "12 + 2 = 4", "what? no", "the cats", "(the cat)", "", prose(40, 9) + " " + prose(30, 8), "x-ray"]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_matches(frame(texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 2), (0, 5), (2, 1), (4, 3), (6, None), (8, 6), (9, 4)}
+    assert [r.doc_id for r in decontaminate.remove_matches(frame(texts), spark.createDataFrame(items[:6], "item_id long, text string")).collect()] == [1, 3, 5, 7, 8]
+    rows = decontaminate.find_matches(frame(texts[2:3]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.start, r.end, r.edits) for r in rows] == [(3, 12, 0)]
+
+
 # --- fingerprints ---
 
 
@@ -308,15 +319,47 @@ def test_network_learns_the_shape_of_secrets(spark, frame):
 def test_a_weak_network_keeps_the_recall():
     rng = random.Random(8)
     tokens = ["".join(rng.choice(string.ascii_lowercase) for _ in range(16)) for _ in range(400)]
-    x, y = charcnn.encode([""] * 400, tokens, [""] * 400), np.array([rng.randrange(2) for _ in tokens])
-    net = charcnn.train(x, y, 0.98, rounds=2)
-    test = np.random.default_rng(1).permutation(400)[:80]
-    assert net.threshold < 0.5 and (net.probability(x[test])[y[test] == 1] >= net.threshold).mean() >= 0.98
+    labels = [rng.randrange(2) for _ in tokens]
+    part = lambda at: ([""] * len(tokens[at]), tokens[at], [""] * len(tokens[at]), labels[at])
+    net = charcnn.train(part(slice(80, None)), part(slice(80)), 0.98, rounds=2)
+    p = net.probability(*charcnn.encode(*part(slice(80))[:3]))
+    assert net.threshold < 0.5 and (p[np.array(labels[:80]) == 1] >= net.threshold).mean() >= 0.98
+
+
+def test_all_of_a_long_token_is_seen():
+    one, two = "a" * 50 + "X9" * 10 + "b" * 50, "a" * 50 + "ab" * 10 + "b" * 50
+    x, of = charcnn.encode(["k="] * 3, [one, two, "short"], [""] * 3)
+    assert np.bincount(of).tolist() == [5, 5, 1] and (x[of == 0] != x[of == 1]).any()
+    net = charcnn.CharCNN({})
+    net._forward = lambda rows: (rows.sum(1).astype(float), {})
+    assert net.output(x, of) == pytest.approx([x[of == k].sum(1).mean() for k in range(3)])
+
+
+def test_held_out_tokens_are_in_no_form_in_the_fit():
+    rows = [Row(before=b, token=f"t{k}x", after="", label=k % 2) for k in range(40) for b in ("a", "b")]
+    fit, held = secrets.dealt(rows)
+    assert len(fit) + len(held) == 80 and not {r.token for r in fit} & {r.token for r in held}
+    assert {r.label for r in held} == {0, 1} and len({r.token for r in held}) == 8
+    few = [Row(before="", token=t, after="", label=y) for t, y in (("a", 1), ("b", 1), ("c", 0), ("d", 0))]
+    assert [sorted(r.label for r in part) for part in secrets.dealt(few)] == [[0, 1], [0, 1]]
+
+
+def test_every_candidate_is_judged(frame):
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    texts = [f"{spoken(8, k)} token = '{digits(32)}' {spoken(5, k + 1)}" for k in range(60)] + ["pwd: Xk3f9Qz2LmA7 end", f"id {'Z' * 60}{digits(20)}", "plainlongwordhere", "short 12345", None]
+    got = {r.doc_id: r for r in secrets.scan_secrets(frame(texts)).collect()}
+    spans = lambda k: [(j.start, j.end, j.base) for j in got[k].judged]
+    assert spans(60) == [(5, 17, False)] and spans(61) == [(3, 83, True)] and spans(62) == [(0, 17, False)] and spans(63) == spans(64) == []
+    for k in range(60):
+        (hex_,) = [s for s in got[k].base if s.kind == "hex"]
+        assert (hex_.start, hex_.end, True) in spans(k)
+    assert all(0 <= j.probability <= 1 for r in got.values() for j in r.judged)
 
 
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
-    x = charcnn.encode(["ab = "] * 6, ["deadbeef0123", "word", "", "x" * 70, "A1b2C3", "..."], [" end"] * 6)
+    x, _ = charcnn.encode(["ab = "] * 6, ["deadbeef0123", "word", "", "x" * 40, "A1b2C3", "..."], [" end"] * 6)
     y, weight = np.array([1, 0, 0, 1, 1, 0]), np.ones(6)
     shapes = {"embed": (charcnn.CHARS, charcnn.DEPTH), "filters": (charcnn.SPAN * charcnn.DEPTH, charcnn.FILTERS), "hidden": (2 * charcnn.FILTERS, charcnn.HIDDEN), "out": (charcnn.HIDDEN,), "filter_bias": (charcnn.FILTERS,), "hidden_bias": (charcnn.HIDDEN,), "out_bias": ()}
     net = charcnn.CharCNN({k: rng.normal(0, 0.5, s) for k, s in shapes.items()})

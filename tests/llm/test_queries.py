@@ -67,7 +67,8 @@ def test_op4_finds_all_passages_and_nothing_else(spark, sf_dir, docs):
         assert items[i] in whole[d][got[d, i].start : got[d, i].end] and got[d, i].edits == 0
     for d, i in got.keys() - exact:  # by the operator's own measure
         item = items[i]
-        pieces = [item[a : a + decontaminate.PIECE] for a in {*range(0, max(1, len(item) - decontaminate.PIECE), decontaminate.STRIDE), max(0, len(item) - decontaminate.PIECE)}]
+        sizes = [(decontaminate.PIECE, decontaminate.STRIDE), (decontaminate.SHORT, decontaminate.STEP)]
+        pieces = [item[a : a + size] for size, step in sizes for a in {*range(0, max(1, len(item) - size), step), max(0, len(item) - size)}]
         assert min(plain.edits_within(p, whole[d]) - decontaminate.allowed(len(p), decontaminate.Q, decontaminate.RATE) for p in pieces) <= 0
 
 
@@ -98,6 +99,7 @@ def test_op6_base_spans(spark, sf_dir, docs):
         found += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
         base = [f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found)]
         kinds = Counter(x.split(":")[0] for x in base)
+        assert all(len(text[j.start : j.end].rstrip('=')) >= 12 and 0 <= j.probability <= 1 for j in got[d].judged)
         assert tuple(got[d])[1:5] == (kinds["assign"], kinds["access"], kinds["hex"], plain.sha(",".join(base)))
         assert set(base) <= set(got[d].spans.split(","))
 
