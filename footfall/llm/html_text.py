@@ -3,6 +3,8 @@
 Each node of a page's tree gets its characters per tag, adjusted for links; a node's density sum adds up those of its children. The main text
 is the subtree with the greatest sum, together with what lies beside its way to the body and is as dense as the thinnest node on that way.
 Parts that say by tag or role that they are no main text are taken out first; so are forms and parts with such a name, unless they hold the main text.
+A name that only has such a word in it weighs: the part goes, also from inside an article, if its unlinked characters a paragraph, so weighed, are below
+those of the text around it. A page is read in time linear in its length.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,7 +52,8 @@ NAMES = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.S)
+NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+STOP = re.compile(r"""["'>]""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -61,16 +65,21 @@ NEUTRAL = frozenset(
 #: Names that parts of an article have as well.
 WEAK = frozenset("discussion related share sharing social notice notices alert promotion respond reply replies aside copyright consent notification subscription".split())
 COMMENTS = frozenset("comment comments commentlist disqus".split())
+#: A token that begins with one of the longer names.
+BEGINS = re.compile("|".join(sorted(n for n in NAMES if len(n) > 2)))
+#: What a character counts in a part whose name speaks against it in part, without and with a paragraph of its own.
+WEIGHTS = (0.25, 0.5)
+PARAGRAPHS = frozenset("p pre blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "noise", "hint", "parent", "children", "chars", "tags", "link_chars", "links", "density", "total")
+    __slots__ = ("tag", "noise", "hint", "parent", "children", "chars", "tags", "link_chars", "links", "paragraphs", "density", "total")
 
     def __init__(self, tag: str, parent: "Node | None", noise: bool, hint: str = ""):
         self.tag, self.parent, self.noise, self.hint = tag, parent, noise, hint
         self.children: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.links = 0
+        self.chars = self.tags = self.link_chars = self.links = self.paragraphs = 0
         self.density = self.total = 0.0
 
 
@@ -90,7 +99,7 @@ def _noise(tag: str, attributes: str, inside: bool) -> bool:
 
 
 def _hint(tag: str, attributes: str, inside: bool) -> str:
-    """What speaks against an element: "form", a "name" (all words of a class or the id) or one of "comments", or a "weak" one, which articles use too."""
+    """What speaks against an element: "form", a "name" (all words of a class or the id), one of "comments", a "weak" one, which articles use too, or "some" word of a name."""
     if tag in ("form", "fieldset"):
         return "form"
     if tag in HEADINGS or tag in ("html", "body") or not attributes.strip() or tag in ("article", "main") and "comment" not in attributes.lower():
@@ -105,55 +114,131 @@ def _hint(tag: str, attributes: str, inside: bool) -> str:
             names = NAMES if inside else NAMES | {"header"}
             for words in ({w.lower() for w in PART.findall(token)}, set(re.findall(r"[a-z]+", token.lower()))):
                 said = words & names
+                if said & COMMENTS:
+                    return "comments"
                 if said and words <= names | NEUTRAL:
-                    if said & COMMENTS:
-                        return "comments"
-                    found = "name" if said - WEAK else found or "weak"
+                    found = "name" if said - WEAK else found if found == "name" else "weak"
+                elif said or BEGINS.match(token.lower()):
+                    found = found or "some"
     return found
 
 
+class Tokens:
+    """A page's comments, tags and texts, one behind the other. What has no end is text, and is not searched for again."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.last = {end: page.rfind(end) for end in (">", "-->", "]]>")}
+        self.quoted = True  # until a tag's quotes have no end
+
+    def _attributes(self, start: int) -> int:
+        """Where the tag whose attributes begin at ``start`` ends (behind it); -1 if it does not."""
+        page, at = self.page, start
+        while m := STOP.search(page, at):
+            if m[0] == ">":
+                return m.end()
+            at = page.find(m[0], m.end()) + 1
+            if not at:
+                break
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        """Kind (text, open, close), tag or text, and attributes."""
+        page, n = self.page, len(self.page)
+        while self.at < n:
+            at = self.at
+            if page[at] != "<":
+                end = page.find("<", at)
+                self.at = n if end < 0 else end
+                yield "text", page[at : self.at], ""
+            elif page.startswith("<!--", at):
+                self.at = page.find("-->", at + 4) + 3 if at + 4 <= self.last["-->"] else n
+            elif page.startswith("<![CDATA[", at) and at < self.last["]]>"]:
+                self.at = page.find("]]>", at) + 3
+                yield "data", page[at + 9 : self.at - 3], ""
+            elif at > self.last[">"]:
+                # No tag ends any more.
+                self.at = n
+                yield "text", page[at:], ""
+            elif page[at + 1] in "!?":
+                self.at = page.find(">", at) + 1
+            elif m := NAME.match(page, at):
+                end = self._attributes(m.end()) if self.quoted else -1
+                if end < 0:
+                    # Quotes without an end: from here on a tag ends at the next bracket, whatever its quotes.
+                    self.quoted = False
+                    end = page.find(">", m.end()) + 1
+                    following = page.find("<", m.end(), end)
+                    if following >= 0:
+                        self.at = following
+                        yield "text", page[at:following], ""
+                        continue
+                self.at = end
+                yield "close" if m[1] else "open", m[2], page[m.end() : end - 1]
+            else:
+                self.at = at + 1
+                yield "text", "<", ""
+
+
+RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^<>]*>|\Z", re.I) for tag in RAW}
+
+#: Elements that an end tag of an inline element does not reach beyond.
+WALLS = frozenset("article main table td th".split())
+
+
 def parse(page: str) -> Node:
-    """The page's tree. Open elements that an end tag or a new block implies closed are closed; stray end tags are ignored."""
+    """The page's tree. Open elements that an end tag or a new block implies closed are closed; stray end tags are ignored.
+
+    Open elements are counted by tag, in all and since the last wall, so that nobody walks up for one that is not there.
+    """
     root = node = Node("html", None, False)
     inside = 0  # open article and main elements
-    at = 0
+    open_ = Counter()
+    since = [Counter()]
 
     def close(target: Node) -> Node:
         nonlocal inside
         here = node
         while here is not target.parent:
             inside -= here.tag in ("article", "main")
+            open_[here.tag] -= 1
+            if here.tag in WALLS:
+                since.pop()
+            since[-1][here.tag] -= 1
             here = here.parent
         return here
 
     def opened(tags, stop) -> Node | None:
         """The outermost of the open elements ``tags`` within the nearest of ``stop``."""
+        left = sum(open_[t] for t in tags)
         here, found = node, None
-        while here is not root and here.tag not in stop:
+        while left > 0 and here is not root and here.tag not in stop:
             if here.tag in tags:
-                found = here
+                found, left = here, left - 1
             here = here.parent
         return found
 
-    while m := TOKEN.match(page, at):
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            text = m[0]
-            if text[:2] in ("<!", "<?"):
-                if text.startswith("<![CDATA["):
-                    node.children.append(text[9:-3])
-                continue
-            node.children.append(html.unescape(text))
+    def enter(child: Node) -> None:
+        open_[child.tag] += 1
+        since[-1][child.tag] += 1
+        if child.tag in WALLS:
+            since.append(Counter())
+
+    tokens = Tokens(page)
+    for kind, tag, attributes in tokens:
+        if kind in ("text", "data"):
+            node.children.append(html.unescape(tag) if kind == "text" else tag)
             continue
         tag = tag.lower()
-        if m[1]:
+        if kind == "close":
             if tag in ("html", "body"):
                 continue
-            here = node
-            while here is not root and here.tag != tag and not (here.tag in ("article", "main", "table", "td", "th") and tag not in BLOCK):
-                here = here.parent
-            if here is not root and here.tag == tag:
+            # An inline element is only looked for since the last wall; a wall that is one itself counts as outside.
+            found = open_[tag] > 0 if tag in BLOCK or tag in WALLS else since[-1][tag] > 0
+            if found:
+                here = node
+                while here.tag != tag:
+                    here = here.parent
                 node = close(here)
             elif tag == "br":
                 node.children.append(" ")
@@ -165,6 +250,7 @@ def parse(page: str) -> Node:
                 body = Node("body", node, False)
                 node.children.append(body)
                 node = body
+                enter(body)
             continue
         if tag in ENDS_P and (p := opened({"p"}, {"article", "main", "section", "div", "td", "th", "blockquote", "li", "button", "table"})):
             node = close(p)
@@ -173,16 +259,17 @@ def parse(page: str) -> Node:
         if tag == "br":
             node.children.append(" ")
             continue
-        child = Node(tag, node, _noise(tag, m[3], inside > 0), _hint(tag, m[3], inside > 0))
+        child = Node(tag, node, _noise(tag, attributes, inside > 0), _hint(tag, attributes, inside > 0))
         node.children.append(child)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>|\Z", re.I).search(page, at)
+            end = RAW_ENDS[tag].search(page, tokens.at)
             if tag not in NEVER:
-                child.children.append(page[at : end.start()])
-            at = end.end()
-        elif tag not in VOID and not m[3].rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
+                child.children.append(page[tokens.at : end.start()])
+            tokens.at = end.end()
+        elif tag not in VOID and not attributes.rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
             node = child
             inside += tag in ("article", "main")
+            enter(child)
     return root
 
 
@@ -205,7 +292,7 @@ def settle(root: Node) -> None:
     unlinked paragraphs.
     """
     nodes = _preorder(root)
-    if not any(n.hint for n in nodes):
+    if not any(n.hint and n.hint != "some" for n in nodes):
         return
     text, para, homes = {}, {}, {}
     above: dict[int, tuple[bool, bool, Node | None]] = {}  # inside a paragraph, inside a link, nearest article or main element
@@ -222,7 +309,7 @@ def settle(root: Node) -> None:
         homes[id(n)] = 1 if n.tag in ("article", "main") and text[id(n)] else inner
     all_text, all_para, all_homes = text[id(root)], para[id(root)], homes[id(root)]
     for n in nodes:
-        if not n.hint:
+        if not n.hint or n.hint == "some":
             continue
         t, p, home = text[id(n)], para[id(n)], above.get(id(n.parent), (False, False, None))[2]
         if n.tag in ("article", "main"):
@@ -251,6 +338,7 @@ def weigh(nodes: list[Node], body: Node) -> None:
             node.link_chars, node.links = node.chars, 1 + sum(c.links for c in below)
         else:
             node.link_chars, node.links = sum(c.link_chars for c in below), sum(c.links for c in below)
+        node.paragraphs = sum(c.paragraphs for c in below) or int(node.tag in PARAGRAPHS and 2 * node.link_chars < node.chars)
     share = body.link_chars / max(1, body.chars)
     for node in nodes:
         if not node.chars:
@@ -268,6 +356,14 @@ def _is_menu(node: Node) -> bool:
     return node.tag in ("ul", "ol", "dl", "div", "section", "table") and node.links >= 3 and node.link_chars >= 0.9 * node.chars
 
 
+def _is_thin(node: Node, around: Node) -> bool:
+    """Whether a part with a doubtful name holds less text than is usual around it: unlinked characters a paragraph, weighed by the name."""
+    if node.hint != "some" or node.paragraphs > 1 or node.tag in PARAGRAPHS or 2 * node.chars > around.chars:
+        return False
+    usual = (around.chars - around.link_chars) / max(1, around.paragraphs)
+    return (node.chars - node.link_chars) * WEIGHTS[node.paragraphs] < usual
+
+
 def _within(node: Node, top: Node | None) -> bool:
     while node is not None and node is not top:
         node = node.parent
@@ -329,6 +425,8 @@ def extract(page: str | None) -> str:
     chosen = home or (best if best is not body else None)
 
     def keep(node: Node) -> bool:
+        if id(node) not in on_way and _is_thin(node, scope):
+            return False
         if home is not None or id(node) in on_way:
             return True
         if _is_menu(node) and not _within(node, chosen):
