@@ -485,6 +485,73 @@ def test_names_and_forms_are_no_verdict(page, text):
     assert html_text.extract(page) == text
 
 
+LEAKS = "advert-content ad-unit-text sponsored-message promo-text cookie-policy newsletter-cta user-comments comment-body comments-thread GDPRnotice adsbygoogle related-reading".split()
+
+
+@pytest.mark.parametrize("name", LEAKS)
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div id=content>{}</div>"])
+@pytest.mark.parametrize("inner", ["Buy our fine things today", "<p>Buy our fine things today</p>"])
+def test_parts_with_a_doubtful_name_go_if_they_are_thin(name, wrap, inner):
+    page = "<body>" + wrap.format(f"<p>{prose(30, 1)}</p><p>{prose(25, 2)}</p><div class='{name}'>{inner}</div>") + "</body>"
+    assert html_text.extract(page) == prose(30, 1) + "\n\n" + prose(25, 2)
+
+
+def test_parts_with_a_doubtful_name_stay_if_they_are_text():
+    parts = [f"<p>{prose(40, k)}</p>" for k in range(4)]
+    for name in ("related-methods", "shareholder-letter", "alerting-systems", "promotion-tactics"):
+        page = f"<article>{parts[0]}<section class='{name}'>{parts[1]}{parts[2]}</section>{parts[3]}</article>"
+        assert html_text.extract(page) == "\n\n".join(prose(40, k) for k in range(4))
+
+
+def plain_weights(node):
+    """Characters, tags, linked characters and links below a node, counted again for each node."""
+    below = [c for c in node.children if isinstance(c, html_text.Node) and not c.noise]
+    inner = [plain_weights(c) for c in below]
+    chars = sum(len("".join(c.split())) for c in node.children if isinstance(c, str)) + sum(x[0] for x in inner)
+    tags = len(below) + sum(x[1] for x in inner)
+    linked = chars if node.tag == "a" else sum(x[2] for x in inner)
+    return chars, tags, linked, (node.tag == "a") + sum(x[3] for x in inner)
+
+
+def test_densities_against_plain():
+    rng = random.Random(6)
+
+    def some(depth):
+        tag = rng.choice(["div", "p", "a", "ul", "b", "section"])
+        return f"<{tag}>" + "".join(prose(rng.randint(1, 9), rng.random()) if not depth or rng.random() < 0.5 else some(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+    for _ in range(40):
+        root = html_text.parse(f"<body>{some(5)}{some(4)}</body>")
+        nodes = html_text._preorder(root)
+        body = next(n for n in nodes if n.tag == "body")
+        html_text.weigh(nodes, body)
+        all_chars, _, all_linked, _ = plain_weights(body)
+        for n in nodes:
+            chars, tags, linked, links = plain_weights(n)
+            assert (n.chars, n.tags, n.link_chars, n.links) == (chars, tags, linked, links)
+            if chars:
+                base = max(math.log(chars / max(1, chars - linked) * max(1, linked) + all_linked / max(1, all_chars) * chars + math.e), 1 + 1e-9)
+                expected = chars / max(1, tags) * math.log(max(1.0, chars / max(1, linked) * max(1, tags) / max(1, links))) / math.log(base)
+                assert n.density == pytest.approx(expected)
+        for n in nodes:
+            assert n.total == pytest.approx(sum(c.density for c in n.children if isinstance(c, html_text.Node) and not c.noise))
+
+
+@pytest.mark.parametrize(
+    "start, more, end",
+    [("", '<a href="x ', ""), ("", "<a href='x >", ""), ("", "<![CDATA[", ""), ("<b>", "<b>", "</i>"), ("<article>", "<b>", "</i>"), ("<ul><li>", "<b>", "<dt>"), ("", "<!", ""), ("<textarea>", "</textarea ", ""), ("<p>", "<section><b>", "<div>"), ("", "<div class='advert-x'>", "x")],
+)
+def test_hostile_pages_take_linear_time(start, more, end):
+    import time
+
+    took = []
+    for n in (3000, 12000):
+        begin = time.process_time()
+        html_text.extract(start + more * n + end * n)
+        took.append(time.process_time() - begin)
+    assert took[1] < 10 * took[0] + 0.2
+
+
 # --- near duplicates in many tasks, exception phrases ---
 
 
