@@ -530,8 +530,9 @@ def test_densities_against_plain():
             chars, tags, linked, links = plain_weights(n)
             assert (n.chars, n.tags, n.link_chars, n.links) == (chars, tags, linked, links)
             if chars:
-                base = max(math.log(chars / max(1, chars - linked) * max(1, linked) + all_linked / max(1, all_chars) * chars + math.e), 1 + 1e-9)
-                expected = chars / max(1, tags) * math.log(max(1.0, chars / max(1, linked) * max(1, tags) / max(1, links))) / math.log(base)
+                base = math.log(chars / max(1, chars - linked) * linked + all_linked / max(1, all_chars) * chars + math.e)
+                ratio = math.log(max(1.0, chars / max(1, linked) * max(1, tags) / max(1, links)))
+                expected = chars / max(1, tags) * (ratio / math.log(base) if base > 1 + 1e-9 else ratio)
                 assert n.density == pytest.approx(expected)
         for n in nodes:
             assert n.total == pytest.approx(sum(c.density for c in n.children if isinstance(c, html_text.Node) and not c.noise))
