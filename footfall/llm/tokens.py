@@ -1,7 +1,7 @@
 """Token counts: the best unigram segmentation of each pre-token, by dynamic programming shared along a trie.
 
-The distinct new pre-tokens of a block of documents form a trie, which is walked in order. The forward score of a prefix, the best sum of piece scores
-that spells it, is computed once and held while the words below are walked; the end of a word gives its number of pieces. A document's count is the sum over its words.
+The distinct new pre-tokens of a block of documents are walked in sorted order, which is the depth-first order of their trie; the trie itself is not kept. The forward score of a
+prefix, the best sum of piece scores that spells it, is computed once and held while the words that share it are walked; the end of a word gives its number of pieces. A document's count is the sum over its words.
 """
 
 from __future__ import annotations
